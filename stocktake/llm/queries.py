@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, source_mix, threshold_topk, wavelet_tokens
+from . import bin_completion, license_scan, quality_rules, secret_scan, source_mix, threshold_topk, wavelet_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": secret_scan.query,
         "op5_source_mix": source_mix.query,
+        "op6_quality_rules": quality_rules.query,
         "op7_best_fit_packing": bin_completion.query,
+        "op8_license_scan": license_scan.query,
         "op9_wavelet_tokens": wavelet_tokens.query,
         "op10_threshold_topk": threshold_topk.query,
     }
@@ -20,5 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scan": secret_scan.SQL,
+        "op8_license_scan": license_scan.SQL,
         "op10_threshold_topk": threshold_topk.SQL,
     }

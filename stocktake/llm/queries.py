@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, license_scan, quality_rules, secret_scan, source_mix, threshold_topk, wavelet_tokens
+from . import bin_completion, license_scan, line_dedup, quality_rules, secret_scan, source_mix, threshold_topk, wavelet_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.query,
         "op2_secret_scan": secret_scan.query,
         "op5_source_mix": source_mix.query,
         "op6_quality_rules": quality_rules.query,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.SQL,
         "op2_secret_scan": secret_scan.SQL,
         "op8_license_scan": license_scan.SQL,
         "op10_threshold_topk": threshold_topk.SQL,

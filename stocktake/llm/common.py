@@ -35,7 +35,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts may be very long, so an Arrow batch of whole texts takes few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A piece that stands after a space must start with a visible character; texts with others take the slower exact split.
-_ODD_SPACE = r" ([\s\x0b\x1c-\x1f\x85\p{Z}]|$)"
+# White space next to white space, at a text's end, or a NUL: such texts, like those with special tokens, take the slower exact split.
+_WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_ODD = rf"\x00| {_WHITE}| $|\n{_WHITE}|{_WHITE}\n"
 _BEFORE_VISIBLE = re.compile(r" (?=\S)")
-_ENDS = frozenset(".,:;!?|")
+#: A mark after a letter always begins a token.
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,:;!?])"
 
 
 def path_of(name: str) -> str:
@@ -37,7 +39,7 @@ class Encoder:
 
     path: str
     spaced: bool
-    kept: int = 300_000
+    kept: int = 400_000
     young: dict = field(default_factory=dict)
     old: dict = field(default_factory=dict)
 
@@ -47,6 +49,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(self.path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.edge = np.zeros(size, bool)  # byte-level: tokens that start with a space; else tokens that end a word
@@ -55,7 +58,7 @@ class Encoder:
 
     def _plain(self, piece: str) -> bool:
         word = piece[1:] if self.spaced else piece
-        return word.isalpha() and max(word) < "Ā" and (not self.spaced or piece[0] == " ")
+        return word.isalpha() and (piece.isascii() or max(word) < "Ā") and (not self.spaced or piece[0] == " ")
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """The library's ids of each piece. Plain words are encoded many to a text and parted at word edges."""
@@ -72,63 +75,54 @@ class Encoder:
         found.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
         return [found[p] for p in pieces]
 
-    def _known(self, pieces: list[str]) -> dict[str, bytes]:
-        got: dict[str, bytes] = {}
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as bytes."""
         young, old = self.young, self.old
-        miss = []
+        missing = []
         for p in pieces:
-            ids = young.get(p)
-            if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    miss.append(p)
-                    continue
-                young[p] = ids
-            got[p] = ids
-        for p, ids in zip(miss, self._encode(miss)):
-            young[p] = got[p] = ids
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    missing.append(p)
+        if missing:
+            missing = list(dict.fromkeys(missing))
+            young.update(zip(missing, self._encode(missing)))
+        out = [young[p] for p in pieces]
         if len(young) > self.kept:
             self.old, self.young = young, {}
-        return got
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """A full stop or the like after a Latin letter is a token of its own, so the word before it is looked up alone."""
-        if not self.spaced:
-            pieces = [p.lower() if p.isascii() else p for p in pieces]
-        parted = [(p[:-1], p[-1]) if len(p) > 1 and p[-1] in _ENDS and p[-2].isalpha() and p[-2] < "Ā" else (p, "") for p in pieces]
-        known = self._known(list({x for pair in parted for x in pair}))
-        return [known[a] + known[b] if b else known[a] for a, b in parted]
+        return out
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         out: list = [None] * len(texts)
-        odd = np.asarray(pc.match_substring_regex(texts, _ODD_SPACE)) if self.spaced else np.zeros(len(texts), bool)
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD if self.spaced else r"\x00"))
+        for special in self.specials:
+            odd = odd | np.asarray(pc.match_substring(texts, special, ignore_case=True))
         for i in np.flatnonzero(odd):
-            first, *rest = _BEFORE_VISIBLE.split(texts[int(i)].as_py())
+            whole = texts[int(i)].as_py()
+            first, *rest = _BEFORE_VISIBLE.split(whole) if self.spaced else [whole]
             out[i] = np.frombuffer(b"".join(self.pieces([first, *(" " + x for x in rest)])), self.kind)
         even = np.flatnonzero(~odd)
         if not len(even):
             return out
-        plain = texts.take(pa.array(even))
-        if not self.spaced:
-            plain = pc.replace_substring(plain, "\n", " ")
-        lists = pc.split_pattern(plain, " ")
+        plain = texts.take(pa.array(even)) if len(even) < len(texts) else texts
+        if self.spaced:
+            plain = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+        else:
+            plain = pc.replace_substring(pc.replace_substring(pc.ascii_lower(plain), " ", "\0"), "\n", "\0")
+        lists = pc.split_pattern(pc.replace_substring_regex(plain, _MARK, "\\1\0\\2"), "\0")
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        if self.spaced:  # the first piece of a text has no space before it
-            firsts = coded.dictionary.take(pa.array(codes[offsets[:-1]])).to_pylist()
-            codes[offsets[:-1]] = len(words) + np.arange(len(firsts))
-            words = [" " + w for w in words] + firsts
-        ids = self.pieces(words)
+        codes = np.asarray(coded.indices)
+        ids = self.pieces(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        starts = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(ids), self.kind)
         own = sizes[codes]
         ends = np.cumsum(own)
-        run = flat[np.repeat(starts[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        starts = (np.cumsum(sizes) - sizes)[codes] - (ends - own)
+        run = flat[np.repeat(starts, own) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[offsets]
         for j, i in enumerate(even):
             out[i] = run[cuts[j] : cuts[j + 1]]

@@ -22,15 +22,19 @@ Packing = list[tuple[int, Filling]]
 
 def lower_bound(counts: dict[int, int], room: int) -> int:
     """Bins that no packing can do without: by volume, and for each threshold by the large items that cannot meet."""
-    lengths = sorted(counts)
-    best = -(-sum(x * n for x, n in counts.items()) // room)
-    for small in [x for x in lengths if 2 * x <= room]:
-        alone = sum(counts[x] for x in lengths if x > room - small)
-        half = [(x, counts[x]) for x in lengths if 2 * x > room and x <= room - small]
-        rest = sum(x * counts[x] for x in lengths if small <= x and 2 * x <= room)
-        free = sum((room - x) * n for x, n in half)
-        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(rest - free) // room)))
-    return max(best, sum(counts[x] for x in lengths if 2 * x > room))
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[i] for i in x.tolist()], np.int64)
+    sums = lambda v: np.concatenate([[0], np.cumsum(v)])
+    number, volume = sums(n), sums(n * x)
+    half = int(np.searchsorted(x, room // 2, "right"))  # from here on no two share a bin
+    best = max(-(-int(volume[-1]) // room), int(number[-1] - number[half]))
+    small = x[:half]
+    if len(small):
+        alone = np.searchsorted(x, room - small, "right")  # from here on nothing that large as `small` fits in
+        free = room * (number[alone] - number[half]) - (volume[alone] - volume[half])
+        rest = volume[half] - volume[:half]
+        best = max(best, int((number[-1] - number[half] + np.maximum(0, -((free - rest) // room))).max()))
+    return best
 
 
 def best_fit(counts: dict[int, int], room: int) -> Packing:
@@ -124,7 +128,7 @@ def fillings(counts: dict[int, int], lengths: list[int], free: int, waste: int,
     return [(spare, tuple((x, own.count(x)) for x in dict.fromkeys(own))) for spare, own in kept]
 
 
-def pack_counts(counts: dict[int, int], room: int, nodes: int = 20_000) -> Packing:
+def pack_counts(counts: dict[int, int], room: int, nodes: int = 500) -> Packing:
     """Packs counts[length] items of each length into few bins of `room`.
 
     Best-fit decreasing gives the first incumbent. While it is above the lower bound,

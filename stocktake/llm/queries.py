@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, threshold_topk, wavelet_tokens
+from . import bin_completion, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, threshold_topk, wavelet_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
         "op2_secret_scan": secret_scan.query,
+        "op3_suffix_dedup": suffix_dedup.query,
         "op4_minhash_dedup": minhash_dedup.query,
         "op5_source_mix": source_mix.query,
         "op6_quality_rules": quality_rules.query,

@@ -1,12 +1,74 @@
-"""A training corpus from documents: each stage applies one operator and hands its documents on."""
+"""A training corpus from documents: each stage applies one operator to all its predecessor kept and hands its documents on."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stocktake.llm import bin_completion, line_dedup, minhash_dedup, quality_rules, source_mix
+from stocktake.llm.common import WORD, settle, table
+
+
+def _joined(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
+    """docs with what was decided for their doc_id; decisions: one row for each doc_id, a null one included."""
+    names = [c for c in decisions.columns if c != "doc_id"]
+    decisions = decisions.select(F.col("doc_id").alias("__of"), *(F.col(c).alias(f"__{c}") for c in names))
+    joined = docs.join(decisions, docs["doc_id"].eqNullSafe(decisions["__of"]), how)
+    return joined if how.startswith("left_") else joined.drop("__of")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    judged = quality_rules.judge(docs.select("doc_id", "text"))
+    return _joined(docs, judged.filter("not kept").select("doc_id").distinct(), "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat go, and documents of which no word is left after that."""
+    dropped = line_dedup.dropped_lines(docs.select("doc_id", "text")).filter(F.size("dropped") > 0).select("doc_id", "dropped").dropDuplicates(["doc_id"])
+    joined = _joined(docs, dropped, "left")
+    text = F.when(F.col("__dropped").isNotNull(), line_dedup.without_lines(F.col("text"), F.col("__dropped"))).otherwise(F.col("text"))
+    cut = joined.withColumn("text", text).filter(F.col("__dropped").isNull() | F.rlike("text", F.lit(WORD)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("__dropped").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
+    return _joined(docs, found.filter("not kept").select("doc_id").distinct(), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix of sources takes it."""
+    taken = source_mix.mix(docs.select("doc_id", "source", "text"))
+    copies = taken.groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    rows = _joined(docs, copies).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of bounded length."""
+    return bin_completion.pack(docs.select("doc_id", "text"))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash_dedup", near),
+    ("source_mix", mixed),
+    ("best_fit_packing", packed),
+]
+#: The stages fit a label model, confirm links of whole sets and pack by search: no SQL for that; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1 +1,67 @@
-"""Queries."""
+"""Queries of contents, blocks and hard links."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stocktake.operators import content as C
+
+from .registry import query
+
+c = F.col
+_JOINED = "select s.doc_id, s.block, s.length, coalesce(s.hash = d.hash, false) as reused from (select * from blocks where side = 'src') s left join (select * from blocks where side = 'dst') d using (doc_id, block)"
+
+
+def _joined(t):
+    side = lambda x: t.blocks.filter(c("side") == x).drop("side")
+    return C.block_join(side("src"), side("dst"))
+
+
+@query("j12_block_join", f"select doc_id, count(*) as blocks, count(*) filter (reused) as reused from ({_JOINED}) group by doc_id")
+def j12(t):
+    return _joined(t).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if("reused").alias("reused"))
+
+
+@query("g10_block_reuse", f"select doc_id, coalesce(sum(length) filter (reused), 0)::bigint as bytes_reused, coalesce(sum(length) filter (not reused), 0)::bigint as bytes_sent from ({_JOINED}) group by doc_id")
+def g10(t):
+    return C.block_reuse(_joined(t))
+
+
+@query("w03_differing_ranges", f"""
+select doc_id, start, least(start + 7, last) as stop from (select doc_id, last, unnest(range(first, last + 1, 8)) as start from (
+  select doc_id, min(block) as first, max(block) as last from (select *, block - row_number() over (partition by doc_id order by block) as i from ({_JOINED}) where not reused) group by doc_id, i))""")
+def w03(t):
+    return C.differing_ranges(_joined(t), 8)
+
+
+@query("w04_zero_runs", """
+select doc_id, min(block) as first, max(block) as last from (select *, block - row_number() over (partition by doc_id order by block) as i from blocks where side = 'src' and hash < '8') group by doc_id, i""")
+def w04(t):
+    flagged = t.blocks.filter("side = 'src'").withColumn("zero", c("hash") < "8")
+    return C.islands(flagged, "zero", "doc_id")
+
+
+@query("s09_read_blocks", "select doc_id, count(*) as blocks, sum(length)::bigint as bytes, min(hash) as least from blocks where side = 'src' group by doc_id")
+def s09(t):
+    return t.blocks.filter("side = 'src'").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("length").alias("bytes"), F.min("hash").alias("least"))
+
+
+@query("w05_hardlink_representative", "select device, inode, nth, case when nth = min(nth) over (partition by device, inode) then 'transfer' else 'link' end as role from hardlinks")
+def w05(t):
+    return C.representatives(t.hardlinks).select("device", "inode", "nth", "role")
+
+
+@query("j17_hardlink_followers", "select device, inode, nth from hardlinks where nth > 1 and (device + inode) % 3 <> 0")
+def j17(t):
+    ok = t.hardlinks.select("device", "inode", ((c("device") + c("inode")) % 3 != 0).alias("ok")).distinct()
+    return C.followers(t.hardlinks, ok).select("device", "inode", "nth")
+
+
+@query("g09_expected_hash_groups", "select device, inode, count(distinct digest) as n from hardlinks group by device, inode having count(distinct digest) > 1")
+def g09(t):
+    return C.group_conflicts(t.hardlinks, "digest")
+
+
+@query("g11_conflicting_group_metadata", "select device, inode, count(distinct mode_asked) as n from hardlinks group by device, inode having count(distinct mode_asked) > 1")
+def g11(t):
+    return C.group_conflicts(t.hardlinks, "mode_asked")

@@ -1 +1,147 @@
-"""Queries."""
+"""Queries of reconciliation: joins and decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stocktake.operators import content, outcomes, reconcile as R
+
+from .registry import query
+
+c = F.col
+
+_PAIRS = """
+with p as (
+  select coalesce(s.path, d.path) as path, s.path as sp, d.path as dp, s.kind as sk, d.kind as dk, s.size as ss, d.size as ds, s.mtime_s as sm, d.mtime_s as dm, s.mtime_ns as sn, d.mtime_ns as dn, s.mode as smode, d.mode as dmode,
+    s.uid as su, d.uid as du, s.hash as sh, d.hash as dh, s.device as sd, d.device as dd, s.inode as si, d.inode as di, s.link_target as sl, d.link_target as dl,
+    coalesce(s.device = d.device and s.inode = d.inode, false) as same_file, (d.mtime_s, d.mtime_ns) > (s.mtime_s, s.mtime_ns) as newer,
+    case when s.path is null then 'destination_only' when d.path is null then 'destination_missing' when s.kind <> d.kind then 'type_differs' else 'content_differs' end as why,
+    coalesce(s.kind = 'file' and d.kind = 'file' and s.size = d.size and s.mtime_s = d.mtime_s and (d.mtime_ns = 0 or s.mtime_ns // z = d.mtime_ns // z), false) as quick,
+    coalesce(s.kind = 'file' and d.kind = 'file' and s.size = d.size and s.hash = d.hash, false) as same_hash
+  from inv_src s full join (select *, (10 ^ (length(mtime_ns::varchar) - length(rtrim(mtime_ns::varchar, '0'))))::bigint as z from inv_dst) d using (path)
+)"""
+
+
+def _decide(policy: str, same: str = "quick", attrs: str = "smode <> dmode", low: int | None = None, permitted: str = "true") -> str:
+    lines = [("sp is null", "none", "extra", "'destination_only'")]
+    lines += [("same_file", "none", "failed", "'exists'")] if policy == "error" else [("same_file", "none", "excluded", "'same_file'")]
+    lines += [(f"ss < {low}", "none", "excluded", "'size'")] if low else []
+    lines += [("dp is not null", "none", "excluded", "'exists'")] if policy == "keep" else []
+    lines += [(f"not ({permitted})", "none", "excluded", "'predicate'"), ("dk = 'dir'", "none", "failed", "'directory_in_place'")]
+    lines += [("dp is not null", "none", "failed", "'exists'")] if policy == "error" else []
+    lines += [("dp is not null and (dk <> 'file' or ss <> ds)", "none", "failed", "'differs'")] if policy == "error-if-different" else []
+    lines += [("dp is not null and newer", "none", "excluded", "'newer'")] if policy == "update-if-older" else []
+    lines += [(f"{same} and {attrs}", "set_attributes", "unchanged", "'metadata_differs'"), (same, "none", "unchanged", "'equal'"), ("true", "transfer_file", "planned", "why")]
+    case = lambda i: "case " + " ".join(f"when {x[0]} then " + (x[i] if i == 3 else f"'{x[i]}'") for x in lines) + " end"
+    return f"{_PAIRS} select path, {case(1)} as action, {case(2)} as disposition, {case(3)} as reason, case when {case(1)} = 'transfer_file' then ss else 0 end as bytes from p where sp is null or sk = 'file'"
+
+
+def _pairs(t):
+    return R.pairs(t.inv_src, t.inv_dst)
+
+
+@query("a01_decide_file", _decide("update"))
+def reconcile_plan(t):
+    return R.decide_files(_pairs(t))
+
+
+for _policy in R.POLICIES[1:]:
+    query(f"a02_policy_{_policy.replace('-', '_')}", _decide(_policy))(lambda t, p=_policy: R.decide_files(_pairs(t), p))
+
+query("p16_copy_if", _decide("update", permitted="coalesce(ss > 1000 and coalesce(dm < 1700030000, true), false)"))(
+    lambda t: R.decide_files(_pairs(t), permitted=F.coalesce((c("src.size") > 1000) & F.coalesce(c("dst.mtime_s") < 1700030000, F.lit(True)), F.lit(False)))
+)
+query("p20_size_range", _decide("update", low=2000))(lambda t: R.decide_files(_pairs(t), low=2000))
+query("p21_keep_existing", _decide("keep"))(lambda t: R.decide_files(_pairs(t), "keep"))
+query("p21_only_existing", f"{_PAIRS} select path, why from p where sp is not null and dp is not null")(lambda t: _pairs(t).filter("src is not null and dst is not null").select("path", R.trace_reason(F.lit(True)).alias("why")))
+query("p25_policy_stage_order", _decide("keep", low=500, permitted="ss > 1000"))(lambda t: R.decide_files(_pairs(t), "keep", low=500, permitted=c("src.size") > 1000))
+query("a05_hash_unchanged", _decide("update", same="same_hash"))(lambda t: R.decide_files(_pairs(t), unchanged=R.hash_unchanged()))
+
+
+@query("j01_reconcile", f"{_PAIRS} select path, ss as src_size, ds as dst_size, sp is not null as has_src, dp is not null as has_dst from p")
+def j01(t):
+    return _pairs(t).select("path", c("src.size").alias("src_size"), c("dst.size").alias("dst_size"), c("src").isNotNull().alias("has_src"), c("dst").isNotNull().alias("has_dst"))
+
+
+@query("j03_same_file", f"{_PAIRS} select path from p where same_file")
+def j03(t):
+    return _pairs(t).filter(R.same_file()).select("path")
+
+
+@query("a03_trace_reason", f"{_PAIRS} select path, why as reason from p")
+def a03(t):
+    return _pairs(t).select("path", R.trace_reason(F.lit(True)).alias("reason"))
+
+
+@query("a04_quick_unchanged", f"{_PAIRS} select path, quick from p")
+def a04(t):
+    return _pairs(t).select("path", R.quick_unchanged().alias("quick"))
+
+
+@query("a06_changed_attributes", f"""{_PAIRS} select path, array_to_string(list_filter([case when smode is distinct from dmode then 'mode' end, case when su is distinct from du then 'uid' end,
+  case when sm is distinct from dm or sn is distinct from dn then 'mtime' end], lambda x: x is not null), ',') as changed from p where sp is not null and dp is not null""")
+def a06(t):
+    return _pairs(t).filter("src is not null and dst is not null").select("path", F.array_join(R.changed_attributes(("mode", "uid", "mtime")), ",").alias("changed"))
+
+
+@query("a07_decide_link_or_special", f"""{_PAIRS} select path, case when dk = 'dir' then 'refuse' when sk = dk and sl is not distinct from dl then 'unchanged' when sk = 'symlink' then 'create_link' else 'create_special' end as action, why as reason
+from p where sk not in ('file', 'dir')""")
+def a07(t):
+    return R.decide_links(_pairs(t))
+
+
+@query("a08_decide_directory", """
+with w as (select distinct unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) as path from inv_src
+  union select distinct path || '/x' from inv_dst where doc_id % 14 = 1 union select distinct path from inv_dst where doc_id % 14 = 1),
+f as (select w.path, case when d.path is null then 'create' when d.kind = 'dir' then 'exists' else 'conflict' end as action from w left join inv_dst d using (path))
+select f.path, case when exists (select 1 from f g where g.action = 'conflict' and starts_with(f.path, g.path || '/')) then 'skipped' else action end as action from f""")
+def a08(t):
+    from stocktake.operators.prefixes import ancestors_of
+
+    some = t.inv_dst.filter("doc_id % 14 = 1").select("path")
+    wanted = ancestors_of(t.inv_src).union(some).union(some.select(F.concat("path", F.lit("/x")))).distinct()
+    return R.decide_directories(wanted, t.inv_dst)
+
+
+@query("a13_mapping_attributes", """
+select m.dst, coalesce(m.mode, s.mode) as mode, coalesce(m.mtime, s.mtime_s) as mtime_s, m.mtime is null as quick_allowed, case when s.kind = 'symlink' and m.mode is not null then 'mode_on_link' end as error
+from mapping m join inv_src s on m.src = s.path""")
+def a13(t):
+    return R.mapping_attributes(t.mapping, t.inv_src)
+
+
+@query("a14_capacity_check", "select sum(b)::bigint as bytes, count(*) as inodes, sum(b) <= 100000000 and count(*) + 64 <= 5000 as fits from (select device, inode, max(nth * 100) as b from hardlinks group by device, inode)")
+def a14(t):
+    return R.capacity(t.hardlinks.withColumn("bytes", (c("nth") * 100).cast("long")), 100000000, 5000)
+
+
+@query("a15_placement_condition", "select s.path, case when d.path is null then 'new' else 'existing' end as placement from inv_src s left join inv_dst d using (path)")
+def a15(t):
+    return _pairs(t).filter("src is not null").select("path", F.when(c("dst").isNull(), "new").otherwise("existing").alias("placement"))
+
+
+_PLAN = _decide("update")
+
+
+@query("g02_dry_run_summary", f"""select category, count(*) as n, sum(bytes)::bigint as bytes from (select *, case when action = 'none' then 'nothing' when reason = 'type_differs' then 'replaced' when action = 'set_attributes' then 'attributes'
+when reason = 'destination_missing' then 'new' else 'changed' end as category from ({_PLAN})) group by category""")
+def g02(t):
+    return outcomes.dry_run_summary(reconcile_plan(t))
+
+
+@query("g21_replaced_not_in_place", f"select reason, count(*) as n from ({_PLAN}) where action = 'transfer_file' and reason <> 'destination_missing' group by reason")
+def g21(t):
+    return reconcile_plan(t).filter("action = 'transfer_file' and reason != 'destination_missing'").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("o07_largest_first", f"select size_rank, bytes from (select bytes, row_number() over (order by bytes desc) as size_rank from ({_PLAN}) where action = 'transfer_file') where size_rank <= 100")
+def o07(t):
+    rows = reconcile_plan(t).filter("action = 'transfer_file'").orderBy(F.desc("bytes"), F.xxhash64("path")).limit(100)
+    from pyspark.sql import Window
+
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("bytes"))).cast("long").alias("size_rank"), "bytes")
+
+
+@query("j13_verify_expected", """select d.path, case when m.src is null then 'unexpected' when m.hash = d.hash then 'ok' else 'mismatch' end as "check" from inv_dst d left join mapping m on m.src = d.path""")
+def j13(t):
+    return content.verify_expected(t.inv_dst, t.mapping.select(c("src").alias("path"), F.upper("hash").alias("hash")), "path")

@@ -1 +1,111 @@
-"""Queries."""
+"""Queries of selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stocktake.functions import ignore as I
+from stocktake.functions import predicates as Q
+from stocktake.operators import content, mapping, objects, prune
+from stocktake.operators import selection as S
+
+from .registry import query
+
+c = F.col
+RULES = ("# ignored parts", "*.tmp", "/src1/", "fr/*7.txt", "!fr/17.txt", "extra/**/de/", "!src1/en/1.txt")
+_ABOVE = "list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
+
+
+@query("p14_where", "select path, kind from inv_dst where kind = 'dir' or size > 2500")
+def p14(t):
+    return S.where(t.inv_dst, c("size") > 2500).select("path", "kind")
+
+
+@query("p15_where_two_tier", "select page_id, key from listing where case when size < 4000 then false when size > 9000 then true else left(md5(html), 1) < '8' end".replace("from listing", "from listing join pages using (page_id)"))
+def p15(t):
+    cheap = F.when(c("size") < 4000, False).when(c("size") > 9000, True)
+    stored = t.pages.select("page_id", F.md5("html").alias("stored"))
+    return S.where_two_tier(t.listing.withColumn("kind", F.lit("file")), cheap, stored, F.substring("stored", 1, 1) < "8", ["page_id"]).select("page_id", "key")
+
+
+@query("p17_ignore", f"""
+with i as (select *, {_ABOVE} as above, list_last(string_split(path, '/')) as name from inv_dst)
+select path from i where not (
+  case when regexp_matches(path, '(^|/)fr/17\\.txt$') and path like 'fr/%' then false when path = 'src1/en/1.txt' then false when kind = 'dir' and regexp_matches(path, '^extra/(.*/)?de$') then true
+    when regexp_matches(path, '^fr/[^/]*7\\.txt$') then true when kind = 'dir' and path = 'src1' then true when name like '%.tmp' then true else false end
+  or len(list_filter(above, lambda a: a = 'src1' or regexp_matches(a, '^extra/(.*/)?de$'))) > 0)""")
+def p17(t):
+    return S.without_ignored(t.inv_dst, RULES).select("path")
+
+
+@query("p18_ignore_selected_file", "select path, regexp_matches(list_last(string_split(path, '/')), '^1.*\\.txt$') and path not like '%/11.txt' as ignored from inv_src")
+def p18(t):
+    return t.inv_src.select("path", I.ignored_selected(c("path"), ("1*.txt", "!11.txt")).alias("ignored"))
+
+
+@query("p19_key_pattern", "select bucket, key, page_id from listing where regexp_full_match(key, '[^/]*/.*[0-9]')")
+def p19(t):
+    return t.listing.filter(Q.key_pattern(c("key"), "*/**") & F.rlike("key", F.lit("[0-9]$"))).select("bucket", "key", "page_id")
+
+
+_LISTED = "select path from inv_src where doc_id % 6 = 0 union select 'src2' union select 'src3/en'"
+
+
+def _listed(t):
+    return t.inv_src.filter("doc_id % 6 = 0").select("path").union(t.spark.createDataFrame([("src2",), ("src3/en",)], "path string"))
+
+
+@query("p22_files_from", f"select path from inv_src where path in ({_LISTED})")
+def p22(t):
+    return S.files_from(t.inv_src, _listed(t)).select("path")
+
+
+@query("p22_files_from_recursive", f"select path from inv_src where path in ({_LISTED}) or starts_with(path, 'src2/') or starts_with(path, 'src3/en/')")
+def p22r(t):
+    return S.files_from(t.inv_src, _listed(t), recursive=True).select("path")
+
+
+@query("p23_typed_selector", """
+select s.path, wanted, case when d.kind is null then 'missing' when wanted = 'dir' and d.kind <> 'dir' or wanted = 'file' and d.kind = 'dir' then 'wrong_kind' else 'selected' end as status
+from (select path, case when doc_id % 3 = 0 then 'dir' when doc_id % 3 = 1 then 'file' end as wanted from inv_src) s left join inv_dst d using (path)""")
+def p23(t):
+    return S.selected_kinds(t.inv_src.select("path", F.when(c("doc_id") % 3 == 0, "dir").when(c("doc_id") % 3 == 1, "file").alias("wanted")), t.inv_dst)
+
+
+@query("p24_clean_partials", "select '.transfer-s3-' || hash || '.partial' as name from inv_src where kind = 'file' and doc_id % 2 = 0")
+def p24(t):
+    name = F.concat(F.when(c("doc_id") % 2 == 0, ".transfer-s3-").otherwise(".other-s3-"), "hash", F.lit(".partial"))
+    return S.partials(t.inv_src.withColumn("path", name)).select(c("path").alias("name"))
+
+
+@query("p26_delete_excluded", "select path from inv_dst where path not in (select path from inv_src)")
+def p26(t):
+    return prune.candidates(t.inv_dst, t.inv_src).select("path")
+
+
+@query("w01_first_claim", "select key, min(version) as version from versions group by key")
+def w01(t):
+    return mapping.first_claims(t.versions.select("key", "version"), ["key"], "version")
+
+
+@query("w17_last_rule_wins", "select path, doc_id % 3 = 0 or (doc_id % 5 = 0 and doc_id % 7 <> 0) as ignored from inv_src")
+def w17(t):
+    rules = t.spark.createDataFrame([(1, 5, True), (2, 7, False), (3, 3, True)], "ordinal int, divisor int, ignores boolean")
+    hits = t.inv_src.join(F.broadcast(rules), c("doc_id") % c("divisor") == 0).groupBy("path").agg(F.max_by("ignores", "ordinal").alias("hit"))
+    return t.inv_src.join(hits, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))
+
+
+@query("u01_union_of_selectors", "select distinct path from (select path from inv_src where doc_id % 2 = 0 union all select path from inv_src where starts_with(path, 'src1/'))")
+def u01(t):
+    both = t.inv_src.filter("doc_id % 2 = 0").withColumn("ordinal", F.lit(0)).unionByName(t.inv_src.filter(F.startswith("path", F.lit("src1/"))).withColumn("ordinal", F.lit(1)))
+    return mapping.first_claims(both, ["path"], "ordinal").select("path")
+
+
+@query("u02_versions_and_markers", "select key, version, marker from versions")
+def u02(t):
+    return t.versions.filter("not marker").unionByName(t.versions.filter("marker"))
+
+
+@query("x01_mapping_transform", "select src, case when doc_id % 2 = 0 then upper(dst) else dst end as dst from mapping where doc_id % 5 <> 0")
+def x01(t):
+    return t.mapping.filter("doc_id % 5 != 0").transform(lambda df: df.withColumn("dst", F.when(c("doc_id") % 2 == 0, F.upper("dst")).otherwise(c("dst")))).select("src", "dst")

@@ -1 +1,59 @@
-"""Queries."""
+"""Queries of outcomes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stocktake.operators import outcomes as O
+
+from .registry import query
+
+c = F.col
+
+
+@query("g01_run_totals", """
+select run, count(*) filter (disposition = 'transferred') as transferred, count(*) filter (disposition = 'unchanged') as unchanged, count(*) filter (disposition = 'excluded') as excluded, count(*) filter (disposition = 'failed') as failed,
+  coalesce(sum(bytes) filter (disposition = 'transferred'), 0)::bigint as bytes_transferred, coalesce(sum(bytes) filter (disposition = 'unchanged'), 0)::bigint as bytes_unchanged from results group by run""")
+def g01(t):
+    return O.run_totals(t.results)
+
+
+@query("g03_removal_totals", """
+select count(*) as selectors, count(*) filter (d.path is not null) as resolved, count(*) filter (d.path is null) as missing,
+  (select count(*) from inv_dst where doc_id % 2 = 0) as planned, (select count(*) from inv_dst where doc_id % 2 = 0 and doc_id % 3 <> 0) as removed, (select count(*) from inv_dst where doc_id % 6 = 0 and doc_id % 5 <> 0) as absent, (select count(*) from inv_dst where doc_id % 30 = 0) as failed
+from inv_src s left join inv_dst d using (path)""")
+def g03(t):
+    selected = t.inv_src.select(c("path").alias("selector")).join(t.inv_dst.select(c("path").alias("selector"), F.lit(1).alias("here")), "selector", "left").select("selector", F.when(c("here").isNull(), "missing").otherwise("resolved").alias("status"))
+    removed = t.inv_dst.filter("doc_id % 2 = 0").select("path", F.when(c("doc_id") % 3 != 0, "removed").when(c("doc_id") % 5 != 0, "already_absent").otherwise("failed").alias("disposition"))
+    return O.removal_totals(selected, removed)
+
+
+@query("g22_errors_counted", "select run, count(*) filter (type = 'error' and diagnostic_for is null) as errors from results group by run")
+def g22(t):
+    return O.errors_counted(t.results)
+
+
+@query("a16_run_status", """
+select run, status, case status when 'success' then 0 when 'partial' then 23 when 'refused' then 2 else 1 end as exit_code from (
+  select run, case when max(status) is null then 'unknown' when max(status) = 'success' and count(*) filter (disposition = 'failed') > 0 then 'partial' else max(status) end as status from results group by run)""")
+def a16(t):
+    return O.run_status(t.results)
+
+
+@query("w16_sequence_check", """
+select run, case when n <> last + 1 then 'gap' when terminals = 0 then 'no_terminal' when terminals > 1 then 'two_terminals' when terminal <> last then 'not_last' else 'ok' end as verdict
+from (select run, count(*) as n, max(seq) as last, count(*) filter (type = 'result') as terminals, max(seq) filter (type = 'result') as terminal from results where not (run % 6 = 1 and seq = 2) group by run)""")
+def w16(t):
+    return O.sequence_check(t.results.filter("not (run % 6 = 1 and seq = 2)"))
+
+
+@query("s08_write_results", "select run, row_number() over (partition by run order by phase, path) - 1 as seq, path from (select run, case type when 'run' then 0 when 'result' then 2 else 1 end as phase, lpad(seq::varchar, 9, '0') as path from results)")
+def s08(t):
+    phase = F.when(c("type") == "run", 0).when(c("type") == "result", 2).otherwise(1)
+    return O.numbered(t.results.select("run", phase.alias("phase"), F.lpad(c("seq").cast("string"), 9, "0").alias("path"))).select("run", c("seq").cast("long").alias("seq"), "path")
+
+
+@query("g20_summary_rate", "select run, sum(bytes) / greatest(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0.001) as rate from results group by run")
+def g20(t):
+    seconds = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    return t.results.groupBy("run").agg((F.sum("bytes") / F.greatest(seconds, F.lit(0.001))).alias("rate"))

@@ -1 +1,129 @@
-"""Queries."""
+"""Queries of sources and sinks: what is written is read back."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pandas as pd
+import xxhash
+from pyspark.sql import functions as F
+
+from stocktake.operators import reconcile
+from stocktake.sources import files, records
+from stocktake.sources.scratch import new_folder, settle
+
+from .registry import query
+
+c = F.col
+
+
+# File sizes and times are no table, so SQL can't state them.
+@query("s01_scan_files")
+def s01(t):
+    return files.scan_files(t.spark, t.sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
+
+
+@query("s05_read_mapping", "select src, dst, kind, hash, mode, mtime, null::varchar as error from mapping")
+def s05(t):
+    path = new_folder(t.spark, "mapping")
+    records.write_mapping(t.mapping, path)
+    return records.read_mapping(t.spark, path)
+
+
+@query("s05_mapping_errors", "select case doc_id % 4 when 0 then null when 1 then 'not_json' when 2 then 'unknown_field' else 'missing_field' end as error, count(*) as n from mapping group by 1")
+def s05e(t):
+    d = c("doc_id")
+    line = F.when(d % 4 == 0, F.to_json(F.struct("src", "dst"))).when(d % 4 == 1, F.concat(F.lit("{"), "src")).when(d % 4 == 2, F.to_json(F.struct("src", "dst", F.lit(1).alias("extra")))).otherwise(F.to_json(F.struct("src")))
+    path = new_folder(t.spark, "mapping")
+    t.mapping.select(line.alias("value")).write.text(path)
+    return records.read_mapping(t.spark, path).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("s06_write_mapping", "select count(*) as lines, count(kind) as kinds from mapping")
+def s06(t):
+    path = new_folder(t.spark, "mapping")
+    records.write_mapping(t.mapping, path, ("kind",))
+    return t.spark.read.text(path).agg(F.count("*").alias("lines"), F.count_if(F.contains("value", F.lit('"kind"'))).alias("kinds"))
+
+
+@query("s07_read_results", "select run, seq, type, disposition, status from results where type <> 'trace' or run % 2 = 0")
+def s07(t):
+    path = new_folder(t.spark, "results")
+    odd = F.when((c("type") == "trace") & (c("run") % 2 == 1), "novelty").otherwise(c("type"))
+    records.result_lines(t.results.withColumn("type", odd)).write.text(path)
+    return records.parse_results(t.spark.read.text(path)).filter("error is null").select("run", "seq", "type", "disposition", "status")
+
+
+@query("s10_history", "select run, sequence, workers, rate from measurements")
+def s10(t):
+    path = new_folder(t.spark, "history")
+    t.measurements.select(F.to_json(F.struct(F.lit("observation").alias("kind"), "run", "sequence", "workers", "rate")).alias("value")).union(t.measurements.limit(5).select(F.lit('{"kind":"note"}'))).write.text(path)
+    rows = t.spark.read.text(path).select(F.from_json("value", "kind string, run long, sequence int, workers long, rate double").alias("r")).select("r.*")
+    return rows.filter("kind = 'observation'").drop("kind")
+
+
+@query("s12_append_events", "select day, count(*) as n from download_events group by day")
+def s12(t):
+    path = new_folder(t.spark, "events")
+    for half in (0, 1):
+        records.append_events(t.download_events.filter(c("event_id") % 2 == half), path)
+    return t.spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("s14_read_trials", """select "case" || variant as workload, round, seconds, verified from trials""")
+def s14(t):
+    path = new_folder(t.spark, "trials")
+    rows = t.trials.withColumn("workload", F.concat("case", "variant")).groupBy("workload", F.floor(c("round") / 1000))
+    rows.agg(F.collect_list(F.struct("round", "seconds", "verified")).alias("records")).select("workload", "records").write.json(path)
+    return records.read_trials(t.spark, path).withColumn("round", c("round").cast("int"))
+
+
+@query("s15_snapshot_write", "select path, size, hash from inv_src union all select path, size, hash from inv_dst where path not in (select path from inv_src) and doc_id % 2 = 0")
+def s15(t):
+    root = new_folder(t.spark, "snapshot")
+    records.publish(t.spark, t.inv_dst.select("path", "size", "hash"), root)
+    plan = reconcile.pairs(records.published(t.spark, root).join(t.inv_dst.select("path", "doc_id"), "path").alias("d"), t.inv_src)
+    new = records.snapshot(plan.select("path", c("dst").alias("src"), c("src").alias("dst")), ["size", "hash"], c("dst.doc_id") % 2 == 1)
+    records.publish(t.spark, new, root)
+    return records.published(t.spark, root)
+
+
+@query("s16_copy_files", "select source || '/' || doc_id || '.txt' as dst, octet_length(encode(text))::bigint as bytes, 'transferred' as disposition from documents")
+def s16(t):
+    dst = F.concat_ws("/", "source", F.concat(c("doc_id").cast("string"), F.lit(".txt")))
+    return settle(files.copy_files(t.documents.select(dst.alias("dst"), c("text").alias("content")), new_folder(t.spark, "copied")), "copied")
+
+
+@query("s17_remove_files", "select source || '/' || doc_id || '.txt' as path, case when doc_id % 3 = 0 then 'already_absent' else 'removed' end as disposition from documents union all select distinct source, 'removed' from documents where doc_id % 3 <> 0")
+def s17(t):
+    root = new_folder(t.spark, "copied")
+    dst = F.concat_ws("/", "source", F.concat(c("doc_id").cast("string"), F.lit(".txt")))
+    there = t.documents.select("doc_id", "source", dst.alias("dst"), c("text").alias("content"))
+    settle(files.copy_files(there.filter("doc_id % 3 != 0"), root), "copied")
+    plan = there.select(c("dst").alias("path"), F.lit("file").alias("kind")).union(there.filter("doc_id % 3 != 0").select("source", F.lit("dir")).distinct())
+    return files.remove_files(plan, root)
+
+
+@query("x04_producer", "select source || '/' || doc_id as dst, 5::bigint + octet_length(encode(text)) as bytes from documents")
+def x04(t):
+    rows = t.documents.select(F.concat_ws("/", "source", c("doc_id").cast("string")).alias("dst"), c("text").alias("content"))
+    return settle(files.copy_files(rows, new_folder(t.spark, "produced"), lambda data: b"head\n" + data).select("dst", "bytes"), "produced")
+
+
+@query("x05_consumer", "select doc_id, sha256(text) as digest from documents")
+def x05(t):
+    def consume(frames):
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["doc_id"], "digest": [hashlib.sha256(x.encode()).hexdigest() for x in f["text"]]})
+
+    return t.documents.select("doc_id", "text").mapInPandas(consume, "doc_id long, digest string")
+
+
+# No SQL: the hash is not a function of the oracle; tests compare it with the library itself.
+@query("x07_extra_hash")
+def x07(t):
+    @F.pandas_udf("string")
+    def xxh3(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: xxhash.xxh3_128_hexdigest(x.encode()))
+
+    return t.documents.select("doc_id", xxh3("text").alias("xxh3_128"))

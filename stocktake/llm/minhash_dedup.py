@@ -16,20 +16,21 @@ from .components import components
 from .shingles import mixed, shingle_set
 
 BANDS, ROWS = 40, 4  # a pair at similarity 0.75 shares no band once in 4 million times
-SKETCH_BITS = 1024
 #: Candidates below this estimate are dropped; a pair at 0.75 falls below it by six standard deviations.
 SCREEN = 0.55
+#: Samples and screen where buckets are searched in full; a pair at 0.75 falls below it by five standard deviations.
+WIDE, WIDE_SCREEN = 1024, 0.655
 _SETS = "doc long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
-_A = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_A = mixed(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _B = mixed(_A)
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each of BANDS * ROWS hash functions over a shingle set."""
-    out = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        np.minimum(out, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=out)
+def samples(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The minimum of each of n hash functions over a shingle set."""
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        part = shingles[at : at + 512]
+        np.minimum(out, (_A[:n, None] * part[None, :] + _B[:n, None]).min(axis=1), out=out)
     return out
 
 
@@ -42,15 +43,20 @@ def band_keys(of: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(of: np.ndarray) -> np.ndarray:
-    """A bitmap of the parity of how many samples fall on each bit."""
-    place = mixed(mixed(of) + np.arange(len(of), dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool))
+    """A bitmap of the parity of how many samples fall on each bit; it has 4 to 8 bits for each sample."""
+    bits = sketch_bits(len(of))
+    place = mixed(mixed(of) + np.arange(len(of), dtype=np.uint64)) % np.uint64(bits)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(bool))
 
 
-def similarity(ones: np.ndarray) -> np.ndarray:
-    """The similarity estimated from the ones of two odd sketches' XOR: they count the samples that differ."""
-    share = np.minimum(2 * ones / SKETCH_BITS, 0.999)
-    return 1 + SKETCH_BITS / (4 * len(_A)) * np.log(1 - share)
+def sketch_bits(n: int) -> int:
+    return 1 << (4 * n - 1).bit_length()
+
+
+def similarity(ones: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The similarity estimated from the ones of the XOR of two odd sketches of n samples: they count the samples that differ."""
+    bits = sketch_bits(n)
+    return 1 + bits / (4 * n) * np.log(1 - np.minimum(2 * ones / bits, 0.999))
 
 
 def _ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,7 +64,7 @@ def _ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -97,42 +103,85 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 _BLOCK = 2048
+_ROWS = "key long, m int, o int, asks boolean, doc long, component long, odd boolean, n long, bands binary, sketch binary"
+
+
+def _meet(frame: pd.DataFrame, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of one group: rows that ask with the others, of different components, likely and not met in an earlier band."""
+    own, ask = frame[~frame["asks"]], frame[frame["asks"]]
+    if not len(own) or not len(ask):
+        return []
+    key = np.uint64(int(frame["key"].iloc[0]) & ((1 << 64) - 1))
+    docs, part, odd, n = (own[c].to_numpy() for c in ("doc", "component", "odd", "n"))
+    bands, sketch = _sketches(own["bands"]), _sketches(own["sketch"])
+    out: list[tuple[int, int]] = []
+    for doc, component, size, mine, sketched in zip(ask["doc"], ask["component"], ask["n"], _sketches(ask["bands"]), _sketches(ask["sketch"])):
+        # a pair whose sizes are too far apart cannot reach 0.75
+        fit = np.flatnonzero((part != component) & (~odd | (docs < doc)) & (100 * np.minimum(n, size) >= 75 * np.maximum(n, size)))
+        if len(fit):
+            same = bands[fit] == mine
+            fit = fit[mine[same.argmax(axis=1)] == key]
+        if len(fit):
+            score = similarity(_ones(sketch[fit], sketched[None, :]), WIDE)
+            likely = score >= WIDE_SCREEN
+            fit, score = fit[likely], score[likely]
+            if most is not None and len(fit) > most:
+                fit = fit[np.argsort(-score, kind="stable")[:most]]
+            out += [(doc, int(d)) for d in docs[fit]]
+    return out
 
 
 def _apart(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int | None) -> DataFrame:
     """Pairs of one bucket and different components whose estimate passes the screen.
 
     Buckets of one component are done. In others, every row outside the bucket's
-    largest component meets all rows, in blocks of bounded size; `most` keeps the
-    likeliest partners of each row and block only, for a round that comes before one without it.
+    largest component meets all rows, in blocks of bounded size, and a pair is tested in
+    the first band that it shares; `most` keeps the likeliest partners of each row and block only, for a
+    round that comes before one without it.
     """
     of = members.join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    sizes = of.groupBy("key", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("large"), F.count("*").alias("parts")).filter("parts > 1")
+    sizes = of.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.max_by("component", F.struct("rows", "component")).alias("main"), F.max("rows").alias("large"), F.count("*").alias("parts")).filter("parts > 1")
     many = lambda n: F.ceil(n / _BLOCK).cast("int")
     rows = of.join(sizes, "key").join(sketches, "doc")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     block = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    inner, outer = many(F.col("n")), many(F.col("n") - F.col("large"))
-    rows = rows.withColumns({"inner": inner, "outer": outer, "odd": F.col("component") != F.col("main")})
-    own = rows.withColumn("m", block(F.col("inner"))).withColumn("o", every(F.col("outer"))).select("key", "m", "o", "doc", "component", "odd", "sketch")
-    ask = rows.filter("odd").withColumn("o", block(F.col("outer"))).withColumn("m", every(F.col("inner"))).select(*(F.col(c).alias(c) for c in ("key", "m", "o", "doc", "component", "sketch")))
-
-    def meet(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        if len(own) and len(ask):
-            docs, part, odd, sketch = own["doc"].to_numpy(), own["component"].to_numpy(), own["odd"].to_numpy(), _sketches(own["sketch"])
-            for doc, component, mine in zip(ask["doc"], ask["component"], _sketches(ask["sketch"])):
-                score = similarity(_ones(sketch, mine[None, :]))
-                fit = np.flatnonzero((part != component) & (score >= SCREEN) & (~odd | (docs < doc)))
-                if most is not None and len(fit) > most:
-                    fit = fit[np.argsort(-score[fit], kind="stable")[:most]]
-                out += [(doc, int(d)) for d in docs[fit]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    keys = ["key", "m", "o"]
-    pairs = own.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(meet, "a long, b long")
-    return settle(pairs.distinct(), "pairs")
+    rows = rows.withColumns({"inner": many(F.col("rows")), "outer": many(F.col("rows") - F.col("large")), "odd": F.col("component") != F.col("main")})
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    own = rows.withColumns({"m": block(F.col("inner")), "asks": F.lit(False)}).withColumn("o", every(F.col("outer"))).select(names)
+    ask = rows.filter("odd").withColumns({"o": block(F.col("outer")), "asks": F.lit(True)}).withColumn("m", every(F.col("inner"))).select(names)
+    grouped = own.unionByName(ask).repartition("key", "m", "o").sortWithinPartitions("key", "m", "o")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups stand together; the last one of a batch may go on in the next."""
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            keys = f[["key", "m", "o"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            starts = [0, *cuts.tolist()]
+            pairs = [p for a, b in zip(starts, starts[1:]) for p in _meet(f.iloc[a:b], most)]
+            rest = f.iloc[starts[-1] :]
+            yield pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+        if rest is not None:
+            yield pd.DataFrame(_meet(rest, most), columns=["a", "b"]).astype("int64")
+
+    return settle(grouped.mapInPandas(run, "a long, b long").distinct(), "pairs")
+
+
+def _wide(texts: DataFrame) -> DataFrame:
+    """doc, n, bands and a wide odd sketch of texts(doc, text)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc, text in zip(f["doc"], f["text"]):
+                own = shingle_set(text)
+                of = samples(own, WIDE)
+                rows.append((doc, len(own), band_keys(of[: BANDS * ROWS]).tobytes(), odd_sketch(of).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc", "n", "bands", "sketch"])
+
+    return texts.mapInPandas(run, "doc long, n long, bands binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -175,10 +224,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likeliest = scored.groupBy("doc").agg(F.max_by("center", F.struct("score", -F.col("center"))).alias("b")).select(F.col("doc").alias("a"), "b")
     links = _confirmed(likeliest, texts)
     # the likeliest partners first, then all that are still apart: nothing is left out
+    labels = components(links)
+    of = members.join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    open_ = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    members = settle(members.join(open_, "key", "left_semi"), "members")
+    wide = settle(_wide(texts.join(members.select("doc").distinct(), "doc", "left_semi")), "sketches")
     for most in (8, None):
+        links = links.union(_confirmed(_apart(members, labels, wide, most), texts))
         labels = components(links)
-        links = links.union(_confirmed(_apart(members, labels, sketches, most), texts))
-    labels = components(links).select(F.col("id").alias("class"), "component")
+    labels = labels.select(F.col("id").alias("class"), "component")
     of = classes.join(labels, "class", "left").select("d1", "d2", F.coalesce("component", "class").alias("component"))
     out = sets.select("doc", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))

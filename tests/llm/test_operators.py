@@ -192,6 +192,8 @@ def test_odd_sketch_estimates_similarity():
             x, y = (minhash_dedup.odd_sketch(minhash_dedup.samples(v)) for v in (a, b))
             errors.append(minhash_dedup.similarity(np.bitwise_count(x ^ y).sum()) - overlap)
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+        x, y = (minhash_dedup.odd_sketch(minhash_dedup.samples(v, minhash_dedup.WIDE)) for v in (a, b))
+        assert abs(minhash_dedup.similarity(np.bitwise_count(x ^ y).sum(), minhash_dedup.WIDE) - overlap) < 0.08
 
 
 def test_mix(docs, spark):

@@ -125,8 +125,9 @@ class Chunk:
         self.starts = self.ends - lengths
         self.runs = r = runs(self.data, self.starts, self.ends)
         self.buckets = buckets
-        bucket = ((r.anchor >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-        anchor, content = mixed(r.anchor) & _LOW48, r.content & _LOW56
+        spread = mixed(r.anchor)  # anchors are smallest hashes, so their own high bits are not even
+        bucket = self._bucket(spread)
+        anchor, content = spread & _LOW48, r.content & _LOW56
         order = np.lexsort((content, anchor, bucket))
         b, a, c = bucket[order], anchor[order], content[order]
         new = np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])]) if len(b) else np.zeros(0, bool)
@@ -134,6 +135,9 @@ class Chunk:
         self.entry = np.empty(len(order), np.int64)  # of each run
         self.entry[order] = np.cumsum(new) - 1
 
+    def _bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+
     def parts(self, bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
         return ((i, slice(int(cuts[i]), int(cuts[i + 1]))) for i in range(self.buckets) if cuts[i] < cuts[i + 1])
@@ -153,7 +157,7 @@ class Chunk:
         """
         at, hashes, run = self.runs.windows(np.flatnonzero((ambiguous & ~seen)[self.entry]))
         values, entry = np.unique(hashes, return_inverse=True)  # the bucket rises with the hash
-        return at, run, entry.reshape(-1), ((values >> np.uint64(48)) * np.uint64(self.buckets)) >> np.uint64(16), values
+        return at, run, entry.reshape(-1), self._bucket(values), values
 
     def removed(self, seen: np.ndarray, ambiguous: np.ndarray, windows_seen) -> np.ndarray:
         """Bytes covered by windows that start in an earlier document, of this chunk or one before."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import new_folder, small_batches, table
 from .tokens import encoder, path_of
 
 _HEAD = struct.Struct("<4sBQ")
@@ -203,7 +202,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str | None = None, spaced: bool = True, end_id: int | None = 2) -> DataFrame:
     """Writes docs as token files in the shared folder and returns what the files hold, by document."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     write_tokens(docs, path, tokenizer or path_of("byte_bpe_50k.json"), spaced, end_id)
     return read_tokens(spark, path)
 

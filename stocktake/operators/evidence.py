@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_total
+
 
 def counter_deltas(obs: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Difference to the previous sample, at least 0; null where either is null."""
@@ -115,8 +117,8 @@ def starting_count(preferences: DataFrame, keys: Sequence[str], today: int, keep
 
 def retention(runs: DataFrame, budget: int) -> DataFrame:
     """keep: the newest runs(run, bytes, finished) whose sizes fit the budget; unfinished ones stay in any case."""
-    newest = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("keep", ~F.col("finished") | (F.sum("bytes").over(newest) <= budget))
+    summed = running_total(runs, [F.desc("run")], F.col("bytes"), "newer")
+    return summed.withColumn("keep", ~F.col("finished") | (F.col("newer") <= budget)).drop("newer")
 
 
 def strict_sum(value: Column) -> Column:

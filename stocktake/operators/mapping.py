@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktake.functions.paths import path_ancestors
@@ -35,9 +35,9 @@ def implicit_directories(mapping: DataFrame) -> DataFrame:
     return ancestors_of(mapping.select(F.col("dst").alias("path"))).join(listed, "path", "left_anti")
 
 
-def ordered(inventory: DataFrame) -> DataFrame:
+def parents_first() -> list[Column]:
     """Parents before children: components compare one by one."""
-    return inventory.orderBy(F.split("path", "/"))
+    return [F.split("path", "/")]
 
 
 def retry_manifest(results: DataFrame, mapping: DataFrame) -> DataFrame:

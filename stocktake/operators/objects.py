@@ -30,9 +30,9 @@ def versions_of(selectors: DataFrame, versions: DataFrame) -> DataFrame:
     return exact.unionByName(versions.join(tree, "key", "left_semi")).dropDuplicates(["key", "version"])
 
 
-def markers_last(versions: DataFrame) -> DataFrame:
+def with_phase(versions: DataFrame) -> DataFrame:
     """phase 0 removes data versions, phase 1 delete markers."""
-    return versions.withColumn("phase", F.col("marker").cast("int")).orderBy("phase", "key", "version")
+    return versions.withColumn("phase", F.col("marker").cast("int"))
 
 
 def markers_kept(plan: DataFrame, failed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktake.functions.paths import path_ancestors, path_depth, path_parent
@@ -49,9 +49,9 @@ def prune_gate(plan: DataFrame, errors: DataFrame) -> DataFrame:
     return plan.crossJoin(F.broadcast(count)).filter("__n = 0").drop("__n")
 
 
-def deletion_order(plan: DataFrame) -> DataFrame:
+def deletion_order() -> list[Column]:
     """Leaves first, then directories from the deepest."""
-    return plan.orderBy(F.col("kind") == "dir", F.desc(path_depth(F.col("path"))), "path")
+    return [F.col("kind") == "dir", F.desc(path_depth(F.col("path"))), F.col("path")]
 
 
 def spread_by_parent(plan: DataFrame, group: int = 64) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stocktake.functions.paths import path_error
 from stocktake.operators import mapping as M
 from stocktake.operators import prefixes
+from stocktake.operators.ordering import numbered
 
 from .registry import query
 
@@ -43,7 +43,7 @@ def u05(t):
 
 @query("o01_parents_first", "select row_number() over (order by string_split(path, '/')) as nth, path from inv_dst")
 def o01(t):
-    return M.ordered(t.inv_dst).select(F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("nth"), "path")
+    return numbered(t.inv_dst, M.parents_first()).select("nth", "path")
 
 
 @query("f08_mapping_errors", "select dst, null::varchar as error from mapping")

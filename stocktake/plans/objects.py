@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stocktake.functions.values import is_directory_marker
 from stocktake.operators import objects as O
 from stocktake.operators import reconcile
+from stocktake.operators.ordering import numbered
 
 from .registry import query
 
@@ -108,7 +108,7 @@ def j16(t):
 
 @query("o03_markers_last", "select row_number() over (order by marker, key, version) as nth, key, version from versions where key::bigint % 4 <> 3")
 def o03(t):
-    return O.markers_last(_selected(t)).select(F.row_number().over(Window.orderBy("phase", "key", "version")).cast("long").alias("nth"), "key", "version")
+    return numbered(O.with_phase(_selected(t)), ["phase", "key", "version"]).select("nth", "key", "version")
 
 
 @query("o03_markers_kept_on_failure", "select key, version from versions where not marker")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stocktake.operators import prefixes, prune
+from stocktake.operators.ordering import numbered
 
 from .registry import query
 
@@ -86,10 +87,7 @@ def g05(t):
 
 @query("o02_deletion_order", f"select row_number() over (order by kind = 'dir', len(string_split(path, '/')) desc, path) as nth, path from ({_CAND})")
 def o02(t):
-    from pyspark.sql import Window
-
-    ordered = prune.deletion_order(_candidates(t))
-    return ordered.select(F.row_number().over(Window.orderBy(c("kind") == "dir", F.desc(F.size(F.split("path", "/"))), "path")).cast("long").alias("nth"), "path")
+    return numbered(_candidates(t), prune.deletion_order()).select("nth", "path")
 
 
 @query("o04_request_batches", f"select path, (row_number() over (partition by kind order by path) - 1) // 20 as batch from ({_CAND})")

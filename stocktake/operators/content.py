@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def split_blocks(contents: DataFrame, size: int, on: str = "doc_id") -> DataFrame:
+    """Blocks of contents(on, content) at fixed offsets: block, offset, length, hash. Empty contents have none."""
+    content = F.col("content").cast("binary")
+    n = F.ceil(F.octet_length(content) / size).cast("int")
+    each = contents.select(on, content.alias("content"), n.alias("__n")).filter("__n > 0").select(on, "content", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("block"))
+    piece = F.substring(F.col("content"), F.col("block") * size + 1, F.lit(size))
+    return each.select(on, F.col("block").cast("long").alias("block"), (F.col("block") * size).cast("long").alias("offset"), F.octet_length(piece).cast("long").alias("length"), F.md5(piece).alias("hash"))
+
+
 def block_join(src: DataFrame, dst: DataFrame, on: str = "doc_id") -> DataFrame:
     """Each source block with whether the destination has the same bytes at the same offset."""
     other = dst.select(on, "block", F.col("hash").alias("__hash"))

@@ -41,9 +41,11 @@ def w04(t):
     return C.islands(flagged, "zero", "doc_id")
 
 
-@query("s09_read_blocks", "select doc_id, count(*) as blocks, sum(length)::bigint as bytes, min(hash) as least from blocks where side = 'src' group by doc_id")
+@query("s09_read_blocks", """
+select doc_id, b as block, b * 512 as "offset", least(512, n - b * 512) as length, md5(unhex(hex(encode(text))[b * 1024 + 1:b * 1024 + 1024])) as hash
+from (select doc_id, text, octet_length(encode(text)) as n, unnest(range(0, (octet_length(encode(text)) + 511) // 512)) as b from documents)""")
 def s09(t):
-    return t.blocks.filter("side = 'src'").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("length").alias("bytes"), F.min("hash").alias("least"))
+    return C.split_blocks(t.documents.select("doc_id", c("text").alias("content")), 512)
 
 
 @query("w05_hardlink_representative", "select device, inode, nth, case when nth = min(nth) over (partition by device, inode) then 'transfer' else 'link' end as role from hardlinks")

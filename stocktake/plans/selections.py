@@ -8,6 +8,7 @@ from stocktake.functions import ignore as I
 from stocktake.functions import predicates as Q
 from stocktake.operators import content, mapping, objects, prune
 from stocktake.operators import selection as S
+from stocktake.operators.transform import Context, Mapping
 
 from .registry import query
 
@@ -109,3 +110,19 @@ def u02(t):
 @query("x01_mapping_transform", "select src, case when doc_id % 2 = 0 then upper(dst) else dst end as dst from mapping where doc_id % 5 <> 0")
 def x01(t):
     return t.mapping.filter("doc_id % 5 != 0").transform(lambda df: df.withColumn("dst", F.when(c("doc_id") % 2 == 0, F.upper("dst")).otherwise(c("dst")))).select("src", "dst")
+
+
+@query("x02_row_transform", "select src, case when doc_id % 3 = 0 then src else dst end as dst, doc_id from mapping where doc_id % 7 <> 0")
+def x02(t):
+    def entry(row):
+        if row["doc_id"] % 7 == 0:
+            return None
+        return {**row, "dst": row["src"] if row["doc_id"] % 3 == 0 else row["dst"]}
+
+    return Mapping(t.mapping.select("src", "dst", "doc_id"), Context("documents")).map_rows(entry).rows
+
+
+@query("x03_same_context", "select src, dst from mapping where doc_id % 2 = 0 union all select src, dst from mapping where doc_id % 5 = 1")
+def x03(t):
+    part = lambda cond: Mapping(t.mapping.filter(cond).select("src", "dst"), Context("documents", "store"))
+    return part("doc_id % 2 = 0").union(part("doc_id % 5 = 1")).rows

@@ -47,10 +47,10 @@ def test_key_pattern(spark, pattern, key, hit):
     assert value(spark, predicates.key_pattern(F.lit(key), pattern)) is hit
 
 
-@pytest.mark.parametrize("column", [predicates.less(F.lit(None).cast("int"), F.lit(1)), predicates.divided(F.lit(1), F.lit(0)), predicates.matches(F.lit(None).cast("string"), "a")])
+@pytest.mark.parametrize("column", [lambda: predicates.less(F.lit(None).cast("int"), F.lit(1)), lambda: predicates.divided(F.lit(1), F.lit(0)), lambda: predicates.matches(F.lit(None).cast("string"), "a")])
 def test_misuse_fails(spark, column):
     with pytest.raises(PySparkException):
-        value(spark, column)
+        value(spark, column())
 
 
 def test_guard_protects(spark):
@@ -61,3 +61,11 @@ def test_versions(spark):
     assert [value(spark, values.version_matches(F.lit(v), ">=1.2.0,<2.0.0|=3.0.0")) for v in ("1.2.0", "1.10.0", "2.0.0", "3.0.0")] == [True, True, False, True]
     with pytest.raises(ValueError):
         values.version_matches(F.lit("1.0.0"), ">=1.2")
+
+
+def test_contexts_that_differ_are_refused(spark):
+    from stocktake.operators.transform import Context, Mapping
+
+    rows = spark.createDataFrame([("a", "b")], "src string, dst string")
+    with pytest.raises(ValueError):
+        Mapping(rows, Context("x")).union(Mapping(rows, Context("y")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle, small_batches, table
 
@@ -65,23 +66,20 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, f"doc_id long, {_BASE}, {_MORE}")
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
-
-
-def rules() -> dict[str, Column]:
-    """Each rule votes 1 (good), -1 (bad) or 0 (abstains); they are functions of the columns of with_stats."""
+def rules(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Each rule votes 1 (good), -1 (bad) or 0 (abstains); of gives the statistics of _BASE and _MORE by name."""
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
+    ratio = lambda a, b: of(a) / F.greatest(of(b), F.lit(1))
     never = F.lit(False)
     return {
-        "length": vote((F.col("n_words") >= 50), F.col("n_words") < 20),
-        "word_length": vote(_ratio("word_chars", "n_words").between(3, 10), ~_ratio("word_chars", "n_words").between(2, 20)),
-        "symbols": vote(never, _ratio("n_symbols", "n_words") > 0.2),
-        "capitals": vote(never, (F.col("n_letters") > 20) & (_ratio("n_capitals", "n_letters") > 0.5)),
-        "repeated_lines": vote(never, (F.col("n_lines") >= 4) & (_ratio("n_dup_lines", "n_lines") > 0.4)),
-        "repeated_words": vote(never, _ratio("n_repeat_words", "n_words") > 0.25),
-        "stutter": vote(never, _ratio("n_stutters", "n_words") > 0.3),
-        "line_ends": vote(_ratio("n_closed_lines", "n_lines") > 0.5, (F.col("n_lines") >= 4) & (_ratio("n_closed_lines", "n_lines") < 0.05)),
+        "length": vote((of("n_words") >= 50), of("n_words") < 20),
+        "word_length": vote(ratio("word_chars", "n_words").between(3, 10), ~ratio("word_chars", "n_words").between(2, 20)),
+        "symbols": vote(never, ratio("n_symbols", "n_words") > 0.2),
+        "capitals": vote(never, (of("n_letters") > 20) & (ratio("n_capitals", "n_letters") > 0.5)),
+        "repeated_lines": vote(never, (of("n_lines") >= 4) & (ratio("n_dup_lines", "n_lines") > 0.4)),
+        "repeated_words": vote(never, ratio("n_repeat_words", "n_words") > 0.25),
+        "stutter": vote(never, ratio("n_stutters", "n_words") > 0.3),
+        "line_ends": vote(ratio("n_closed_lines", "n_lines") > 0.5, (of("n_lines") >= 4) & (ratio("n_closed_lines", "n_lines") < 0.05)),
     }
 
 
@@ -135,20 +133,44 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     gives no rows.
     """
     stats = settle(with_stats(docs), "quality")
+    failed, quality = _verdict(fitted(stats), F.col)
+    base = [x.split()[0] for x in _BASE.split(", ")]
+    return stats.select("doc_id", *base, failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= threshold)).alias("kept"))
+
+
+def fitted(stats: DataFrame) -> LabelModel:
+    """The label model of the vote patterns of all rows of with_stats."""
     named = rules()
-    voted = stats.withColumns({f"vote_{k}": v for k, v in named.items()})
-    columns = [f"vote_{k}" for k in named]
-    patterns = voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()
-    votes = np.array([[r[c] for c in columns] for r in patterns], np.int64).reshape(-1, len(columns))
-    model = fit(votes, np.array([r.n for r in patterns], float))
+    patterns = stats.select(*(v.alias(k) for k, v in named.items())).groupBy(*named).agg(F.count("*").alias("n")).collect()
+    votes = np.array([[r[c] for c in named] for r in patterns], np.int64).reshape(-1, len(named))
+    return fit(votes, np.array([r.n for r in patterns], float))
+
+
+def _verdict(model: LabelModel, of: Callable[[str], Column]) -> tuple[Column, Column]:
+    """base_failed and quality."""
     odds = F.lit(float(np.log(model.prior) - np.log1p(-model.prior)))
-    for r, c in enumerate(columns):
+    for r, vote in enumerate(rules(of).values()):
         weight = np.log(model.given_good[r]) - np.log(model.given_bad[r])
-        odds = odds + F.when(F.col(c) == 1, float(weight[2])).when(F.col(c) == -1, float(weight[0])).otherwise(0.0)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
-    base = [x.split()[0] for x in _BASE.split(", ")]
-    return judged.select("doc_id", *base, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+        odds = odds + F.when(vote == 1, float(weight[2])).when(vote == -1, float(weight[0])).otherwise(0.0)
+    failed = (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
+    return failed, 1 / (1 + F.exp(-odds))
+
+
+def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judge keeps, all columns; the verdict is found beside each row, so texts are not shuffled."""
+    model = fitted(settle(with_stats(docs), "quality"))
+    names = [x.split()[0] for x in f"{_BASE}, {_MORE}".split(", ")]
+    at, columns = docs.columns.index("text"), docs.columns
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([text_stats(t or "") for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(names))
+            stats = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(names))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*columns, "__stats"])
+
+    schema = T.StructType([*docs.schema, T.StructField("__stats", T.StructType([T.StructField(n, T.LongType()) for n in names]))])
+    failed, quality = _verdict(model, lambda n: F.col(f"__stats.{n}"))
+    return docs.mapInArrow(beside, schema).filter(~failed & (quality >= threshold)).drop("__stats")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,8 +21,7 @@ def _joined(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFr
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality_rules.judge(docs.select("doc_id", "text"))
-    return _joined(docs, judged.filter("not kept").select("doc_id").distinct(), "left_anti")
+    return quality_rules.kept_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

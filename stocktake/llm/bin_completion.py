@@ -128,14 +128,14 @@ def fillings(counts: dict[int, int], lengths: list[int], free: int, waste: int,
     return [(spare, tuple((x, own.count(x)) for x in dict.fromkeys(own))) for spare, own in kept]
 
 
-def pack_counts(counts: dict[int, int], room: int, nodes: int = 500) -> Packing:
+def pack_counts(counts: dict[int, int], room: int, nodes: int = 20_000) -> Packing:
     """Packs counts[length] items of each length into few bins of `room`.
 
     Best-fit decreasing gives the first incumbent. While it is above the lower bound,
     bins are completed around the largest length left: its undominated fillings are
     tried least waste first, each as often as the counts allow, branches whose waste
-    cannot beat the incumbent are cut, and every leaf is completed by best fit, which
-    may become the incumbent. nodes bounds the search, not the items.
+    cannot beat the incumbent are cut, and what every node leaves is completed by best fit,
+    which may become the incumbent. nodes bounds the search, not the items.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
@@ -148,15 +148,15 @@ def pack_counts(counts: dict[int, int], room: int, nodes: int = 500) -> Packing:
     while stack and bins > least and visited < nodes:
         rest, own, used = stack.pop()
         visited += 1
+        if used + lower_bound(rest, room) >= bins:
+            continue
+        tail = best_fit(rest, room)
+        if used + sum(n for n, _ in tail) < bins:
+            best, bins = own + tail, used + sum(n for n, _ in tail)
         spare = (bins - 1) * room - total  # waste that a better packing may have
         wasted = used * room - (total - sum(x * n for x, n in rest.items()))
         if wasted > spare or used + lower_bound(rest, room) >= bins:
             continue
-        if visited % 16 == 1:
-            tail = best_fit(rest, room)
-            if used + sum(n for n, _ in tail) < bins:
-                best, bins = own + tail, used + sum(n for n, _ in tail)
-                continue
         large = max(rest)
         lengths = sorted(rest)
         without = {**rest, large: rest[large] - 1}

@@ -320,6 +320,20 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert sum(n for n, _ in bin_completion.pack_counts(dict(Counter([6, 5, 4, 4, 3, 3, 3, 2])), 10)) == fewest([6, 5, 4, 4, 3, 3, 3, 2], 10)
 
 
+def test_bin_completion_searches_on_until_the_bound():
+    r = random.Random(397)
+    assert r.choice([1000, 4096]) == 1000 and r.choice([60, 120, 200]) == 60
+    counts = dict(Counter(r.randint(50, 500) for _ in range(60)))
+    plan = bin_completion.pack_counts(counts, 1000)
+    used = Counter()
+    for n, filling in plan:
+        for x, k in filling:
+            used[x] += n * k
+    assert used == counts
+    # 500 nodes, completed by best fit at every 16th, end at 19 sequences
+    assert sum(n for n, _ in plan) == bin_completion.lower_bound(counts, 1000) == 18
+
+
 def test_licences(docs, small_duck):
     best = {r.doc_id: [(h.license, h.first_line, h.last_line) for h in r.hits] for r in license_scan.scan(docs).collect()}
     assert best[13] == [("MIT", 1, 1), ("Apache-2.0", 3, 4)] and best[3] == [] and best[9] == []

@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktake.llm import bin_completion, line_dedup, minhash_dedup, quality_rules, source_mix
-from stocktake.llm.common import WORD, settle, table
+from stocktake.llm.common import WORD, own_ids, settle, table
 
 
 def _joined(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
-    """docs with what was decided for their doc_id; decisions: one row for each doc_id, a null one included."""
+    """docs with what was decided for their doc_id; decisions: one row for each doc_id."""
     names = [c for c in decisions.columns if c != "doc_id"]
     decisions = decisions.select(F.col("doc_id").alias("__of"), *(F.col(c).alias(f"__{c}") for c in names))
-    joined = docs.join(decisions, docs["doc_id"].eqNullSafe(decisions["__of"]), how)
+    joined = docs.join(decisions, docs["doc_id"] == decisions["__of"], how)
     return joined if how.startswith("left_") else joined.drop("__of")
 
 
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the columns of docs, and with the doc_ids that they had before own_ids."""
+    return rows.withColumn("doc_id", F.col("__id")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.kept_documents(docs)
@@ -26,28 +31,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat go, and documents of which no word is left after that."""
-    dropped = line_dedup.dropped_lines(docs.select("doc_id", "text")).filter(F.size("dropped") > 0).select("doc_id", "dropped").dropDuplicates(["doc_id"])
-    joined = _joined(docs, dropped, "left")
+    rows = own_ids(docs)
+    dropped = line_dedup.dropped_lines(rows.select("doc_id", "text")).filter(F.size("dropped") > 0).select("doc_id", "dropped")
+    joined = _joined(rows, dropped, "left")
     text = F.when(F.col("__dropped").isNotNull(), line_dedup.without_lines(F.col("text"), F.col("__dropped"))).otherwise(F.col("text"))
     cut = joined.withColumn("text", text).filter(F.col("__dropped").isNull() | F.rlike("text", F.lit(WORD)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(F.col("__dropped").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _restored(cut, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    return _joined(docs, found.filter("not kept").select("doc_id").distinct(), "left_anti")
+    """One row of each group of near-duplicates stays."""
+    rows = own_ids(docs)
+    found = minhash_dedup.near_duplicates(rows.select("doc_id", "text"))
+    return _restored(_joined(rows, found.filter("not kept").select("doc_id"), "left_anti"), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it."""
-    taken = source_mix.mix(docs.select("doc_id", "source", "text"))
-    copies = taken.groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    rows = _joined(docs, copies).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = own_ids(docs)
+    copies = source_mix.mix(rows.select("doc_id", "source", "text")).select("doc_id", "copies").filter("copies > 0")
+    return _restored(_joined(rows, copies).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

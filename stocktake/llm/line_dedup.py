@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, table
+from .common import row_keys, settle, small_batches, table
 
 #: A line is parted into so many blocks; lines within one edit agree in all blocks but one.
 BLOCKS = 3
@@ -74,7 +74,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     points is dropped if an equal line or one within one edit (a code point inserted,
     deleted or substituted) stands earlier, by doc_id and line number; whether the
     earlier line is itself dropped makes no difference. Shorter lines stay. A null text has no lines;
-    a null doc_id comes first; rows that repeat share their decisions; an empty
+    rows without a doc_id are documents of their own and come first; rows that repeat
+    share their decisions, rows of one doc_id and several texts do not; an empty
     table gives no rows.
 
     Lines within one edit agree in all blocks but one, so keys that leave out one block
@@ -84,41 +85,41 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
-    exploded = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.length("line") >= min_chars)
+    docs = row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    exploded = docs.select("doc", "nth", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.length("line") >= min_chars)
     ids = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    lines = settle(exploded.select("doc", "line_no", *ids), "lines")
-    first = settle(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first")), "lines")
+    lines = settle(exploded.select("doc", "nth", "line_no", *ids), "lines")
+    first = settle(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "nth", "line_no")).alias("first")), "lines")
 
     keys = exploded.select(ids[0], F.explode(_block_keys(F.col("line"))).alias("k")).select("h1", "k.*")
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
     open_ = keys.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set(F.struct("shorter", "j")).alias("blocks"))
-    wanted = first.join(open_, "h1").select("first.doc", "first.line_no", "h1", "h2", "blocks")
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "h1", "h2", "blocks")).alias("wanted"))
-    suspects = docs.join(wanted, "doc").select("doc", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    suspects = settle(suspects.select("doc", "w.*", F.element_at("lines", F.col("w.line_no") + 1).alias("line")).dropDuplicates(["doc", "line_no"]), "lines")
+    wanted = first.join(open_, "h1").select("first.doc", "first.nth", "first.line_no", "h1", "h2", "blocks")
+    wanted = wanted.groupBy("doc", "nth").agg(F.collect_list(F.struct("line_no", "h1", "h2", "blocks")).alias("wanted"))
+    suspects = docs.join(wanted, ["doc", "nth"]).select("doc", "nth", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
+    suspects = settle(suspects.select("doc", "nth", "w.*", F.element_at("lines", F.col("w.line_no") + 1).alias("line")).dropDuplicates(["doc", "nth", "line_no"]), "lines")
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, role, d, i) for d, i, line, blocks in zip(f["doc"], f["line_no"], f["line"], f["blocks"]) for k, role in variants(line, [(b["shorter"], b["j"]) for b in blocks])]
-            yield pd.DataFrame(rows, columns=["key", "role", "doc", "line_no"])
+            rows = [(k, role, d, m, i) for d, m, i, line, blocks in zip(f["doc"], f["nth"], f["line_no"], f["line"], f["blocks"]) for k, role in variants(line, [(b["shorter"], b["j"]) for b in blocks])]
+            yield pd.DataFrame(rows, columns=["key", "role", "doc", "nth", "line_no"])
 
-    made = suspects.select("doc", "line_no", "line", "blocks").mapInPandas(emit, "key long, role int, doc long, line_no int")
-    own = F.struct("doc", "line_no")
+    made = suspects.select("doc", "nth", "line_no", "line", "blocks").mapInPandas(emit, "key long, role int, doc long, nth long, line_no int")
+    own = F.struct("doc", "nth", "line_no")
     group = Window.partitionBy("key")
     earliest = [F.min(F.when(F.col("role") == r, own)).over(group) for r in (0, 1, 2)]
     partner = F.when(F.col("role") == 0, earliest[0]).when(F.col("role") == 1, earliest[2]).otherwise(earliest[1])
-    pairs = made.select("doc", "line_no", partner.alias("partner")).filter(F.col("partner") < own).distinct()
-    text = suspects.select(F.col("doc").alias("of"), F.col("line_no").alias("nth"), F.col("line").alias("earlier"))
-    checked = pairs.join(suspects.select("doc", "line_no", "h1", "h2", "line"), ["doc", "line_no"]).join(text, (F.col("partner.doc") == F.col("of")) & (F.col("partner.line_no") == F.col("nth")))
+    pairs = made.select("doc", "nth", "line_no", partner.alias("partner")).filter(F.col("partner") < own).distinct()
+    text = suspects.select(F.struct("doc", "nth", "line_no").alias("partner"), F.col("line").alias("earlier"))
+    checked = pairs.join(suspects.select("doc", "nth", "line_no", "h1", "h2", "line"), ["doc", "nth", "line_no"]).join(text, "partner")
     near = checked.filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2", F.lit(True).alias("near")).distinct()
 
     judged = first.join(near, ["h1", "h2"], "left")
     gone = lines.join(judged, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("first") != own))
-    gone = gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
-    counted = docs.select("doc", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
-    out = counted.join(gone, "doc", "left")
-    doc_id = F.when(F.col("doc") > -(2**63), F.col("doc"))
+    gone = gone.groupBy("doc", "nth").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+    counted = docs.select("doc", "nth", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
+    out = counted.join(gone, ["doc", "nth"], "left")
+    doc_id = F.when(F.col("nth") >= 0, F.col("doc"))
     return out.select(doc_id.alias("doc_id"), F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long").alias("n_lines"), F.coalesce("dropped", F.expr("array()").cast("array<int>")).alias("dropped"))
 
 

@@ -100,6 +100,16 @@ def test_lines(docs, small_duck):
     assert got[14].dropped == [1, 2] and got[3].n_lines == 0 and got[4].n_lines == 1
 
 
+def test_lines_of_missing_and_repeated_ids(spark):
+    rows = [(None, "only the one has this line\nboth of them hold this line"), (None, "both of them hold this line\nonly the other has that one"), (None, "both of them hold this line\nonly the other has that one"),
+            (5, "first text of number five\nsame line in two texts"), (5, "second text for this number\nnothing alike stands here"), (6, "same line in two texts\nlast line of all the rows")]
+    got = line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id or 0, tuple(r.dropped)) for r in got.collect() if r.doc_id) == [(5, ()), (5, ()), (6, (0,))]
+    gone = sorted(tuple(r.dropped) for r in got.collect() if r.doc_id is None)
+    # of three rows, each line stays once: all of one row, all of another but the shared line, nothing of the copy
+    assert sum(map(len, gone)) == 3 and (0, 1) in gone
+
+
 def test_secrets(docs, small_duck):
     columns = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
     same_rows(secret_scan.scan(docs), small_duck, f"select {columns} from ({secret_scan.SQL})")

@@ -1,12 +1,13 @@
 """Each stage of the pipeline against what its operator decides, and the whole run."""
 
+import random
 import zlib
 from collections import Counter
 
 import corpus_pipeline
 from test_operators import near_brute
 
-from stocktake.llm import bin_completion, line_dedup, quality_rules, source_mix
+from stocktake.llm import bin_completion, common, line_dedup, quality_rules, source_mix
 
 
 def test_stages(spark, sf):
@@ -57,5 +58,35 @@ def test_null_and_clashing_columns(spark, sf):
         assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, step, sf).collect()} <= {3}
 
 
+def test_missing_and_repeated_ids_through_all_stages(spark, sf):
+    def text(seed):
+        r = random.Random(seed)
+        words = ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 8))) for _ in range(160)]
+        return "\n".join("The " + " ".join(words[i : i + 10]) + " and the rest of it." for i in range(0, 160, 10))
+
+    shared = "This line stands in both rows without an id."
+    one, other, third, fourth = text(1), text(2), text(3), text(4)
+    rows = [(None, one + "\n" + shared), (None, shared + "\n" + other), (7, third), (7, third), (7, fourth), (8, text(5)), (None, fourth)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    step = dict(corpus_pipeline.STAGES)
+
+    cut = step["line_dedup"](spark, docs, sf).collect()
+    whole = sorted({x for _, t in rows for x in t.split("\n")})
+    assert sorted(x for r in cut for x in r.text.split("\n")) == whole
+    assert Counter(r.doc_id for r in cut) == {None: 2, 7: 2, 8: 1}
+
+    left = step["minhash_dedup"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in left) == {None: 2, 7: 2, 8: 1}
+    assert {r.text for r in left} == {t for _, t in rows}
+
+    distinct = spark.createDataFrame(left, docs.schema)
+    copies = Counter(r.text for r in step["source_mix"](spark, distinct, sf).collect())
+    own = common.own_ids(distinct)
+    of = {r.doc_id: r.text for r in own.collect()}
+    assert len(of) == 5 and copies == Counter({of[r.doc_id]: r.copies for r in source_mix.mix(own).collect() if r.copies})
+    packed = step["best_fit_packing"](spark, distinct, sf).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == {None: 2, 7: 2, 8: 1}
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0

@@ -49,6 +49,11 @@ def prune_gate(plan: DataFrame, errors: DataFrame) -> DataFrame:
     return plan.crossJoin(F.broadcast(count)).filter("__n = 0").drop("__n")
 
 
+def prune_gate_by(plan: DataFrame, errors: DataFrame, key: str) -> DataFrame:
+    """No deletion is left of a `key` that has any error; a plan of other keys, or without one, is not stopped."""
+    return plan.join(errors.select(key).distinct(), key, "left_anti")
+
+
 def deletion_order() -> list[Column]:
     """Leaves first, then directories from the deepest."""
     return [F.col("kind") == "dir", F.desc(path_depth(F.col("path"))), F.col("path")]

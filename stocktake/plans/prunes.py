@@ -85,6 +85,19 @@ def g05(t):
     return prune.prune_gate(_candidates(t), t.results.filter("type = 'error' and seq > 1000000")).select("path")
 
 
+_STOPPED = "select run from results where type = 'error'"
+
+
+def _gated(t):
+    """Candidates of runs without any error; a candidate belongs to the run of its doc_id."""
+    return prune.prune_gate_by(_candidates(t).withColumn("run", c("doc_id")), t.results.filter("type = 'error'"), "run")
+
+
+@query("g05_prune_gate_of_runs", f"select path, doc_id as run from ({_CAND}) where doc_id not in ({_STOPPED})")
+def g05_runs(t):
+    return _gated(t).select("path", "run")
+
+
 @query("o02_deletion_order", f"select row_number() over (order by kind = 'dir', len(string_split(path, '/')) desc, path) as nth, path from ({_CAND})")
 def o02(t):
     return numbered(_candidates(t), prune.deletion_order()).select("nth", "path")
@@ -102,6 +115,12 @@ def o08(t):
     return before.union(prune.prune_gate(gone.filter("doc_id % 2 = 1"), t.results.filter("seq < 0")).select("path", F.lit("after").alias("phase")))
 
 
+@query("o08_gate_around_copy", f"select path, case when doc_id % 2 = 0 then 'before' else 'after' end as phase from ({_CAND}) where doc_id not in ({_STOPPED})")
+def o08_gate(t):
+    gone = _gated(t)
+    return gone.filter("doc_id % 2 = 0").select("path", F.lit("before").alias("phase")).union(gone.filter("doc_id % 2 = 1").select("path", F.lit("after").alias("phase")))
+
+
 @query("u03_except_claims", f"select path, size from ({_CAND})")
 def u03(t):
     return t.inv_dst.join(t.inv_src.select("path"), "path", "left_anti").select("path", "size")

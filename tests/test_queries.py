@@ -39,6 +39,21 @@ def test_visit_scores_as_a_plain_loop(spark, sf):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_gates_stop_plans_with_errors(spark, sf):
+    from stocktake.operators import prune
+    from stocktake.sources.derived import Tables
+
+    t = Tables(spark, sf)
+    every = {r.path: r.doc_id for r in prune.candidates(t.inv_dst, t.inv_src).collect()}
+    errors = t.results.filter("type = 'error'")
+    stopped = {r.run for r in errors.collect()}
+    want = {p for p, d in every.items() if d not in stopped}
+    assert 0 < len(want) < len(every)  # some pass, some are stopped
+    for name in ("g05_prune_gate_of_runs", "o08_gate_around_copy"):
+        assert {r.path for r in registry.queries()[name](spark, sf).collect()} == want
+    assert prune.prune_gate(prune.candidates(t.inv_dst, t.inv_src), errors).count() == 0
+
+
 def test_extra_hash_is_the_librarys(spark, sf):
     import xxhash
 

@@ -111,6 +111,11 @@ def o03(t):
     return numbered(O.with_phase(_selected(t)), ["phase", "key", "version"]).select("nth", "key", "version")
 
 
+@query("o03_all_markers_last", "select row_number() over (order by marker, key, version) as nth, key, version from versions")
+def o03_all(t):
+    return numbered(O.with_phase(t.versions), ["phase", "key", "version"]).select("nth", "key", "version")
+
+
 @query("o03_markers_kept_on_failure", "select key, version from versions where not marker")
 def o03k(t):
     return O.markers_kept(t.versions, t.versions.filter("version = 0")).select("key", "version")

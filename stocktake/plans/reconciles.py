@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stocktake.operators import content, outcomes, reconcile as R
+from stocktake.operators.ordering import numbered
 
 from .registry import query
 
@@ -142,6 +143,11 @@ def o07(t):
     return rows.select(F.row_number().over(Window.orderBy(F.desc("bytes"))).cast("long").alias("size_rank"), "bytes")
 
 
+@query("o07_whole_order", f"select row_number() over (order by bytes desc, md5(path), path) as nth, path, bytes from ({_PLAN}) where action = 'transfer_file'")
+def o07_whole(t):
+    return numbered(reconcile_plan(t).filter("action = 'transfer_file'"), [F.desc("bytes"), F.md5("path"), c("path")]).select("nth", "path", "bytes")
+
+
 @query("j13_verify_expected", """select d.path, case when m.src is null then 'unexpected' when m.hash = d.hash then 'ok' else 'mismatch' end as "check" from inv_dst d left join mapping m on m.src = d.path""")
 def j13(t):
     return content.verify_expected(t.inv_dst, t.mapping.select(c("src").alias("path"), F.upper("hash").alias("hash")), "path")

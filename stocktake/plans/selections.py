@@ -126,3 +126,9 @@ def x02(t):
 def x03(t):
     part = lambda cond: Mapping(t.mapping.filter(cond).select("src", "dst"), Context("documents", "store"))
     return part("doc_id % 2 = 0").union(part("doc_id % 5 = 1")).rows
+
+
+@query("x03_whole_mapping", "select src, dst from mapping where doc_id % 2 = 0 union all select src, dst from mapping where doc_id % 2 <> 0")
+def x03_whole(t):
+    part = lambda cond: Mapping(t.mapping.filter(cond).select("src", "dst"), Context("documents", "store"))
+    return part("doc_id % 2 = 0").union(part("doc_id % 2 != 0")).rows

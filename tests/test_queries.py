@@ -54,6 +54,19 @@ def test_gates_stop_plans_with_errors(spark, sf):
     assert prune.prune_gate(prune.candidates(t.inv_dst, t.inv_src), errors).count() == 0
 
 
+def test_orders_and_unions_hold_all_rows(spark, sf):
+    from stocktake.sources.derived import Tables
+
+    t = Tables(spark, sf)
+    run = lambda name: registry.queries()[name](spark, sf)
+    plan = {r.path: r.bytes for r in run("a01_decide_file").filter("action = 'transfer_file'").collect()}
+    rows = sorted(run("o07_whole_order").collect(), key=lambda r: r.nth)
+    assert [r.nth for r in rows] == list(range(1, len(plan) + 1)) and {r.path: r.bytes for r in rows} == plan
+    assert [r.bytes for r in rows] == sorted(plan.values(), reverse=True)
+    assert run("o03_all_markers_last").count() == t.versions.count()
+    assert run("x03_whole_mapping").count() == t.mapping.count()
+
+
 def test_extra_hash_is_the_librarys(spark, sf):
     import xxhash
 

@@ -1,18 +1,20 @@
-"""Exact top-k search by the threshold algorithm over sorted per-dimension lists."""
+"""Exact top-k search by the threshold algorithm over sorted per-dimension lists, with floors from a first pass."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import width
+from .common import settle, width
 
 EXACT_FLOAT = 2**53
-_HITS = "query_id long, vec_id long, score long"
+PIVOTS = 64  # directions by which rows are dealt to shards, at most
+_QUERY_CHUNK = 256  # queries that are scored by one matrix product
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
@@ -22,6 +24,11 @@ def scaled(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(odd, F.lit(True)), F.transform(x, lambda v: F.floor(v * scale)))
 
 
+def _above(x: np.ndarray) -> np.ndarray:
+    """Doubles that are no smaller than x, also where x holds integers beyond what a double can."""
+    return np.nextafter(x.astype(float), np.inf)
+
+
 class SortedLists:
     """One list of rows for each dimension, by rising component."""
 
@@ -30,83 +37,175 @@ class SortedLists:
         self.ids, self.rows = ids[by_id], rows[by_id]
         self.order = np.argsort(self.rows, axis=0, kind="stable")
         self.values = np.take_along_axis(self.rows, self.order, axis=0)
+        self.scored = 0  # rows that were scored in full, over all queries
 
-    def search(self, own: int, query: np.ndarray, k: int, first: int = 16) -> list[tuple[int, int]]:
-        """The k best (score, id) but those of id own, ties to the smaller id.
+    def bounds(self, queries: np.ndarray, depth: int) -> np.ndarray:
+        """What a row that no list shows in its first `depth` places can score at most: component times list value, summed up."""
+        n = len(self.rows)
+        return _above(np.maximum(queries, 0) @ self.values[n - 1 - depth] + np.minimum(queries, 0) @ self.values[depth])
 
-        Sorted access goes down every list at once, from its high end where the
-        query's component is positive and from its low end otherwise; each new row
-        is scored in full. A row not yet seen can score no more than the sum of
-        component times list value at the depth reached, so the search ends once the
-        kth score is above that sum (at an equal score a smaller id may still come).
+    def _seen(self, query: np.ndarray, depth: int) -> np.ndarray:
+        """Rows in the first places of the lists, each from its high end where the query's component is positive, else from its low end."""
+        used = np.flatnonzero(query != 0)
+        places = np.arange(depth)[:, None]
+        return np.unique(self.order[np.where(query[used] > 0, len(self.rows) - 1 - places, places), used])
+
+    def _best(self, own: int, at: np.ndarray | slice, scores: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+        """The k best (score, id) that reach the floor, but those of id own, ties to the smaller id."""
+        ids = self.ids[at]
+        fit = np.flatnonzero((scores >= floor) & (ids != own))
+        if len(fit) > k and scores.dtype != object:
+            values = scores[fit]
+            fit = fit[values >= np.partition(values, len(values) - k)[len(values) - k]]
+            fit = fit[np.lexsort((ids[fit], -scores[fit]))[:k]]
+        return sorted(((int(scores[i]), int(ids[i])) for i in fit), key=lambda x: (-x[0], x[1]))[:k]
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+        """For each query the k best (score, id) among those that reach its floor.
+
+        The lists are read in rounds of doubling depth; rows come to be seen, are scored
+        in full, and a query is done once the bound of what it has not seen is below its
+        kth score or its floor (at an equal score a smaller id may still come). The
+        floor is a score that k rows are known to reach; a query whose bound lies below it
+        from the start reads nothing. Where even lists read so deep that they show a quarter of the rows
+        cannot stop a query, all its rows are scored by one matrix product for many queries.
         """
         n, dims = self.rows.shape
-        best: list[tuple[int, int]] = []
-        seen = np.zeros(n, bool)
-        seen[self.ids == own] = True
-        used = np.flatnonzero(query != 0)
-        down = query[used] > 0
-        at, step = 0, first
-        while at < n:
-            end = min(n, at + step)
-            if not len(used):
-                new, end = np.flatnonzero(~seen), n
-            else:
-                ranks = np.arange(at, end)[:, None]
-                places = np.where(down[None, :], n - 1 - ranks, ranks)
-                new = np.unique(self.order[places, used[None, :]])
-                new = new[~seen[new]]
-            if len(new):
-                seen[new] = True
-                scores = self.rows[new] @ query
-                order = np.lexsort((self.ids[new], -scores))[:k]
-                best = sorted(best + [(int(scores[i]), int(self.ids[new[i]])) for i in order], key=lambda x: (-x[0], x[1]))[:k]
-            if end >= n:
-                break
-            bound = sum(query[used] * self.values[np.where(down, n - end, end - 1), used])
-            if len(best) == k and best[-1][0] > bound:
-                break
-            at, step = end, step * 2
-        return best
-
-
-def _matrix(vectors: pd.Series, dims: int, exact: bool) -> np.ndarray:
-    flat = np.concatenate([np.asarray(v) for v in vectors]) if dims else np.empty(0)
-    return flat.reshape(len(vectors), dims).astype(np.float64 if exact else object)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
+        reach = np.full(len(queries), -np.inf) if floors is None else np.asarray(floors, float)
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        open_ = np.flatnonzero(self.bounds(queries, 0) >= reach) if n else np.zeros(0, int)
+        depth, deep, full = max(1, n // (64 * max(1, dims))), n // (4 * max(1, dims)), []
+        while len(open_) and depth <= deep:
+            stops = np.isneginf(reach[open_]) | (self.bounds(queries[open_], deep) < reach[open_])
+            full.append(open_[~stops])
+            open_ = open_[stops]
+            for i in open_:
+                seen = self._seen(queries[i], depth)
+                self.scored += len(seen)
+                out[i] = self._best(int(own[i]), seen, self.rows[seen] @ queries[i], k, reach[i])
+                if len(out[i]) == k:
+                    reach[i] = max(reach[i], np.nextafter(float(out[i][-1][0]), -np.inf) if abs(out[i][-1][0]) >= EXACT_FLOAT else out[i][-1][0])
+            open_ = open_[self.bounds(queries[open_], depth) >= reach[open_]]
+            depth *= 2
+        open_ = np.concatenate([*full, open_])
+        for a in range(0, len(open_), _QUERY_CHUNK):
+            part = open_[a : a + _QUERY_CHUNK]
+            scores = queries[part] @ self.rows.T
+            self.scored += scores.size
+            for i, row in zip(part, scores):
+                out[i] = self._best(int(own[i]), slice(None), row, k, reach[i])
+        return out
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims) if dims else np.zeros((len(column), 0), np.int64)
+
+
+def _exact(*of: np.ndarray) -> list[np.ndarray]:
+    """The matrices as doubles where no sum of products can lose a digit, else as Python integers."""
+    peak = max((max(abs(int(x.max())), abs(int(x.min()))) for x in of if x.size), default=0)
+    kind = np.float64 if peak * peak * max(of[0].shape[1], 1) < EXACT_FLOAT else object
+    return [x.astype(kind) for x in of]
+
+
+def _dealt(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vectors(id, vector, dims) with the pivot that each is most alike; -1 for vectors of other dimensions."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy()
+            pivot = np.full(len(sizes), -1, np.int64)
+            own = np.flatnonzero(sizes == pivots.shape[1])
+            if len(own) and pivots.size:
+                rows = _matrix(pa.chunked_array([batch.column(1).take(pa.array(own))]), pivots.shape[1]).astype(float)
+                pivot[own] = (rows @ pivots.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot)], names=["id", "vector", "dims", "pivot"])
+
+    return vectors.select("id", "vector", "dims").mapInArrow(deal, "id long, vector array<bigint>, dims long, pivot long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """The k best rows of vectors(id, vector) for each row of queries(id, vector), by inner product of integer vectors.
 
     A row is no candidate for a query of its own id; only vectors of as many
     components are compared. Ties go to the smaller id; fewer than k rows come back
-    if there are no more. Null vectors and null ids take no part; empty tables give
+    if there are no more. Null ids and vectors that are null or hold nulls take no part; empty tables give
     no rows. Rows that repeat are candidates of their own.
-    Candidates are dealt to shards of bounded size, the query set is sent to them in
-    blocks of bounded size, each shard runs the threshold algorithm and the k best of
-    each shard meet by query.
+
+    Rows are dealt by direction (the likest of at most PIVOTS rows, those of smallest
+    hashed id) to shards of bounded size; a direction that holds many rows is split by hash. First each query searches one
+    shard of its own direction: the kth score there is its floor. Then the extremes of
+    a shard's lists say which queries can find anything in it at all, and those run the
+    threshold algorithm there from their floor. Queries go in blocks of bounded size;
+    the k best of each shard meet by query.
     """
-    take = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<bigint>").alias("vector")).filter("id is not null and vector is not null").withColumn("dims", F.size("vector"))
-    vectors, queries = take(vectors), take(queries)
     spark = vectors.sparkSession
-    shards = max(math.ceil(vectors.count() / shard_rows), width(spark))
-    blocks = max(1, math.ceil(queries.count() / query_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-
-    def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or ask.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        dims = int(own["dims"].iloc[0])
-        peak = max((int(np.abs(np.asarray(v, dtype=object)).max()) for x in (own, ask) for v in x["vector"] if dims), default=0)
-        exact = peak * peak * max(dims, 1) < EXACT_FLOAT
-        lists = SortedLists(own["id"].to_numpy(), _matrix(own["vector"], dims, exact))
-        hits = [(q, i, s) for q, row in zip(ask["id"], _matrix(ask["vector"], dims, exact)) for s, i in lists.search(q, row, k)]
-        return pd.DataFrame(hits, columns=["query_id", "vec_id", "score"]).astype("int64")
-
+    kind = F.col("vector").cast("array<bigint>")
+    take = lambda df: df.select(F.col("id").cast("long").alias("id"), kind.alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", F.isnull)).withColumn("dims", F.size("vector").cast("long"))
+    vectors, queries = take(vectors), take(queries)
+    main = vectors.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
+    if main is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    chosen = vectors.filter(F.col("dims") == main["dims"]).orderBy(F.xxhash64("id"), "id", "vector").limit(PIVOTS).select("vector").collect()
+    pivots = np.array([r.vector for r in chosen], float).reshape(len(chosen), main["dims"])
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
+
+    dealt, asked = settle(_dealt(vectors, pivots), "vectors"), settle(_dealt(queries, pivots), "vectors")
+    sizes = {r.pivot: r.n for r in dealt.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # PIVOTS + 1 rows
+    most = min(shard_rows, max(1, math.ceil(sum(sizes.values()) / width(spark))))
+    parts = {p: max(1, math.ceil(sizes.get(p, 0) / most)) for p in range(-1, len(chosen))}
+    shards, blocks = sum(parts.values()), max(1, math.ceil(asked.count() / query_rows))
+    of = F.element_at(F.array(*(F.lit(parts[p]) for p in range(-1, len(chosen)))), (F.col("pivot") + 2).cast("int"))
+    shard = (F.col("pivot") * 2**32 + F.pmod(F.xxhash64("id"), of)).alias("shard")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    rows = dealt.select("id", "vector", "dims", shard)
+    asked = asked.select("id", "vector", "dims", shard, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     keys = ["dims", "shard", "block"]
-    hits = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, _HITS)
+
+    def search(own: pa.Table, ask: pa.Table) -> pa.Table:
+        hits: list[tuple[int, int, int]] = []
+        if len(own) and len(ask):
+            dims = own.column("dims")[0].as_py()
+            of, asks = _exact(_matrix(own.column("vector"), dims), _matrix(ask.column("vector"), dims))
+            ids = ask.column("id").to_numpy()
+            floors = ask.column("floor").to_numpy() if "floor" in ask.column_names else None
+            found = SortedLists(own.column("id").to_numpy(), of).search(ids, asks, k, None if floors is None else np.where(np.isnan(floors), -np.inf, floors))
+            hits = [(q, i, s) for q, best in zip(ids.tolist(), found) for s, i in best]
+        return pa.table({n: pa.array([h[j] for h in hits], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
+
+    spread = rows.select("*", every)
+    first = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+    # k rows are known to reach the smallest of k scores; below 2**53 a double holds it, and a smaller floor is no error
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+    low = F.when(F.abs("least") < EXACT_FLOAT, F.col("least").cast("double"))
+    floors = settle(floors.select(F.col("query_id").alias("id"), low.alias("floor")), "floors")
+    asked = asked.join(floors, "id", "left")
+
+    def extremes(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        of = _matrix(own.column("vector"), key[0].as_py())
+        return pa.table({"dims": [key[0].as_py()], "shard": [key[1].as_py()], "low": [of.min(axis=0).tolist()], "high": [of.max(axis=0).tolist()]}, pa.schema([("dims", pa.int64()), ("shard", pa.int64()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))]))
+
+    groups = F.pmod(F.xxhash64("shard"), F.lit(max(1, math.ceil(shards / 1024)))).cast("int").alias("group")
+    edges = settle(rows.groupBy("dims", "shard").applyInArrow(extremes, "dims long, shard long, low array<bigint>, high array<bigint>"), "edges").select("*", groups, every)
+    n_groups = max(1, math.ceil(shards / 1024))
+
+    def reachable(own: pa.Table, ask: pa.Table) -> pa.Table:
+        """The queries of a block with the shards of a group whose bound reaches their floor."""
+        found: list[list[int]] = [[] for _ in range(len(ask))]
+        if len(own) and len(ask):
+            dims = own.column("dims")[0].as_py()
+            low, high, asks = _exact(_matrix(own.column("low"), dims), _matrix(own.column("high"), dims), _matrix(ask.column("vector"), dims))
+            floors = ask.column("floor").to_numpy()
+            bound = _above(np.maximum(asks, 0) @ high.T + np.minimum(asks, 0) @ low.T)
+            names = own.column("shard").to_numpy()
+            found = [names[b >= f].tolist() for b, f in zip(bound, np.where(np.isnan(floors), -np.inf, floors))]
+        return pa.table({"id": ask.column("id"), "vector": ask.column("vector"), "dims": ask.column("dims"), "block": ask.column("block"), "floor": ask.column("floor"), "shards": pa.array(found, pa.list_(pa.int64()))})
+
+    meet = ["dims", "group", "block"]
+    asked = asked.drop("shard").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    reached = edges.groupBy(*meet).cogroup(asked.groupBy(*meet)).applyInArrow(reachable, "id long, vector array<bigint>, dims long, block int, floor double, shards array<bigint>")
+    reached = reached.withColumn("shard", F.explode("shards")).drop("shards")
+    hits = spread.groupBy(*keys).cogroup(reached.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

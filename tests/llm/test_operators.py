@@ -412,6 +412,42 @@ def test_top_k(spark):
     assert threshold_topk.top_k(vectors.limit(0), vectors).count() == 0 and threshold_topk.top_k(vectors, vectors.limit(0)).count() == 0
 
 
+def test_lists_stop_early_where_lengths_vary():
+    r = np.random.default_rng(8)
+    rows = np.floor(100 * r.normal(0, 1, (4000, 8)) * np.exp(2 * r.normal(0, 1, (4000, 1))))
+    ids = r.permutation(4000)
+    lists = threshold_topk.SortedLists(ids, rows)
+    asked = np.arange(0, 4000, 40)
+    queries = rows[np.argsort(ids)][asked]
+
+    def brute(own, query):
+        return sorted(((int(s), int(i)) for s, i in zip(rows @ query, ids) if i != own), key=lambda x: (-x[0], x[1]))[:5]
+
+    want = [brute(q, v) for q, v in zip(asked, queries)]
+    assert lists.search(asked, queries, 5) == want
+    assert lists.scored < 0.5 * len(asked) * len(rows)  # the lists stopped before they had shown all rows
+    floors = np.array([w[-1][0] for w in want], float)
+    again = threshold_topk.SortedLists(ids, rows)
+    assert again.search(asked, queries, 5, floors) == want and again.scored <= lists.scored
+    none = threshold_topk.SortedLists(ids, rows)
+    assert none.search(asked, queries, 5, np.full(len(asked), 1e15)) == [[]] * len(asked) and none.scored == 0
+
+
+def test_top_k_over_shards_and_blocks(spark):
+    """Many shards, blocks and pivots, equal rows and ties against brute force."""
+    r = np.random.default_rng(9)
+    base = r.integers(-60, 60, (900, 4))
+    base[300:600] = base[0]  # a third of the rows are equal
+    frame = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(base)], "id long, vector array<bigint>")
+    got = {tuple(x) for x in threshold_topk.top_k(frame, frame.filter("id % 10 = 0"), k=3, shard_rows=40, query_rows=20).collect()}
+    scores = base @ base.T
+    want = set()
+    for q in range(0, 900, 10):
+        best = sorted((i for i in range(900) if i != q), key=lambda i: (-scores[q, i], i))[:3]
+        want |= {(q, n, i, int(scores[q, i])) for n, i in enumerate(best, 1)}
+    assert got == want
+
+
 def test_repeated_rows_are_kept(docs):
     for name in ("secrets", "quality", "licence", "tokens", "mix", "lines", "near", "suffix"):
         assert Counter(r.doc_id for r in OPERATORS[name](docs).collect())[17] == 2

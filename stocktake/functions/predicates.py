@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,3 +74,11 @@ def key_pattern(key: Column, pattern: str) -> Column:
     literal = re.split(r"[*?]", pattern, maxsplit=1)[0]
     fits = F.rlike(key, F.lit(glob_regex(pattern)))
     return F.startswith(key, F.lit(literal)) & fits if literal else fits
+
+
+def last_rule_wins(rules: Sequence[tuple[Column, bool]]) -> Column:
+    """What the last of ordered rules (condition, answer) that holds says; false where none does."""
+    out = F.lit(False)
+    for holds, answer in rules:
+        out = F.when(holds, F.lit(answer)).otherwise(out)
+    return out

@@ -39,6 +39,18 @@ def ts_nanos(seconds: Column, nanos: Column) -> Column:
     return seconds.cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)") + nanos.cast("decimal(10,0)")
 
 
+def add_duration(seconds: Column, nanos: Column, duration_ns: Column) -> Column:
+    """A time (seconds, nanoseconds below 10**9) moved by a duration in nanoseconds, as a struct of both; exact, also before the epoch."""
+    total = ts_nanos(seconds, nanos) + duration_ns.cast("decimal(28,0)")
+    whole = F.floor(total / F.lit(10**9).cast("decimal(10,0)"))
+    return F.struct(whole.cast("long").alias("seconds"), (total - whole * F.lit(10**9).cast("decimal(10,0)")).cast("int").alias("nanos"))
+
+
+def ts_diff(a_seconds: Column, a_nanos: Column, b_seconds: Column, b_nanos: Column) -> Column:
+    """Nanoseconds from time b to time a, exactly."""
+    return ts_nanos(a_seconds, a_nanos) - ts_nanos(b_seconds, b_nanos)
+
+
 def preferred_time(stored: Column, service: Column) -> Column:
     return F.coalesce(stored, service)
 
@@ -74,12 +86,24 @@ def parse_rate(text: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("long")).when(value >= 512, rounded.cast("long"))
 
 
+def _half_even(n: Column, unit: int, digits: int) -> Column:
+    """n / unit with so many decimals; exact ties go to the even digit, which format_string does not do."""
+    scaled, whole = n.cast("decimal(38,0)") * 10**digits, F.lit(unit).cast("decimal(38,0)")
+    rest = scaled % whole
+    q = ((scaled - rest) / whole).cast("long")
+    q = q + F.when((2 * rest > whole) | ((2 * rest == whole) & (q % 2 == 1)), 1).otherwise(0)
+    if not digits:
+        return q.cast("string")
+    return F.concat(F.floor(q / 10**digits).cast("string"), F.lit("."), F.lpad((q % 10**digits).cast("string"), digits, "0"))
+
+
 def human_bytes(n: Column) -> Column:
+    """Bytes in binary units: two decimals below 10, one below 100, none beyond."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(BYTE_UNITS[1:], 1):
-        v = n / F.lit(float(1024**i))
-        text = F.when(v < 10, F.format_string("%.2f", v)).when(v < 100, F.format_string("%.1f", v)).otherwise(F.format_string("%.0f", v))
-        out = F.when(n >= 1024**i, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
+        of = 1024**i
+        text = F.when(n < 10 * of, _half_even(n, of, 2)).when(n < 100 * of, _half_even(n, of, 1)).otherwise(_half_even(n, of, 0))
+        out = F.when(n >= of, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -104,6 +128,19 @@ def digest_parse(text: Column) -> Column:
     return F.struct(parts[0].alias("algorithm"), F.lower(F.try_element_at(parts, F.lit(2))).alias("value"))
 
 
+def content_hash(content: Column, algorithm: str) -> Column:
+    """Hex digest of a content by sha256 or md5; blake3 and xxh3-128 digests are only compared where they are stored."""
+    if algorithm not in ("sha256", "md5"):
+        raise ValueError(f"no built-in digest {algorithm!r}")
+    return F.sha2(content, 256) if algorithm == "sha256" else F.md5(content)
+
+
+def dst_by_time(mtime_s: Column, name: Column, pattern: str = "yyyy/MM") -> Column:
+    """A destination below folders of the time in UTC, in lower case; the session's time zone makes no difference."""
+    utc = F.to_utc_timestamp(F.timestamp_seconds(mtime_s), F.current_timezone())
+    return F.concat_ws("/", F.date_format(utc, pattern), F.lower(name))
+
+
 def normalized_md5_matches(text: Column, digest: Column) -> Column:
     """MD5 of the content, or of the content with line ends made one byte."""
     return (F.md5(text) == digest) | (F.md5(F.replace(text, F.lit("\r\n"), F.lit("\n"))) == digest)

@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def split_blocks(contents: DataFrame, size: int, on: str = "doc_id") -> DataFrame:
-    """Blocks of contents(on, content) at fixed offsets: block, offset, length, hash. Empty contents have none."""
+def _pieces(contents: DataFrame, size: int, on: Sequence[str], **values: Callable[[Column], Column]) -> DataFrame:
+    """One row for each block of contents(on, content): block, offset, length and the values of its bytes.
+
+    The slices are taken beside the content, and only what is made of them is exploded, so the work is linear in its length.
+    """
     content = F.col("content").cast("binary")
     n = F.ceil(F.octet_length(content) / size).cast("int")
-    each = contents.select(on, content.alias("content"), n.alias("__n")).filter("__n > 0").select(on, "content", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("block"))
-    piece = F.substring(F.col("content"), F.col("block") * size + 1, F.lit(size))
-    return each.select(on, F.col("block").cast("long").alias("block"), (F.col("block") * size).cast("long").alias("offset"), F.octet_length(piece).cast("long").alias("length"), F.md5(piece).alias("hash"))
+
+    def block(i: Column) -> Column:
+        piece = F.substring(content, i * size + 1, F.lit(size))
+        return F.struct(i.cast("long").alias("block"), (i.cast("long") * size).alias("offset"), F.octet_length(piece).cast("long").alias("length"), *(f(piece).alias(name) for name, f in values.items()))
+
+    full = contents.filter(F.octet_length(content) > 0)
+    return full.select(*on, F.explode(F.transform(F.sequence(F.lit(0), n - 1), block)).alias("b")).select(*on, "b.*")
+
+
+def _keys(on: str | Sequence[str]) -> list[str]:
+    return [on] if isinstance(on, str) else list(on)
+
+
+def split_blocks(contents: DataFrame, size: int, on: str | Sequence[str] = "doc_id") -> DataFrame:
+    """Blocks of contents(on, content) at fixed offsets: block, offset, length, hash. Null and empty contents have none."""
+    return _pieces(contents, size, _keys(on), hash=F.md5)
+
+
+def zero_runs(contents: DataFrame, size: int = 4096, on: str | Sequence[str] = "doc_id") -> DataFrame:
+    """Runs (first, last) of blocks of contents(on, content) that hold nothing but zero bytes: what could be holes."""
+    keys = _keys(on)
+    zeros = F.lit(bytes(size))
+    flagged = _pieces(contents, size, keys, zero=lambda piece: piece == F.substring(zeros, F.lit(1), F.octet_length(piece)))
+    return islands(flagged, "zero", *keys)
 
 
 def block_join(src: DataFrame, dst: DataFrame, on: str = "doc_id") -> DataFrame:
@@ -26,11 +52,11 @@ def block_reuse(joined: DataFrame, on: str = "doc_id") -> DataFrame:
     return joined.groupBy(on).agg(part(F.col("reused")).alias("bytes_reused"), part(~F.col("reused")).alias("bytes_sent"))
 
 
-def islands(flagged: DataFrame, flag: str, on: str) -> DataFrame:
+def islands(flagged: DataFrame, flag: str, *on: str) -> DataFrame:
     """Runs of consecutive blocks where flag holds: first, last."""
-    n = F.row_number().over(Window.partitionBy(on).orderBy("block"))
+    n = F.row_number().over(Window.partitionBy(*on).orderBy("block"))
     runs = flagged.filter(flag).withColumn("__island", F.col("block") - n)
-    return runs.groupBy(on, "__island").agg(F.min("block").alias("first"), F.max("block").alias("last")).drop("__island")
+    return runs.groupBy(*on, "__island").agg(F.min("block").alias("first"), F.max("block").alias("last")).drop("__island")
 
 
 def differing_ranges(joined: DataFrame, most: int, on: str = "doc_id") -> DataFrame:
@@ -57,6 +83,6 @@ def followers(links: DataFrame, outcomes: DataFrame) -> DataFrame:
     return representatives(links).filter("role = 'link'").join(outcomes.filter("ok"), ["device", "inode"], "left_semi")
 
 
-def group_conflicts(links: DataFrame, value: str) -> DataFrame:
-    """Inodes of several names that ask for different values."""
-    return links.groupBy("device", "inode").agg(F.count_distinct(value).alias("n")).filter("n > 1")
+def group_conflicts(links: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Inodes of several names that ask for different values; by: what values have to share to be compared, such as the algorithm of a digest."""
+    return links.groupBy("device", "inode", *by).agg(F.count_distinct(value).alias("n")).filter("n > 1")

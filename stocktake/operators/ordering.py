@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 from stocktake.sources.scratch import settle
 
 
-def running_total(df: DataFrame, order: Sequence[Column | str], value: Column, out: str) -> DataFrame:
-    """out: the sum of value over this row and all before it in the order. There is one row for each range in the only global window."""
-    ranged = df.withColumn("__v", value).repartitionByRange(*order).sortWithinPartitions(*order)
+def running_total(df: DataFrame, order: Sequence[Column | str], value: Column, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """out: the sum of value over this row and all before it in the order, of rows with the same keys.
+
+    Ranges of keys and order are summed apart, so a key that holds most rows is many tasks. There is one row for each range and
+    key in the window over totals.
+    """
+    wanted = [*keys, *order]
+    ranged = df.withColumn("__v", value).repartitionByRange(*wanted).sortWithinPartitions(*wanted)
     parted = settle(ranged.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}), "order")
-    own = F.sum("__v").over(Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
-    totals = parted.groupBy("__p").agg(F.sum("__v").alias("__t"))
-    earlier = F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = totals.select("__p", earlier.alias("__b"))
-    return parted.withColumn(out, own).join(before, "__p").withColumn(out, F.col(out) + F.col("__b")).drop("__p", "__i", "__v", "__b")
-
-
-def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "nth") -> DataFrame:
-    """out: each row's place in the order, from 1."""
-    return running_total(df, order, F.lit(1).cast("long"), out)
+    own = F.sum("__v").over(Window.partitionBy("__p", *keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    totals = parted.groupBy("__p", *keys).agg(F.sum("__v").alias("__t"))
+    earlier = F.coalesce(F.sum("__t").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = totals.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__of_{k}") for k in keys), earlier.alias("__b"))
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return parted.withColumn(out, own).join(before, same).withColumn(out, F.col(out) + F.col("__b")).select(*df.columns, out)
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "nth", keys: Sequence[str] = ()) -> DataFrame:
+    """out: each row's place in the order, from 1, among rows with the same keys."""
+    return running_total(df, order, F.lit(1).cast("long"), out, keys)

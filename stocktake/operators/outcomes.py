@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The exit code of each terminal status.
+EXIT_CODES = {"success": 0, "failed": 1, "aborted": 1, "partial": 23, "refused": 25}
+
 
 def run_totals(results: DataFrame) -> DataFrame:
     n = lambda d: F.count_if(F.col("disposition") == d)
@@ -31,10 +34,13 @@ def errors_counted(results: DataFrame) -> DataFrame:
 
 
 def run_status(results: DataFrame) -> DataFrame:
-    """Status and exit code of each run: what its terminal record says, else unknown; a failed entry makes a success partial."""
+    """Status and exit code of each run: what its terminal record says, else unknown; a failed entry makes a success partial.
+
+    A run that failed or was aborted, or of which there is no terminal record, exits with 1, one that a safety cap refused with 25.
+    """
     of = results.groupBy("run").agg(F.max("status").alias("said"), F.count_if(F.col("disposition") == "failed").alias("failed"))
     status = F.when(F.col("said").isNull(), "unknown").when((F.col("said") == "success") & (F.col("failed") > 0), "partial").otherwise(F.col("said"))
-    code = F.when(F.col("status") == "success", 0).when(F.col("status") == "partial", 23).when(F.col("status") == "refused", 2).otherwise(1)
+    code = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in EXIT_CODES.items() for x in kv)), F.col("status")), F.lit(1))
     return of.withColumn("status", status).select("run", "status", code.alias("exit_code"))
 
 

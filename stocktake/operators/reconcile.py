@@ -21,7 +21,10 @@ def pairs(src: DataFrame, dst: DataFrame, on: str = "path") -> DataFrame:
     return joined.select(F.coalesce("__src", "__dst").alias("path"), "src", "dst")
 
 
-def same_file() -> Column:
+def same_file(same_host: bool = True) -> Column:
+    """One device and inode on both sides; such numbers mean nothing across hosts."""
+    if not same_host:
+        return F.lit(False)
     return F.coalesce((F.col("src.device") == F.col("dst.device")) & (F.col("src.inode") == F.col("dst.inode")), F.lit(False))
 
 
@@ -53,10 +56,10 @@ def trace_reason(changed: Column) -> Column:
     )
 
 
-def decide_files(of: DataFrame, policy: str = "update", unchanged: Column | None = None, attributes: Sequence[str] = ("mode",), low: int | None = None, high: int | None = None, permitted: Column | None = None) -> DataFrame:
+def decide_files(of: DataFrame, policy: str = "update", unchanged: Column | None = None, attributes: Sequence[str] = ("mode",), low: int | None = None, high: int | None = None, permitted: Column | None = None, same_host: bool = True, contested: Column | None = None) -> DataFrame:
     """path, action, disposition and reason of pairs whose source is a regular file, and of destination-only rows.
 
-    Tests go in this order: same file, size range and existence, permission, a directory in the place,
+    Tests go in this order: permission, same file, several sources for one destination (contested), size range and existence, a directory in the place,
     error policies, newer destination, unchanged contents, attributes alone, transfer.
     """
     if policy not in POLICIES:
@@ -70,11 +73,12 @@ def decide_files(of: DataFrame, policy: str = "update", unchanged: Column | None
     out = lambda action, disposition, reason: F.struct(F.lit(action).alias("action"), F.lit(disposition).alias("disposition"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     decision = (
         F.when(src.isNull(), out("none", "extra", "destination_only"))
-        .when(same_file() & F.lit(policy == "error"), out("none", "failed", "exists"))
-        .when(same_file(), out("none", "excluded", "same_file"))
+        .when(~(F.lit(True) if permitted is None else permitted), out("none", "excluded", "predicate"))
+        .when(same_file(same_host) & F.lit(policy == "error"), out("none", "failed", "exists"))
+        .when(same_file(same_host), out("none", "excluded", "same_file"))
+        .when(F.lit(False) if contested is None else contested, out("none", "failed", "contested"))
         .when(outside, out("none", "excluded", "size"))
         .when(exists & F.lit(policy == "keep"), out("none", "excluded", "exists"))
-        .when(~(F.lit(True) if permitted is None else permitted), out("none", "excluded", "predicate"))
         .when(F.col("dst.kind") == "dir", out("none", "failed", "directory_in_place"))
         .when(exists & F.lit(policy == "error"), out("none", "failed", "exists"))
         .when(exists & F.lit(policy == "error-if-different") & ((F.col("dst.kind") != "file") | (F.col("dst.size") != size)), out("none", "failed", "differs"))
@@ -88,8 +92,10 @@ def decide_files(of: DataFrame, policy: str = "update", unchanged: Column | None
 
 
 def decide_links(of: DataFrame, policy: str = "update") -> DataFrame:
-    """path, action, reason for sources that are links or specials: equal targets (links) or equal kinds are unchanged."""
+    """path, action, reason for sources that are links or specials: equal targets (links), kinds and device numbers (rdev, of char and block devices) are unchanged."""
     same = (F.col("src.kind") == F.col("dst.kind")) & F.col("src.link_target").eqNullSafe(F.col("dst.link_target"))
+    if all("rdev" in of.schema[side].dataType.names for side in ("src", "dst")):
+        same = same & (~F.col("src.kind").isin("char", "block") | F.col("src.rdev").eqNullSafe(F.col("dst.rdev")))
     newer = F.struct("dst.mtime_s", "dst.mtime_ns") > F.struct("src.mtime_s", "src.mtime_ns")
     exists = F.col("dst").isNotNull()
     action = (
@@ -100,6 +106,24 @@ def decide_links(of: DataFrame, policy: str = "update") -> DataFrame:
     return of.filter(F.col("src.kind").isNotNull() & ~F.col("src.kind").isin("file", "dir")).select("path", action.alias("action"), trace_reason(F.lit(True)).alias("reason"))
 
 
+def placements(of: DataFrame, require: str = "any") -> DataFrame:
+    """path, placement (new or existing) and error of the sources of pairs: a requirement of `new` or `existing` targets refuses the others."""
+    if require not in ("new", "existing", "any"):
+        raise ValueError(f"unknown requirement {require!r}")
+    placement = F.when(F.col("dst").isNull(), "new").otherwise("existing")
+    return of.filter("src is not null").select("path", placement.alias("placement"), F.when(F.lit(require != "any") & (placement != require), F.concat(F.lit("target_is_"), placement)).alias("error"))
+
+
+def only_existing(of: DataFrame) -> DataFrame:
+    """Pairs that have both sides: what is never created is left out."""
+    return of.filter("src is not null and dst is not null")
+
+
+def replaced_not_in_place(plan: DataFrame) -> DataFrame:
+    """How many transfers replace something, by reason; reasons without any are left out."""
+    return plan.filter("action = 'transfer_file' and reason != 'destination_missing'").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def decide_directories(src_dirs: DataFrame, dst: DataFrame) -> DataFrame:
     """path, action of wanted directories: create, exists, conflict (another kind in the place), skipped (below a conflict)."""
     joined = src_dirs.select("path").distinct().join(dst.select("path", "kind"), "path", "left")
@@ -110,9 +134,15 @@ def decide_directories(src_dirs: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def mapping_attributes(mapping: DataFrame, src: DataFrame) -> DataFrame:
-    """Overrides replace the source's attributes; an explicit time switches the quick test off; a mode on a link is refused."""
-    joined = mapping.join(src.select(F.col("path").alias("src"), F.col("kind").alias("src_kind"), F.col("mode").alias("src_mode"), "mtime_s"), "src")
-    return joined.select("dst", F.coalesce("mode", "src_mode").alias("mode"), F.coalesce("mtime", "mtime_s").alias("mtime_s"), F.col("mtime").isNull().alias("quick_allowed"), F.when((F.col("src_kind") == "symlink") & F.col("mode").isNotNull(), "mode_on_link").alias("error"))
+    """Overrides (mode, mtime, and uid and gid where the mapping has them) replace the source's attributes.
+
+    An explicit time switches the quick test off; a mode on a link is refused.
+    """
+    owners = [x for x in ("uid", "gid") if x in src.columns]
+    own = [F.col(x).alias(f"src_{x}") for x in ("kind", "mode", *owners)]
+    joined = mapping.join(src.select(F.col("path").alias("src"), *own, "mtime_s"), "src")
+    owner = [(F.coalesce(x, f"src_{x}") if x in mapping.columns else F.col(f"src_{x}")).alias(x) for x in owners]
+    return joined.select("dst", F.coalesce("mode", "src_mode").alias("mode"), *owner, F.coalesce("mtime", "mtime_s").alias("mtime_s"), F.col("mtime").isNull().alias("quick_allowed"), F.when((F.col("src_kind") == "symlink") & F.col("mode").isNotNull(), "mode_on_link").alias("error"))
 
 
 def capacity(plan: DataFrame, free_bytes: int, free_inodes: int) -> DataFrame:

@@ -34,11 +34,14 @@ def w03(t):
     return C.differing_ranges(_joined(t), 8)
 
 
+# Contents with 300 zero bytes after the first 100 characters: the place of the run says which blocks it fills.
 @query("w04_zero_runs", """
-select doc_id, min(block) as first, max(block) as last from (select *, block - row_number() over (partition by doc_id order by block) as i from blocks where side = 'src' and hash < '8') group by doc_id, i""")
+select doc_id, (p + 63) // 64 as first, case when rest = 0 then (p + 363) // 64 - 1 else (p + 300) // 64 - 1 end as last
+from (select doc_id, octet_length(encode(text[1:100])) as p, octet_length(encode(text[101:])) as rest from documents where doc_id % 3 = 0 and text is not null)""")
 def w04(t):
-    flagged = t.blocks.filter("side = 'src'").withColumn("zero", c("hash") < "8")
-    return C.islands(flagged, "zero", "doc_id")
+    part = lambda start, n: F.encode(F.substring("text", start, n), "UTF-8")
+    content = F.when(c("doc_id") % 3 == 0, F.concat(part(1, 100), F.lit(bytes(300)), part(101, 2**30))).otherwise(F.encode("text", "UTF-8"))
+    return C.zero_runs(t.documents.select("doc_id", content.alias("content")), 64)
 
 
 @query("s09_read_blocks", """
@@ -67,3 +70,8 @@ def g09(t):
 @query("g11_conflicting_group_metadata", "select device, inode, count(distinct mode_asked) as n from hardlinks group by device, inode having count(distinct mode_asked) > 1")
 def g11(t):
     return C.group_conflicts(t.hardlinks, "mode_asked")
+
+
+@query("g09_digests_by_algorithm", "select device, inode, nth % 2 as algorithm, count(distinct digest) as n from hardlinks group by device, inode, nth % 2 having count(distinct digest) > 1")
+def g09_algorithm(t):
+    return C.group_conflicts(t.hardlinks.withColumn("algorithm", c("nth") % 2), "digest", ["algorithm"])

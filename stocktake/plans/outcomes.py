@@ -34,7 +34,7 @@ def g22(t):
 
 
 @query("a16_run_status", """
-select run, status, case status when 'success' then 0 when 'partial' then 23 when 'refused' then 2 else 1 end as exit_code from (
+select run, status, case status when 'success' then 0 when 'partial' then 23 when 'refused' then 25 when 'aborted' then 1 when 'failed' then 1 else 1 end as exit_code from (
   select run, case when max(status) is null then 'unknown' when max(status) = 'success' and count(*) filter (disposition = 'failed') > 0 then 'partial' else max(status) end as status from results group by run)""")
 def a16(t):
     return O.run_status(t.results)

@@ -80,9 +80,9 @@ def g04(t):
     return prune.delete_cap(_candidates(t), 50).select("path", "disposition")
 
 
-@query("g05_prune_gate", f"select path from ({_CAND}) where (select count(*) from results where type = 'error' and seq > 1000000) = 0")
+@query("g05_prune_gate", f"select path, case when (select count(*) from results where type = 'error') > 0 then 'blocked' else 'planned' end as disposition from ({_CAND})")
 def g05(t):
-    return prune.prune_gate(_candidates(t), t.results.filter("type = 'error' and seq > 1000000")).select("path")
+    return prune.gated(_candidates(t), t.results.filter("type = 'error'")).select("path", "disposition")
 
 
 _STOPPED = "select run from results where type = 'error'"
@@ -108,11 +108,12 @@ def o04(t):
     return prune.request_batches(_candidates(t), "kind", 20).select("path", c("batch").cast("long").alias("batch"))
 
 
-@query("o08_prune_around_copy", f"select path, 'before' as phase from ({_CAND}) where doc_id % 2 = 0 union all select path, 'after' from ({_CAND}) where doc_id % 2 = 1")
+@query("o08_prune_around_copy", f"""
+select path, 'before' as phase from ({_CAND}) where doc_id % 2 = 0 and doc_id not in ({_STOPPED} and seq < 5)
+union all select path, 'after' from ({_CAND}) where doc_id % 2 = 1 and doc_id not in ({_STOPPED})""")
 def o08(t):
-    gone = _candidates(t)
-    before = prune.prune_gate(gone.filter("doc_id % 2 = 0"), t.results.filter("seq < 0")).select("path", F.lit("before").alias("phase"))
-    return before.union(prune.prune_gate(gone.filter("doc_id % 2 = 1"), t.results.filter("seq < 0")).select("path", F.lit("after").alias("phase")))
+    gone, errors = _candidates(t).withColumn("run", c("doc_id")), t.results.filter("type = 'error'")
+    return prune.around_copy(gone.filter("doc_id % 2 = 0"), gone.filter("doc_id % 2 = 1"), errors.filter("seq < 5"), errors, "run").select("path", "phase")
 
 
 @query("o08_gate_around_copy", f"select path, case when doc_id % 2 = 0 then 'before' else 'after' end as phase from ({_CAND}) where doc_id not in ({_STOPPED})")

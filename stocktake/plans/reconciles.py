@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stocktake.operators import content, outcomes, reconcile as R
+from stocktake.operators import content, mapping as M, outcomes, reconcile as R
 from stocktake.operators.ordering import numbered
 
 from .registry import query
@@ -23,12 +23,13 @@ with p as (
 )"""
 
 
-def _decide(policy: str, same: str = "quick", attrs: str = "smode <> dmode", low: int | None = None, permitted: str = "true") -> str:
-    lines = [("sp is null", "none", "extra", "'destination_only'")]
+def _decide(policy: str, same: str = "quick", attrs: str = "smode <> dmode", low: int | None = None, permitted: str = "true", contested: str = "false") -> str:
+    lines = [("sp is null", "none", "extra", "'destination_only'"), (f"not ({permitted})", "none", "excluded", "'predicate'")]
     lines += [("same_file", "none", "failed", "'exists'")] if policy == "error" else [("same_file", "none", "excluded", "'same_file'")]
+    lines += [(contested, "none", "failed", "'contested'")]
     lines += [(f"ss < {low}", "none", "excluded", "'size'")] if low else []
     lines += [("dp is not null", "none", "excluded", "'exists'")] if policy == "keep" else []
-    lines += [(f"not ({permitted})", "none", "excluded", "'predicate'"), ("dk = 'dir'", "none", "failed", "'directory_in_place'")]
+    lines += [("dk = 'dir'", "none", "failed", "'directory_in_place'")]
     lines += [("dp is not null", "none", "failed", "'exists'")] if policy == "error" else []
     lines += [("dp is not null and (dk <> 'file' or ss <> ds)", "none", "failed", "'differs'")] if policy == "error-if-different" else []
     lines += [("dp is not null and newer", "none", "excluded", "'newer'")] if policy == "update-if-older" else []
@@ -41,6 +42,13 @@ def _pairs(t):
     return R.pairs(t.inv_src, t.inv_dst)
 
 
+def _contested(t):
+    """Pairs with the outcome of the claims on their path; a second source claims some of the paths."""
+    claims = t.inv_src.select(c("path").alias("dst"), F.lit("file").alias("claim"))
+    outcomes_ = M.claim_resolution(claims.union(t.inv_src.filter("doc_id % 12 < 2").select("path", F.lit("file"))))
+    return _pairs(t).join(outcomes_.select(c("dst").alias("__at"), "outcome"), c("path") == c("__at"), "left").drop("__at")
+
+
 @query("a01_decide_file", _decide("update"))
 def reconcile_plan(t):
     return R.decide_files(_pairs(t))
@@ -54,8 +62,11 @@ query("p16_copy_if", _decide("update", permitted="coalesce(ss > 1000 and coalesc
 )
 query("p20_size_range", _decide("update", low=2000))(lambda t: R.decide_files(_pairs(t), low=2000))
 query("p21_keep_existing", _decide("keep"))(lambda t: R.decide_files(_pairs(t), "keep"))
-query("p21_only_existing", f"{_PAIRS} select path, why from p where sp is not null and dp is not null")(lambda t: _pairs(t).filter("src is not null and dst is not null").select("path", R.trace_reason(F.lit(True)).alias("why")))
+query("p21_only_existing", f"{_PAIRS} select path, why from p where sp is not null and dp is not null")(lambda t: R.only_existing(_pairs(t)).select("path", R.trace_reason(F.lit(True)).alias("why")))
 query("p25_policy_stage_order", _decide("keep", low=500, permitted="ss > 1000"))(lambda t: R.decide_files(_pairs(t), "keep", low=500, permitted=c("src.size") > 1000))
+query("p25_permission_before_errors", _decide("error", low=500, permitted="ss > 1000"))(lambda t: R.decide_files(_pairs(t), "error", low=500, permitted=c("src.size") > 1000))
+query("a01_contested", _decide("update", contested="path in (select path from inv_src where doc_id % 12 < 2)"))(lambda t: R.decide_files(_contested(t), contested=F.coalesce(c("outcome") == "contested", F.lit(False))))
+query("a01_other_host", _decide("update").replace("s.device = d.device and s.inode = d.inode", "false"))(lambda t: R.decide_files(_pairs(t), same_host=False))
 query("a05_hash_unchanged", _decide("update", same="same_hash"))(lambda t: R.decide_files(_pairs(t), unchanged=R.hash_unchanged()))
 
 
@@ -108,7 +119,14 @@ def a08(t):
 select m.dst, coalesce(m.mode, s.mode) as mode, coalesce(m.mtime, s.mtime_s) as mtime_s, m.mtime is null as quick_allowed, case when s.kind = 'symlink' and m.mode is not null then 'mode_on_link' end as error
 from mapping m join inv_src s on m.src = s.path""")
 def a13(t):
-    return R.mapping_attributes(t.mapping, t.inv_src)
+    return R.mapping_attributes(t.mapping, t.inv_src).drop("uid", "gid")
+
+
+@query("a13_owner_overrides", "select m.dst, case when m.doc_id % 5 = 0 then 7 else s.uid end as uid, case when m.doc_id % 7 = 0 then 8 else s.gid end as gid from mapping m join inv_src s on m.src = s.path")
+def a13_owners(t):
+    d = c("doc_id")
+    over = t.mapping.withColumns({"uid": F.when(d % 5 == 0, F.lit(7).cast("long")), "gid": F.when(d % 7 == 0, F.lit(8).cast("long"))})
+    return R.mapping_attributes(over, t.inv_src).select("dst", "uid", "gid")
 
 
 @query("a14_capacity_check", "select sum(b)::bigint as bytes, count(*) as inodes, sum(b) <= 100000000 and count(*) + 64 <= 5000 as fits from (select device, inode, max(nth * 100) as b from hardlinks group by device, inode)")
@@ -118,7 +136,12 @@ def a14(t):
 
 @query("a15_placement_condition", "select s.path, case when d.path is null then 'new' else 'existing' end as placement from inv_src s left join inv_dst d using (path)")
 def a15(t):
-    return _pairs(t).filter("src is not null").select("path", F.when(c("dst").isNull(), "new").otherwise("existing").alias("placement"))
+    return R.placements(_pairs(t)).select("path", "placement")
+
+
+@query("a15_required_placement", "select s.path, case when d.path is not null then 'target_is_existing' end as error from inv_src s left join inv_dst d using (path)")
+def a15_required(t):
+    return R.placements(_pairs(t), "new").select("path", "error")
 
 
 _PLAN = _decide("update")
@@ -132,7 +155,7 @@ def g02(t):
 
 @query("g21_replaced_not_in_place", f"select reason, count(*) as n from ({_PLAN}) where action = 'transfer_file' and reason <> 'destination_missing' group by reason")
 def g21(t):
-    return reconcile_plan(t).filter("action = 'transfer_file' and reason != 'destination_missing'").groupBy("reason").agg(F.count("*").alias("n"))
+    return R.replaced_not_in_place(reconcile_plan(t))
 
 
 @query("o07_largest_first", f"select size_rank, bytes from (select bytes, row_number() over (order by bytes desc) as size_rank from ({_PLAN}) where action = 'transfer_file') where size_rank <= 100")

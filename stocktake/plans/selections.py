@@ -79,9 +79,13 @@ def p24(t):
     return S.partials(t.inv_src.withColumn("path", name)).select(c("path").alias("name"))
 
 
-@query("p26_delete_excluded", "select path from inv_dst where path not in (select path from inv_src)")
+@query("p26_delete_excluded", """
+with x as (select path, starts_with(path, 'extra/src1/') or path like '%7.txt' as ignored from inv_dst where path not in (select path from inv_src))
+select path, 'deleted' as excluded from x union all select path, 'kept' from x where not ignored""")
 def p26(t):
-    return prune.candidates(t.inv_dst, t.inv_src).select("path")
+    rules = ("/extra/src1/", "*7.txt")
+    gone = lambda delete: prune.extras(t.inv_dst, t.inv_src, rules, delete).select("path", F.lit("deleted" if delete else "kept").alias("excluded"))
+    return gone(True).union(gone(False))
 
 
 @query("w01_first_claim", "select key, min(version) as version from versions group by key")
@@ -91,9 +95,8 @@ def w01(t):
 
 @query("w17_last_rule_wins", "select path, doc_id % 3 = 0 or (doc_id % 5 = 0 and doc_id % 7 <> 0) as ignored from inv_src")
 def w17(t):
-    rules = t.spark.createDataFrame([(1, 5, True), (2, 7, False), (3, 3, True)], "ordinal int, divisor int, ignores boolean")
-    hits = t.inv_src.join(F.broadcast(rules), c("doc_id") % c("divisor") == 0).groupBy("path").agg(F.max_by("ignores", "ordinal").alias("hit"))
-    return t.inv_src.join(hits, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))
+    rules = [(c("doc_id") % 5 == 0, True), (c("doc_id") % 7 == 0, False), (c("doc_id") % 3 == 0, True)]
+    return t.inv_src.select("path", Q.last_rule_wins(rules).alias("ignored"))
 
 
 @query("u01_union_of_selectors", "select distinct path from (select path from inv_src where doc_id % 2 = 0 union all select path from inv_src where starts_with(path, 'src1/'))")
@@ -109,7 +112,8 @@ def u02(t):
 
 @query("x01_mapping_transform", "select src, case when doc_id % 2 = 0 then upper(dst) else dst end as dst from mapping where doc_id % 5 <> 0")
 def x01(t):
-    return t.mapping.filter("doc_id % 5 != 0").transform(lambda df: df.withColumn("dst", F.when(c("doc_id") % 2 == 0, F.upper("dst")).otherwise(c("dst")))).select("src", "dst")
+    change = lambda df: df.filter("doc_id % 5 != 0").withColumn("dst", F.when(c("doc_id") % 2 == 0, F.upper("dst")).otherwise(c("dst")))
+    return Mapping(t.mapping.select("src", "dst", "doc_id"), Context("documents")).transform(change).rows.select("src", "dst")
 
 
 @query("x02_row_transform", "select src, case when doc_id % 3 = 0 then src else dst end as dst, doc_id from mapping where doc_id % 7 <> 0")

@@ -7,6 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stocktake.operators.content import split_blocks
+from stocktake.operators.ordering import numbered
+
 
 class Tables:
     """The given tables of a folder by name, and the derived ones as attributes."""
@@ -47,8 +50,9 @@ class Tables:
         month = F.date_format(F.timestamp_seconds("mtime_s"), "yyyy/MM")
         d = F.col("doc_id")
         dst = lambda n: F.concat_ws("/", month, F.lower("source_"), F.concat(n.cast("string"), F.lit(".txt")))
+        shared = lambda n: F.concat(F.lit("shared/"), n.cast("string"), F.lit(".txt"))
         rows = self.inv_src.withColumn("source_", F.element_at(F.split("path", "/"), 1))
-        chosen = F.when((d % 50 == 0) & (d > 0), dst(d - 1)).when((d % 60 == 7), F.concat(dst(d), F.lit("/below.txt"))).otherwise(dst(d))
+        chosen = F.when(d % 50 == 49, shared(d)).when((d % 50 == 0) & (d > 0), shared(d - 1)).when(d % 60 == 6, shared(d)).when(d % 60 == 7, F.concat(shared(d - 1), F.lit("/below.txt"))).otherwise(dst(d))
         return rows.select(F.when(d % 45 == 2, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("src"), chosen.alias("dst"), F.when(d % 3 == 0, "file").when(d % 61 == 1, "dir").alias("kind"), "hash", F.when(d % 4 == 0, 384).alias("mode"), F.when(d % 6 == 0, F.col("mtime_s") + 5).alias("mtime"), "doc_id")
 
     @cached_property
@@ -63,14 +67,11 @@ class Tables:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        """64-character blocks of both sides; the destination's text has another character at each 1,000th place and lacks the first two where doc_id is divisible by 8."""
+        """64-byte blocks of both sides; the destination's text has another character at place 501 where doc_id is divisible by 3 and lacks the first two where it is divisible by 8."""
         text = F.coalesce("text", F.lit(""))
         other = F.when(F.col("doc_id") % 8 == 0, F.substring(text, 3, 2**30)).when(F.col("doc_id") % 3 == 0, F.concat(F.substring(text, 1, 500), F.lit("#"), F.substring(text, 502, 2**30))).otherwise(text)
-        sides = self.documents.select("doc_id", F.explode(F.array(F.struct(F.lit("src").alias("side"), text.alias("text")), F.struct(F.lit("dst").alias("side"), other.alias("text")))).alias("s")).select("doc_id", "s.*").filter(F.length("text") > 0)
-        n = F.ceil(F.length("text") / 64).cast("int")
-        each = sides.select("doc_id", "side", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-        piece = F.substring(F.col("text"), F.col("block") * 64 + 1, F.lit(64))
-        return each.select("doc_id", "side", F.col("block").cast("long").alias("block"), F.octet_length(piece).cast("long").alias("length"), F.md5(piece).alias("hash"))
+        sides = self.documents.select("doc_id", F.explode(F.array(F.struct(F.lit("src").alias("side"), text.alias("text")), F.struct(F.lit("dst").alias("side"), other.alias("text")))).alias("s")).select("doc_id", "s.side", F.encode("s.text", "UTF-8").alias("content"))
+        return split_blocks(sides, 64, ["doc_id", "side"]).drop("offset")
 
     @cached_property
     def hardlinks(self) -> DataFrame:
@@ -92,7 +93,7 @@ class Tables:
         out = F.when(kind == "operation_result", F.when(e % 9 == 0, "failed").when(e % 4 == 0, "unchanged").when(e % 17 == 0, "excluded").otherwise("transferred"))
         return self.events.select(
             F.col("user_id").alias("run"), seq.alias("seq"), "ts", kind.alias("type"), out.alias("disposition"), F.when(out.isNotNull(), F.concat(F.lit("f/"), e.cast("string"))).alias("dst"), (e * 131 % 100000).alias("bytes"),
-            F.when(out == "failed", F.when(e % 2 == 0, "yes").otherwise("no")).alias("retryable"), F.when((kind == "error") & (e % 12 == 0), F.lit("f/1")).alias("diagnostic_for"), F.when(kind == "result", F.when(F.col("user_id") % 3 == 0, "partial").when(F.col("user_id") % 7 == 0, "refused").otherwise("success")).alias("status"),
+            F.when(out == "failed", F.when(e % 4 == 1, "yes").otherwise("no")).alias("retryable"), F.when((kind == "error") & (e % 12 == 0), F.lit("f/1")).alias("diagnostic_for"), F.when(kind == "result", F.when(F.col("user_id") % 3 == 0, "partial").when(F.col("user_id") % 7 == 0, "refused").when(F.col("user_id") % 11 == 0, "aborted").when(F.col("user_id") % 13 == 0, "failed").otherwise("success")).alias("status"),
         )
 
     @cached_property
@@ -103,13 +104,14 @@ class Tables:
         agent = F.when(e % 3 == 0, F.concat(F.lit("tool/1."), (e % 5).cast("string"), F.lit(".0"))).when(e % 3 == 1, F.lit("curl/8.5"))
         return self.events.join(nations, F.col("user_id") % 25 == F.col("n_nationkey")).select(
             "event_id", "ts", F.to_date("ts").alias("day"), asset.alias("asset"), agent.alias("user_agent"), F.when(e % 10 == 0, "linux-x64").alias("target_header"),
-            F.when(e % 4 == 0, "check").when(e % 4 == 1, "interactive").when(e % 4 == 2, "odd").alias("purpose_header"), (e % 2).cast("int").alias("latest"), F.concat(F.lit("v1."), (e % 5).cast("string")).alias("tag"), "country", F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string")).alias("ip"),
+            F.when(e % 4 == 0, "check").when(e % 4 == 1, "interactive").when(e % 4 == 2, "odd").alias("purpose_header"), (F.floor(e / 4) % 2).cast("int").alias("latest"), F.concat(F.lit("v1."), (e % 5).cast("string")).alias("tag"), "country", F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string")).alias("ip"),
         )
 
     @cached_property
     def trials(self) -> DataFrame:
-        w = Window.partitionBy("l_returnflag", "l_linestatus").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        return self.lineitem.select(F.col("l_returnflag").alias("case"), F.col("l_linestatus").alias("variant"), F.row_number().over(w).alias("round"), F.col("l_quantity").cast("double").alias("seconds"), (F.col("l_partkey") % 10 != 0).alias("verified"))
+        rows = self.lineitem.select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+        placed = numbered(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "round", ["l_returnflag", "l_linestatus"])
+        return placed.select(F.col("l_returnflag").alias("case"), F.col("l_linestatus").alias("variant"), F.col("round").cast("int").alias("round"), F.col("l_quantity").cast("double").alias("seconds"), (F.col("l_partkey") % 10 != 0).alias("verified"))
 
     @cached_property
     def spans(self) -> DataFrame:
@@ -130,7 +132,7 @@ select path, case when doc_id % 37 = 5 then 'dir' else kind end as kind, size +
 union all select 'extra/' || path, kind, size, mtime_s, mtime_ns, mode, uid, gid, 2::bigint, inode, nlink, link_target, hash, doc_id from inv_src where doc_id % 9 = 0""",
     "mapping": """
 select case when doc_id % 45 = 2 then path || '.gone' else path end as src,
-  case when doc_id % 50 = 0 and doc_id > 0 then m || '/' || lower(s) || '/' || (doc_id - 1) || '.txt' when doc_id % 60 = 7 then m || '/' || lower(s) || '/' || doc_id || '.txt/below.txt' else m || '/' || lower(s) || '/' || doc_id || '.txt' end as dst,
+  case when doc_id % 50 = 49 then 'shared/' || doc_id || '.txt' when doc_id % 50 = 0 and doc_id > 0 then 'shared/' || (doc_id - 1) || '.txt' when doc_id % 60 = 6 then 'shared/' || doc_id || '.txt' when doc_id % 60 = 7 then 'shared/' || (doc_id - 1) || '.txt/below.txt' else m || '/' || lower(s) || '/' || doc_id || '.txt' end as dst,
   case when doc_id % 3 = 0 then 'file' when doc_id % 61 = 1 then 'dir' end as kind, hash, case when doc_id % 4 = 0 then 384 end as mode, case when doc_id % 6 = 0 then mtime_s + 5 end as mtime, doc_id
 from (select *, strftime(make_timestamp(mtime_s * 1000000), '%Y/%m') as m, split_part(path, '/', 1) as s from inv_src)""",
     "listing": """
@@ -138,8 +140,8 @@ select regexp_extract(r, '^([^/]*)', 1) as bucket, regexp_replace(regexp_replace
 from (select *, regexp_replace(url, '^https?://', '') as r from pages)""",
     "versions": "select conv_id::varchar as key, turn::bigint as version, role = 'assistant' as marker from conversations",
     "blocks": """
-select doc_id, side, b::bigint as block, octet_length(encode(text[b * 64 + 1:b * 64 + 64]))::bigint as length, md5(text[b * 64 + 1:b * 64 + 64]) as hash from (
-  select doc_id, side, text, unnest(range(0, ceil(length(text) / 64.0)::bigint)) as b from (
+select doc_id, side, b::bigint as block, least(64, n - b * 64)::bigint as length, md5(unhex(h[b * 128 + 1:b * 128 + 128])) as hash from (
+  select doc_id, side, hex(encode(text)) as h, octet_length(encode(text)) as n, unnest(range(0, (octet_length(encode(text)) + 63) // 64)) as b from (
     select doc_id, 'src' as side, coalesce(text, '') as text from documents
     union all select doc_id, 'dst', case when doc_id % 8 = 0 then coalesce(text, '')[3:] when doc_id % 3 = 0 then coalesce(text, '')[1:500] || '#' || coalesce(text, '')[502:] else coalesce(text, '') end from documents
   ) where length(text) > 0)""",
@@ -149,15 +151,15 @@ select l_suppkey as device, l_orderkey as inode, row_number() over (partition by
     "measurements": """
 select user_id as run, row_number() over (partition by user_id order by ts, event_id)::int as sequence, 0 as segment, 1 + event_id // 3 % 4 as workers, 1.5::double as seconds, value as rate, event_id % 11 <> 0 as usable from events""",
     "results": """
-select run, seq, ts, type, disposition, case when disposition is not null then 'f/' || e end as dst, e * 131 % 100000 as bytes, case when disposition = 'failed' then case when e % 2 = 0 then 'yes' else 'no' end end as retryable,
-  case when type = 'error' and e % 12 = 0 then 'f/1' end as diagnostic_for, case when type = 'result' then case when run % 3 = 0 then 'partial' when run % 7 = 0 then 'refused' else 'success' end end as status
+select run, seq, ts, type, disposition, case when disposition is not null then 'f/' || e end as dst, e * 131 % 100000 as bytes, case when disposition = 'failed' then case when e % 4 = 1 then 'yes' else 'no' end end as retryable,
+  case when type = 'error' and e % 12 = 0 then 'f/1' end as diagnostic_for, case when type = 'result' then case when run % 3 = 0 then 'partial' when run % 7 = 0 then 'refused' when run % 11 = 0 then 'aborted' when run % 13 = 0 then 'failed' else 'success' end end as status
 from (select *, case when type = 'operation_result' then case when e % 9 = 0 then 'failed' when e % 4 = 0 then 'unchanged' when e % 17 = 0 then 'excluded' else 'transferred' end end as disposition
   from (select *, case when seq = 0 then 'run' when seq = last and run % 5 <> 0 then 'result' when e % 6 = 0 then 'error' when e % 6 = 1 then 'trace' else 'operation_result' end as type
     from (select user_id as run, event_id as e, ts, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, count(*) over (partition by user_id) - 1 as last from events)))""",
     "download_events": """
 select event_id, ts, ts::date as day, ['install.sh', 'tool-release-manifest.json', 'tool.rb', 'tool-linux-x64.gz.sha256', 'tool-linux-x64.gz', 'tool-macos-arm64', 'notes.txt'][event_id % 7 + 1] as asset,
   case when event_id % 3 = 0 then 'tool/1.' || event_id % 5 || '.0' when event_id % 3 = 1 then 'curl/8.5' end as user_agent, case when event_id % 10 = 0 then 'linux-x64' end as target_header,
-  case when event_id % 4 = 0 then 'check' when event_id % 4 = 1 then 'interactive' when event_id % 4 = 2 then 'odd' end as purpose_header, (event_id % 2)::int as latest, 'v1.' || event_id % 5 as tag, n_name as country, '10.0.0.' || user_id % 50 as ip
+  case when event_id % 4 = 0 then 'check' when event_id % 4 = 1 then 'interactive' when event_id % 4 = 2 then 'odd' end as purpose_header, (event_id // 4 % 2)::int as latest, 'v1.' || event_id % 5 as tag, n_name as country, '10.0.0.' || user_id % 50 as ip
 from events join nation on user_id % 25 = n_nationkey""",
     "trials": """
 select l_returnflag as "case", l_linestatus as variant, row_number() over (partition by l_returnflag, l_linestatus order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as round, l_quantity::double as seconds, l_partkey % 10 <> 0 as verified from lineitem""",

@@ -52,10 +52,12 @@ def plain(value):
     return value
 
 
-def same_rows(df, con, sql):
+def same_rows(df, con, sql, empty=False):
+    """Equal rows, and some unless `empty`: an operator that finds nothing shows nothing."""
     answer = con.sql(sql)
     columns = sorted(df.columns)
     assert sorted(answer.columns) == columns
     theirs = [tuple(plain(r[answer.columns.index(c)]) for c in columns) for r in answer.fetchall()]
     ours = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
+    assert ours or empty
     assert sorted(map(repr, ours)) == sorted(map(repr, theirs))

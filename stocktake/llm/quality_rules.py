@@ -85,7 +85,7 @@ def rules(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """P(good), and for each rule P(vote | class) of the votes -1, 0, 1."""
+    """P(good), and for each rule P(vote | class) of the votes -1, 0, 1; each row sums to 1."""
 
     prior: float
     given_good: np.ndarray
@@ -100,34 +100,47 @@ class LabelModel:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: int = 50, smooth: float = 1.0) -> LabelModel:
+def _rates(good: np.ndarray, bad: np.ndarray, better: float) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest P(vote | class) of one rule for its weighted counts of the votes -1, 0, 1, if a bad vote is at least
+    `better` times likelier for a bad document and a good vote no likelier for it."""
+    x, y = good / good.sum(), bad / bad.sum()
+    if y[0] < better * x[0]:
+        # the maximum along P(-1 | bad) = better * P(-1 | good) = better * t
+        both, other, rest = good[0] + bad[0], good[1:].sum(), bad[1:].sum()
+        a2, a1 = better * (both + other + rest), both * (1 + better) + other + better * rest
+        t = (a1 - np.sqrt(a1 * a1 - 4 * a2 * both)) / (2 * a2)
+        x, y = np.r_[t, x[1:] / x[1:].sum() * (1 - t)], np.r_[better * t, y[1:] / y[1:].sum() * (1 - better * t)]
+    if x[2] < y[2]:
+        t = (good[2] + bad[2]) / (good[1:].sum() + bad[1:].sum())
+        x, y = np.r_[x[0], (1 - x[0]) * (1 - t), (1 - x[0]) * t], np.r_[y[0], (1 - y[0]) * (1 - t), (1 - y[0]) * t]
+    return x, y
+
+
+def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.85, trust: float = 10.0, rounds: int = 50, smooth: float = 1.0, better: float = 10.0) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and how many documents have each.
 
-    The share of good documents is given (rules that mostly agree leave it open), the
-    votes' probabilities are estimated. The first guess trusts every rule; after each
-    round a rule is still held to be better than chance.
+    Each round estimates every P(vote | class) and the share of good documents from the
+    posteriors of the round before. Rules mostly agree, which leaves open what a class
+    is, so two things are held: the share has a prior worth `trust` times the documents, and each rule's bad
+    vote counts for something (_rates). Rows of probabilities sum to 1. A rule that abstains is left out of the posterior.
+    Counts begin at `smooth`, so no probability is 0.
     """
-    n_rules = votes.shape[1]
-    good = np.tile([0.02, 0.3, 0.68], (n_rules, 1))
-    bad = np.tile([0.5, 0.3, 0.2], (n_rules, 1))
-    model = LabelModel(prior, good, bad)
-    for _ in range(rounds):
+    n_rules, total = votes.shape[1], counts.sum()
+    model = LabelModel(prior, np.tile([0.02, 0.3, 0.68], (n_rules, 1)), np.tile([0.3, 0.2, 0.5], (n_rules, 1)))
+    for _ in range(rounds if total else 0):
         p = model.posterior(votes)
-        of = {1: p * counts, 0: (1 - p) * counts}
-        shares = {}
-        for c, w in of.items():
-            shares[c] = np.array([[smooth + w[votes[:, r] == v].sum() for v in (-1, 0, 1)] for r in range(n_rules)])
-            shares[c] /= shares[c].sum(axis=1, keepdims=True)
-        shares[0][:, 0] = np.maximum(shares[0][:, 0], 10 * shares[1][:, 0])
-        shares[1][:, 2] = np.maximum(shares[1][:, 2], 1.05 * shares[0][:, 2])
-        model = LabelModel(prior, shares[1], shares[0])
+        count = lambda w, r: np.array([smooth + w[votes[:, r] == v].sum() for v in (-1, 0, 1)])
+        rates = [_rates(count(p * counts, r), count((1 - p) * counts, r), better) for r in range(n_rules)]
+        share = ((p * counts).sum() + trust * total * prior) / (total * (1 + trust))
+        model = LabelModel(float(share), np.array([x for x, _ in rates]), np.array([y for _, y in rates]))
     return model
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the base statistics, base_failed, quality (posterior probability of good) and kept for each row of docs(doc_id, text).
 
-    Only the counts of vote patterns (at most 3 to the number of rules) reach the
+    Rules vote, expectation-maximisation (fit) estimates how they err, and the posterior
+    decides. Only the counts of vote patterns (at most 3 to the number of rules) reach the
     driver; they cover all documents. A null or empty text has no words and fails.
     A null doc_id and rows that repeat are documents of their own; an empty table
     gives no rows.

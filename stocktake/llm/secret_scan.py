@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,26 +26,35 @@ SCOPE = 400  # code points between parts of one credential at most
 _SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
-    """The leftmost non-overlapping matches as spans in code points: what stands between them is summed up with them.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once for each row."""
+    return F.transform(F.array(value), then)[0]
 
-    keep: of (match, the second group or the match), whether a match is reported.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    tail = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else whole
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast(f"array<{_SPAN}>").alias("out"))
-    steps = F.zip_with(F.arrays_zip(whole.alias("whole"), tail.alias("tail")), gaps, lambda m, g: F.struct(m["whole"].alias("whole"), m["tail"].alias("tail"), g.alias("gap")))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        stop = begin + F.coalesce(F.length(m["whole"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        kept = m["whole"].isNotNull() & keep(m["whole"], m["tail"])
-        return F.struct(stop.alias("at"), F.when(kept, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+def _running(sizes: Column) -> Column:
+    """Sums of an array of integers up to each place, in rounds that double how far a sum reaches: n log n steps."""
+
+    def reach(n: Column) -> Column:
+        return F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)
+
+    def double(sums: Column, k: Column) -> Column:
+        earlier = F.slice(F.concat(F.array_repeat(F.lit(0), F.call_function("shiftleft", F.lit(1), k)), sums), F.lit(1), F.size(sums))
+        return F.zip_with(sums, earlier, lambda a, b: a + b)
+
+    return _let(sizes, lambda x: F.when(F.size(x) > 1, F.aggregate(reach(F.size(x)), x, double)).otherwise(x))
+
+
+def _spans(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column]) -> Column:
+    """The leftmost non-overlapping matches that keep holds for, as spans in code points: what stands between them is summed up with them."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
+
+    def placed(of: Column) -> Column:
+        gaps = F.slice(of["gaps"], F.lit(1), F.size(of["whole"]))
+        stops = _running(F.zip_with(gaps, of["whole"], lambda gap, m: gap + F.length(m)))
+        span = lambda m, stop: F.struct((stop - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"))
+        return F.filter(F.zip_with(of["whole"], stops, lambda m, stop: F.when(keep(m), span(m, stop))), lambda s: s.isNotNull())
 
-    none = F.expr("array()").cast(f"array<{_SPAN}>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), _let(found, placed)).otherwise(F.expr("array()").cast(f"array<{_SPAN}>"))
 
 
 def _joined(spans: Column) -> Column:
@@ -64,26 +74,29 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    every = lambda *_: F.lit(True)
+    every = lambda _: F.lit(True)
     base = F.concat(
-        _spans(F.col("text"), ASSIGN, "assign", lambda _, value: F.length(value) >= 6),
-        _spans(F.col("text"), ACCESS, "access", lambda m, _: F.length(m) >= 20),
+        _spans(F.col("text"), ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
+        _spans(F.col("text"), ACCESS, "access", lambda m: F.length(m) >= 20),
         _spans(F.col("text"), "[0-9a-f]{24,}", "hex", every),  # a run of 24 or more is a match of HEX that is kept, and no other is
     )
     weak = F.concat(
-        _spans(F.col("text"), WEAK_ID, "weak_id", lambda m, _: F.rlike(m, F.lit("[A-Z]")) & F.rlike(m, F.lit("[0-9]"))),
-        _spans(F.col("text"), WEAK_SECRET, "weak_secret", lambda m, _: F.rlike(m, F.lit("[A-Z]")) & F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[0-9]"))),
+        _spans(F.col("text"), WEAK_ID, "weak_id", lambda m: F.rlike(m, F.lit("[A-Z]")) & F.rlike(m, F.lit("[0-9]"))),
+        _spans(F.col("text"), WEAK_SECRET, "weak_secret", lambda m: F.rlike(m, F.lit("[A-Z]")) & F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[0-9]"))),
         _spans(F.col("text"), ENDPOINT, "endpoint", every),
     )
-    clear = lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))
-    found = docs.select("doc_id", F.sha2("text", 256).alias("of"), base.alias("base"), weak.alias("weak"))
-    found = settle(found.withColumn("weak", F.filter("weak", clear)), "secrets")
+    found = settle(docs.select("doc_id", F.sha2("text", 256).alias("of"), base.alias("base"), weak.alias("weak")), "secrets")
 
-    # One row for each part of a text that has weak parts; texts that repeat are linked once.
+    # One row for each part of a text that has weak parts; texts that repeat are linked once. A bin of a scope holds few parts.
     with_weak = found.filter(F.size("weak") > 0).dropDuplicates(["doc_id", "of"])
     part = with_weak.select("doc_id", "of", F.explode(F.concat("base", "weak")).alias("part"))
     part = part.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "of", "part.*")
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    own = ["doc", "no_id", "of", "start", "rank", "kind", "stop"]
+    binned = part.withColumn("bin", bins(F.col("start"), F.col("stop")))
+    taken = binned.filter("rank < 3").select("doc", "no_id", "of", "bin", F.col("start").alias("from"), F.col("stop").alias("to"))
+    covered = binned.filter("rank >= 3").join(taken, ["doc", "no_id", "of", "bin"]).filter((F.col("from") < F.col("stop")) & (F.col("start") < F.col("to"))).select(own).distinct()
+    part = settle(part.join(covered, own, "left_anti").select(own), "parts")
     role = F.when(F.col("kind").isin("access", "weak_id"), "id").when(F.col("kind") == "endpoint", "endpoint").otherwise("secret")
     near = part.withColumn("bin", bins(F.col("start"), F.col("stop"))).select("doc", "no_id", "of", "bin", F.col("start").alias("from"), F.col("stop").alias("to"), role.alias("role"))
     asks = part.filter(F.col("rank") >= 3).withColumn("bin", bins(F.greatest(F.col("start") - scope, F.lit(0)), F.col("stop") + scope))

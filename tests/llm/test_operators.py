@@ -448,6 +448,53 @@ def test_top_k_over_shards_and_blocks(spark):
     assert got == want
 
 
+def test_secret_scan_of_long_texts_is_near_linear(spark):
+    """Thousands of matches in one text, against the places that re finds; the work grows with the text, not with its square."""
+    import re
+    import time
+
+    line = "password = hunter2{} and api_key: Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3 AKIAABCDEFGHIJKLMN{} deadbeefdeadbeefdeadbeef01 QWERTYUIOP123456 é\n"
+    texts = ["".join(line.format(i, i % 10 + 10) for i in range(n)) for n in (500, 5000)]
+    took, got = [], []
+    for t in texts:
+        frame = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        secret_scan.scan(frame.limit(0)).collect()
+        began = time.perf_counter()
+        got.append(secret_scan.scan(frame).first())
+        took.append(time.perf_counter() - began)
+    for t, row in zip(texts, got):
+        want = [(m.start(), 0, "assign", m.end()) for m in re.finditer(secret_scan.ASSIGN, t) if len(m[2]) >= 6]
+        want += [(m.start(), 1, "access", m.end()) for m in re.finditer(secret_scan.ACCESS, t) if len(m[0]) >= 20]
+        want += [(m.start(), 2, "hex", m.end()) for m in re.finditer(secret_scan.HEX, t) if len(m[0]) >= 24]
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(want))
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert took[1] < 40 * took[0]  # the square would be a hundredfold
+
+
+def test_label_model_rows_are_probabilities_and_recover_known_rates():
+    r = np.random.default_rng(12)
+    n, good_bad_vote, bad_bad_vote = 40000, np.array([0.02, 0.01, 0.03, 0.02, 0.015]), np.array([0.7, 0.5, 0.6, 0.45, 0.8])
+    good = r.random(n) < 0.8
+    votes = np.where(r.random((n, 5)) < np.where(good[:, None], good_bad_vote, bad_bad_vote), -1, 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.fit(patterns, counts.astype(float), prior=0.8)
+    for rows in (model.given_good, model.given_bad):
+        assert np.allclose(rows.sum(axis=1), 1) and (rows > 0).all() and (rows < 1).all()
+    assert abs(model.prior - 0.8) < 0.02
+    assert np.abs(model.given_good[:, 0] - good_bad_vote).max() < 0.02 and np.abs(model.given_bad[:, 0] - bad_bad_vote).max() < 0.06
+    assert ((model.posterior(votes) >= 0.5) == good).mean() > 0.97
+    none = quality_rules.fit(np.zeros((0, 5), int), np.zeros(0))
+    assert none.prior == 0.85  # an empty table keeps what it began with
+
+
+def test_label_model_of_the_given_table_is_normalised(spark, sf):
+    stats = quality_rules.with_stats(spark.read.parquet(f"{sf}/documents.parquet"))
+    model = quality_rules.fitted(stats)
+    for rows in (model.given_good, model.given_bad):
+        assert np.allclose(rows.sum(axis=1), 1) and (rows > 0).all()
+    assert (model.given_bad[:, 0] >= 10 * model.given_good[:, 0] - 1e-9).all() and (model.given_good[:, 2] >= model.given_bad[:, 2] - 1e-9).all()
+
+
 def test_repeated_rows_are_kept(docs):
     for name in ("secrets", "quality", "licence", "tokens", "mix", "lines", "near", "suffix"):
         assert Counter(r.doc_id for r in OPERATORS[name](docs).collect())[17] == 2

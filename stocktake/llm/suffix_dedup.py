@@ -1,15 +1,17 @@
-"""Suffix-array dedup: a logarithmic family of sorted suffix indexes finds 50-byte strings that stand in an earlier document.
+"""Suffix-array dedup: a logarithmic family of suffix arrays finds 50-byte strings that stand in an earlier document.
 
-Suffixes are sampled alike in every text: of each 50-byte window, the suffix that
-starts at the smallest hash of ANCHOR bytes. Equal windows pick equal suffixes, so
-no match is lost. Suffixes are ordered by fingerprints of their leading bytes.
+Suffixes are sampled alike in every text: of each 50-byte window, the anchor is the ANCHOR
+bytes of the smallest hash, and consecutive windows with one anchor are a run. Equal windows have
+equal anchors, so what can match meets where its anchor is dealt to. There the bytes of runs, and then
+of windows, are sorted in byte order, and sorted lists are scanned against each other. Hashes
+only deal out work and screen it: matches are found on bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +27,12 @@ from .shingles import mixed, powers, prefix_sums
 
 WINDOW = 50
 ANCHOR = 24
-SPAN = WINDOW - ANCHOR + 1  # anchors of a window
-_LOW48, _LOW56 = np.uint64((1 << 48) - 1), np.uint64((1 << 56) - 1)
-
+SPAN = WINDOW - ANCHOR + 1  # anchors of a window, and windows of a run at most
+REACH = WINDOW + SPAN - 1  # bytes of a run at most
+BATCH = 1 << 16  # suffixes of a batch, about
+WINDOWS = 1 << 20  # windows that are sorted against each other at once, about
+WHOLE = np.uint32(0xFFFFFFFF)  # mark of a run that stands in an earlier chunk as it is
+_LOW48 = np.uint64((1 << 48) - 1)
 
 @dataclass
 class Runs:
@@ -78,29 +83,104 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Runs:
     return Runs(doc[new], first, last, value[new], content, sums)
 
 
-class Levels:
-    """Sorted fingerprints of the batches so far. A new batch becomes a level of its own; levels of equal size merge."""
+def strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int, size: int) -> np.ndarray:
+    """Substrings of at most `size` bytes, as byte strings of fixed width that sort in byte order; the last byte is the length."""
+    places = np.arange(size)
+    at = np.minimum(starts[:, None] + places, max(len(data) - 1, 0))
+    out = np.empty((len(starts), size + 1), np.uint8)
+    out[:, :size] = data[at]
+    if not np.isscalar(lengths):
+        out[:, :size][places >= np.asarray(lengths)[:, None]] = 0
+    out[:, size] = lengths
+    return out.reshape(-1).view(f"S{size + 1}")
+
+
+class SuffixLevels:
+    """Suffix arrays of the batches so far: leading bytes of their suffixes in byte order. A new batch becomes a level; levels of equal size merge."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, np.ndarray]] = []
 
-    def seen(self, batch: np.ndarray) -> np.ndarray:
-        """Whether a fingerprint of the sorted batch stands in a level: each level is scanned alongside it."""
-        out = np.zeros(len(batch), bool)
+    def seen(self, batch: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """Whether each suffix of the batch stands in an earlier chunk, of this batch or of a level; the batch joins the family.
+
+        chunk: rising. The batch is sorted, and each level is scanned alongside it: both
+        are in order, and a suffix has a match where its neighbour there has all its bytes.
+        """
+        order = np.argsort(batch, kind="stable")
+        sorted_, of = batch[order], chunk[order]
+        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(batch) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        first = sorted_[new]
+        known = np.zeros(len(first), bool)
         for _, level in self.levels:
-            at = np.searchsorted(level, batch)
-            at[at == len(level)] = 0
-            out |= level[at] == batch if len(level) else False
+            if len(level):
+                at = np.searchsorted(level, first)
+                at[at == len(level)] = 0
+                known |= level[at] == first
+        out = np.empty(len(batch), bool)
+        out[order] = known[group] | (of > of[new][group])
+        self._add(first[~known])
         return out
 
-    def add(self, batch: np.ndarray) -> None:
+    def _add(self, level: np.ndarray) -> None:
         size = 1
         while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            both = np.concatenate([level, batch])
-            both.sort(kind="stable")  # merges two sorted runs
-            batch, size = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both, size * 2
-        self.levels.append((size, batch))
+            _, other = self.levels.pop()
+            level, size = np.sort(np.concatenate([other, level]), kind="stable"), size * 2  # two sorted runs merge in one pass
+        self.levels.append((size, level))
+
+
+def _batches(chunk: np.ndarray, size: int) -> Iterator[slice]:
+    """Whole chunks in order, about `size` rows at a time."""
+    cuts = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]]) if len(chunk) else np.zeros(1, np.int64)
+    start = 0
+    for stop in cuts[1:].tolist():
+        if stop - start >= size or stop == len(chunk):
+            yield slice(start, stop)
+            start = stop
+
+
+def marks_of(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """For each run (bytes that stand one after the other in data) of chunks in order, which of its windows stand in an earlier chunk.
+
+    A bit for each window, or WHOLE. Runs are suffixes of at most REACH bytes; those
+    that are not known as a whole, and whose anchor has other runs as well, are parted into windows.
+    """
+    starts = np.cumsum(lengths) - lengths
+    known = np.zeros(len(lengths), bool)
+    levels = SuffixLevels()
+    for part in _batches(chunk, BATCH):
+        known[part] = levels.seen(strings(data, starts[part], lengths[part], REACH), chunk[part])
+    marks = np.where(known, WHOLE, np.uint32(0))
+    fresh = np.sort(anchors[~known])
+    several = np.unique(fresh[1:][fresh[1:] == fresh[:-1]])
+    open_ = np.flatnonzero(~known & np.isin(anchors, several))
+    n = lengths - WINDOW + 1
+    parts = max(1, math.ceil(int(n[open_].sum()) / WINDOWS))
+    dealt = (mixed(anchors[open_].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    for i in range(parts):
+        own = open_[dealt == i]  # windows match only where anchors do
+        levels = SuffixLevels()
+        for part in _of_runs(chunk[own], n[own]):
+            mine = own[part]
+            sizes = n[mine]
+            before = np.cumsum(sizes) - sizes
+            nth = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+            at = np.repeat(starts[mine], sizes) + nth
+            seen = levels.seen(strings(data, at, WINDOW, WINDOW), np.repeat(chunk[mine], sizes))
+            marks[mine] = np.bitwise_or.reduceat(seen.astype(np.uint32) << nth.astype(np.uint32), before)
+    return marks
+
+
+def _of_runs(chunk: np.ndarray, n: np.ndarray) -> Iterator[slice]:
+    """Runs of whole chunks in order, with about BATCH windows at a time."""
+    total, start = np.cumsum(n), 0
+    for part in _batches(chunk, 1):
+        done = int(total[start - 1]) if start else 0
+        if int(total[part.stop - 1]) - done >= BATCH or part.stop == len(chunk):
+            yield slice(start, part.stop)
+            start = part.stop
 
 
 def _packed(x: np.ndarray, size: int) -> bytes:
@@ -114,73 +194,109 @@ def _unpacked(data: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _grouped(keys: list[np.ndarray], text: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each item, first item of each group): items of equal keys, last key first, whose texts are equal to the bytes."""
+    order = np.lexsort(keys)
+    differs = np.zeros(len(order), bool)
+    for k in keys:
+        differs[1:] |= k[order][1:] != k[order][:-1]
+    if len(order):
+        differs[0] = True
+    head = order[np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))]
+    rest = np.flatnonzero(~differs)
+    odd = rest[text(order[rest]) != text(head[rest])] if len(rest) else rest
+    if len(odd):  # keys that collide: their items are grouped by text alone
+        number = np.cumsum(differs) - 1
+        bad = np.flatnonzero(np.isin(number, number[odd]))
+        values, of = np.unique(text(order[bad]), return_inverse=True)
+        again = np.lexsort((of.reshape(-1), number[bad]))
+        order[bad] = order[bad][again]
+        of, number = of.reshape(-1)[again], number[bad][again]
+        differs[bad] = np.concatenate([[True], (of[1:] != of[:-1]) | (number[1:] != number[:-1])])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(differs) - 1
+    return group, order[differs]
+
+
 class Chunk:
-    """The documents of one chunk, and its distinct (anchor, content) entries in the order in which buckets get them."""
+    """The documents of one chunk, its anchors in the order in which buckets get them, and its entries: runs of different bytes."""
 
-    def __init__(self, row, buckets: int) -> None:
+    def __init__(self, row, buckets: int, bits: int) -> None:
         self.ids = np.frombuffer(row["doc_ids"], "<i8")
         lengths = np.frombuffer(row["lengths"], "<i8")
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["payload"], max_output_size=max(1, int(lengths.sum()))), np.uint8)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.runs = r = runs(self.data, self.starts, self.ends)
-        self.buckets = buckets
-        spread = mixed(r.anchor)  # anchors are smallest hashes, so their own high bits are not even
-        bucket = self._bucket(spread)
-        anchor, content = spread & _LOW48, r.content & _LOW56
-        order = np.lexsort((content, anchor, bucket))
-        b, a, c = bucket[order], anchor[order], content[order]
-        new = np.concatenate([[True], (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])]) if len(b) else np.zeros(0, bool)
-        self.bucket, self.anchor, self.content = b[new], a[new], c[new]
-        self.entry = np.empty(len(order), np.int64)  # of each run
-        self.entry[order] = np.cumsum(new) - 1
-
-    def _bucket(self, hashes: np.ndarray) -> np.ndarray:
+        self.buckets, self.mask = buckets, np.uint64((1 << 64) - (1 << (64 - bits)))
+        self.lengths = r.last + WINDOW - r.first
+        # anchors are smallest hashes, so their own high bits are not even; buckets rise with the remixed ones
+        self.spread = mixed(r.anchor) & self.mask
+        self.anchors, of = np.unique(self.spread, return_inverse=True)
+        self.anchor_of = of.reshape(-1)
+
+    def group(self) -> None:
+        """entry: of each run; heads: a run of each entry, by rising anchors."""
+        r = self.runs
+        self.entry, self.heads = _grouped([r.content & self.mask, self.spread], lambda i: strings(self.data, r.first[i], self.lengths[i], REACH))
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
 
-    def parts(self, bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        return ((i, slice(int(cuts[i]), int(cuts[i + 1]))) for i in range(self.buckets) if cuts[i] < cuts[i + 1])
-
-    def marks(self, bits: pd.DataFrame, bucket: np.ndarray, nth: int) -> np.ndarray:
-        """The bits that buckets returned for entries in the order of `bucket`."""
-        out = np.zeros(len(bucket), bool)
-        got = dict(zip(bits["bucket"].tolist(), bits[f"bits{nth}"].tolist()))
-        for i, own in self.parts(bucket):
-            out[own] = np.unpackbits(np.frombuffer(got[i], np.uint8), count=own.stop - own.start).astype(bool)
+    def parts(self, hashes: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Buckets and the part of rising hashes that each gets."""
+        bucket = self.bucket(hashes)
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+        return ((int(bucket[a]), slice(a, b)) for a, b in zip(cuts.tolist(), cuts[1:].tolist()))
+
+    def returned(self, rows: pd.DataFrame, hashes: np.ndarray, read: Callable[[bytes, int], np.ndarray], kind) -> np.ndarray:
+        """What buckets returned for the hashes that they got."""
+        out = np.zeros(len(hashes), kind)
+        got = dict(zip(rows["bucket"].tolist(), rows["data"].tolist()))
+        for i, own in self.parts(hashes):
+            out[own] = read(got[i], own.stop - own.start)
         return out
 
-    def open_windows(self, seen: np.ndarray, ambiguous: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of runs whose anchor has several contents and whose content no earlier chunk has.
+    def sent(self, shared: np.ndarray) -> np.ndarray:
+        """Entries whose anchor stands in several chunks."""
+        return np.flatnonzero(shared[self.anchor_of[self.heads]])
 
-        (start, run, entry) of each, then bucket and hash of the distinct ones in order.
-        """
-        at, hashes, run = self.runs.windows(np.flatnonzero((ambiguous & ~seen)[self.entry]))
-        values, entry = np.unique(hashes, return_inverse=True)  # the bucket rises with the hash
-        return at, run, entry.reshape(-1), self._bucket(values), values
-
-    def removed(self, seen: np.ndarray, ambiguous: np.ndarray, windows_seen) -> np.ndarray:
-        """Bytes covered by windows that start in an earlier document, of this chunk or one before."""
-        r, ids = self.runs, self.ids
-        least = np.full(len(self.anchor), np.iinfo(np.int64).max)
+    def removed(self, marks: np.ndarray) -> np.ndarray:
+        """Bytes covered by windows that start in an earlier document, of this chunk or one before. marks: of entries."""
+        r, ids, mark = self.runs, self.ids, marks[self.entry]
+        least = np.full(len(self.heads), np.iinfo(np.int64).max)
         np.minimum.at(least, self.entry, ids[r.doc])
-        whole = seen[self.entry] | (least[self.entry] < ids[r.doc])
+        whole = (mark == WHOLE) | (least[self.entry] < ids[r.doc])
         edge = np.zeros(len(self.data) + 1, np.int64)
         np.add.at(edge, r.first[whole], 1)
         np.add.at(edge, r.last[whole] + WINDOW, -1)
-        at, run, entry, bucket, values = self.open_windows(seen, ambiguous)
+        # windows of runs whose anchor has several entries here, or of which a bucket knows some
+        entries = np.bincount(self.anchor_of[self.heads], minlength=len(self.anchors))
+        open_ = (mark != WHOLE) & ((entries[self.anchor_of] > 1) | (mark != 0))
+        at, hashes, run = r.windows(np.flatnonzero(open_))
         if len(at):
-            least = np.full(len(values), np.iinfo(np.int64).max)
-            np.minimum.at(least, entry, ids[r.doc[run]])
-            hit = windows_seen(bucket)[entry] | (least[entry] < ids[r.doc[run]])
+            hit = (mark[run] >> (at - r.first[run]).astype(np.uint32) & np.uint32(1)).astype(bool)
+            group, heads = _grouped([hashes & self.mask], lambda i: strings(self.data, at[i], WINDOW, WINDOW))
+            least = np.full(len(heads), np.iinfo(np.int64).max)
+            np.minimum.at(least, group, ids[r.doc[run]])
+            hit |= least[group] < ids[r.doc[run]]
             np.add.at(edge, at[hit], 1)
             np.add.at(edge, at[hit] + WINDOW, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
 _CHUNK = "chunk long, doc_ids binary, lengths binary, payload binary"
-_ENTRIES = "bucket int, chunk long, anchors binary, contents binary"
-_BITS = "bucket int, chunk long, step int, bits0 binary, bits1 binary"
+_ANCHORS = "bucket int, chunk long, anchors binary"
+_ENTRIES = "bucket int, chunk long, anchors binary, lengths binary, runs binary"
+_BACK = "bucket int, chunk long, step int, data binary"
+
+
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def _marks(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, 4 * n)), "<u4")
 
 
 def _chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -210,7 +326,7 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.repartitionByRange("doc").sortWithinPartitions("doc").mapInArrow(run, _CHUNK)
 
 
-def deduplicated(docs: DataFrame, chunk_bytes: int = 2_000_000) -> DataFrame:
+def deduplicated(docs: DataFrame, chunk_bytes: int = 2_000_000, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (its spans, binary pairs of 64-bit places) for docs(doc_id, text).
 
     Whole texts as UTF-8 bytes. A byte is removed if a string of 50 bytes that covers
@@ -218,79 +334,75 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = 2_000_000) -> DataFrame:
     texts under 50 bytes stay whole. Rows without a doc_id are left out; rows that
     repeat do not remove each other; an empty table gives no rows.
 
-    Batches are chunks of documents in ascending order. Each sends the sorted
-    fingerprints of its suffixes, once each, to hash buckets; there a logarithmic
-    family of levels takes the batches in order and says which entries stand in an
-    earlier one. Entries that share their anchor but not all bytes around it are
-    settled in a second pass, window by window.
+    Batches are chunks of documents in ascending order. Anchors that only one chunk has
+    are screened out by hash; the runs of the others are sent, once each, with their bytes to hash buckets.
+    There a logarithmic family of suffix arrays takes them in order and says which
+    stand in an earlier chunk. bits: how many bits of hashes are used; fewer make more candidates and no other result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter(F.col("doc").isNotNull())
     chunks = settle(_chunks(docs, chunk_bytes), "chunks")
     total = chunks.agg(F.count("*")).first()[0] * chunk_bytes
-    buckets = max(width(spark), math.ceil(total / 8_000_000))
+    buckets = max(width(spark), math.ceil(total / 16_000_000))
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def screen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.to_dict("records"):
-                c = Chunk(row, buckets)
-                rows = [(i, row["chunk"], _packed(c.anchor[own], 6), _packed(c.content[own], 7)) for i, own in c.parts(c.bucket)]
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "anchors", "contents"])
+                c = Chunk(row, buckets, bits)
+                yield pd.DataFrame([(i, row["chunk"], _packed(c.anchors[own] & _LOW48, 6)) for i, own in c.parts(c.anchors)], columns=["bucket", "chunk", "anchors"])
 
-    def scan(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("chunk")
-        levels, all_anchors, all_values, firsts = Levels(), [], [], []
-        for a, c in zip(f["anchors"], f["contents"]):
-            anchor, content = _unpacked(a, 6), _unpacked(c, 7)
-            value = mixed(content + mixed(anchor))
-            order = np.argsort(value, kind="stable")
-            seen = np.empty(len(value), bool)
-            seen[order] = levels.seen(value[order])
-            levels.add(value[order])
-            all_anchors.append(anchor)
-            all_values.append(value)
-            firsts.append(seen)
-        fresh = np.concatenate([a[~s] for a, s in zip(all_anchors, firsts)])  # each (anchor, content) once
-        fresh.sort()
-        several = np.unique(fresh[1:][fresh[1:] == fresh[:-1]])
-        rows = [(i, c, 0, np.packbits(s).tobytes(), np.packbits(np.isin(a, several)).tobytes()) for i, c, s, a in zip(f["bucket"], f["chunk"], firsts, all_anchors)]
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "step", "bits0", "bits1"])
-
-    def send_open(own: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+    def shared(f: pd.DataFrame) -> pd.DataFrame:
+        own = [_unpacked(x, 6) for x in f["anchors"]]
+        every = np.sort(np.concatenate(own))
+        several = np.unique(every[1:][every[1:] == every[:-1]])
+        rows = [(i, c, 0, np.packbits(np.isin(x, several)).tobytes()) for i, c, x in zip(f["bucket"], f["chunk"], own)]
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "step", "data"])
+
+    def send(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in own.to_dict("records"):
-            c = Chunk(row, buckets)
-            *_, bucket, values = c.open_windows(c.marks(bits, c.bucket, 0), c.marks(bits, c.bucket, 1))
-            rows += [(i, row["chunk"], values[part].astype("<u8").tobytes()) for i, part in c.parts(bucket)]
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "anchors"]).assign(contents=b"")
-
-    def scan_open(f: pd.DataFrame) -> pd.DataFrame:
-        levels, rows = Levels(), []
-        for i, c, data in f.sort_values("chunk")[["bucket", "chunk", "anchors"]].itertuples(index=False):
-            values = np.frombuffer(data, "<u8")
-            rows.append((i, c, 1, np.packbits(levels.seen(values)).tobytes(), b""))
-            levels.add(values)
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "step", "bits0", "bits1"])
-
-    def finish(own: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+            c = Chunk(row, buckets, bits)
+            c.group()
+            heads = c.heads[c.sent(c.returned(back, c.anchors, _bits, bool))]
+            spread, lengths = c.spread[heads], c.lengths[heads].astype(np.uint8)
+            text = strings(c.data, c.runs.first[heads], lengths, REACH).view(np.uint8).reshape(-1, REACH + 1)[:, :REACH]
+            inside = np.arange(REACH) < lengths[:, None]
+            for i, part in c.parts(spread):
+                rows.append((i, row["chunk"], spread[part].astype("<u4").tobytes(), lengths[part].tobytes(), zstandard.ZstdCompressor(level=1).compress(text[part][inside[part]].tobytes())))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "anchors", "lengths", "runs"])
+
+    def scan(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("chunk")
+        lengths = [np.frombuffer(x, np.uint8).astype(np.int64) for x in f["lengths"]]
+        text = b"".join(zstandard.ZstdDecompressor().decompress(x, max_output_size=max(1, int(n.sum()))) for x, n in zip(f["runs"], lengths))
+        anchors = np.frombuffer(b"".join(f["anchors"]), "<u4")
+        sizes = [len(x) for x in lengths]
+        marks = marks_of(np.frombuffer(text, np.uint8), np.concatenate(lengths), anchors, np.repeat(np.arange(len(f)), sizes))
+        parts = np.split(marks.astype("<u4"), np.cumsum(sizes)[:-1])
+        rows = [(i, c, 1, zstandard.ZstdCompressor(level=1).compress(x.tobytes())) for i, c, x in zip(f["bucket"], f["chunk"], parts)]
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "step", "data"])
+
+    def finish(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in own.to_dict("records"):
-            c = Chunk(row, buckets)
-            first, second = bits[bits["step"] == 0], bits[bits["step"] == 1]
-            gone = c.removed(c.marks(first, c.bucket, 0), c.marks(first, c.bucket, 1), lambda bucket: c.marks(second, bucket, 0))
+            c = Chunk(row, buckets, bits)
+            c.group()
+            sent = c.sent(c.returned(back[back["step"] == 0], c.anchors, _bits, bool))
+            marks = np.zeros(len(c.heads), np.uint32)
+            marks[sent] = c.returned(back[back["step"] == 1], c.spread[c.heads[sent]], _marks, np.uint32)
+            gone = c.removed(marks)
             for doc, a, b in zip(c.ids.tolist(), c.starts.tolist(), c.ends.tolist()):
                 mark = gone[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]]))).astype("<i8")
                 rows.append((doc, b - a, int(mark.sum()), len(edges) // 2, hashlib.sha256(c.data[a:b][~mark].tobytes()).hexdigest(), edges.tobytes()))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    sent = chunks.mapInPandas(send, _ENTRIES)
-    bits = settle(sent.groupBy("bucket").applyInPandas(scan, _BITS), "bits")
+    back = settle(chunks.mapInPandas(screen, _ANCHORS).groupBy("bucket").applyInPandas(shared, _BACK), "bits")
     own = lambda: chunks.select(*(F.col(c).alias(c) for c in chunks.columns)).groupBy("chunk")
-    opened = own().cogroup(bits.groupBy("chunk")).applyInPandas(send_open, _ENTRIES)
-    more = settle(opened.groupBy("bucket").applyInPandas(scan_open, _BITS), "bits")
-    return own().cogroup(bits.union(more).groupBy("chunk")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary")
+    sent = own().cogroup(back.groupBy("chunk")).applyInPandas(send, _ENTRIES)
+    marks = settle(sent.groupBy("bucket").applyInPandas(scan, _BACK), "marks")
+    return own().cogroup(back.union(marks).groupBy("chunk")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -123,10 +123,10 @@ def test_weak_parts_alone_are_not_reported(spark):
     assert {d: r.spans != "" for d, r in by_id(secret_scan.scan(lone)).items()} == {1: False, 2: True, 3: False, 4: False}
 
 
-@pytest.mark.parametrize("chunk", [2_000_000, 500])
-def test_suffixes(docs, chunk):
+def removed_brute(texts):
+    """n_bytes, n_removed, n_spans, kept_sha256 by doc_id for (doc_id, text) pairs."""
     seen, want = {}, {}
-    for d, t in sorted(set(TEXTS), key=lambda x: x[0]):
+    for d, t in sorted(set(texts), key=lambda x: x[0]):
         data = (t or "").encode()
         mark = bytearray(len(data))
         own = [data[i : i + 50] for i in range(len(data) - 49)]
@@ -136,18 +136,48 @@ def test_suffixes(docs, chunk):
         seen.update(dict.fromkeys(own, d))
         kept = bytes(x for x, m in zip(data, mark) if not m)
         want[d] = (len(data), sum(mark), sum(1 for _ in filter(None, bytes(mark).split(b"\0"))), hashlib.sha256(kept).hexdigest())
-    got = suffix_dedup.deduplicated(docs, chunk).collect()
+    return want
+
+
+# Hashes cut to a few bits collide all the time; they only screen and deal out work, so nothing may change.
+@pytest.mark.parametrize("chunk,bits", [(2_000_000, 64), (500, 64), (500, 3), (2_000_000, 2)])
+def test_suffixes(docs, chunk, bits):
+    want = removed_brute(TEXTS)
+    got = suffix_dedup.deduplicated(docs, chunk, bits).collect()
     assert len(got) == len(TEXTS) and all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
 
 
+@pytest.mark.parametrize("bits", [64, 4])
+def test_suffixes_of_shuffled_passages(spark, bits):
+    """Passages that overlap in part, with NUL bytes, in documents of many chunks."""
+    r = random.Random(21)
+    alphabet = ["ab", "\0", "é", " the ", "zz", "q"]
+    passages = ["".join(r.choice(alphabet) for _ in range(r.randint(20, 90))) for _ in range(12)]
+    texts = []
+    for d in range(60):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            p = r.choice(passages)
+            i, j = sorted((r.randint(0, len(p)), r.randint(0, len(p))))
+            parts += [p[i:j] if r.random() < 0.5 else p, "".join(r.choice(alphabet) for _ in range(r.randint(0, 12)))]
+        texts.append((d, "".join(parts)))
+    want = removed_brute(texts)
+    got = suffix_dedup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 700, bits).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == want
+    assert sum(w[1] for w in want.values()) > 1000
+
+
 def test_suffix_levels_merge_geometrically():
-    levels, r, seen = suffix_dedup.Levels(), np.random.default_rng(0), set()
+    levels, r, seen = suffix_dedup.SuffixLevels(), np.random.default_rng(0), set()
     for n in range(1, 30):
-        batch = np.unique(r.integers(0, 500, 40, dtype=np.uint64))
-        assert levels.seen(batch).tolist() == [x in seen for x in batch.tolist()]
-        levels.add(batch)
+        batch = np.array([b"%03d\1" % x for x in r.integers(0, 500, 40)], "S5")
+        chunk = np.repeat([2 * n, 2 * n + 1], 20)
+        first = set(batch[:20].tolist())
+        want = [x in seen or i >= 20 and x in first for i, x in enumerate(batch.tolist())]
+        assert levels.seen(batch, chunk).tolist() == want
         seen |= set(batch.tolist())
         assert [s for s, _ in levels.levels] == [1 << i for i in range(6, -1, -1) if n >> i & 1]
+        assert all((level[1:] > level[:-1]).all() for _, level in levels.levels)  # in byte order, each suffix once
 
 
 def shingles(text):

@@ -54,6 +54,30 @@ class Runs:
         return at, mixed((self.sums[at + WINDOW] - self.sums[at]) * down[at]), run
 
 
+_PLACE_BITS = 24
+
+
+def _leftmost_smallest(value: np.ndarray) -> np.ndarray:
+    """The place of the leftmost smallest of each SPAN neighbours, in rounds that compare 2, 4, ... and then SPAN of them. value: 40 bits."""
+    place = np.arange(len(value), dtype=np.uint64)
+    small = len(value) < 1 << _PLACE_BITS
+    if small:  # one number for both: the smallest value, then the leftmost place
+        value = value << np.uint64(_PLACE_BITS) | place
+    step = 1
+    while True:
+        shift = min(step, SPAN - step)
+        if small:
+            value = np.minimum(value[shift:], value[:-shift])
+        else:
+            less = value[shift:] < value[:-shift]
+            value = np.where(less, value[shift:], value[:-shift])
+            place = np.where(less, place[shift:], place[:-shift])
+        if step + shift >= SPAN:
+            break
+        step *= 2
+    return (value & np.uint64((1 << _PLACE_BITS) - 1) if small else place).astype(np.int64)
+
+
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Runs:
     """The runs of documents that stand from starts to ends in data."""
     sums = prefix_sums(data)
@@ -64,23 +88,19 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Runs:
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), sums)
     value = mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(sums) - ANCHOR])
-    place = np.arange(len(value), dtype=np.int32)
-    step = 1
-    while True:  # the leftmost smallest of 2, 4, ... and then of SPAN values
-        shift = min(step, SPAN - step)
-        less = value[shift:] < value[:-shift]
-        value = np.where(less, value[shift:], value[:-shift])
-        place = np.where(less, place[shift:], place[:-shift])
-        if step + shift >= SPAN:
-            break
-        step *= 2
+    place = _leftmost_smallest(value >> np.uint64(_PLACE_BITS))
+    inside = np.zeros(len(place) + 1, np.int8)  # whether a window stands in one document
+    long = lengths > 0
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, (starts + lengths)[long], -1)
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    place = place[at]
     doc = np.repeat(np.arange(len(starts)), lengths)
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    value, place = value[at], place[at]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
     first, last = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1]
+    value, place = value[place[new]], None
     content = mixed((sums[last + WINDOW] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    return Runs(doc[new], first, last, value[new], content, sums)
+    return Runs(doc[new], first, last, value, content, sums)
 
 
 def strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int, size: int) -> np.ndarray:
@@ -131,6 +151,13 @@ class SuffixLevels:
         self.levels.append((size, level))
 
 
+def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the rising ones."""
+    if not len(rising):
+        return np.zeros(len(values), bool)
+    return rising[np.minimum(np.searchsorted(rising, values), len(rising) - 1)] == values
+
+
 def _batches(chunk: np.ndarray, size: int) -> Iterator[slice]:
     """Whole chunks in order, about `size` rows at a time."""
     cuts = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]]) if len(chunk) else np.zeros(1, np.int64)
@@ -154,8 +181,8 @@ def marks_of(data: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, chunk:
         known[part] = levels.seen(strings(data, starts[part], lengths[part], REACH), chunk[part])
     marks = np.where(known, WHOLE, np.uint32(0))
     fresh = np.sort(anchors[~known])
-    several = np.unique(fresh[1:][fresh[1:] == fresh[:-1]])
-    open_ = np.flatnonzero(~known & np.isin(anchors, several))
+    several = fresh[1:][fresh[1:] == fresh[:-1]]
+    open_ = np.flatnonzero(~known & _among(anchors, several))
     n = lengths - WINDOW + 1
     parts = max(1, math.ceil(int(n[open_].sum()) / WINDOWS))
     dealt = (mixed(anchors[open_].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -199,7 +226,8 @@ def _grouped(keys: list[np.ndarray], text: Callable[[np.ndarray], np.ndarray]) -
     order = np.lexsort(keys)
     differs = np.zeros(len(order), bool)
     for k in keys:
-        differs[1:] |= k[order][1:] != k[order][:-1]
+        k = k[order]
+        differs[1:] |= k[1:] != k[:-1]
     if len(order):
         differs[0] = True
     head = order[np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))]
@@ -232,12 +260,13 @@ class Chunk:
         self.lengths = r.last + WINDOW - r.first
         # anchors are smallest hashes, so their own high bits are not even; buckets rise with the remixed ones
         self.spread = mixed(r.anchor) & self.mask
-        self.anchors, of = np.unique(self.spread, return_inverse=True)
-        self.anchor_of = of.reshape(-1)
+        rising = np.sort(self.spread)
+        self.anchors = rising[np.concatenate([[True], rising[1:] != rising[:-1]])] if len(rising) else rising
 
     def group(self) -> None:
-        """entry: of each run; heads: a run of each entry, by rising anchors."""
+        """entry: of each run; heads: a run of each entry, by rising anchors; anchor_of: the anchor of each run."""
         r = self.runs
+        self.anchor_of = np.searchsorted(self.anchors, self.spread)
         self.entry, self.heads = _grouped([r.content & self.mask, self.spread], lambda i: strings(self.data, r.first[i], self.lengths[i], REACH))
 
     def bucket(self, hashes: np.ndarray) -> np.ndarray:
@@ -355,8 +384,8 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = 2_000_000, bits: int = 64)
     def shared(f: pd.DataFrame) -> pd.DataFrame:
         own = [_unpacked(x, 6) for x in f["anchors"]]
         every = np.sort(np.concatenate(own))
-        several = np.unique(every[1:][every[1:] == every[:-1]])
-        rows = [(i, c, 0, np.packbits(np.isin(x, several)).tobytes()) for i, c, x in zip(f["bucket"], f["chunk"], own)]
+        several = every[1:][every[1:] == every[:-1]]
+        rows = [(i, c, 0, np.packbits(_among(x, several)).tobytes()) for i, c, x in zip(f["bucket"], f["chunk"], own)]
         return pd.DataFrame(rows, columns=["bucket", "chunk", "step", "data"])
 
     def send(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:

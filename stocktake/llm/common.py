@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stocktake.operators.ordering import numbered
 from stocktake.sources.scratch import new_folder, settle, shared_dir
 
-__all__ = ["WORD", "n_words", "new_folder", "own_ids", "row_keys", "settle", "shared_dir", "small_batches", "table", "width"]
+__all__ = ["WORD", "n_words", "new_folder", "own_ids", "row_keys", "settle", "shared_dir", "small_batches", "table", "width", "with_facts"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,19 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with the one row of facts that has their keys; facts(n): how many rows have these keys, total: how many rows there are.
+
+    Keys of more than a small share of the rows would each be one task's work. There are
+    at most 4 of them for each shuffle partition, because they hold that share each, so they are
+    broadcast and their rows stay where they are. The others are joined as usual.
+    """
+    most = max(1, total // (4 * width(rows.sparkSession)))
+    hot = F.broadcast(facts.filter(F.col(n) > most))
+    rest = rows.join(hot.select(keys), keys, "left_anti").join(facts.filter(F.col(n) <= most), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def _id_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """The doc_ids that several rows of docs have; how many they are, and how many rows have none."""
     counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))

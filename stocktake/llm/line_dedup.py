@@ -9,31 +9,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_keys, settle, small_batches, table
+from .common import row_keys, settle, small_batches, table, with_facts
+from .shingles import mixed
 
 #: A line is parted into so many blocks; lines within one edit agree in all blocks but one.
 BLOCKS = 3
+EMITTED = 1 << 17  # variants that a task holds before it hands them on, and those of one line more
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def deletion_keys(line: str) -> tuple[np.ndarray, np.uint64]:
     """Hashes of the line without its ith code point for each i, and of the whole line."""
-    points = _mixed(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + _BASE)
+    points = mixed(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + _BASE)
     powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(points), _BASE)]))
     before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * powers[:-1], dtype=np.uint64)])
     return before[:-1] + (before[-1] - before[1:]) * _BASE_INVERSE, before[-1]
 
 
-def variants(line: str, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(key, role) of the variants of a line whose edit lies in one of its open blocks.
+def variants(line: str, blocks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and roles of the variants of a line whose edit lies in one of its open blocks.
 
     blocks: (shorter, j): block j of the line seen as one of n code points, n its own
     length, or one less where shorter is 1. Roles: 0 for a line that loses one of n
@@ -42,16 +37,15 @@ def variants(line: str, blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """
     less, whole = deletion_keys(line)
     size = len(line)
-    out = {(int(_mixed(np.array([whole]) ^ np.uint64(size))[0]), 1)}
+    keys, roles = [mixed(np.array([whole]) ^ np.uint64(size))], [1]
     for shorter, j in blocks:
         n = size - shorter
         low, high = n * j // BLOCKS, n * (j + 1) // BLOCKS + shorter
         at = np.arange(low, min(high, size))
-        if shorter:
-            out.update((k, 2) for k in _mixed(less[at] ^ np.uint64(n)).tolist())
-        else:
-            out.update((k, 0) for k in _mixed(_mixed(less[at] ^ np.uint64(n)) + at.astype(np.uint64) + np.uint64(1)).tolist())
-    return [(k - (1 << 64) if k >> 63 else k, role) for k, role in out]
+        own = mixed(less[at] ^ np.uint64(n))
+        keys.append(np.unique(own) if shorter else mixed(own + at.astype(np.uint64) + np.uint64(1)))
+        roles.append(2 if shorter else 0)
+    return np.concatenate(keys).view(np.int64), np.repeat(np.array(roles, np.int32), [len(k) for k in keys])
 
 
 def _block_keys(line: Column) -> Column:
@@ -67,6 +61,14 @@ def _block_keys(line: Column) -> Column:
     return F.array(*keys)
 
 
+def _frames(held: list[tuple]) -> Iterator[pd.DataFrame]:
+    sizes = [len(x[0]) for x in held]
+    columns = {"key": np.concatenate([x[0] for x in held]), "role": np.concatenate([x[1] for x in held])}
+    columns |= {name: np.repeat(np.array([x[j] for x in held], kind), sizes) for j, name, kind in ((2, "doc", np.int64), (3, "nth", np.int64), (4, "line_no", np.int32))}
+    whole = pd.DataFrame(columns)
+    yield from (whole.iloc[at : at + EMITTED] for at in range(0, len(whole), EMITTED))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines and the line numbers (from 0, rising) that line dedup drops from docs(doc_id, text).
 
@@ -89,7 +91,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     exploded = docs.select("doc", "nth", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.length("line") >= min_chars)
     ids = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
     lines = settle(exploded.select("doc", "nth", "line_no", *ids), "lines")
-    first = settle(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "nth", "line_no")).alias("first")), "lines")
+    first = settle(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "nth", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
 
     keys = exploded.select(ids[0], F.explode(_block_keys(F.col("line"))).alias("k")).select("h1", "k.*")
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key")
@@ -97,12 +99,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     wanted = first.join(open_, "h1").select("first.doc", "first.nth", "first.line_no", "h1", "h2", "blocks")
     wanted = wanted.groupBy("doc", "nth").agg(F.collect_list(F.struct("line_no", "h1", "h2", "blocks")).alias("wanted"))
     suspects = docs.join(wanted, ["doc", "nth"]).select("doc", "nth", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    suspects = settle(suspects.select("doc", "nth", "w.*", F.element_at("lines", F.col("w.line_no") + 1).alias("line")).dropDuplicates(["doc", "nth", "line_no"]), "lines")
+    suspects = settle(suspects.select("doc", "nth", "w.*", F.element_at("lines", F.col("w.line_no") + 1).alias("line")).filter(F.xxhash64("line") == F.col("h1")).dropDuplicates(["doc", "nth", "line_no"]), "lines")
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Variants in blocks of bounded size, however long a line is."""
+        held, rows = [], 0
         for f in frames:
-            rows = [(k, role, d, m, i) for d, m, i, line, blocks in zip(f["doc"], f["nth"], f["line_no"], f["line"], f["blocks"]) for k, role in variants(line, [(b["shorter"], b["j"]) for b in blocks])]
-            yield pd.DataFrame(rows, columns=["key", "role", "doc", "nth", "line_no"])
+            for d, m, i, line, blocks in zip(f["doc"], f["nth"], f["line_no"], f["line"], f["blocks"]):
+                keys, roles = variants(line, [(b["shorter"], b["j"]) for b in blocks])
+                held.append((keys, roles, d, m, i))
+                rows += len(keys)
+                if rows >= EMITTED:
+                    yield from _frames(held)
+                    held, rows = [], 0
+        if held:
+            yield from _frames(held)
 
     made = suspects.select("doc", "nth", "line_no", "line", "blocks").mapInPandas(emit, "key long, role int, doc long, nth long, line_no int")
     own = F.struct("doc", "nth", "line_no")
@@ -114,8 +125,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     checked = pairs.join(suspects.select("doc", "nth", "line_no", "h1", "h2", "line"), ["doc", "nth", "line_no"]).join(text, "partner")
     near = checked.filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2", F.lit(True).alias("near")).distinct()
 
-    judged = first.join(near, ["h1", "h2"], "left")
-    gone = lines.join(judged, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("first") != own))
+    # lines that stand once and are near nothing stay: only the others are looked up, and those that very many documents share are no one task's work
+    judged = settle(first.join(near, ["h1", "h2"], "left").filter("n > 1 or near is not null"), "judged")
+    total = judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = with_facts(lines, judged, ["h1", "h2"], "n", total).filter(F.col("near").isNotNull() | (F.col("first") != own))
     gone = gone.groupBy("doc", "nth").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
     counted = docs.select("doc", "nth", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"), F.col("text").isNull().alias("none"))
     out = counted.join(gone, ["doc", "nth"], "left")

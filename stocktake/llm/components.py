@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, with_facts
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,15 +13,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours and then the label of that
     label, so chains halve; it ends when no label changes. Minima are combined before
-    shuffles, so an id of many links is no hot group. Each round is cut by a written table.
+    shuffles, so an id of many links is no hot group; labels that very many ids have are
+    looked up without a shuffle of those ids. Each round is cut by a written table.
     """
     both = settle(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", "near").alias("low"))
-        of = labels.select(F.col("id").alias("of"), F.col("component").alias("next"))
-        new = settle(low.join(of, F.col("low") == F.col("of"), "left").select("id", F.least("low", "next").alias("component"), (F.least("low", "next") != F.col("component")).alias("changed")), "labels")
+        low = settle(labels.join(near, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", "near").alias("low")), "labels")
+        of = labels.select(F.col("id").alias("low"), F.col("component").alias("next"))
+        # every label is an id of its own, so each has a row here
+        facts = settle(low.groupBy("low").agg(F.count("*").alias("n")).join(of, "low"), "labels")
+        joined = with_facts(low, facts, ["low"], "n", low.count())
+        new = settle(joined.select("id", F.least("low", "next").alias("component"), (F.least("low", "next") != F.col("component")).alias("changed")), "labels")
         labels = new.select("id", "component")
         if new.filter("changed").isEmpty():
             return labels

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, table
+from .common import settle, small_batches, table, with_facts
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter(F.col("doc").isNotNull())
     sets = settle(_sets(docs), "sets")
     full = sets.filter("n_shingles > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc").alias("class"))
-    # any row of a class has its bands and sketch
-    reps = full.join(classes, ["d1", "d2"]).filter(F.col("doc") == F.col("class"))
+    classes = settle(full.groupBy("d1", "d2").agg(F.min("doc").alias("class"), F.count("*").alias("n")), "classes")
+    # any row of a class has its bands and sketch; rows of one doc_id may be of several classes
+    reps = full.join(classes.withColumnsRenamed({"d1": "c1", "d2": "c2"}), (F.col("doc") == F.col("class")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")))
     exploded = reps.select("doc", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).filter("center < last").select("key", "center")
     members = settle(exploded.join(buckets, "key").distinct(), "members")
@@ -233,10 +233,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(_confirmed(_apart(members, labels, wide, most), texts))
         labels = components(links)
     labels = labels.select(F.col("id").alias("class"), "component")
-    of = classes.join(labels, "class", "left").select("d1", "d2", F.coalesce("component", "class").alias("component"))
-    out = sets.select("doc", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"), (component == F.col("doc")).alias("kept"))
+    of = settle(classes.join(labels, "class", "left").select("d1", "d2", F.coalesce("component", "class").alias("component"), "n"), "classes")
+    total = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = with_facts(full.select("doc", "n_shingles", "d1", "d2"), of, ["d1", "d2"], "n", total).select("doc", "n_shingles", "component")
+    # a document without shingles is alone
+    out = out.unionByName(sets.filter("n_shingles = 0").select("doc", "n_shingles", F.col("doc").alias("component")))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("component") == F.col("doc")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,40 +10,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, settle, table, width
+from stocktake.operators.ordering import numbered
+
+from .common import n_words, settle, table, width, with_facts
 
 #: The dynamic program fits at most this many words exactly; larger budgets are first filled in equal shares of every length.
 EXACT_WORDS = 1 << 16
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Each source's target: shares by repeating weights of share times all sizes, at most `most` times the source's size.
+def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sources(no_source, of, source_size) with the target of each: shares by repeating weights of share times all sizes, at most `most` times the source's size.
 
-    The excess of sources at their bound is shared by weight among the others until
-    none is above; what no source can take is left out.
+    Sources go by code point, null last, and take the weights in turn. The excess of sources at their bound
+    is shared by weight among the others until none is above; what no source can take
+    is left out. Each round is one aggregation, and only its sums reach the driver, so there may be any number of
+    sources; a round ends at a level that only more sources can reach, so few are needed.
     """
-    left, open_, out = share * sum(sizes), list(range(len(sizes))), [0.0] * len(sizes)
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    while open_:
-        total = sum(weight[i] for i in open_)
-        full = [i for i in open_ if left * weight[i] / total >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * weight[i] / total
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-        left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in full]
-    return out
+    placed = numbered(sources, ["no_source", "of"])
+    turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    placed = settle(placed.withColumns({"weight": turn, "bound": F.col("source_size") * F.lit(float(most))}), "targets")
+    level, full = 0.0, 0
+    all_words = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    while True:
+        # a source is at its bound once the words for one unit of weight are bound / weight or more
+        at = F.col("bound") <= F.lit(level) * F.col("weight")
+        row = placed.agg(F.count_if(at).alias("full"), F.coalesce(F.sum(F.when(at, F.col("bound"))), F.lit(0.0)).alias("taken"), F.coalesce(F.sum(F.when(~at, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if not row.weight:
+            return placed.withColumn("target", F.col("bound")).drop("nth", "weight", "bound")
+        new = (share * all_words - row.taken) / row.weight
+        if level and row.full == full or not new:
+            return placed.withColumn("target", F.when(at, F.col("bound")).otherwise(F.lit(new) * F.col("weight"))).drop("nth", "weight", "bound")
+        level, full = new, row.full
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_WORDS) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to budget as can be from below.
 
-    Every length first gives its share of a large budget; the rest goes to the
-    largest lengths that fit until it is small enough for the bounded-knapsack
-    dynamic program, which finds the best sum over the documents not yet taken.
+    The bounded-knapsack dynamic program decides on the last `exact` words. Of a larger
+    budget every length first gives its share, and the largest lengths that fit take
+    what is left above `exact`, so the program always works on the documents not yet taken.
+    Up to `exact` the sum is the best there is. Beyond, it is the best that the documents left can add; it
+    misses the budget by less than the smallest length left wherever a document of that length is left.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -96,14 +103,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     of no words (null and empty texts) have size 0 and taken 0. Rows that repeat are
     documents of their own; an empty table gives no rows. Reruns agree.
     """
-    sized = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")), "mix")
+    source = F.col("source").cast("string")
+    sized = docs.select("doc_id", source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("of"), n_words(F.col("text").cast("string")).alias("size"))
+    sized = settle(sized, "mix")
     # a source's words, number of documents and lengths: pre-aggregated, one row for each source and length
-    lengths = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    per_source = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rows = sorted(((r.source, r.source_size) for r in per_source.collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    goal = targets([x[1] for x in rows], weights, share, most)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, int(n), float(t)) for (s, n), t in zip(rows, goal)], "source string, source_size long, target double")
+    lengths = sized.groupBy("no_source", "of", "size").agg(F.count("*").alias("n"))
+    goal = targets(lengths.groupBy("no_source", "of").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
 
     def counted(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("size", ignore_index=True)
@@ -112,23 +117,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         base = budget // whole if whole else 0
         sizes, counts = own["size"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
         extra = fit(sizes, counts, budget - base * whole) if base < most else counts * 0
-        return pd.DataFrame({"source": own["source"], "size": sizes, "n": counts, "source_size": whole, "target": own["target"], "base": base, "extra": extra})
+        return own[["no_source", "of", "size", "n", "source_size", "target"]].assign(base=base, extra=extra)
 
-    chosen = lengths.join(F.broadcast(plan), lengths["source"].eqNullSafe(plan["source"])).select(lengths["source"], "size", "n", "source_size", "target")
-    chosen = settle(chosen.groupBy("source").applyInPandas(counted, "source string, size long, n long, source_size long, target double, base int, extra long"), "mix")
-    chosen = chosen.withColumnsRenamed({"source": "of", "size": "words"})
+    keys = ["no_source", "of"]
+    chosen = lengths.join(goal, keys).groupBy(*keys).applyInPandas(counted, "no_source boolean, of string, size long, n long, source_size long, target double, base int, extra long")
+    chosen = settle(chosen, "mix")
     # The first `extra` documents of a length by seeded hash. Lengths of many documents are ranked in ranges of the hash,
     # so that no group holds more than a small share of all rows.
-    group_rows = max(1, sized.count() // (4 * width(spark)))
+    total = sized.count()
+    group_rows = max(1, total // (4 * width(docs.sparkSession)))
     place = F.xxhash64(F.lit(seed), "doc_id").cast("double") / 2.0**64 + 0.5
     parts = F.ceil(F.col("n") / group_rows)
-    hashed = sized.join(chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("words"))).drop("of", "words")
+    keys = ["no_source", "of", "size"]
+    hashed = with_facts(sized, chosen, keys, "n", total)
     hashed = hashed.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("part", F.least(F.floor(place * parts), parts - 1))
-    keys = ["source", "size", "part"]
-    before = hashed.groupBy(*keys).agg(F.count("*").alias("own"))
-    before = before.select(*(F.col(k).alias(f"_{k}") for k in keys), F.coalesce(F.sum("own").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "doc_id")))
-    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part")))
+    groups = [*keys, "part"]
+    before = hashed.groupBy(*groups).agg(F.count("*").alias("own"))
+    before = before.select(*groups, F.coalesce(F.sum("own").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("key", "doc_id"))).join(before, groups)
     copies = F.col("base") + (F.col("rank") + F.col("earlier") <= F.col("extra")).cast("int")
     return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of what stands between spaces.
 
-Neither tokenizer here lets a merge cross a space that a visible character
-follows, so such pieces are encoded once for each worker and looked up after that.
+Where no token of a vocabulary crosses a space that a visible character follows,
+or a letter and a mark after it, texts are parted there, and such pieces are encoded once for each worker and
+looked up after that. Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ _BEFORE_VISIBLE = re.compile(r" (?=\S)")
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,:;!?])"
 
 
+#: A token in which a space stands before something visible, but not first, or a mark after a letter.
+_CROSSES = re.compile(r".[Ġ ][^Ġ ]|[A-Za-z\u00a1-\u0143][.,:;!?]", re.S)
+
+
 def path_of(name: str) -> str:
     import public_tokenizers
 
@@ -55,6 +60,7 @@ class Encoder:
         self.edge = np.zeros(size, bool)  # byte-level: tokens that start with a space; else tokens that end a word
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("Ġ") if self.spaced else token.endswith("</w>")
+        self.parted = type(self.tokenizer.model).__name__ == "BPE" and not any(map(_CROSSES.search, vocabulary.keys() - set(self.specials)))
 
     def _plain(self, piece: str) -> bool:
         word = piece[1:] if self.spaced else piece
@@ -96,6 +102,9 @@ class Encoder:
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.parted:
+            whole = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            return [np.array(e.ids, self.kind) for e in whole]
         out: list = [None] * len(texts)
         odd = np.asarray(pc.match_substring_regex(texts, _ODD if self.spaced else r"\x00"))
         for special in self.specials:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -208,6 +209,44 @@ def test_near_duplicates(docs):
     assert want[1][1] == want[2][1] == 0 and want[7][1] == 6 and want[17][1] == 16
 
 
+def test_pairs_right_above_the_bound_are_all_linked(spark):
+    """Recall where it is hardest: pairs at a similarity of 0.75 to 0.80, and none below 0.75 is linked."""
+    r = random.Random(77)
+    words = [f"w{i}" for i in range(5000)]
+    texts, similar = [], {}
+    for pair in range(300):
+        own = [r.choice(words) for _ in range(r.randint(60, 300))]
+        other = list(own)
+        while True:
+            other[r.randrange(len(other))] = r.choice(words)
+            a, b = shingles(" ".join(own)), shingles(" ".join(other))
+            share = len(a & b) / len(a | b)
+            if share < 0.80:
+                break
+        if share < 0.70:
+            continue
+        texts += [(2 * pair, " ".join(own)), (2 * pair + 1, " ".join(other))]
+        similar[2 * pair + 1] = 100 * len(a & b) >= 75 * len(a | b)
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all((got[d] == d - 1) == yes for d, yes in similar.items())
+    assert sum(similar.values()) > 150
+
+
+def test_variants_of_a_very_long_line_come_in_bounded_blocks():
+    line = "x" * 70_000 + "y" * 70_000 + "z" * 60_000
+    keys, roles = line_dedup.variants(line, [(s, j) for s in (0, 1) for j in range(line_dedup.BLOCKS)])
+    assert len(keys) == len(roles) > 200_000
+    frames = list(line_dedup._frames([(keys, roles, 1, 0, 2), (keys[:3], roles[:3], 2, 0, 5)]))
+    assert max(map(len, frames)) <= line_dedup.EMITTED and sum(map(len, frames)) == len(keys) + 3
+    assert frames[-1]["doc"].iloc[-1] == 2 and frames[-1]["line_no"].iloc[-1] == 5
+
+
+def test_lines_that_most_documents_share_are_dropped_after_the_first(spark):
+    rows = [(i, f"a line that everybody has in here\nonly of {chr(97 + i % 26)}{i * 7919} here {i * i}") for i in range(400)] + [(1000, "a line that everybody had in here")]
+    got = {x.doc_id: x.dropped for x in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: [0] if d else [] for d, _ in rows}
+
+
 def test_chains_and_many_variants_of_one_text(spark):
     r = random.Random(5)
     words = [f"w{r.randrange(1000)}" for _ in range(150)]
@@ -236,6 +275,20 @@ def test_odd_sketch_estimates_similarity():
         assert abs(minhash_dedup.similarity(np.bitwise_count(x ^ y).sum(), minhash_dedup.WIDE) - overlap) < 0.08
 
 
+def targets_brute(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    left, open_, out = share * sum(sizes), list(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        total = sum(weights[i % 3] for i in open_)
+        full = [i for i in open_ if left * weights[i % 3] / total >= most * sizes[i]]
+        if not full:
+            return [left * weights[i % 3] / total if i in open_ else x for i, x in enumerate(out)]
+        for i in full:
+            out[i] = most * sizes[i]
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
 def test_mix(docs, spark):
     rows = source_mix.mix(docs).collect()
     again = source_mix.mix(docs).collect()
@@ -247,14 +300,47 @@ def test_mix(docs, spark):
     for r in rows:
         sizes[sources[r.doc_id]] += r.size
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, source_mix.targets([sizes[s] for s in order])))
+    want = dict(zip(order, targets_brute([sizes[s] for s in order])))
     assert all(abs(r.target - want[sources[r.doc_id]]) < 1e-6 and r.source_size == sizes[sources[r.doc_id]] for r in rows)
 
 
-def test_targets():
-    assert source_mix.targets([100, 100, 100]) == pytest.approx([200.0, 250 / 3, 500 / 3])
-    assert source_mix.targets([10, 1000, 10]) == pytest.approx([20.0, 1490.0, 20.0])
-    assert source_mix.targets([0, 5]) == pytest.approx([0.0, 7.5]) and source_mix.targets([]) == []
+def test_targets(spark):
+    r = random.Random(31)
+
+    def of(sizes):
+        rows = [(False, f"s{i:04d}", n) for i, n in enumerate(sizes)]
+        got = source_mix.targets(spark.createDataFrame(rows, "no_source boolean, of string, source_size long")).collect()
+        return [x.target for x in sorted(got, key=lambda x: x.of)]
+
+    assert of([100, 100, 100]) == pytest.approx([200.0, 250 / 3, 500 / 3])
+    assert of([10, 1000, 10]) == pytest.approx([20.0, 1490.0, 20.0])
+    assert of([0, 5]) == pytest.approx([0.0, 7.5]) and of([]) == [] and of([0, 0]) == [0.0, 0.0]
+    many = [int(10 ** r.uniform(0, 6)) for _ in range(300)]
+    assert of(many) == pytest.approx(targets_brute(many))
+
+
+def test_mixed_words_come_near_their_targets(spark, sf):
+    """On the given table, and where a budget is just below, at and beyond what the dynamic program takes as a whole."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    by_source = defaultdict(list)
+    of = {r.doc_id: r.source for r in frame.collect()}
+    for r in source_mix.mix(frame).collect():
+        assert r.taken <= 2 * r.size
+        by_source[of[r.doc_id]].append(r)
+    for rows in by_source.values():
+        budget, whole = math.floor(rows[0].target + 0.5), rows[0].source_size
+        base = budget // whole
+        reach = 1  # sums that some documents of the source have
+        for r in rows:
+            reach |= reach << r.size
+        best = (reach & ((1 << (budget - base * whole + 1)) - 1)).bit_length() - 1
+        assert sum(r.taken for r in rows) == base * whole + best
+    exact = source_mix.EXACT_WORDS
+    lengths, counts = np.array([7, 50, 333, 1201, 9000]), np.array([40, 300, 200, 100, 90])
+    for budget in (exact - 1, exact, exact + 1, exact + 7, 2 * exact + 3, 300_000, int((lengths * counts).sum()) - 1):
+        take = source_mix.fit(lengths, counts, budget)
+        left = lengths[take < counts].min()
+        assert (take <= counts).all() and 0 <= budget - int((take * lengths).sum()) < left
 
 
 def test_knapsack_against_all_subsets():
@@ -417,11 +503,46 @@ def test_wavelet_matrix():
         ids = r.integers(0, top, n).astype("<u2")
         data = wavelet_tokens.WaveletMatrix.build(ids, 16).bytes()
         matrix = wavelet_tokens.WaveletMatrix.read(data)
-        assert matrix.decode(np.dtype("<u2")).tolist() == ids.tolist() and len(data) <= 13 + 16 * ((n + 7) // 8)
+        assert matrix.decode(np.dtype("<u2")).tolist() == ids.tolist() and len(data) <= 13 + 16 * (4 + 68 * ((n + 511) // 512))
         for i in range(0, n, 97):
             token = int(ids[i])
             assert matrix.access(i) == token and matrix.rank(token, i) == int((ids[:i] == token).sum()) and matrix.count(token) == int((ids == token).sum())
             assert matrix.occurrences(token)[:3] == np.flatnonzero(ids == token)[:3].tolist()
+        assert matrix.access(np.arange(n)).tolist() == ids.tolist() and matrix.count(70000) == 0
+        if n:
+            assert matrix.rank(int(ids[0]), np.arange(n + 1)).tolist() == [0, *np.cumsum(ids == ids[0]).tolist()]
+
+
+def test_lookups_in_written_token_files(spark, docs):
+    """Access, counts and occurrences from the files, against a scan of the decoded ids."""
+    path, name = common.new_folder(spark, "tokens"), tokens.path_of("byte_bpe_50k.json")
+    wavelet_tokens.write_tokens(docs, path, name, True, 2, shard_tokens=500)
+    plain = Tokenizer.from_file(name)
+    ids = [i for _, t in sorted(TEXTS, key=lambda x: x[0]) for i in (*plain.encode(t or "", add_special_tokens=False).ids, 2)]
+    places = [0, 1, 77, 500, 501, len(ids) - 1]
+    asked = spark.createDataFrame([(p,) for p in [*places, len(ids), -1, 10**9, None, 1]], "place long")
+    assert {r.place: r.token for r in wavelet_tokens.tokens_at(spark, path, asked, span=300).collect()} == {p: ids[p] for p in places}
+    common_id = Counter(ids).most_common(1)[0][0]
+    assert {r.token: r.n for r in wavelet_tokens.token_counts(spark, path, [2, common_id, 50001]).collect()} == {2: ids.count(2), common_id: ids.count(common_id), 50001: ids.count(50001)}
+    assert sorted(r.place for r in wavelet_tokens.token_occurrences(spark, path, common_id).collect()) == [i for i, x in enumerate(ids) if x == common_id]
+    for r in wavelet_tokens.read_tokens(spark, path).collect():
+        assert r.first_token == ids[r.start] and r.n_end == ids[r.start : r.start + r.n_tokens].count(2)
+
+
+def test_tokenizers_that_cross_spaces_encode_whole_texts(tmp_path):
+    """A vocabulary whose merges cross what texts are parted at is seen as such; the known files are not."""
+    from tokenizers import Tokenizer as T
+    from tokenizers import models
+
+    vocabulary = {"a": 0, "b": 1, " ": 2, ".": 3, "a ": 4, "a b": 5, "b.": 6}
+    odd = T(models.BPE(vocabulary, [("a", " "), ("a ", "b"), ("b", ".")]))
+    odd.save(str(tmp_path / "odd.json"))
+    work = tokens.Encoder(str(tmp_path / "odd.json"), True)
+    import pyarrow as pa
+
+    assert not work.parted and [x.tolist() for x in work.texts(pa.array(["a b.", None, "ab"]))] == [odd.encode("a b.").ids, [], odd.encode("ab").ids]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        assert tokens.Encoder(tokens.path_of(name), spaced).parted
 
 
 def test_top_k(spark):
@@ -525,6 +646,39 @@ def test_label_model_of_the_given_table_is_normalised(spark, sf):
     assert (model.given_bad[:, 0] >= 10 * model.given_good[:, 0] - 1e-9).all() and (model.given_good[:, 2] >= model.given_bad[:, 2] - 1e-9).all()
 
 
+def test_licences_over_paragraphs_and_inside_lines(spark):
+    bodies = {k: v[-1] for k, v in license_scan.TEMPLATES.items()}
+    bsd = bodies["BSD-3-Clause"]
+    parts = [x.strip() for x in bsd.replace("1. Red", "\n\n1. Red").replace("2. Red", "\n\n2. Red").replace("3. Nei", "\n\n3. Nei").replace("THIS SOFT", "\n\nTHIS SOFT").split("\n\n")]
+    several = prose(5, 60) + "\n\n" + "\n\n".join(parts) + "\n\n" + prose(6, 60)
+    rows = [(1, several), (2, "Some words first, then: Released under the MIT License. " + prose(7, 30)), (3, prose(8, 200)), (4, prose(9, 40) + " " + bodies["Zlib"] + " " + prose(10, 40)), (5, None), (6, bodies["Unlicense"]), (7, "mit"), (7, "mit")]
+    got = {x.doc_id: x.hits for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [h.license for h in got[1]][-1] == "BSD-3-Clause" and all(h.license.startswith("BSD") for h in got[1])
+    last = got[1][-1]
+    assert last.dice > 0.95 and several.split("\n")[last.first_line].startswith("Redistribution") and several.split("\n")[last.last_line].endswith("SUCH DAMAGE.")
+    assert [h.license for h in got[2]] == ["MIT"] and got[2][0].dice == 1.0 and [h.license for h in got[4]] == ["Zlib"] and [h.license for h in got[6]] == ["Unlicense"]
+    assert got[3] == [] and got[5] == [] and got[7] == []
+
+
+def test_licences_same_as_sql_on_odd_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    bodies = [t for v in license_scan.TEMPLATES.values() for t in v]
+    r = random.Random(15)
+    rows = []
+    for d in range(80):
+        t = r.choice(bodies).split(" ")
+        for _ in range(r.randint(0, 6)):
+            t[r.randrange(len(t))] = r.choice(["the", "x", "", "software\n", "\n\n"])
+        rows.append((d, (prose(d, r.randint(0, 20)) + r.choice([" ", "\n", "\n\n"]) + " ".join(t) + r.choice([" ", "\n"]) + prose(d + 100, r.randint(0, 20))) if d % 9 else None))
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    con = duckdb.connect()
+    con.sql("create table documents as select * from frame")
+    hits = license_scan.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    same_rows(hits, con, license_scan.SQL)
+
+
 def test_repeated_rows_are_kept(docs):
     for name in ("secrets", "quality", "licence", "tokens", "mix", "lines", "near", "suffix"):
         assert Counter(r.doc_id for r in OPERATORS[name](docs).collect())[17] == 2

@@ -41,9 +41,10 @@ def ts_nanos(seconds: Column, nanos: Column) -> Column:
 
 def add_duration(seconds: Column, nanos: Column, duration_ns: Column) -> Column:
     """A time (seconds, nanoseconds below 10**9) moved by a duration in nanoseconds, as a struct of both; exact, also before the epoch."""
+    second = F.lit(10**9).cast("decimal(10,0)")
     total = ts_nanos(seconds, nanos) + duration_ns.cast("decimal(28,0)")
-    whole = F.floor(total / F.lit(10**9).cast("decimal(10,0)"))
-    return F.struct(whole.cast("long").alias("seconds"), (total - whole * F.lit(10**9).cast("decimal(10,0)")).cast("int").alias("nanos"))
+    rest = F.pmod(total, second)
+    return F.struct(((total - rest) / second).cast("long").alias("seconds"), rest.cast("int").alias("nanos"))
 
 
 def ts_diff(a_seconds: Column, a_nanos: Column, b_seconds: Column, b_nanos: Column) -> Column:

@@ -56,31 +56,58 @@ def visits(measurements: DataFrame) -> DataFrame:
     return marked.withColumn("visit", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def _conclusion(recent: list[tuple[float, float]], base: float) -> float | None:
+    """The mean rate of the newest intervals that show a clear difference to the rate of the setting before, if any do.
+
+    The clearer the difference, the fewer seconds it takes: a loss of half after 1, of a
+    fifth or a gain of a fifth after 2.5, a twentieth after 5; two intervals at least. Silence alone is no early loss.
+    """
+    if base <= 0 or not np.isfinite(base):
+        return None
+    rate, seconds = np.array(recent[::-1]).T
+    elapsed, low, high = np.cumsum(seconds), np.minimum.accumulate(rate), np.maximum.accumulate(rate)
+    clear = (elapsed >= 1) & (low > 0) & (high < 0.5 * base)
+    clear |= (elapsed >= 2.5) & ((low > 0) & (high < base * 0.8) | (low > base * 1.2))
+    clear |= (elapsed >= 5) & ((high < base * 0.95) | (low * 0.95 > base))
+    found = np.flatnonzero(clear[1:])
+    if not len(found):
+        return None
+    n = int(found[0]) + 2
+    return float((rate[:n] * seconds[:n]).sum() / elapsed[n - 1])
+
+
 def visit_scores(measurements: DataFrame, least_s: float = 2.5, most_s: float = 5.0) -> DataFrame:
-    """run, visit, workers and rate: what the time-weighted mean of the recent intervals last was in each visit.
+    """run, visit, workers and rate: the last score of each visit.
 
-    Intervals that are not usable, not finite or negative start the recent window anew. It
+    A score is the mean of the newest intervals that differ clearly from the last score
+    of the visit before (_conclusion), else the time-weighted mean of the recent
+    intervals. Intervals that are not usable, not finite or negative start the recent window anew. It
     holds two intervals at least and drops old ones once the rest lasts most_s. Rows depend on those before, so each
-    visit is one group; a run has few.
+    run is one group; a run has few.
     """
 
     def score(f: pd.DataFrame) -> pd.DataFrame:
+        rows, base, last, visit = [], 0.0, None, None
         recent: list[tuple[float, float]] = []
-        rate = np.nan
-        for value, seconds, usable in f.sort_values("sequence")[["rate", "seconds", "usable"]].itertuples(index=False):
-            if not (usable and np.isfinite(value) and value >= 0 and seconds > 0):
+        for v, workers, value, seconds, usable in f.sort_values("sequence")[["visit", "workers", "rate", "seconds", "usable"]].itertuples(index=False):
+            if v != visit:
+                base, last, visit, recent = last or 0.0, None, v, []
+                rows.append([f["run"].iloc[0], v, workers, None])
+            if not (usable and np.isfinite(value) and value >= 0 and np.isfinite(seconds) and seconds > 0):
                 recent = []
                 continue
             recent.append((value, seconds))
             while len(recent) > 2 and sum(s for _, s in recent[1:]) >= most_s:
                 recent.pop(0)
             total = sum(s for _, s in recent)
-            if len(recent) >= 2 and total >= least_s:
-                rate = sum(v * s for v, s in recent) / total
-        return pd.DataFrame({"run": f["run"].iloc[:1], "visit": f["visit"].iloc[:1], "workers": f["workers"].iloc[:1], "rate": [None if np.isnan(rate) else rate]})
+            mean = sum(x * s for x, s in recent) / total if len(recent) >= 2 and total >= least_s else None
+            found = _conclusion(recent, base)
+            if found is not None or mean is not None:
+                last = rows[-1][3] = mean if found is None else found
+        return pd.DataFrame(rows, columns=["run", "visit", "workers", "rate"])
 
     of = visits(measurements).select("run", "visit", "workers", "sequence", "rate", "seconds", "usable")
-    return of.groupBy("run", "visit").applyInPandas(score, "run long, visit long, workers long, rate double").filter("rate is not null")
+    return of.groupBy("run").applyInPandas(score, "run long, visit long, workers long, rate double").filter("rate is not null")
 
 
 def run_preference(scores: DataFrame) -> DataFrame:
@@ -115,10 +142,54 @@ def starting_count(preferences: DataFrame, keys: Sequence[str], today: int, keep
     return loss.groupBy(*keys).agg(F.min_by("candidate", F.struct("__loss", -F.col("candidate"))).alias("workers"))
 
 
-def retention(runs: DataFrame, budget: int) -> DataFrame:
-    """keep: the newest runs(run, bytes, finished) whose sizes fit the budget; unfinished ones stay in any case."""
-    summed = running_total(runs, [F.desc("run")], F.col("bytes"), "newer")
-    return summed.withColumn("keep", ~F.col("finished") | (F.col("newer") <= budget)).drop("newer")
+def starting_hint(contexts: DataFrame, preferences: DataFrame, route: Sequence[str], filesystems: Sequence[str], today: int) -> DataFrame:
+    """workers and matched for contexts(route, filesystems): from runs on the same file systems where there are any, else from all runs of the route.
+
+    File systems that are not known match nothing.
+    """
+    known = preferences.filter(F.forall(F.array(*(F.col(f).isNotNull() for f in filesystems)), lambda x: x))
+    near = starting_count(known, [*route, *filesystems], today).withColumnRenamed("workers", "__near")
+    far = starting_count(preferences, route, today).withColumnRenamed("workers", "__far")
+    joined = contexts.join(near, [*route, *filesystems], "left").join(far, list(route), "left")
+    matched = F.when(F.col("__near").isNotNull(), "filesystem").when(F.col("__far").isNotNull(), "route")
+    return joined.select(*route, *filesystems, F.coalesce("__near", "__far").alias("workers"), matched.alias("matched"))
+
+
+def retention(runs: DataFrame, budget: int, current: int | None = None, today: int | None = None) -> DataFrame:
+    """keep of runs(run, bytes, finished, updated_day): the oldest go until the others fit the budget.
+
+    The current run stays, and so do unfinished runs that were updated since two days
+    before today, whatever the budget; older unfinished ones may go like finished ones. Without today all unfinished runs stay.
+    """
+    fresh = F.lit(True) if today is None else F.col("updated_day") >= today - 2
+    stays = (~F.col("finished") & fresh) | (F.lit(False) if current is None else F.col("run") == current)
+    marked = runs.withColumn("__stays", stays)
+    held = marked.agg(F.coalesce(F.sum(F.when(F.col("__stays"), F.col("bytes"))), F.lit(0)).alias("__held"))
+    summed = running_total(marked, [F.desc("run")], F.when(F.col("__stays"), 0).otherwise(F.col("bytes")), "__newer").crossJoin(F.broadcast(held))
+    return summed.withColumn("keep", F.col("__stays") | (F.col("__newer") + F.col("__held") <= budget)).select(*runs.columns, "keep")
+
+
+def eta(rates: DataFrame) -> DataFrame:
+    """eta_s of rates(rate, remaining, scan_done): what remains over the rate; null while the scan goes on or nothing moves."""
+    return rates.withColumn("eta_s", F.when(F.col("scan_done") & (F.col("rate") > 0), F.col("remaining") / F.col("rate")))
+
+
+def without_excluded(spans: DataFrame) -> DataFrame:
+    """spans(start_ms, end_ms) without what their own excluded span (excluded_start, excluded_end) covers: up to two parts each."""
+    a, b, start, end = (F.col(c) for c in ("excluded_start", "excluded_end", "start_ms", "end_ms"))
+    meets = F.coalesce((a < end) & (b > start), F.lit(False))
+    part = lambda low, high: F.struct(low.alias("start_ms"), high.alias("end_ms"))
+    parts = F.when(meets, F.array(part(start, F.greatest(a, start)), part(F.greatest(b, start), end))).otherwise(F.array(part(start, end)))
+    rest = [c for c in spans.columns if c not in ("start_ms", "end_ms", "excluded_start", "excluded_end")]
+    return spans.select(*rest, F.explode(parts).alias("__p")).select(*rest, "__p.*").filter("start_ms < end_ms")
+
+
+def history_list(runs: DataFrame, events: DataFrame, limit: int = 50) -> DataFrame:
+    """run, date, status, seconds, files, bytes and events of the newest runs(run, day, status, elapsed_ms, files, bytes); events: run."""
+    newest = runs.orderBy(F.desc("run")).limit(limit)
+    counts = events.join(newest.select("run"), "run", "left_semi").groupBy("run").agg(F.count("*").alias("events"))
+    joined = newest.join(counts, "run", "left")
+    return joined.select("run", F.date_from_unix_date(F.col("day").cast("int")).alias("date"), "status", (F.col("elapsed_ms") / 1000).alias("seconds"), "files", "bytes", F.coalesce("events", F.lit(0)).alias("events"))
 
 
 def strict_sum(value: Column) -> Column:
@@ -127,9 +198,14 @@ def strict_sum(value: Column) -> Column:
 
 
 def tcp_totals(sockets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Totals of sockets(bytes_sent, bytes_retransmitted, rtt_us): only where every socket has the field."""
+    """Totals of sockets(bytes_sent, bytes_retransmitted, rtt_us, busy_us, limited_us): only where every socket has the field.
+
+    limited_percent: how much of the busy time windows or buffers held the sender back. The mean is in whole microseconds.
+    """
     sent, again = strict_sum(F.col("bytes_sent")), strict_sum(F.col("bytes_retransmitted"))
-    return sockets.groupBy(*keys).agg(sent.alias("bytes_sent"), again.alias("bytes_retransmitted"), (100.0 * again / F.nullif(sent, F.lit(0))).alias("loss_percent"), F.min("rtt_us").alias("rtt_min_us"), F.avg("rtt_us").alias("rtt_avg_us"))
+    busy, limited = strict_sum(F.col("busy_us")), strict_sum(F.col("limited_us"))
+    whole = F.count("rtt_us") == F.count("*")
+    return sockets.groupBy(*keys).agg(sent.alias("bytes_sent"), again.alias("bytes_retransmitted"), (100.0 * again / F.nullif(sent, F.lit(0))).alias("loss_percent"), F.when(whole, F.min("rtt_us")).alias("rtt_min_us"), F.when(whole, F.floor(F.sum("rtt_us") / F.count("*"))).alias("rtt_avg_us"), F.when(busy > 0, 100.0 * limited / busy).alias("limited_percent"))
 
 
 def worker_shares(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -138,10 +214,22 @@ def worker_shares(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return of.withColumn("share", F.col("time_ns") / F.sum("time_ns").over(Window.partitionBy(*keys)))
 
 
-def run_eligibility(measurements: DataFrame) -> DataFrame:
-    """A run counts if it tried two numbers of workers or more and one usable rate is above 0."""
-    usable = F.col("usable")
-    return measurements.groupBy("run").agg((F.count_distinct("workers") >= 2).alias("varied"), F.coalesce(F.max(F.when(usable, F.col("rate"))) > 0, F.lit(False)).alias("positive")).select("run", (F.col("varied") & F.col("positive")).alias("eligible"))
+def run_eligibility(measurements: DataFrame, starts: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """eligible of each run: it tried two numbers of workers or more in usable measurements, and one rate is above 0.
+
+    starts(run, automatic, overrides): a run that was not automatic, or had overrides,
+    does not count. contexts(run, seq, consistent, automatic): the last one has to be both. A run that lacks them where they are given has no context and does not count.
+    """
+    good = F.col("usable") & F.col("workers").between(1, 65536) & (F.col("seconds") > 0) & (F.col("rate") >= 0)
+    rates = measurements.groupBy("run").agg(F.count_distinct(F.when(good, F.col("workers"))).alias("varied"), F.coalesce(F.max(F.when(good, F.col("rate"))) > 0, F.lit(False)).alias("positive"))
+    eligible = (F.col("varied") >= 2) & F.col("positive")
+    if starts is not None:
+        odd = starts.groupBy("run").agg(F.max(~F.coalesce("automatic", F.lit(True)) | F.col("overrides").isNotNull()).alias("__odd"))
+        rates, eligible = rates.join(odd, "run", "left"), eligible & ~F.coalesce("__odd", F.lit(False))
+    if contexts is not None:
+        last = contexts.groupBy("run").agg(F.max_by(F.col("consistent") & F.col("automatic"), "seq").alias("__good"))
+        rates, eligible = rates.join(last, "run", "left"), eligible & F.coalesce("__good", F.lit(False))
+    return rates.select("run", eligible.alias("eligible"))
 
 
 def trial_medians(trials: DataFrame, keys: Sequence[str]) -> DataFrame:

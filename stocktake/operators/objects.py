@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktake.functions.paths import path_relative
+from stocktake.functions.paths import path_ancestors, path_relative
 
 from .prefixes import beneath
 
@@ -24,10 +24,12 @@ def children(listing: DataFrame, prefix: str) -> DataFrame:
 
 
 def versions_of(selectors: DataFrame, versions: DataFrame) -> DataFrame:
-    """Versions that selectors(path, tree, version) name: exact keys, or all keys below; one version if it is given."""
+    """Versions that selectors(path, tree, version) name: exact keys, or all keys below; one version if it is given, of a tree as well."""
     exact = versions.join(selectors.filter("not tree").select(F.col("path").alias("key"), F.col("version").alias("__v")), "key").filter("__v is null or __v = version").drop("__v")
-    tree = beneath(versions.withColumn("path", F.col("key")).select("path").distinct(), selectors.filter("tree")).select(F.col("path").alias("key"))
-    return exact.unionByName(versions.join(tree, "key", "left_semi")).dropDuplicates(["key", "version"])
+    roots = selectors.filter("tree").select(F.col("path").alias("__root"), F.col("version").alias("__v")).distinct()
+    above = versions.withColumn("__at", F.explode(F.concat(path_ancestors(F.col("key")), F.array("key"))))
+    tree = above.join(roots, F.col("__at") == F.col("__root")).filter("__v is null or __v = version").select(*versions.columns)
+    return exact.unionByName(tree).dropDuplicates(["key", "version"])
 
 
 def with_phase(versions: DataFrame) -> DataFrame:
@@ -75,6 +77,13 @@ def same_attributes(headers: Sequence[str] = HEADERS) -> Column:
     return F.forall(F.array(*tests), lambda x: x)
 
 
+def merged_headers(own: str, other: str, selected: Sequence[str], headers: Sequence[str] = HEADERS) -> list[Column]:
+    """The headers of struct `own`, those selected replaced by what struct `other` has; a header that `other` lacks goes."""
+    if odd := set(selected) - set(headers):
+        raise ValueError(f"unknown headers {sorted(odd)}")
+    return [F.col(f"{other if h in selected else own}.{h}").alias(h) for h in headers]
+
+
 def merged_metadata(own: Column, other: Column, reserved: Sequence[str]) -> Column:
     """User metadata of `other`, but reserved keys keep their own value."""
     mine = F.map_filter(own, lambda k, _: k.isin(*reserved))

@@ -15,6 +15,36 @@ def run_totals(results: DataFrame) -> DataFrame:
     return results.groupBy("run").agg(n("transferred").alias("transferred"), n("unchanged").alias("unchanged"), n("excluded").alias("excluded"), n("failed").alias("failed"), size("transferred").alias("bytes_transferred"), size("unchanged").alias("bytes_unchanged"))
 
 
+def result_totals(records: DataFrame) -> DataFrame:
+    """The counters of each run's terminal record, from records(run, type, kind, disposition, bytes, diagnostic_for).
+
+    Files by disposition; directories, links and specials only where they were made; errors that explain no other record; bytes of files.
+    """
+    is_ = lambda kind, d: (F.col("kind") == kind) & (F.col("disposition") == d)
+    count = lambda kind, d, name: F.count_if(is_(kind, d)).alias(name)
+    size = lambda d: F.coalesce(F.sum(F.when(is_("file", d), F.col("bytes"))), F.lit(0)).alias(f"bytes_{d}")
+    return records.groupBy("run").agg(
+        count("file", "transferred", "files_transferred"), count("file", "unchanged", "files_unchanged"), count("file", "excluded", "files_excluded"), count("dir", "transferred", "directories_created"),
+        count("symlink", "transferred", "symlinks_created"), count("special", "transferred", "specials_created"), F.count_if((F.col("type") == "error") & F.col("diagnostic_for").isNull()).alias("errors"), size("transferred"), size("unchanged"),
+    )
+
+
+def dry_run_changes(plan: DataFrame) -> DataFrame:
+    """One row: what a plan(kind, action, reason) would change. Files, directories, links, specials and entries of which only attributes
+    change are apart; type replacements count among them once more."""
+    acts, n = lambda *x: F.col("action").isin(*x), F.count_if
+    return plan.agg(
+        n(acts("transfer_file")).alias("regular_files"), n(acts("create")).alias("directories"), n(acts("create_link")).alias("symlinks"), n(acts("create_special")).alias("specials"), n(acts("set_attributes")).alias("metadata_only"),
+        n(acts("transfer_file", "create", "create_link", "create_special") & (F.col("reason") == "type_differs")).alias("type_replacements"),
+    )
+
+
+def summary_rate(results: DataFrame) -> DataFrame:
+    """Bytes a second of each run of results(run, ts, bytes); a run is held to last a millisecond at least."""
+    seconds = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    return results.groupBy("run").agg((F.sum("bytes") / F.greatest(seconds, F.lit(0.001))).alias("rate"))
+
+
 def dry_run_summary(plan: DataFrame) -> DataFrame:
     """Disjoint categories of a plan(action, reason, bytes)."""
     category = F.when(F.col("action") == "none", "nothing").when(F.col("reason") == "type_differs", "replaced").when(F.col("action") == "set_attributes", "attributes").when(F.col("reason") == "destination_missing", "new").otherwise("changed")

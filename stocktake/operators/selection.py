@@ -62,6 +62,13 @@ def selected_kinds(selectors: DataFrame, inventory: DataFrame) -> DataFrame:
     return found.select("path", "wanted", F.when(F.col("kind").isNull(), "missing").when(wrong, "wrong_kind").otherwise("selected").alias("status"))
 
 
+def selected_or_refused(selectors: DataFrame, inventory: DataFrame) -> DataFrame:
+    """selected_kinds, and refused: one selector of the wrong kind refuses the whole run, a missing one does not. The count is one row."""
+    of = selected_kinds(selectors, inventory)
+    wrong = of.agg(F.count_if(F.col("status") == "wrong_kind").alias("__n"))
+    return of.crossJoin(F.broadcast(wrong)).withColumn("refused", F.col("__n") > 0).drop("__n")
+
+
 def partials(inventory: DataFrame, tool: str = P.TOOL) -> DataFrame:
     """Regular files with the names of resumable partials; recovery data is no partial."""
     path = F.col("path")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -42,3 +43,18 @@ class Mapping:
         if self.context != other.context:
             raise ValueError(f"sources of {other.context} cannot join those of {self.context}")
         return replace(self, rows=self.rows.unionByName(other.rows))
+
+
+def consumed(contents: DataFrame, key: str, callback: Callable[[bytes], object], out: str) -> DataFrame:
+    """What a callback makes of each content of contents(key, content), as `out` (name and type); a null content gives null.
+
+    The callback gets the bytes and runs in tasks, perhaps more than once for an entry; contents stay where they are.
+    """
+    name = out.split()[0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f[key], name: [None if x is None else callback(bytes(x)) for x in f["content"]]})
+
+    of = contents.schema[key].dataType.simpleString()
+    return contents.select(key, F.col("content").cast("binary").alias("content")).mapInPandas(run, f"{key} {of}, {out}")

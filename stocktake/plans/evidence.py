@@ -14,12 +14,13 @@ c = F.col
 
 def _sockets(t):
     e = c("event_id")
-    return t.events.select("user_id", (e * 1000).alias("bytes_sent"), F.when(e % 97 != 0, e * 10).alias("bytes_retransmitted"), F.when(e % 3 == 0, e % 500).alias("rtt_us"))
+    return t.events.select("user_id", (e * 1000).alias("bytes_sent"), F.when(e % 97 != 0, e * 10).alias("bytes_retransmitted"), F.when(e % 83 != 0, e % 500).alias("rtt_us"), F.when(e % 89 != 0, e % 700).alias("busy_us"), (e % 300).alias("limited_us"))
 
 
 @query("g12_tcp_totals", """
-select user_id, case when count(s) = count(*) then sum(s)::bigint end as bytes_sent, case when count(r) = count(*) then sum(r)::bigint end as bytes_retransmitted, case when count(r) = count(*) then 100.0 * sum(r) / nullif(sum(s), 0) end as loss_percent, min(u) as rtt_min_us, avg(u) as rtt_avg_us
-from (select user_id, event_id * 1000 as s, case when event_id % 97 <> 0 then event_id * 10 end as r, case when event_id % 3 = 0 then event_id % 500 end as u from events) group by user_id""")
+select user_id, case when count(s) = count(*) then sum(s)::bigint end as bytes_sent, case when count(r) = count(*) then sum(r)::bigint end as bytes_retransmitted, case when count(r) = count(*) then 100.0 * sum(r) / nullif(sum(s), 0) end as loss_percent,
+  case when count(u) = count(*) then min(u) end as rtt_min_us, case when count(u) = count(*) then (sum(u) // count(*))::bigint end as rtt_avg_us, case when count(b) = count(*) and sum(b) > 0 then 100.0 * sum(l) / sum(b) end as limited_percent
+from (select user_id, event_id * 1000 as s, case when event_id % 97 <> 0 then event_id * 10 end as r, case when event_id % 83 <> 0 then event_id % 500 end as u, case when event_id % 89 <> 0 then event_id % 700 end as b, event_id % 300 as l from events) group by user_id""")
 def g12(t):
     return E.tcp_totals(_sockets(t), ["user_id"])
 
@@ -55,9 +56,10 @@ def w07(t):
     return E.rolling_rate(_samples(t))
 
 
-@query("w08_eta", _RATE + "select f.run, f.t, case when f.t > f.base and f.bytes > p.bytes then round((100000 - f.bytes) / ((f.bytes - p.bytes) / (f.t - f.base)), 6) end as eta_s from f join p on p.run = f.run and p.part = f.part and p.t = f.base")
+@query("w08_eta", _RATE + "select f.run, f.t, case when f.t > 6 and f.t > f.base and f.bytes > p.bytes then round((100000 - f.bytes) / ((f.bytes - p.bytes) / (f.t - f.base)), 6) end as eta_s from f join p on p.run = f.run and p.part = f.part and p.t = f.base")
 def w08(t):
-    return E.rolling_rate(_samples(t)).select("run", "t", F.when(c("rate") > 0, F.round((100000 - c("bytes")) / c("rate"), 6)).alias("eta_s"))
+    rates = E.rolling_rate(_samples(t)).withColumns({"remaining": 100000 - c("bytes"), "scan_done": c("t") > 6})
+    return E.eta(rates).select("run", "t", F.round("eta_s", 6).alias("eta_s"))
 
 
 @query("w09_span_union", """
@@ -68,6 +70,18 @@ def w09(t):
     return E.span_union(t.spans, ["run", "phase"])
 
 
+@query("w09_without_excluded", """
+with x as (select *, start_ms + 500 as a, start_ms + 900 as b from spans where phase = 'scan'),
+e as (select run, phase, start_ms, a as end_ms from x where a < end_ms union all select run, phase, b, end_ms from x where a < end_ms and b < end_ms union all select run, phase, start_ms, end_ms from x where a >= end_ms union all select run, phase, start_ms, end_ms from spans where phase <> 'scan'),
+o as (select *, max(end_ms) over (partition by run, phase order by start_ms, end_ms rows between unbounded preceding and 1 preceding) as reach from e),
+i as (select *, sum(case when start_ms > reach then 1 else 0 end) over (partition by run, phase order by start_ms, end_ms rows unbounded preceding) as island from o)
+select run, phase, sum(len)::bigint as covered_ms, count(*) as islands from (select run, phase, island, max(end_ms) - min(start_ms) as len from i group by all) group by run, phase""")
+def w09_excluded(t):
+    scan = c("phase") == "scan"
+    spans = t.spans.withColumns({"excluded_start": F.when(scan, c("start_ms") + 500), "excluded_end": F.when(scan, c("start_ms") + 900)})
+    return E.span_union(E.without_excluded(spans), ["run", "phase"])
+
+
 _VISITS = "select *, sum(new) over (partition by run order by sequence rows unbounded preceding)::bigint as visit from (select *, case when lag(workers) over (partition by run order by sequence) = workers and lag(segment) over (partition by run order by sequence) = segment then 0 else 1 end as new from measurements)"
 
 
@@ -114,15 +128,45 @@ def w13(t):
     return E.starting_count(prefs, ["route"], 100)
 
 
-@query("w14_retention", "select run, not finished or sum(bytes) over (order by run desc rows unbounded preceding) <= 2000000 as keep from (select run, sum(bytes) as bytes, bool_or(type = 'result') as finished from results group by run)")
+_HINT = """
+k{n} as (select {keys}, run, day, workers, lower_bound, row_number() over (partition by {keys} order by run desc) as rank from rp where {known}),
+w{n} as (select *, 2.0 ^ (-greatest(100 - day, 0) / 7.0) / rank as w from k{n} where rank <= 32),
+m{n} as (select {keys}, min(workers) as least, sum(w) as total from w{n} group by {keys}),
+c{n} as (select distinct {keys}, workers as cand from w{n}),
+d{n} as (select {keys}, cand, round(sum(w * case when lower_bound then greatest(-log2(cand / workers), 0) else abs(log2(cand / workers)) end) + any_value(total) * 0.01 * log2(cand / any_value(least)), 9) as loss from c{n} join w{n} using ({keys}) join m{n} using ({keys}) group by {keys}, cand),
+h{n} as (select {keys}, arg_min(cand, struct_pack(l := loss, n := -cand)) as workers from d{n} group by {keys})"""
+
+
+@query("w13_filesystem_then_route", f"""with {_PREFERENCE},
+rp as (select run % 5 as route, case when run % 7 < 3 then 'fs' || run % 3 end as fs, run, 100 - run % 40 as day, workers, lower_bound from pref),
+{_HINT.format(n=1, keys='route, fs', known='fs is not null')}, {_HINT.format(n=2, keys='route', known='true')},
+asked as (select distinct run % 6 as route, 'fs' || run % 4 as fs from results)
+select asked.route, asked.fs, coalesce(h1.workers, h2.workers) as workers, case when h1.workers is not null then 'filesystem' when h2.workers is not null then 'route' end as matched
+from asked left join h1 on h1.route = asked.route and h1.fs = asked.fs left join h2 on h2.route = asked.route""")
+def w13_hint(t):
+    fs = F.when(c("run") % 7 < 3, F.concat(F.lit("fs"), (c("run") % 3).cast("string")))
+    prefs = E.run_preference(_scores(t)).select((c("run") % 5).alias("route"), fs.alias("fs"), "run", (100 - c("run") % 40).alias("day"), "workers", "lower_bound")
+    contexts = t.results.select((c("run") % 6).alias("route"), F.concat(F.lit("fs"), (c("run") % 4).cast("string")).alias("fs")).distinct()
+    return E.starting_hint(contexts, prefs, ["route"], ["fs"], 100)
+
+
+_RUNS = "select run, sum(bytes) as bytes, bool_or(type = 'result') as finished, 100 - run % 6 as updated_day from results group by run"
+
+
+@query("w14_retention", f"""
+with r as (select *, run = 7 or not finished and updated_day >= 98 as stays from ({_RUNS}))
+select run, stays or sum(case when stays then 0 else bytes end) over (order by run desc rows unbounded preceding) + (select coalesce(sum(bytes), 0) from r where stays) <= 20000000 as keep from r""")
 def w14(t):
-    runs = t.results.groupBy("run").agg(F.sum("bytes").alias("bytes"), F.max(c("type") == "result").alias("finished"))
-    return E.retention(runs, 2000000).select("run", "keep")
+    runs = t.results.groupBy("run").agg(F.sum("bytes").alias("bytes"), F.max(c("type") == "result").alias("finished")).withColumn("updated_day", 100 - c("run") % 6)
+    return E.retention(runs, 20000000, current=7, today=100).select("run", "keep")
 
 
-@query("g16_history_list", "select run, n, status from (select run, count(*) as n, max(status) as status from results group by run) order by run desc limit 50")
+@query("g16_history_list", """
+select run, (date '1970-01-01' + (20000 + run)::int)::date as date, status, elapsed / 1000 as seconds, files, bytes, n as events
+from (select run, count(*) as n, max(status) as status, count(*) filter (disposition = 'transferred') as files, sum(bytes)::bigint as bytes, run * 37 as elapsed from results group by run) order by run desc limit 50""")
 def g16(t):
-    return t.results.groupBy("run").agg(F.count("*").alias("n"), F.max("status").alias("status")).orderBy(F.desc("run")).limit(50)
+    runs = t.results.groupBy("run").agg(F.max("status").alias("status"), F.count_if(c("disposition") == "transferred").alias("files"), F.sum("bytes").alias("bytes"))
+    return E.history_list(runs.withColumns({"day": 20000 + c("run"), "elapsed_ms": c("run") * 37}), t.results.select("run"), 50)
 
 
 @query("o05_newest_runs", "select run from (select distinct run from results) order by run desc limit 10")
@@ -130,11 +174,21 @@ def o05(t):
     return t.results.select("run").distinct().orderBy(F.desc("run")).limit(10)
 
 
-@query("g17_run_eligibility", "select run, count(distinct workers) >= 2 and coalesce(max(rate) filter (usable) > 0, false) as eligible from measurements group by run")
+_VARIED = "select run, count(distinct workers) filter (usable and rate >= 0) >= 2 and coalesce(max(rate) filter (usable and rate >= 0) > 0, false) as eligible from measurements group by run"
+
+
+@query("g17_run_eligibility", _VARIED)
 def g17(t):
     return E.run_eligibility(t.measurements)
 
 
+@query("g17_eligible_contexts", f"select run, eligible and not (run % 5 = 0 or run % 7 = 0) and run % 3 <> 0 as eligible from ({_VARIED})")
+def g17_contexts(t):
+    starts = t.results.filter("seq = 0").select("run", (c("run") % 5 != 0).alias("automatic"), F.when(c("run") % 7 == 0, "workers").alias("overrides"))
+    contexts = t.results.filter("seq < 2").select("run", "seq", ((c("run") % 3 != 0) | (c("seq") == 0)).alias("consistent"), F.lit(True).alias("automatic"))
+    return E.run_eligibility(t.measurements, starts, contexts)
+
+
 @query("g18_trial_medians", """select "case", variant, median(seconds) as median_s, count(*) as n from trials where verified group by "case", variant""")
 def g18(t):
     return E.trial_medians(t.trials, ["case", "variant"])

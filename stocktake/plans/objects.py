@@ -14,21 +14,11 @@ from .registry import query
 c = F.col
 
 
-@query("s02_read_listing", "select distinct on (bucket, key) bucket, key from listing")
-def s02(t):
-    return t.listing.dropDuplicates(["bucket", "key"]).select("bucket", "key")
-
-
 @query("s03_listing_children", "select bucket, case when contains(key, '/') then split_part(key, '/', 1) || '/' else key end as name, count(*) as n, sum(size)::bigint as size from listing where key <> '' group by all")
 def s03(t):
     return O.children(t.listing, "")
 
 
-@query("s04_read_versions", "select key, version, marker from versions where version is not null")
-def s04(t):
-    return t.versions.filter("version is not null")
-
-
 @query("f12_marker_errors", "select key, page_id, case when page_id % 3 = 0 and suffix(key, '/') and size > 0 then 'marker_with_data' end as error from listing")
 def f12(t):
     return t.listing.select("key", "page_id", F.when(is_directory_marker(c("key"), F.lit(0)) & (c("size") > 0) & (c("page_id") % 3 == 0), "marker_with_data").alias("error"))
@@ -72,6 +62,20 @@ def a11(t):
     return t.inv_src.select("path", F.concat(F.lit("owner="), merged["owner"], F.lit(",k="), merged["k"]).alias("merged"))
 
 
+@query("a11_merged_headers", "select path, case when doc_id % 4 = 0 then 'b' end as content_type, 'gzip' as content_encoding from inv_src")
+def a11_headers(t):
+    sides = lambda n, kind, coding: F.struct(kind.alias("content_type"), F.lit(coding).alias("content_encoding"), *(F.lit(None).cast("string").alias(h) for h in O.HEADERS[2:])).alias(n)
+    rows = t.inv_src.select("path", sides("own", F.lit("a"), "gzip"), sides("other", F.when(c("doc_id") % 4 == 0, "b"), "br"))
+    return rows.select("path", *O.merged_headers("own", "other", ["content_type"])).select("path", "content_type", "content_encoding")
+
+
+@query("j16_version_of_a_tree", "select key, version from versions where version = 1")
+def j16_tree(t):
+    below = t.versions.withColumn("key", F.concat(F.lit("t/"), "key"))
+    selectors = t.spark.createDataFrame([("t", True, 1)], "path string, tree boolean, version long")
+    return O.versions_of(selectors, below).select(F.substring("key", 3, 100).alias("key"), "version")
+
+
 @query("a12_upload_decision", """
 select s.path, case when d.path is null or s.size <> d.size then 'upload' when s.mtime_s = d.mtime_s and s.mtime_ns = d.mtime_ns then 'unchanged' when s.hash = d.hash then 'unchanged' else 'upload' end as decision from inv_src s left join inv_dst d using (path)""")
 def a12(t):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stocktake.operators import outcomes as O
+from stocktake.sources import records
+from stocktake.sources.scratch import new_folder
 
 from .registry import query
 
@@ -50,10 +52,26 @@ def w16(t):
 @query("s08_write_results", "select run, row_number() over (partition by run order by phase, path) - 1 as seq, path from (select run, case type when 'run' then 0 when 'result' then 2 else 1 end as phase, lpad(seq::varchar, 9, '0') as path from results)")
 def s08(t):
     phase = F.when(c("type") == "run", 0).when(c("type") == "result", 2).otherwise(1)
-    return O.numbered(t.results.select("run", phase.alias("phase"), F.lpad(c("seq").cast("string"), 9, "0").alias("path"))).select("run", c("seq").cast("long").alias("seq"), "path")
+    rows = O.numbered(t.results.select("run", phase.alias("phase"), F.lpad(c("seq").cast("string"), 9, "0").alias("path"), "type", "disposition", "dst", "bytes", "status"))
+    path = new_folder(t.spark, "results")
+    # the path travels as what a diagnostic explains; records are read back from what was written
+    records.write_results(rows.withColumn("diagnostic_for", c("path")), path)
+    return records.parse_results(t.spark.read.text(path)).filter("error is null or error = 'unknown_status'").select("run", "seq", c("diagnostic_for").alias("path"))
 
 
 @query("g20_summary_rate", "select run, sum(bytes) / greatest(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0.001) as rate from results group by run")
 def g20(t):
-    seconds = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
-    return t.results.groupBy("run").agg((F.sum("bytes") / F.greatest(seconds, F.lit(0.001))).alias("rate"))
+    return O.summary_rate(t.results)
+
+
+_KIND = "case seq % 5 when 0 then 'dir' when 1 then 'symlink' when 2 then 'special' else 'file' end"
+
+
+@query("g01_result_totals", f"""
+select run, count(*) filter (kind = 'file' and disposition = 'transferred') as files_transferred, count(*) filter (kind = 'file' and disposition = 'unchanged') as files_unchanged, count(*) filter (kind = 'file' and disposition = 'excluded') as files_excluded,
+  count(*) filter (kind = 'dir' and disposition = 'transferred') as directories_created, count(*) filter (kind = 'symlink' and disposition = 'transferred') as symlinks_created, count(*) filter (kind = 'special' and disposition = 'transferred') as specials_created,
+  count(*) filter (type = 'error' and diagnostic_for is null) as errors, coalesce(sum(bytes) filter (kind = 'file' and disposition = 'transferred'), 0)::bigint as bytes_transferred, coalesce(sum(bytes) filter (kind = 'file' and disposition = 'unchanged'), 0)::bigint as bytes_unchanged
+from (select *, {_KIND} as kind from results) group by run""")
+def g01_totals(t):
+    n = c("seq") % 5
+    return O.result_totals(t.results.withColumn("kind", F.when(n == 0, "dir").when(n == 1, "symlink").when(n == 2, "special").otherwise("file")))

@@ -96,8 +96,11 @@ def a06(t):
     return _pairs(t).filter("src is not null and dst is not null").select("path", F.array_join(R.changed_attributes(("mode", "uid", "mtime")), ",").alias("changed"))
 
 
-@query("a07_decide_link_or_special", f"""{_PAIRS} select path, case when dk = 'dir' then 'refuse' when sk = dk and sl is not distinct from dl then 'unchanged' when sk = 'symlink' then 'create_link' else 'create_special' end as action, why as reason
-from p where sk not in ('file', 'dir')""")
+A07 = f"""{_PAIRS} select path, case when dk = 'dir' then 'refuse' when sk = dk and sl is not distinct from dl then 'unchanged' when sk = 'symlink' then 'create_link' else 'create_special' end as action, why as reason
+from p where sk not in ('file', 'dir')"""
+
+
+@query("a07_decide_link_or_special", A07)
 def a07(t):
     return R.decide_links(_pairs(t))
 
@@ -153,6 +156,25 @@ def g02(t):
     return outcomes.dry_run_summary(reconcile_plan(t))
 
 
+_LINKS = "select 'symlink' as kind, action, reason from ({})"
+
+
+@query("g02_dry_run_changes", f"""
+with plan as (select 'file' as kind, action, reason from ({_PLAN}) union all select * from ({_LINKS.format(A07)}))
+select count(*) filter (action = 'transfer_file') as regular_files, count(*) filter (action = 'create') as directories, count(*) filter (action = 'create_link') as symlinks, count(*) filter (action = 'create_special') as specials, count(*) filter (action = 'set_attributes') as metadata_only,
+  count(*) filter (reason = 'type_differs' and action in ('transfer_file', 'create', 'create_link', 'create_special')) as type_replacements from plan""")
+def g02_changes(t):
+    plan = reconcile_plan(t).select(F.lit("file").alias("kind"), "action", "reason").union(a07(t).select(F.lit("symlink"), "action", "reason"))
+    return outcomes.dry_run_changes(plan)
+
+
+@query("a07_device_numbers", f"{_PAIRS} select path, case when dk = 'dir' then 'refuse' when sk = dk and (select doc_id from inv_src i where i.path = p.path) % 2 = 0 then 'unchanged' else 'create_special' end as action from p where sk = 'fifo'")
+def a07_devices(t):
+    as_device = lambda df, rdev: df.filter("kind in ('fifo', 'dir')").withColumns({"kind": F.when(c("kind") == "fifo", "block").otherwise(c("kind")), "rdev": rdev})
+    of = R.pairs(as_device(t.inv_src, c("doc_id")), as_device(t.inv_dst, c("doc_id") + c("doc_id") % 2))
+    return R.decide_links(of).select("path", "action")
+
+
 @query("g21_replaced_not_in_place", f"select reason, count(*) as n from ({_PLAN}) where action = 'transfer_file' and reason <> 'destination_missing' group by reason")
 def g21(t):
     return R.replaced_not_in_place(reconcile_plan(t))

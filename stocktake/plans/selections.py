@@ -73,6 +73,16 @@ def p23(t):
     return S.selected_kinds(t.inv_src.select("path", F.when(c("doc_id") % 3 == 0, "dir").when(c("doc_id") % 3 == 1, "file").alias("wanted")), t.inv_dst)
 
 
+@query("p23_refused_runs", """
+with s as (select path, case when doc_id % 3 = 0 then 'dir' when doc_id % 3 = 1 then 'file' end as wanted, doc_id % 2 as part from inv_src),
+x as (select s.path, part, case when d.kind is null then 'missing' when wanted = 'dir' and d.kind <> 'dir' or wanted = 'file' and d.kind = 'dir' then 'wrong_kind' else 'selected' end as status from s left join inv_dst d using (path) where part = 0 or wanted is null)
+select path, status, part = 0 and (select count(*) from x where part = 0 and status = 'wrong_kind') > 0 as refused from x""")
+def p23_refused(t):
+    wanted = F.when(c("doc_id") % 3 == 0, "dir").when(c("doc_id") % 3 == 1, "file")
+    part = lambda cond: S.selected_or_refused(t.inv_src.filter(cond).select("path", wanted.alias("wanted")), t.inv_dst)
+    return part("doc_id % 2 = 0").union(part("doc_id % 2 = 1 and doc_id % 3 = 2")).select("path", "status", "refused")
+
+
 @query("p24_clean_partials", "select '.transfer-s3-' || hash || '.partial' as name from inv_src where kind = 'file' and doc_id % 2 = 0")
 def p24(t):
     name = F.concat(F.when(c("doc_id") % 2 == 0, ".transfer-s3-").otherwise(".other-s3-"), "hash", F.lit(".partial"))

@@ -9,6 +9,7 @@ from stocktake.sources import records
 from stocktake.sources.scratch import new_folder, settle
 from stocktake.streaming import logs
 
+from .reconciles import _PLAN as PLAN
 from .registry import query
 
 c = F.col
@@ -66,13 +67,18 @@ def t06(t):
     return logs.drained(logs.rate_windows(_stream(t, t.events.select(c("ts").cast("timestamp").alias("ts"), "value"), "rates")), "windows", "complete")
 
 
-@query("t07_incremental_reconcile", "select s.path from inv_src s left join inv_dst d using (path) where s.kind = 'file' and (d.path is null or s.size <> d.size)")
+@query("t04_live_daily_checks", "select day, count(*) as checks from download_events where asset = 'tool-release-manifest.json' and latest = 1 and purpose_header = 'check' group by day")
+def t04_checks(t):
+    return logs.drained(logs.live_checks(_requests(t)), "checks", "complete")
+
+
+@query("t07_incremental_reconcile", f"select path from ({PLAN}) where action = 'transfer_file'")
 def t07(t):
     out = new_folder(t.spark, "plans")
     dst = settle(t.inv_dst, "state")
 
     def each(batch, number):
-        plan = reconcile.pairs(batch, dst).filter("src.kind = 'file' and (dst is null or src.size != dst.size)").select("path")
+        plan = reconcile.decide_files(reconcile.pairs(batch, dst)).filter("action = 'transfer_file'").select("path")
         plan.write.mode("overwrite").parquet(f"{out}/{number}")
 
     logs.drained(_stream(t, t.inv_src, "snapshots"), "reconcile", each=each)

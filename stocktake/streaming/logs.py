@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocktake.operators.evidence import classify_download
-from stocktake.sources.records import parse_results
+from stocktake.sources.records import checked_results
 from stocktake.sources.scratch import new_folder
 
 
 def tail_results(spark: SparkSession, path: str) -> DataFrame:
-    """Known records of result files as they arrive."""
-    return parse_results(spark.readStream.text(path))
+    """Known records of result files as they arrive. Unknown types are ignored; a record of an unknown schema, version, status or path encoding ends the stream with an error."""
+    return checked_results(spark.readStream.text(path))
 
 
 def latest_progress(records: DataFrame) -> DataFrame:
@@ -24,20 +24,29 @@ def latest_progress(records: DataFrame) -> DataFrame:
     return records.groupBy("run").agg(F.max("seq").alias("seq"), F.max_by("bytes", "seq").alias("bytes"))
 
 
-def run_completion(records: DataFrame) -> DataFrame:
-    """run, records, errors and status of each run so far: `unknown` until a terminal record comes (update mode)."""
+def run_completion(records: DataFrame, silent_ms: int = 3_600_000) -> DataFrame:
+    """run, records, errors, status and closed of each run so far: `unknown` until a terminal record comes (update mode).
+
+    A run that is silent for silent_ms of processing time is closed as it stands, and its
+    state is dropped: without a terminal record it ended as unknown.
+    """
 
     def follow(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, errors, status = state.get if state.exists else (0, 0, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"run": [key[0]], "records": [n], "errors": [errors], "status": [status or "unknown"], "closed": [True]})
+            return
         for f in frames:
             n += len(f)
             errors += int((f["disposition"] == "failed").sum() + (f["type"] == "error").sum())
             ended = f.loc[f["type"] == "result", "status"]
             status = ended.iloc[-1] if len(ended) else status
         state.update((n, errors, status))
-        yield pd.DataFrame({"run": [key[0]], "records": [n], "errors": [errors], "status": [status or "unknown"]})
+        state.setTimeoutDuration(silent_ms)
+        yield pd.DataFrame({"run": [key[0]], "records": [n], "errors": [errors], "status": [status or "unknown"], "closed": [False]})
 
-    return records.groupBy("run").applyInPandasWithState(follow, "run long, records long, errors long, status string", "n long, errors long, status string", "update", "NoTimeout")
+    return records.groupBy("run").applyInPandasWithState(follow, "run long, records long, errors long, status string, closed boolean", "n long, errors long, status string", "update", "ProcessingTimeTimeout")
 
 
 def live_installs(requests: DataFrame, late: str = "1 day") -> DataFrame:
@@ -46,6 +55,12 @@ def live_installs(requests: DataFrame, late: str = "1 day") -> DataFrame:
     return events.groupBy(F.window("ts", "1 day"), "kind").agg(F.count("*").alias("downloads")).select(F.to_date("window.start").alias("day"), "kind", "downloads")
 
 
+def live_checks(requests: DataFrame, late: str = "1 day") -> DataFrame:
+    """Checks for updates by day; rows later than the watermark are dropped."""
+    events = classify_download(requests).filter("kind = 'manifest' and latest = 1 and purpose = 'check'").withWatermark("ts", late)
+    return events.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("checks")).select(F.to_date("window.start").alias("day"), "checks")
+
+
 def install_sessions(requests: DataFrame, gap: str = "5 minutes", late: str = "1 day") -> DataFrame:
     """Bursts of requests of one address and target."""
     events = classify_download(requests).withWatermark("ts", late)
@@ -64,6 +79,8 @@ def once_each(records: DataFrame, keys: list[str], late: str = "30 days") -> Dat
 def drained(stream: DataFrame, label: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """Runs a stream over what is there and returns what it wrote; in complete mode the last state, in update mode every update with its batch."""
     spark = stream.sparkSession
+    # what is there is drained; a stream with timers would otherwise run empty batches for them without end
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     path, log = new_folder(spark, label), new_folder(spark, f"{label}-log")
     writer = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).outputMode(mode)
 

@@ -173,17 +173,19 @@ def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge keeps, all columns; the verdict is found beside each row, so texts are not shuffled."""
     model = fitted(settle(with_stats(docs), "quality"))
     names = [x.split()[0] for x in f"{_BASE}, {_MORE}".split(", ")]
-    at, columns = docs.columns.index("text"), docs.columns
+    at, columns, beside_ = docs.columns.index("text"), docs.columns, "stats"
+    while beside_ in columns:
+        beside_ += "_"
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([text_stats(t or "") for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(names))
             stats = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(names))], names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*columns, "__stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*columns, beside_])
 
-    schema = T.StructType([*docs.schema, T.StructField("__stats", T.StructType([T.StructField(n, T.LongType()) for n in names]))])
-    failed, quality = _verdict(model, lambda n: F.col(f"__stats.{n}"))
-    return docs.mapInArrow(beside, schema).filter(~failed & (quality >= threshold)).drop("__stats")
+    schema = T.StructType([*docs.schema, T.StructField(beside_, T.StructType([T.StructField(n, T.LongType()) for n in names]))])
+    failed, quality = _verdict(model, lambda n: F.col(f"{beside_}.{n}"))
+    return docs.mapInArrow(beside, schema).filter(~failed & (quality >= threshold)).drop(beside_)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -133,6 +133,12 @@ def decide_directories(src_dirs: DataFrame, dst: DataFrame) -> DataFrame:
     return first.join(below, "path", "left").select("path", F.when(F.col("__below"), "skipped").otherwise(F.col("action")).alias("action"))
 
 
+def directory_attributes(decided: DataFrame, predicate: Column) -> DataFrame:
+    """path, action and attributes of decide_directories: a predicate that a directory fails leaves its own attributes alone, not its place or what is below."""
+    own = F.col("action").isin("create", "exists") & F.coalesce(predicate, F.lit(False))
+    return decided.select("path", "action", own.alias("attributes"))
+
+
 def mapping_attributes(mapping: DataFrame, src: DataFrame) -> DataFrame:
     """Overrides (mode, mtime, and uid and gid where the mapping has them) replace the source's attributes.
 

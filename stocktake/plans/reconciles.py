@@ -105,11 +105,19 @@ def a07(t):
     return R.decide_links(_pairs(t))
 
 
-@query("a08_decide_directory", """
+A08 = """
 with w as (select distinct unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) as path from inv_src
   union select distinct path || '/x' from inv_dst where doc_id % 14 = 1 union select distinct path from inv_dst where doc_id % 14 = 1),
 f as (select w.path, case when d.path is null then 'create' when d.kind = 'dir' then 'exists' else 'conflict' end as action from w left join inv_dst d using (path))
-select f.path, case when exists (select 1 from f g where g.action = 'conflict' and starts_with(f.path, g.path || '/')) then 'skipped' else action end as action from f""")
+select f.path, case when exists (select 1 from f g where g.action = 'conflict' and starts_with(f.path, g.path || '/')) then 'skipped' else action end as action from f"""
+
+
+@query("p16_directories", f"select path, action, action in ('create', 'exists') and length(path) % 2 = 0 as attributes from ({A08})")
+def p16_directories(t):
+    return R.directory_attributes(a08(t), F.length("path") % 2 == 0)
+
+
+@query("a08_decide_directory", A08)
 def a08(t):
     from stocktake.operators.prefixes import ancestors_of
 
@@ -180,12 +188,9 @@ def g21(t):
     return R.replaced_not_in_place(reconcile_plan(t))
 
 
-@query("o07_largest_first", f"select size_rank, bytes from (select bytes, row_number() over (order by bytes desc) as size_rank from ({_PLAN}) where action = 'transfer_file') where size_rank <= 100")
+@query("o07_largest_first", f"select row_number() over (order by bytes desc) as size_rank, bytes from ({_PLAN}) where action = 'transfer_file'")
 def o07(t):
-    rows = reconcile_plan(t).filter("action = 'transfer_file'").orderBy(F.desc("bytes"), F.xxhash64("path")).limit(100)
-    from pyspark.sql import Window
-
-    return rows.select(F.row_number().over(Window.orderBy(F.desc("bytes"))).cast("long").alias("size_rank"), "bytes")
+    return numbered(reconcile_plan(t).filter("action = 'transfer_file'"), [F.desc("bytes"), F.xxhash64("path")], "size_rank").select("size_rank", "bytes")
 
 
 @query("o07_whole_order", f"select row_number() over (order by bytes desc, md5(path), path) as nth, path, bytes from ({_PLAN}) where action = 'transfer_file'")

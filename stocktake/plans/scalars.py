@@ -36,6 +36,11 @@ _SCALARS = {
     "f12_directory_marker": ("listing", {"marker": lambda: V.is_directory_marker(F.when(c("page_id") % 4 == 0, F.concat("key", F.lit("/"))).otherwise(c("key")), F.when(c("page_id") % 3 == 0, 0).otherwise(c("size")))}, {"marker": "page_id % 3 = 0 and (page_id % 4 = 0 or suffix(key, '/'))"}),
     "f13_permission_bits": ("inv_dst", {"bits": lambda: V.permission_bits(c("mode") + 0o100000)}, {"bits": "mode"}),
     "f14_ts_nanos": ("inv_src", {"nanos": lambda: V.ts_nanos(c("mtime_s"), c("mtime_ns")).cast("string")}, {"nanos": "(mtime_s::hugeint * 1000000000 + mtime_ns)::varchar"}),
+    "f14_durations": (
+        "inv_src",
+        {"later_s": lambda: V.add_duration(c("mtime_s"), c("mtime_ns"), c("doc_id") * 1500000000 - 10**18)["seconds"], "later_ns": lambda: V.add_duration(c("mtime_s"), c("mtime_ns"), c("doc_id") * 1500000000 - 10**18)["nanos"], "apart": lambda: V.ts_diff(c("mtime_s"), c("mtime_ns"), F.lit(1700000000), F.lit(5)).cast("long")},
+        {"later_s": "mtime_s - 1000000000 + (mtime_ns + doc_id * 1500000000) // 1000000000", "later_ns": "((mtime_ns + doc_id * 1500000000) % 1000000000)::int", "apart": "(mtime_s - 1700000000) * 1000000000 + mtime_ns - 5"},
+    ),
     "f15_preferred_time": ("inv_src", {"at": lambda: V.preferred_time(F.when(c("doc_id") % 2 == 0, c("mtime_s")), c("doc_id"))}, {"at": "case when doc_id % 2 = 0 then mtime_s else doc_id end"}),
     "f17_mtime_matches_coarse": ("inv_src", {"near": lambda: V.mtime_matches_coarse(c("mtime_s"), c("mtime_s") + c("doc_id") % 4)}, {"near": "doc_id % 4 <= 1"}),
     "f18_literals": (
@@ -56,7 +61,7 @@ _SCALARS = {
     ),
     "f21_digest_valid": ("inv_src", {"ok": lambda: V.digest_valid(F.when(c("doc_id") % 2 == 0, "sha256").otherwise("md5"), c("hash")), "none": lambda: V.digest_valid(F.lit("crc"), c("hash"))}, {"ok": "doc_id % 2 = 0", "none": "false"}),
     "f22_digest_parse": ("inv_src", {"algorithm": lambda: V.digest_parse(F.concat(F.lit("sha256:"), F.upper("hash")))["algorithm"], "value": lambda: V.digest_parse(F.concat(F.lit("sha256:"), F.upper("hash")))["value"]}, {"algorithm": "'sha256'", "value": "hash"}),
-    "f23_content_hash": ("documents", {"sha256": lambda: F.sha2("text", 256), "md5": lambda: F.md5("text")}, {"sha256": "sha256(text)", "md5": "md5(text)"}),
+    "f23_content_hash": ("documents", {"sha256": lambda: V.content_hash(c("text"), "sha256"), "md5": lambda: V.content_hash(c("text"), "md5")}, {"sha256": "sha256(text)", "md5": "md5(text)"}),
     "f24_normalized_md5": ("documents", {"same": lambda: V.normalized_md5_matches(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.md5("text")), "other": lambda: V.normalized_md5_matches(c("text"), F.md5("lang"))}, {"same": "true", "other": "false"}),
     "f25_leftover_names": (
         "inv_src",
@@ -68,7 +73,7 @@ _SCALARS = {
         {"partial": "doc_id % 3 = 0", "object": "doc_id % 2 = 0", "recovery": "doc_id % 5 = 0"},
     ),
     "f26_version_matches": ("inv_src", {"fits": lambda: V.version_matches(F.concat((c("doc_id") % 4).cast("string"), F.lit("."), (c("doc_id") % 7).cast("string"), F.lit(".0")), ">=1.2.0,<2.0.0|=3.0.0")}, {"fits": "(doc_id % 4 = 1 and doc_id % 7 >= 2) or (doc_id % 4 = 3 and doc_id % 7 = 0)"}),
-    "f27_dst_rewrites": ("inv_src", {"month": lambda: F.date_format(F.timestamp_seconds("mtime_s"), "yyyy/MM"), "lowered": lambda: F.lower("path")}, {"month": "strftime(make_timestamp(mtime_s * 1000000), '%Y/%m')", "lowered": "lower(path)"}),
+    "f27_dst_rewrites": ("inv_src", {"dst": lambda: V.dst_by_time(c("mtime_s"), c("path")), "daily": lambda: V.dst_by_time(c("mtime_s"), P.path_name(c("path")), "yyyy/MM/dd")}, {"dst": "strftime(make_timestamp(mtime_s * 1000000), '%Y/%m') || '/' || lower(path)", "daily": "strftime(make_timestamp(mtime_s * 1000000), '%Y/%m/%d') || '/' || doc_id || '.txt'"}),
     "f28_object_version_uri": ("listing", {"uri": lambda: V.object_version_uri(c("bucket"), F.concat("key", F.lit("/ü *~.txt")), F.lit("v/1"))}, {"uri": "url_encode(bucket) || '/' || replace(url_encode(key), '%2F', '/') || '/%C3%BC%20%2A~.txt?versionId=v%2F1'"}),
     "f29_epoch_day_to_date": ("inv_src", {"day": lambda: V.epoch_day_to_date(F.floor(c("mtime_s") / 86400))}, {"day": "date '1970-01-01' + (mtime_s // 86400)::int"}),
     "p01_null_safe_equality": ("inv_src", {"same": lambda: Q.equal(c("link_target"), F.lit(None).cast("string")), "differs": lambda: ~Q.equal(c("link_target"), F.lit("../en"))}, {"same": "link_target is not distinct from null", "differs": "link_target is distinct from '../en'"}),

@@ -29,3 +29,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
         if new.filter("changed").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(id, component) after more links(a, b): only the components that they join are worked on; ids without a label so far are their own."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = settle(joined.filter("a != b").distinct(), "links")
+    if joined.isEmpty():
+        return labels
+    more = components(joined)
+    next_ = more.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    facts = labels.groupBy("component").agg(F.count("*").alias("n")).join(next_, "component", "left").withColumn("next", F.coalesce("next", "component"))
+    old = with_facts(labels, settle(facts, "labels"), ["component"], "n", labels.count()).select("id", F.col("next").alias("component"))
+    return settle(old.unionByName(more.join(labels.select("id"), "id", "left_anti")), "labels")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches, table, with_facts
-from .components import components
+from .components import components, extended
 from .shingles import mixed, shingle_set
 
 BANDS, ROWS = 40, 4  # a pair at similarity 0.75 shares no band once in 4 million times
@@ -222,16 +222,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stars.join(sketches, "doc").join(sketches.select(F.col("doc").alias("center"), F.col("sketch").alias("other")), "center")
     scored = stars.select("doc", "center", "sketch", "other").mapInPandas(likeness, "doc long, center long, score double").filter(F.col("score") >= SCREEN)
     likeliest = scored.groupBy("doc").agg(F.max_by("center", F.struct("score", -F.col("center"))).alias("b")).select(F.col("doc").alias("a"), "b")
-    links = _confirmed(likeliest, texts)
     # the likeliest partners first, then all that are still apart: nothing is left out
-    labels = components(links)
+    labels = components(_confirmed(likeliest, texts))
     of = members.join(labels, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     open_ = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     members = settle(members.join(open_, "key", "left_semi"), "members")
     wide = settle(_wide(texts.join(members.select("doc").distinct(), "doc", "left_semi")), "sketches")
     for most in (8, None):
-        links = links.union(_confirmed(_apart(members, labels, wide, most), texts))
-        labels = components(links)
+        labels = extended(labels, _confirmed(_apart(members, labels, wide, most), texts))
     labels = labels.select(F.col("id").alias("class"), "component")
     of = settle(classes.join(labels, "class", "left").select("d1", "d2", F.coalesce("component", "class").alias("component"), "n"), "classes")
     total = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -12,7 +12,7 @@ import pytest
 from conftest import same_rows
 from tokenizers import Tokenizer
 
-from stocktake.llm import bin_completion, common, license_scan, line_dedup, minhash_dedup, quality_rules, queries, secret_scan, source_mix, suffix_dedup, threshold_topk, tokens, wavelet_tokens
+from stocktake.llm import bin_completion, common, components, license_scan, line_dedup, minhash_dedup, quality_rules, queries, secret_scan, source_mix, suffix_dedup, threshold_topk, tokens, wavelet_tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, part string, key string, doc long, line_no int, hits string, rank int, length long, n_words long"
 WORDS = "and the ore then rating on that handle stone winter of cold bright measure seven".split()
@@ -209,6 +209,31 @@ def test_near_duplicates(docs):
     assert want[1][1] == want[2][1] == 0 and want[7][1] == 6 and want[17][1] == 16
 
 
+def test_components_and_what_more_links_join(spark):
+    r = random.Random(41)
+    first = [(a, a + 1) for a in range(0, 60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, i) for i in range(301, 380)]
+    more = [(30, 150), (500, 501), (501, 300), (7, 9)]
+
+    def want(links):
+        root = {x: x for pair in links for x in pair}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {x: find(x) for x in root}
+
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    labels = components.components(frame(first))
+    assert {x.id: x.component for x in labels.collect()} == want(first)
+    assert {x.id: x.component for x in components.extended(labels, frame(more)).collect()} == want(first + more)
+    assert {x.id: x.component for x in components.extended(labels, frame([(1, 2), (300, 301)])).collect()} == want(first)
+
+
 def test_pairs_right_above_the_bound_are_all_linked(spark):
     """Recall where it is hardest: pairs at a similarity of 0.75 to 0.80, and none below 0.75 is linked."""
     r = random.Random(77)

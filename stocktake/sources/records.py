@@ -172,15 +172,16 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, state: DataFrame, root: str) -> str:
-    """Writes a new version below root and then points to it; a failed write leaves the old pointer."""
+    """Writes a new version below root and then points to it. Pointers are only added, so a write that fails, at whatever step, leaves the last one."""
     path = f"{root}/version-{new_folder(spark, 'v').rpartition('-')[2]}"
     state.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    spark.createDataFrame([(path,)], "path string").select(F.unix_micros(F.current_timestamp()).alias("at"), "path").coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return path
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{root}/current").first()[0])
+    """The version that was published last."""
+    return spark.read.parquet(spark.read.parquet(f"{root}/pointers").agg(F.max_by("path", F.struct("at", "path"))).first()[0])
 
 
 def snapshot(pairs: DataFrame, columns: Sequence[str], gone: Column) -> DataFrame:

@@ -1,8 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of what stands between spaces.
 
-Where no token of a vocabulary crosses a space that a visible character follows,
-or a letter and a mark after it, texts are parted there, and such pieces are encoded once for each worker and
-looked up after that. Any other tokenizer encodes whole texts.
+A tokenizer that parts texts before a space that a visible character follows, and between
+a letter and a mark, encodes such pieces once for each worker and looks them up after that. Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -23,10 +22,6 @@ _BEFORE_VISIBLE = re.compile(r" (?=\S)")
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,:;!?])"
 
 
-#: A token in which a space stands before something visible, but not first, or a mark after a letter.
-_CROSSES = re.compile(r".[Ġ ][^Ġ ]|[A-Za-z\u00a1-\u0143][.,:;!?]", re.S)
-
-
 def path_of(name: str) -> str:
     import public_tokenizers
 
@@ -60,7 +55,22 @@ class Encoder:
         self.edge = np.zeros(size, bool)  # byte-level: tokens that start with a space; else tokens that end a word
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("Ġ") if self.spaced else token.endswith("</w>")
-        self.parted = type(self.tokenizer.model).__name__ == "BPE" and not any(map(_CROSSES.search, vocabulary.keys() - set(self.specials)))
+        self.parted = self._parts()
+
+    def _parts(self) -> bool:
+        """Whether the tokenizer itself parts texts before a space that something visible follows, and between a letter and a mark."""
+        split, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if split is None or type(self.tokenizer.model).__name__ != "BPE":
+            return False
+        norm = normal.normalize_str if normal else str
+
+        def edge(left: str, right: str) -> bool:
+            at = len(norm(left))
+            return all(b <= at or a >= at for _, (a, b) in split.pre_tokenize_str(norm(left + right)))
+
+        letters = [chr(i) for i in range(0x100) if re.match(_MARK[: _MARK.index(")") + 1], chr(i))]
+        visible = [chr(i) for i in range(0x21, 0x100) if not chr(i).isspace() and chr(i).isprintable()]
+        return all(edge(x, mark) for x in letters for mark in ".,:;!?") and all(edge(x, " " + y) for x in "aZ9.é" for y in visible)
 
     def _plain(self, piece: str) -> bool:
         word = piece[1:] if self.spaced else piece

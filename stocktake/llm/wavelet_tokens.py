@@ -248,7 +248,9 @@ def tokens_at(spark, path: str, places: DataFrame, span: int = 1 << 21) -> DataF
         matrix = WaveletMatrix.read(own["matrix"].iloc[0])
         return pd.DataFrame({"place": ask["place"], "token": matrix.access((ask["place"] - ask["low"]).to_numpy())})
 
-    matrices = shards.select("part", "shard", "matrix").join(met.select("part", "shard").distinct(), ["part", "shard"], "left_semi")
+    # aliases tell the columns of both sides apart, which come from the same files
+    held = shards.select(F.col("part").alias("part"), F.col("shard").alias("shard"), F.col("matrix").alias("matrix"))
+    matrices = held.join(met.select("part", "shard").distinct(), ["part", "shard"], "left_semi")
     return matrices.groupBy("part", "shard").cogroup(met.groupBy("part", "shard")).applyInPandas(look, "place long, token long")
 
 

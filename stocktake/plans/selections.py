@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stocktake.functions import ignore as I
 from stocktake.functions import predicates as Q
-from stocktake.operators import content, mapping, objects, prune
+from stocktake.operators import mapping, prune
 from stocktake.operators import selection as S
 from stocktake.operators.transform import Context, Mapping
 

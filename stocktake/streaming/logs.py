@@ -79,8 +79,6 @@ def once_each(records: DataFrame, keys: list[str], late: str = "30 days") -> Dat
 def drained(stream: DataFrame, label: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """Runs a stream over what is there and returns what it wrote; in complete mode the last state, in update mode every update with its batch."""
     spark = stream.sparkSession
-    # what is there is drained; a stream with timers would otherwise run empty batches for them without end
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     path, log = new_folder(spark, label), new_folder(spark, f"{label}-log")
     writer = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).outputMode(mode)
 
@@ -89,9 +87,15 @@ def drained(stream: DataFrame, label: str, mode: str = "append", each: Callable[
             batch = batch.withColumn("batch", F.lit(number))
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}" if mode == "append" else path if mode == "complete" else f"{path}/{number}")
 
+    # what is there is drained; a stream with timers would otherwise run empty batches for them without end
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")
+    try:
+        writer.foreachBatch(keep if each is None else each).start().awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
     if each is not None:
-        writer.foreachBatch(each).start().awaitTermination()
         return None
-    writer.foreachBatch(keep).start().awaitTermination()
     rows = spark.read.option("recursiveFileLookup", mode == "update").schema(stream.schema if mode != "update" else T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])).parquet(path)
     return rows.select(*stream.columns, *(["batch"] if mode == "update" else []))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -128,6 +129,39 @@ def fillings(counts: dict[int, int], lengths: list[int], free: int, waste: int,
     return [(spare, tuple((x, own.count(x)) for x in dict.fromkeys(own))) for spare, own in kept]
 
 
+#: Bins taken on the way to a node: how many of which filling, and the steps before.
+Steps = tuple | None
+
+
+def _taken(steps: Steps) -> Packing:
+    out = []
+    while steps:
+        out.append(steps[:2])
+        steps = steps[2]
+    return out[::-1]
+
+
+@dataclass(frozen=True)
+class _Left:
+    """Counts of lengths in a few bytes each."""
+
+    lengths: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, counts: dict[int, int]) -> _Left:
+        return cls(np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+
+    def after(self, whole: dict[int, int], times: int) -> dict[int, int]:
+        """The counts that `times` bins of this content leave."""
+        rest = dict(zip(self.lengths.tolist(), self.counts.tolist()))
+        for x, n in whole.items():
+            rest[x] -= times * n
+            if not rest[x]:
+                del rest[x]
+        return rest
+
+
 def pack_counts(counts: dict[int, int], room: int, nodes: int = 20_000) -> Packing:
     """Packs counts[length] items of each length into few bins of `room`.
 
@@ -144,15 +178,18 @@ def pack_counts(counts: dict[int, int], room: int, nodes: int = 20_000) -> Packi
     bins = sum(n for n, _ in best)
     least, total = lower_bound(counts, room), sum(x * n for x, n in counts.items())
     visited = 0
-    stack: list[tuple[dict[int, int], Packing, int]] = [(counts, [], 0)]
+    # A node waiting on the stack is what its parent had left, shared with its siblings, and the step from there; steps are linked
+    # to those before. Each step uses up a length, so the parents held are at most as many as there are lengths.
+    stack: list[tuple[_Left, dict[int, int], int, Steps, int]] = [(_Left.of(counts), {}, 0, None, 0)]
     while stack and bins > least and visited < nodes:
-        rest, own, used = stack.pop()
+        left, step, times, own, used = stack.pop()
+        rest = left.after(step, times)
         visited += 1
         if used + lower_bound(rest, room) >= bins:
             continue
         tail = best_fit(rest, room)
         if used + sum(n for n, _ in tail) < bins:
-            best, bins = own + tail, used + sum(n for n, _ in tail)
+            best, bins = _taken(own) + tail, used + sum(n for n, _ in tail)
         spare = (bins - 1) * room - total  # waste that a better packing may have
         wasted = used * room - (total - sum(x * n for x, n in rest.items()))
         if wasted > spare or used + lower_bound(rest, room) >= bins:
@@ -160,17 +197,17 @@ def pack_counts(counts: dict[int, int], room: int, nodes: int = 20_000) -> Packi
         large = max(rest)
         lengths = sorted(rest)
         without = {**rest, large: rest[large] - 1}
+        held = _Left.of(rest)
         for _, filling in reversed(fillings(without, lengths, room - large, spare - wasted)):
             whole: dict[int, int] = {large: 1}
             for x, n in filling:
                 whole[x] = whole.get(x, 0) + n
             times = min(rest[x] // n for x, n in whole.items())
-            after = {x: n - times * whole.get(x, 0) for x, n in rest.items() if n > times * whole.get(x, 0)}
-            done = [*own, (times, tuple(whole.items()))]
-            if after:
-                stack.append((after, done, used + times))
+            done = (times, tuple(whole.items()), own)
+            if any(n > times * whole.get(x, 0) for x, n in rest.items()):
+                stack.append((held, whole, times, done, used + times))
             elif used + times < bins:
-                best, bins = done, used + times
+                best, bins = _taken(done), used + times
     return best
 
 

@@ -185,9 +185,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         of = _matrix(own.column("vector"), key[0].as_py())
         return pa.table({"dims": [key[0].as_py()], "shard": [key[1].as_py()], "low": [of.min(axis=0).tolist()], "high": [of.max(axis=0).tolist()]}, pa.schema([("dims", pa.int64()), ("shard", pa.int64()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))]))
 
-    groups = F.pmod(F.xxhash64("shard"), F.lit(max(1, math.ceil(shards / 1024)))).cast("int").alias("group")
-    edges = settle(rows.groupBy("dims", "shard").applyInArrow(extremes, "dims long, shard long, low array<bigint>, high array<bigint>"), "edges").select("*", groups, every)
     n_groups = max(1, math.ceil(shards / 1024))
+    groups = F.pmod(F.xxhash64("shard"), F.lit(n_groups)).cast("int").alias("group")
+    edges = settle(rows.groupBy("dims", "shard").applyInArrow(extremes, "dims long, shard long, low array<bigint>, high array<bigint>"), "edges").select("*", groups, every)
 
     def reachable(own: pa.Table, ask: pa.Table) -> pa.Table:
         """The queries of a block with the shards of a group whose bound reaches their floor."""

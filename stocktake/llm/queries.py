@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, threshold_topk, wavelet_tokens
+from . import bin_completion, license_scan, line_dedup, merkle_manifest, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, threshold_topk, wavelet_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.query,
         "op9_wavelet_tokens": wavelet_tokens.query,
         "op10_threshold_topk": threshold_topk.query,
+        "op13_merkle_manifest": merkle_manifest.query,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_dedup": minhash_dedup.SQL,
         "op8_license_scan": license_scan.SQL,
         "op10_threshold_topk": threshold_topk.SQL,
+        "op13_merkle_manifest": merkle_manifest.SQL,
     }

@@ -42,7 +42,9 @@ def _with_siblings(nodes: DataFrame, fanout: int) -> DataFrame:
     dealt = nodes.withColumn("run", F.expr(f"place div {int(fanout)}")).repartition("tree", "run")
     wanted = dealt.select("tree", "run", "n", "place", "digest", "row", F.explode_outer(siblings(F.col("place"), F.col("n"), fanout)).alias("at"))
     others = dealt.select(F.col("tree").alias("t"), F.col("run").alias("r"), F.col("place").alias("p"), F.col("digest").alias("sibling"))
-    met = wanted.join(others, (F.col("tree") == F.col("t")) & (F.col("run") == F.col("r")) & (F.col("at") == F.col("p")), "left")
+    # as a difference, so that equal indices are met inside the runs that both sides are dealt by and nothing is dealt again
+    same = F.col("at") - F.col("p") == 0
+    met = wanted.join(others, (F.col("tree") == F.col("t")) & (F.col("run") == F.col("r")) & same, "left")
     run = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "sibling"))))
     found = met.groupBy("tree", "run", "place").agg(F.first("n").alias("n"), F.first("digest").alias("digest"), F.first("row").alias("row"), run.alias("found"))
     joined = lambda list_: F.aggregate(list_, F.expr("X''"), lambda so_far, x: F.concat(so_far, x["sibling"]))

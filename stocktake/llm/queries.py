@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_completion, filter_audit, license_scan, line_dedup, merkle_manifest, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, threshold_topk, wavelet_tokens
+from . import bin_completion, filter_audit, language_id, license_scan, line_dedup, merkle_manifest, minhash_dedup, quality_rules, secret_scan, source_mix, suffix_dedup, threshold_topk, wavelet_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.query,
         "op9_wavelet_tokens": wavelet_tokens.query,
         "op10_threshold_topk": threshold_topk.query,
+        "op11_language_id": language_id.query,
         "op12_filter_audit": filter_audit.query,
         "op13_merkle_manifest": merkle_manifest.query,
     }

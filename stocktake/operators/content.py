@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocktake.functions.checksums import CRC64NVME, crc
+
 
 def _pieces(contents: DataFrame, size: int, on: Sequence[str], **values: Callable[[Column], Column]) -> DataFrame:
     """One row for each block of contents(on, content): block, offset, length and the values of its bytes.
@@ -33,6 +35,15 @@ def split_blocks(contents: DataFrame, size: int, on: str | Sequence[str] = "doc_
     return _pieces(contents, size, _keys(on), hash=F.md5)
 
 
+def checked_parts(contents: DataFrame, size: int, on: str = "path") -> DataFrame:
+    """Parts of contents(on, content) of at most `size` bytes: block, left (the bytes that follow), crc64 and md5. An empty content is one part, a null one has none."""
+    content = F.col("content").cast("binary")
+    sized = contents.select(on, content.alias("content"), F.octet_length(content).cast("long").alias("__n"))
+    parts = _pieces(sized, size, [on, "__n"], content=lambda piece: piece).withColumn("left", F.col("__n") - F.col("offset") - F.col("length"))
+    empty = sized.filter("__n = 0").select(on, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("left"), "content")
+    return parts.select(on, "block", "left", "content").unionByName(empty).select(on, "block", "left", crc("content", CRC64NVME).alias("crc64"), F.md5("content").alias("md5"))
+
+
 def zero_runs(contents: DataFrame, size: int = 4096, on: str | Sequence[str] = "doc_id") -> DataFrame:
     """Runs (first, last) of blocks of contents(on, content) that hold nothing but zero bytes: what could be holes."""
     keys = _keys(on)
@@ -72,10 +83,18 @@ def verify_expected(contents: DataFrame, expected: DataFrame, on: str) -> DataFr
     return joined.select(on, F.when(F.col("__expected").isNull(), "unexpected").when(F.col("hash").eqNullSafe(F.lower("__expected")), "ok").otherwise("mismatch").alias("check"))
 
 
+def identified(rows: DataFrame) -> Column:
+    """Whether a row of rows(device, inode) can share its file with another name: it has both numbers, and not just one link where nlink is known."""
+    both = F.col("device").isNotNull() & F.col("inode").isNotNull()
+    return both & (F.coalesce(F.col("nlink"), F.lit(2)) > 1) if "nlink" in rows.columns else both
+
+
 def representatives(links: DataFrame) -> DataFrame:
-    """role of each name of an inode: the first is transferred, the others link to it."""
+    """role of each name of an inode: the first is transferred, the others link to it. A name without an identity, as in listings of objects, stands alone and is transferred."""
     first = F.min("nth").over(Window.partitionBy("device", "inode"))
-    return links.withColumn("leader", first).withColumn("role", F.when(F.col("nth") == F.col("leader"), "transfer").otherwise("link"))
+    shared = links.filter(identified(links)).withColumn("leader", first)
+    alone = links.filter(~identified(links)).withColumn("leader", F.col("nth"))
+    return shared.unionByName(alone).withColumn("role", F.when(F.col("nth") == F.col("leader"), "transfer").otherwise("link"))
 
 
 def followers(links: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -84,5 +103,5 @@ def followers(links: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def group_conflicts(links: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Inodes of several names that ask for different values; by: what values have to share to be compared, such as the algorithm of a digest."""
-    return links.groupBy("device", "inode", *by).agg(F.count_distinct(value).alias("n")).filter("n > 1")
+    """Inodes of several names that ask for different values; by: what values have to share to be compared, such as the algorithm of a digest. Names without an identity are compared with none."""
+    return links.filter(identified(links)).groupBy("device", "inode", *by).agg(F.count_distinct(value).alias("n")).filter("n > 1")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocktake.functions.checksums import CRC64NVME, combined, etag_of_parts
 from stocktake.functions.paths import path_ancestors, path_relative
 
 from .prefixes import beneath
@@ -68,6 +69,19 @@ def same_contents(quick: Column) -> Column:
     )
 
 
+def local_checksums(parts: DataFrame, on: str = "path") -> DataFrame:
+    """checksum_type, crc64 and etag of whole local files from parts(on, block, left, crc64, md5), as a store reports them, so that same_contents can decide.
+
+    crc64 of a part is a signed long, of the whole the base64 of its 8 bytes; left: the bytes that follow the part; md5 is hex. The etag is that of an
+    object uploaded in these parts (a store takes 10,000 at most), or the MD5 of a single one.
+    """
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("block", "md5"))), lambda x: x["md5"])
+    found = parts.groupBy(on).agg(combined("crc64", "left", CRC64NVME).alias("crc"), digests.alias("digests"))
+    crc64 = F.base64(F.unhex(F.lpad(F.hex("crc"), 16, "0")))
+    etag = F.when(F.size("digests") == 1, F.col("digests")[0]).otherwise(etag_of_parts(F.col("digests")))
+    return found.select(on, F.lit("FULL_OBJECT").alias("checksum_type"), crc64.alias("crc64"), etag.alias("etag"))
+
+
 def same_attributes(headers: Sequence[str] = HEADERS) -> Column:
     """User metadata, headers, storage class (absent is STANDARD) and tags."""
     entries = lambda c: F.array_sort(F.map_entries(F.coalesce(F.col(c), F.expr("cast(map() as map<string,string>)"))))
@@ -91,9 +105,9 @@ def merged_metadata(own: Column, other: Column, reserved: Sequence[str]) -> Colu
 
 
 def upload_decision(of: DataFrame) -> DataFrame:
-    """unchanged, check_hash or upload for a local file src against an object dst: size and exact stored time, then the stored hash."""
+    """unchanged, check_hash or upload for a local file src against an object dst: size and exact stored time, then the stored hash, which has to be checked where the file's own is not known yet."""
     same_time = F.col("src.mtime_s").eqNullSafe(F.col("dst.mtime_s")) & F.col("src.mtime_ns").eqNullSafe(F.col("dst.mtime_ns"))
-    out = F.when(F.col("dst").isNull(), "upload").when(F.col("src.size") != F.col("dst.size"), "upload").when(same_time, "unchanged").when(F.col("dst.hash").isNotNull() & (F.col("src.hash") == F.col("dst.hash")), "unchanged").otherwise("upload")
+    out = F.when(F.col("dst").isNull(), "upload").when(F.col("src.size") != F.col("dst.size"), "upload").when(same_time, "unchanged").when(F.col("dst.hash").isNotNull() & F.col("src.hash").isNull(), "check_hash").when(F.col("src.hash") == F.col("dst.hash"), "unchanged").otherwise("upload")
     return of.filter("src is not null").select("path", out.alias("decision"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stocktake.functions.values import mtime_matches
 
+from .content import identified
 from .prefixes import at_or_above
 
 POLICIES = ("update", "update-if-older", "keep", "error", "error-if-different")
@@ -152,7 +153,8 @@ def mapping_attributes(mapping: DataFrame, src: DataFrame) -> DataFrame:
 
 
 def capacity(plan: DataFrame, free_bytes: int, free_inodes: int) -> DataFrame:
-    """Bytes and inodes that a plan(device, inode, bytes) needs, each inode once, and whether they fit with 64 inodes to spare."""
-    once = plan.groupBy("device", "inode").agg(F.max("bytes").alias("bytes"))
+    """Bytes and inodes that a plan(device, inode, bytes) needs, each inode once, and whether they fit with 64 inodes to spare. A row without an identity is a file of its own."""
+    shared = identified(plan)
+    once = plan.filter(shared).groupBy("device", "inode").agg(F.max("bytes").alias("bytes")).select("bytes").unionAll(plan.filter(~shared).select(F.coalesce("bytes", F.lit(0)).alias("bytes")))
     need = once.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("inodes"))
     return need.withColumn("fits", (F.col("bytes") <= free_bytes) & (F.col("inodes") + 64 <= free_inodes))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stocktake.operators import content as C
+from stocktake.operators import reconcile
 
 from .registry import query
 
@@ -75,3 +76,37 @@ def g11(t):
 @query("g09_digests_by_algorithm", "select device, inode, nth % 2 as algorithm, count(distinct digest) as n from hardlinks group by device, inode, nth % 2 having count(distinct digest) > 1")
 def g09_algorithm(t):
     return C.group_conflicts(t.hardlinks.withColumn("algorithm", c("nth") % 2), "digest", ["algorithm"])
+
+
+# Names of every fifth inode come from a store that knows no devices.
+_PARTLY = "(select case when inode % 5 = 0 then null else device end as device, inode, nth, digest, mode_asked from hardlinks)"
+
+
+def _partly(t):
+    return t.hardlinks.withColumn("device", F.when(c("inode") % 5 != 0, c("device"))).drop("nlink")
+
+
+@query("w05_without_identity", f"select device, inode, nth, case when device is null or nth = min(nth) over (partition by device, inode) then 'transfer' else 'link' end as role from {_PARTLY}")
+def w05_partly(t):
+    return C.representatives(_partly(t)).select("device", "inode", "nth", "role")
+
+
+@query("j17_without_identity", f"select device, inode, nth from {_PARTLY} where device is not null and nth > 1 and (device + inode) % 3 <> 0")
+def j17_partly(t):
+    ok = _partly(t).select("device", "inode", ((c("device") + c("inode")) % 3 != 0).alias("ok")).distinct()
+    return C.followers(_partly(t), ok).select("device", "inode", "nth")
+
+
+@query("g09_without_identity", f"select device, inode, count(distinct digest) as n from {_PARTLY} where device is not null group by device, inode having count(distinct digest) > 1")
+def g09_partly(t):
+    return C.group_conflicts(_partly(t), "digest")
+
+
+@query("g11_without_identity", f"select device, inode, count(distinct mode_asked) as n from {_PARTLY} where device is not null group by device, inode having count(distinct mode_asked) > 1")
+def g11_partly(t):
+    return C.group_conflicts(_partly(t), "mode_asked")
+
+
+@query("a14_without_identity", f"select sum(b)::bigint as bytes, count(*) as inodes, false as fits from (select max(nth * 100) as b from {_PARTLY} where device is not null group by device, inode union all select nth * 100 from {_PARTLY} where device is null)")
+def a14_partly(t):
+    return reconcile.capacity(_partly(t).withColumn("bytes", (c("nth") * 100).cast("long")), 1000, 5000)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stocktake.functions.checksums import CRC64NVME, crc
 from stocktake.functions.values import is_directory_marker
 from stocktake.operators import objects as O
 from stocktake.operators import reconcile
+from stocktake.operators.content import checked_parts
 from stocktake.operators.ordering import numbered
 
 from .registry import query
@@ -49,6 +51,24 @@ def a09(t):
     return _pairs(t).select("path", O.same_contents(F.lit(False)).alias("same"))
 
 
+# Texts as local files in parts of 512 bytes: the store's checksum of the whole comes from those of the parts.
+@query("a09_local_checksums", """
+select doc_id, case when n <= 512 then md5(content) else (select md5(unhex(string_agg(md5(unhex(hex(content)[b * 1024 + 1:b * 1024 + 1024])), '' order by b))) || '-' || count(*) from (select unnest(range(0, (n + 511) // 512)) as b)) end as etag, true as same
+from (select doc_id, encode(text) as content, octet_length(encode(text)) as n from documents where text is not null)""")
+def a09_local(t):
+    contents = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    found = O.local_checksums(checked_parts(contents, 512, "doc_id"), "doc_id")
+    direct = contents.select(c("doc_id").alias("of"), F.base64(F.unhex(F.lpad(F.hex(crc("content", CRC64NVME)), 16, "0"))).alias("direct"))
+    return found.join(direct, c("doc_id") == c("of")).select("doc_id", "etag", (c("crc64") == c("direct")).alias("same"))
+
+
+# Without its own digest a file cannot be told from an object by the stored one.
+@query("a12_unknown_digest", """
+select s.path, case when d.path is null or s.size <> d.size then 'upload' when s.mtime_s = d.mtime_s and s.mtime_ns = d.mtime_ns then 'unchanged' when s.doc_id % 2 = 0 then 'check_hash' when s.hash = d.hash then 'unchanged' else 'upload' end as decision from inv_src s left join inv_dst d using (path)""")
+def a12_unknown(t):
+    return O.upload_decision(reconcile.pairs(t.inv_src.withColumn("hash", F.when(c("doc_id") % 2 != 0, c("hash"))), t.inv_dst))
+
+
 @query("a10_object_same_attributes", "select path, doc_id % 27 <> 10 as same from inv_src")
 def a10(t):
     return _pairs(t).select("path", O.same_attributes().alias("same"))

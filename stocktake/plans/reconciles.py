@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stocktake.operators import content, mapping as M, outcomes, reconcile as R
+from stocktake.operators.balance import balanced
 from stocktake.operators.ordering import numbered
 
 from .registry import query
@@ -198,6 +199,26 @@ def o07_whole(t):
     return numbered(reconcile_plan(t).filter("action = 'transfer_file'"), [F.desc("bytes"), F.md5("path"), c("path")]).select("nth", "path", "bytes")
 
 
+# Of 8 partitions; rows of more than 1/64 of all cost are dealt one by one, and the others fill the room that is left.
+@query("o07_balanced_partitions", f"""
+with plan as (select path, bytes, bytes + 1024 as cost, reverse(lpad(bin(row_number() over (order by path) - 1), 44, '0')) as key from ({_PLAN}) where action = 'transfer_file'),
+rows as (select *, cost * 64 > (select sum(cost) from plan) as heavy from plan),
+alone as (select *, row_number() over (order by cost desc, key) as k from rows where heavy),
+dealt as (
+  select 0::bigint as k, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[] as loads, 0 as slot
+  union all select a.k, list_transform(d.loads, lambda x, i: x + case when i = list_position(d.loads, list_min(d.loads)) then a.cost else 0 end), list_position(d.loads, list_min(d.loads)) from dealt d join alone a on a.k = d.k + 1),
+full_ as (select loads, list_sort(loads) as ordered, (select sum(cost) from rows) - list_sum(loads) as rest from dealt where k = (select count(*) from alone)),
+levels as (select n, loads, (rest + list_sum(ordered[1:n]) + n - 1) // n as level, ordered[n + 1] as above from full_, (select unnest(range(1, 9)) as n)),
+level_ as (select loads, level from levels where above is null or level <= above order by n limit 1),
+ends as (select list_transform(range(1, 9), lambda i: list_sum(list_transform(loads[1:i], lambda x: greatest(0, level - x)))) as ends from level_),
+filled as (select *, sum(case when heavy then 0 else cost end) over (order by key) - cost as start from rows),
+chosen as (select path, bytes, cost, key, case when heavy then (select slot - 1 from dealt d join alone a on d.k = a.k where a.key = f.key) else least(7, len(list_filter(ends, lambda x: x <= start))) end::int as partition from filled f, ends)
+select path, bytes, partition, row_number() over (partition by partition order by cost desc, key) as turn from chosen""")
+def o07_balanced(t):
+    plan = reconcile_plan(t).filter("action = 'transfer_file'").select("path", c("bytes").cast("long").alias("bytes"))
+    return balanced(plan, 8, "path", "bytes", per_file=1024)
+
+
 @query("j13_verify_expected", """select d.path, case when m.src is null then 'unexpected' when m.hash = d.hash then 'ok' else 'mismatch' end as "check" from inv_dst d left join mapping m on m.src = d.path""")
 def j13(t):
     return content.verify_expected(t.inv_dst, t.mapping.select(c("src").alias("path"), F.upper("hash").alias("hash")), "path")

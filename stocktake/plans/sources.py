@@ -11,7 +11,7 @@ from stocktake.operators import reconcile
 from stocktake.operators.mapping import parents_first
 from stocktake.operators.ordering import numbered
 from stocktake.operators.transform import consumed
-from stocktake.sources import files, records
+from stocktake.sources import files, records, transfer
 from stocktake.sources.scratch import new_folder, settle
 
 from .registry import query
@@ -35,6 +35,37 @@ def s01(t):
     return numbered(found, parents_first()).select("nth", "path", "kind", "size")
 
 
+def _as_files(t, label):
+    """A folder that holds every document as a file."""
+    root = new_folder(t.spark, label)
+    dst = F.concat_ws("/", "source", "lang", F.concat(c("doc_id").cast("string"), F.lit(".txt")))
+    settle(files.copy_files(t.documents.select(dst.alias("dst"), c("text").alias("content")), root), "written")
+    return root
+
+
+@query("s09_read_ranges", f"""
+select path, b as block, b * 4096 as "offset", least(4096, n - b * 4096) as length, md5(unhex(hex(content)[b * 8192 + 1:b * 8192 + 8192])) as hash
+from (select {_FILE} as path, encode(text) as content, octet_length(encode(text)) as n, unnest(range(0, (octet_length(encode(text)) + 4095) // 4096)) as b from documents)""")
+def s09_ranges(t):
+    root = _as_files(t, "ranges")
+    listed = files.scan_files(t.spark, root).filter("kind = 'file'").select("path", c("size").alias("length"))
+    return transfer.read_blocks(listed, root, 4096, "md5").filter("message is null").drop("message")
+
+
+# Copied from folder to folder in parts of 1024 bytes; every thirteenth row promises another size, and the digest is that of the copy.
+@query("s16_copy_from_root", f"""
+select path as dst, case when ok then n else 0 end as bytes, case when ok then greatest(1, (n + 1023) // 1024) else 0 end as parts, case when ok then 'transferred' else 'failed' end as disposition, case when ok and n > 0 then sha256(text) end as hash
+from (select 'to/' || {_FILE} as path, text, octet_length(encode(coalesce(text, ''))) as n, doc_id % 13 <> 5 as ok from documents)""")
+def s16_copy(t):
+    root, to = _as_files(t, "from"), new_folder(t.spark, "to")
+    listed = files.scan_files(t.spark, root).filter("kind = 'file'")
+    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    plan = listed.select(c("path").alias("src"), F.concat(F.lit("to/"), "path").alias("dst"), (c("size") + F.when(number % 13 == 5, 1500).otherwise(0)).alias("size"))
+    done = transfer.copy_files(plan, root, to, part=1024)
+    copied = transfer.read_blocks(done.filter("disposition = 'transferred'").select(c("dst").alias("path"), F.lit(None).cast("long").alias("length")), to, 1024)
+    return done.join(copied.filter("length > 0").select(c("path").alias("dst"), "hash"), "dst", "left").select("dst", "bytes", "parts", "disposition", "hash")
+
+
 @query("s02_read_listing", "select distinct on (bucket, key) bucket, key from listing")
 def s02(t):
     path = new_folder(t.spark, "listing")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stocktake.operators import reconcile
 from stocktake.sources import records
 from stocktake.sources.scratch import new_folder, settle
-from stocktake.streaming import logs
+from stocktake.streaming import logs, reconciling
 
 from .reconciles import _PLAN as PLAN
 from .registry import query
@@ -85,6 +85,29 @@ def t07(t):
     return t.spark.read.option("recursiveFileLookup", True).schema("path string").parquet(out)
 
 
+# The source is listed twice; meanwhile every sixth file grows and every eighth goes. The second listing meets the result of the first, across a restart.
+@query("t07_listed_again", """
+with one as (
+  select s.path, 1::bigint as snapshot, case when d.path is not null and s.kind = d.kind and s.size = d.size and s.mtime_s = d.mtime_s and d.mtime_ns in (0, s.mtime_ns) then 'none' else 'transfer' end as action,
+    case when d.path is null then 'destination_missing' when s.kind <> d.kind then 'type_differs' when s.size = d.size and s.mtime_s = d.mtime_s and d.mtime_ns in (0, s.mtime_ns) then 'unchanged' else 'content_differs' end as reason, s.size
+  from inv_src s left join inv_dst d using (path)),
+two as (
+  select path, 2::bigint as snapshot, case when doc_id % 8 = 1 then 'remove' when doc_id % 6 = 0 then 'transfer' else 'none' end as action,
+    case when doc_id % 8 = 1 then 'source_gone' when doc_id % 6 = 0 then 'content_differs' else 'unchanged' end as reason, size + 1 as size from inv_src)
+select path, snapshot, action, reason, case when action = 'transfer' then size end as bytes from (select * from one union all select * from two)""")
+def t07_again(t):
+    folder = new_folder(t.spark, "listings")
+    entry = ["path", "kind", "size", "mtime_s", "mtime_ns"]
+    d = c("doc_id")
+    first = t.inv_src.select(F.lit(1).cast("long").alias("snapshot"), *entry)
+    second = t.inv_src.withColumns({"kind": F.when(d % 8 != 1, c("kind")), "size": c("size") + (d % 6 == 0).cast("int")}).select(F.lit(2).cast("long").alias("snapshot"), *entry)
+    for listing in (first, second):
+        listing.write.mode("append").parquet(f"{folder}/rows")
+        stream = t.spark.readStream.schema(first.schema).parquet(f"{folder}/rows")
+        reconciling.planned(stream, f"{folder}/plan", f"{folder}/log", t.inv_dst.select(*entry))
+    return reconciling.plans(t.spark, f"{folder}/plan")
+
+
 @query("t08_dedupe_events", "select run, seq, type from results")
 def t08(t):
     twice = t.results.select("run", "seq", "type", c("ts").cast("timestamp").alias("ts"))

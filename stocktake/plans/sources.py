@@ -11,7 +11,7 @@ from stocktake.operators import reconcile
 from stocktake.operators.mapping import parents_first
 from stocktake.operators.ordering import numbered
 from stocktake.operators.transform import consumed
-from stocktake.sources import files, records, transfer
+from stocktake.sources import commits, files, records, transfer
 from stocktake.sources.scratch import new_folder, settle
 
 from .registry import query
@@ -187,6 +187,32 @@ def s12(t):
     return t.spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"))
 
 
+# Every batch comes twice, as after a failure; a third attempt has written other rows under a number that is taken.
+@query("s12_append_once", "select day, count(*) as n from download_events group by day")
+def s12_once(t):
+    path = new_folder(t.spark, "events")
+    for number in (0, 0, 1, 1):
+        commits.append_once(t.download_events.filter(c("event_id") % 2 == number), path, "downloads", number, ("day",))
+    commits.append_once(t.download_events, path, "downloads", 1, ("day",))
+    return commits.appended(t.spark, path).groupBy("day").agg(F.count("*").alias("n"))
+
+
+# Two runs build on version 1: the second to commit is refused, works its state out again from what it finds, and is version 3.
+@query("s15_concurrent_publish", "select path, size + (doc_id % 2 = 0)::int + (doc_id % 3 = 0)::int as size, 3::bigint as version from inv_src")
+def s15_concurrent(t):
+    root = new_folder(t.spark, "versions")
+    grown = lambda df, by: df.withColumn("size", c("size") + (c("doc_id") % by == 0).cast("long"))
+    base = commits.publish(t.spark, t.inv_src.select("path", "size", "doc_id"), root)
+    mine, theirs = (grown(commits.published(t.spark, root, base), by) for by in (2, 3))
+    commits.publish(t.spark, theirs, root, base)
+    try:
+        last = commits.publish(t.spark, mine, root, base)
+    except commits.Conflict:
+        base = commits.head(t.spark, root)
+        last = commits.publish(t.spark, grown(commits.published(t.spark, root, base), 2), root, base)
+    return commits.published(t.spark, root).select("path", "size", F.lit(last).cast("long").alias("version"))
+
+
 @query("s14_read_trials", """select "case" || variant as workload, round, seconds, verified from trials""")
 def s14(t):
     path = new_folder(t.spark, "trials")
@@ -198,11 +224,11 @@ def s14(t):
 @query("s15_snapshot_write", "select path, size, hash from inv_src union all select path, size, hash from inv_dst where path not in (select path from inv_src) and doc_id % 2 = 0")
 def s15(t):
     root = new_folder(t.spark, "snapshot")
-    records.publish(t.spark, t.inv_dst.select("path", "size", "hash"), root)
-    plan = reconcile.pairs(records.published(t.spark, root).join(t.inv_dst.select("path", "doc_id"), "path").alias("d"), t.inv_src)
+    commits.publish(t.spark, t.inv_dst.select("path", "size", "hash"), root)
+    plan = reconcile.pairs(commits.published(t.spark, root).join(t.inv_dst.select("path", "doc_id"), "path").alias("d"), t.inv_src)
     new = records.snapshot(plan.select("path", c("dst").alias("src"), c("src").alias("dst")), ["size", "hash"], c("dst.doc_id") % 2 == 1)
-    records.publish(t.spark, new, root)
-    return records.published(t.spark, root)
+    commits.publish(t.spark, new, root, 1)
+    return commits.published(t.spark, root)
 
 
 @query("s16_copy_files", "select source || '/' || doc_id || '.txt' as dst, octet_length(encode(text))::bigint as bytes, 'transferred' as disposition from documents")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from stocktake.functions.paths import decode_path, encode_path, path_error
 from stocktake.functions.values import digest_valid
 
-from .scratch import new_folder
 
 MAPPING = "src string, dst string, kind string, hash string, mode int, mtime long"
 RESULTS = "schema string, schema_version int, run long, seq long, type string, disposition string, dst string, bytes long, status string, diagnostic_for string"
@@ -171,19 +170,6 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("workload", F.explode("records").alias("r")).select("workload", "r.*")
 
 
-def publish(spark: SparkSession, state: DataFrame, root: str) -> str:
-    """Writes a new version below root and then points to it. Pointers are only added, so a write that fails, at whatever step, leaves the last one."""
-    path = f"{root}/version-{new_folder(spark, 'v').rpartition('-')[2]}"
-    state.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").select(F.unix_micros(F.current_timestamp()).alias("at"), "path").coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-    return path
-
-
-def published(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was published last."""
-    return spark.read.parquet(spark.read.parquet(f"{root}/pointers").agg(F.max_by("path", F.struct("at", "path"))).first()[0])
-
-
 def snapshot(pairs: DataFrame, columns: Sequence[str], gone: Column) -> DataFrame:
     """The new destination state of pairs: the source's row where there is one, else the destination's unless it is gone."""
     kept = pairs.filter(F.col("src").isNotNull() | ~gone)

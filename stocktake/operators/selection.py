@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stocktake.functions import paths as P
 from stocktake.functions.ignore import ignored
+from stocktake.functions.tiers import Node, derive_tiers
 
 
 def where(inventory: DataFrame, predicate: Column) -> DataFrame:
@@ -27,6 +28,18 @@ def where_two_tier(listing: DataFrame, cheap: Column, attributes: DataFrame, ful
     return known.unionByName(open_.select(*known.columns))
 
 
+def where_stored(listing: DataFrame, predicate: Node, attributes: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of a listing for which a predicate over listed and stored facts holds; directories pass.
+
+    The predicate is given once. Rows that listed facts decide are never joined; the others meet the needed
+    columns of attributes only, which has one row at most for each key; what it lacks is null.
+    """
+    tiers = derive_tiers(predicate, listing.columns)
+    if not tiers.needed:
+        return where(listing, tiers.full)
+    return where_two_tier(listing, tiers.cheap, attributes.select(*on, *tiers.needed), tiers.full, on)
+
+
 def copy_if(pairs: DataFrame, predicate: Column) -> DataFrame:
     """permitted: whether a pair of source and destination may be copied; a directory keeps its place, only its own attributes are left."""
     return pairs.withColumn("permitted", predicate)

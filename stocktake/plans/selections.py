@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stocktake.functions import ignore as I
 from stocktake.functions import predicates as Q
+from stocktake.functions import tiers as N
 from stocktake.operators import mapping, prune
 from stocktake.operators import selection as S
 from stocktake.operators.transform import Context, Mapping
@@ -29,6 +30,33 @@ def p15(t):
     return S.where_two_tier(t.listing.withColumn("kind", F.lit("file")), cheap, stored, F.substring("stored", 1, 1) < "8", ["page_id"]).select("page_id", "key")
 
 
+# One predicate over listed and stored facts; owner is stored for two rows in three, and needed only where the size leaves it open.
+_STORED = "select page_id, key, size, left(md5(html), 1) as storage, case when page_id % 3 <> 0 then page_id % 7 end as owner from listing join pages using (page_id)"
+_HOLDS = "(size > 9000 or storage < '8') and not (size < 3000 and coalesce(owner, 3) = 3) and case when size % 2 = 0 then true else owner is null end"
+
+
+def _stored_predicate():
+    size, owner = N.fact("size"), N.fact("owner")
+    large = N.below(9000, size) | N.below(N.fact("storage"), "8")
+    even = N.equal(N.call(lambda x: x % 2, size), 0)
+    return large & ~(N.below(size, 3000) & N.equal(N.first_of(owner, N.value(3)), 3)) & N.choose(even, True, N.absent(owner))
+
+
+def _stored(t):
+    return t.pages.select("page_id", F.substring(F.md5("html"), 1, 1).alias("storage"), F.when(c("page_id") % 3 != 0, c("page_id") % 7).alias("owner"))
+
+
+@query("p15_one_predicate", f"select page_id, key from ({_STORED}) where {_HOLDS}")
+def p15_one(t):
+    return S.where_stored(t.listing.withColumn("kind", F.lit("file")), _stored_predicate(), _stored(t), ["page_id"]).select("page_id", "key")
+
+
+# Odd sizes need the owner, unless the rest is false already; even ones need the storage class up to 9000 bytes, or the owner below 3000.
+@query("p15_undecided", f"select page_id from ({_STORED}) where size % 2 = 1 or size <= 9000")
+def p15_undecided(t):
+    return N.undecided(t.listing.withColumn("kind", F.lit("file")), _stored_predicate()).select("page_id")
+
+
 @query("p17_ignore", f"""
 with i as (select *, {_ABOVE} as above, list_last(string_split(path, '/')) as name from inv_dst)
 select path from i where not (

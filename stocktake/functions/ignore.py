@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -72,3 +72,34 @@ def ignored(path: Column, is_folder: Column, lines: Sequence[str]) -> Column:
 def ignored_selected(path: Column, lines: Sequence[str]) -> Column:
     """A file that is named explicitly is matched by its own name."""
     return last_match(path_name(path), F.lit(False), [r for r in map(compile_rule, lines) if r])
+
+
+def matcher(lines: Sequence[str]) -> Callable[[str, bool], bool]:
+    """last_match for readers, which meet one path at a time: (path, is_folder) is ignored by itself. Folders above are up to the reader, which does not descend into ignored ones."""
+    rules = [(re.compile(r.regex.removesuffix(r"\z") + r"\Z"), r) for r in map(compile_rule, lines) if r]
+
+    def ignores(path: str, is_folder: bool) -> bool:
+        for regex, rule in reversed(rules):
+            if (is_folder or not rule.folders) and regex.match(path):
+                return not rule.keep
+        return False
+
+    return ignores
+
+
+def _plain(part: str) -> bool:
+    return not re.search(r"[*?\[\\]", part)
+
+
+def rule_key(line: str) -> tuple[str, str]:
+    """What an entry that the rule matches must have: its name, its extension, or the first component of its path; (any, '') where the rule has no such part."""
+    body = re.sub(r"(?<!\\) +$", "", line.rstrip("\n")).removeprefix("!").rstrip("/")
+    parts = body.lstrip("/").split("/")
+    if "/" in body and _plain(parts[0]):
+        return "first", parts[0]
+    if _plain(parts[-1]):
+        return "name", parts[-1]
+    tail = re.split(r"[*?\]]", parts[-1])[-1]
+    if parts[-1].endswith("*") or "\\" in parts[-1] or "." not in tail:
+        return "any", ""
+    return "ext", tail[tail.rindex(".") :]

@@ -125,34 +125,42 @@ def starting_count(preferences: DataFrame, keys: Sequence[str], today: int, keep
 
     The newest runs count, by 2 ** (-age / 7) / (rank + 1); the candidate with the least
     weighted distance in doublings wins (one-sided for a run whose best was the highest tried), with a small cost for each doubling; ties go to the higher.
-    At most `keep` rows of a key meet each other.
+    At most `keep` rows of a key meet each other. Where preferences have `refine`, the result has the run that decided, the newest one that
+    preferred the number, and that run's refine.
     """
+    more = ["refine"] if "refine" in preferences.columns else []
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("run")))
     recent = preferences.withColumn("__rank", rank).filter(F.col("__rank") <= keep)
     weight = F.pow(F.lit(2.0), -F.greatest(F.lit(today) - F.col("day"), F.lit(0)) / 7.0) / F.col("__rank")
     recent = recent.withColumn("__w", weight)
     by_key = Window.partitionBy(*keys)
     recent = recent.withColumns({"__least": F.min("workers").over(by_key), "__total": F.sum("__w").over(by_key)})
-    own = recent.select(*keys, F.col("workers").alias("candidate"), "__least", "__total").distinct()
+    own = recent.groupBy(*keys, F.col("workers").alias("candidate"), "__least", "__total").agg(F.struct(F.max("run").alias("run"), *(F.max_by(c, "run").alias(c) for c in more)).alias("__by"))
     other = recent.select(*keys, F.col("workers").alias("__n"), "lower_bound", "__w")
     apart = F.log2(F.col("candidate") / F.col("__n"))
     distance = F.when(F.col("lower_bound"), F.greatest(-apart, F.lit(0.0))).otherwise(F.abs(apart))
-    loss = own.join(other, list(keys)).groupBy(*keys, "candidate", "__least", "__total").agg(F.sum(F.col("__w") * distance).alias("__loss"))
+    loss = own.join(other, list(keys)).groupBy(*keys, "candidate", "__least", "__total", "__by").agg(F.sum(F.col("__w") * distance).alias("__loss"))
     loss = loss.withColumn("__loss", F.round(F.col("__loss") + F.col("__total") * cost * F.log2(F.col("candidate") / F.col("__least")), 9))
-    return loss.groupBy(*keys).agg(F.min_by("candidate", F.struct("__loss", -F.col("candidate"))).alias("workers"))
+    best = loss.groupBy(*keys).agg(F.min_by(F.struct(F.col("candidate").alias("workers"), "__by"), F.struct("__loss", -F.col("candidate"))).alias("b"))
+    return best.select(*keys, "b.workers", *(f"b.__by.{c}" for c in (["run", *more] if more else [])))
 
 
 def starting_hint(contexts: DataFrame, preferences: DataFrame, route: Sequence[str], filesystems: Sequence[str], today: int) -> DataFrame:
     """workers and matched for contexts(route, filesystems): from runs on the same file systems where there are any, else from all runs of the route.
 
-    File systems that are not known match nothing.
+    File systems that are not known match nothing. Where preferences have `refine`: also run, the one that decided, and refine, which only runs on the same file systems ask for.
     """
+    more = ["run", "refine"] if "refine" in preferences.columns else []
     known = preferences.filter(F.forall(F.array(*(F.col(f).isNotNull() for f in filesystems)), lambda x: x))
-    near = starting_count(known, [*route, *filesystems], today).withColumnRenamed("workers", "__near")
-    far = starting_count(preferences, route, today).withColumnRenamed("workers", "__far")
+    named = lambda df, which: df.withColumnsRenamed({c: f"__{which}_{c}" for c in more}).withColumnRenamed("workers", f"__{which}")
+    near = named(starting_count(known, [*route, *filesystems], today), "near")
+    far = named(starting_count(preferences, route, today), "far")
     joined = contexts.join(near, [*route, *filesystems], "left").join(far, list(route), "left")
     matched = F.when(F.col("__near").isNotNull(), "filesystem").when(F.col("__far").isNotNull(), "route")
-    return joined.select(*route, *filesystems, F.coalesce("__near", "__far").alias("workers"), matched.alias("matched"))
+    if more:
+        decided = F.when(F.col("__near").isNotNull(), F.col("__near_run")).otherwise(F.col("__far_run"))
+        refine = F.when(matched.isNotNull(), F.coalesce((matched == "filesystem") & F.col("__near_refine"), F.lit(False)))
+    return joined.select(*route, *filesystems, F.coalesce("__near", "__far").alias("workers"), matched.alias("matched"), *([decided.alias("run"), refine.alias("refine")] if more else []))
 
 
 def retention(runs: DataFrame, budget: int, current: int | None = None, today: int | None = None) -> DataFrame:

@@ -150,6 +150,23 @@ def w13_hint(t):
     return E.starting_hint(contexts, prefs, ["route"], ["fs"], 100)
 
 
+# The hint names the run that decided; only runs on the same file systems ask for refinement.
+@query("w13_refine_and_run", f"""with {_PREFERENCE},
+rp as (select run % 5 as route, case when run % 7 < 3 then 'fs' || run % 3 end as fs, run, 100 - run % 40 as day, workers, lower_bound from pref),
+{_HINT.format(n=1, keys='route, fs', known='fs is not null')}, {_HINT.format(n=2, keys='route', known='true')},
+b1 as (select h.route, h.fs, h.workers, max(w.run) as run from h1 h join w1 w on w.route = h.route and w.fs = h.fs and w.workers = h.workers group by all),
+b2 as (select h.route, h.workers, max(w.run) as run from h2 h join w2 w on w.route = h.route and w.workers = h.workers group by all),
+asked as (select distinct run % 6 as route, 'fs' || run % 4 as fs from results)
+select asked.route, asked.fs, coalesce(b1.workers, b2.workers) as workers, case when b1.workers is not null then 'filesystem' when b2.workers is not null then 'route' end as matched, coalesce(b1.run, b2.run) as run,
+  case when b1.workers is not null then coalesce(p.refine, false) when b2.workers is not null then false end as refine
+from asked left join b1 on b1.route = asked.route and b1.fs = asked.fs left join b2 on b2.route = asked.route left join pref p on p.run = b1.run""")
+def w13_refine(t):
+    fs = F.when(c("run") % 7 < 3, F.concat(F.lit("fs"), (c("run") % 3).cast("string")))
+    prefs = E.run_preference(_scores(t)).select((c("run") % 5).alias("route"), fs.alias("fs"), "run", (100 - c("run") % 40).alias("day"), "workers", "lower_bound", "refine")
+    contexts = t.results.select((c("run") % 6).alias("route"), F.concat(F.lit("fs"), (c("run") % 4).cast("string")).alias("fs")).distinct()
+    return E.starting_hint(contexts, prefs, ["route"], ["fs"], 100)
+
+
 _RUNS = "select run, sum(bytes) as bytes, bool_or(type = 'result') as finished, 100 - run % 6 as updated_day from results group by run"
 
 

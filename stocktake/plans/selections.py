@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import asyncio
+
 from pyspark.sql import functions as F
 
 from stocktake.functions import ignore as I
 from stocktake.functions import predicates as Q
 from stocktake.functions import tiers as N
-from stocktake.operators import mapping, prune
+from stocktake.operators import mapping, prune, rules
 from stocktake.operators import selection as S
 from stocktake.operators.transform import Context, Mapping
 
@@ -164,6 +166,32 @@ def x02(t):
     return Mapping(t.mapping.select("src", "dst", "doc_id"), Context("documents")).map_rows(entry).rows
 
 
+# Awaited calls, of which every eleventh fails: its entry stays as it came.
+@query("x02_async_transform", "select src, case when doc_id % 11 = 5 or doc_id % 3 <> 0 then dst else src end as dst, doc_id, case when doc_id % 11 = 5 then 'ValueError: no ' || doc_id end as error from mapping where doc_id % 7 <> 0 or doc_id % 11 = 5")
+def x02_async(t):
+    async def entry(row):
+        await asyncio.sleep(0.0001)
+        if row["doc_id"] % 11 == 5:
+            raise ValueError(f"no {row['doc_id']}")
+        return None if row["doc_id"] % 7 == 0 else {**row, "dst": row["src"] if row["doc_id"] % 3 == 0 else row["dst"]}
+
+    return Mapping(t.mapping.select("src", "dst", "doc_id"), Context("documents")).map_rows_async(entry).rows
+
+
+# Rules of many folders: some documents go by name below their source's folder, some of them come back from anywhere, names that end with a digit and 3 go, and one folder with all below it.
+@query("p17_rule_table", """
+with i as (select *, starts_with(path, 'extra/') as extra from inv_dst)
+select path from i where not (
+  case when not extra and starts_with(path, 'src1/en/') then true when doc_id % 14 = 0 then false when doc_id >= 10 and doc_id % 10 = 3 then true when not extra and doc_id % 7 = 0 then true else false end)""")
+def p17_table(t):
+    d = c("doc_id").cast("string")
+    names = t.documents.filter("doc_id % 7 = 0").select(c("source").alias("folder"), c("doc_id").alias("ordinal"), F.concat(F.lit("/"), "lang", F.lit("/"), d, F.lit(".txt")).alias("line"))
+    again = t.documents.filter("doc_id % 14 = 0").select(F.lit("").alias("folder"), (c("doc_id") + 10**9).alias("ordinal"), F.concat(F.lit("!"), d, F.lit(".txt")).alias("line"))
+    tails = t.nation.select(F.lit("").alias("folder"), (c("n_nationkey") + 10**8).alias("ordinal"), F.concat(F.lit("*"), c("n_nationkey").cast("string"), F.lit("3.txt")).alias("line"))
+    folder = t.region.filter("r_regionkey = 1").select(F.lit("src1").alias("folder"), F.lit(2 * 10**9).alias("ordinal"), F.lit("en/").alias("line"))
+    return rules.without_ignored(t.inv_dst, names.unionAll(again).unionAll(tails).unionAll(folder)).select("path")
+
+
 @query("x03_same_context", "select src, dst from mapping where doc_id % 5 = 1 union all select src, dst from mapping where doc_id % 5 <> 1")
 def x03(t):
     part = lambda cond: Mapping(t.mapping.filter(cond).select("src", "dst"), Context("documents", "store"))

@@ -7,11 +7,11 @@ import hashlib
 import xxhash
 from pyspark.sql import functions as F
 
-from stocktake.operators import reconcile
+from stocktake.operators import prune, reconcile
 from stocktake.operators.mapping import parents_first
 from stocktake.operators.ordering import numbered
 from stocktake.operators.transform import consumed
-from stocktake.sources import commits, files, records, transfer
+from stocktake.sources import commits, files, folders, records, transfer
 from stocktake.sources.scratch import new_folder, settle
 
 from .registry import query
@@ -43,6 +43,17 @@ def _as_files(t, label):
     return root
 
 
+# The same folder read as a data source, below two prefixes; the scan has no warnings, so the gate stays open for what it does not list.
+@query("s01_folder_source", f"""
+with f as (select {_FILE} as path, octet_length(encode(text))::bigint as size from documents), d as (select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as folder from f)
+select path, 'file' as kind, size, 'planned' as disposition from f where (starts_with(path, 'src2/') or starts_with(path, 'src3/de/')) and not path like '%7.txt'
+union all select folder, 'dir', null, 'planned' from d where starts_with(folder, 'src2/') or folder = 'src3/de' union all select 'src2', 'dir', null, 'planned'""")
+def s01_source(t):
+    folders.register(t.spark)
+    read = t.spark.read.format("folders").option("root", _as_files(t, "source")).option("ignore", "*7.txt").option("prefixes", "src2\nsrc3/de").option("partitions", 16).load()
+    return prune.gated(read.filter("warning is null").select("path", "kind", "size"), read.filter("warning is not null"))
+
+
 @query("s09_read_ranges", f"""
 select path, b as block, b * 4096 as "offset", least(4096, n - b * 4096) as length, md5(unhex(hex(content)[b * 8192 + 1:b * 8192 + 8192])) as hash
 from (select {_FILE} as path, encode(text) as content, octet_length(encode(text)) as n, unnest(range(0, (octet_length(encode(text)) + 4095) // 4096)) as b from documents)""")

@@ -13,7 +13,7 @@ from stocktake.functions.paths import path_depth
 
 from .scratch import settle
 
-_ENTRIES = "path string, kind string, size long, mtime_s long, mtime_ns int"
+SCANNED = "path string, kind string, size long, mtime_s long, mtime_ns int, warning string"
 
 
 def _store(root: str):
@@ -24,56 +24,85 @@ def _store(root: str):
 
 
 def _entries(store, base: str, folder: str) -> Iterator[tuple]:
-    """What stands directly in a folder below base; links are not followed where the store has any."""
+    """What stands directly in a folder below base: path, kind, size, time and a warning. Links are not followed where the store has any.
+
+    A folder that cannot be listed, and an entry that cannot be looked at, is a row that has nothing but a path and a warning.
+    """
     import os
     import stat
 
     at = f"{base}/{folder}" if folder else base
     under = lambda name: f"{folder}/{name}" if folder else name
+    told = lambda path, what, e: (path, None, None, None, None, f"cannot {what}: {type(e).__name__}: {e.strerror or e}")
     if store.type_name == "local":
-        with os.scandir(at) as found:
-            for x in found:
-                of = x.stat(follow_symlinks=False)
-                kind = "symlink" if x.is_symlink() else "dir" if x.is_dir(follow_symlinks=False) else "file" if stat.S_ISREG(of.st_mode) else "special"
-                yield under(x.name), kind, of.st_size if kind == "file" else None, of.st_mtime_ns // 10**9, of.st_mtime_ns % 10**9
-        return
+        try:
+            found = os.scandir(at)
+        except OSError as e:
+            yield told(folder, "list", e)
+            return
+        with found:
+            while True:
+                try:
+                    x = next(found, None)
+                except OSError as e:
+                    yield told(folder, "list", e)
+                    return
+                if x is None:
+                    return
+                try:
+                    of = x.stat(follow_symlinks=False)
+                    kind = "symlink" if x.is_symlink() else "dir" if x.is_dir(follow_symlinks=False) else "file" if stat.S_ISREG(of.st_mode) else "special"
+                    yield under(x.name), kind, of.st_size if kind == "file" else None, of.st_mtime_ns // 10**9, of.st_mtime_ns % 10**9, None
+                except OSError as e:
+                    yield told(under(x.name), "stat", e)
     from pyarrow import fs
 
-    for x in store.get_file_info(fs.FileSelector(at, recursive=False)):
+    try:
+        found = store.get_file_info(fs.FileSelector(at, recursive=False))
+    except OSError as e:
+        yield told(folder, "list", e)
+        return
+    for x in found:
         kind = {fs.FileType.Directory: "dir", fs.FileType.File: "file"}.get(x.type, "special")
         seconds, nanos = divmod(x.mtime_ns, 10**9) if x.mtime_ns is not None else (None, None)
-        yield under(x.base_name), kind, x.size if kind == "file" else None, seconds, nanos
+        yield under(x.base_name), kind, x.size if kind == "file" else None, seconds, nanos, None
 
 
-def scan_files(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """path below root, kind (file, dir, symlink, special), size of files and time of every entry below root; contents are not read.
+def scan_with_warnings(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> DataFrame:
+    """path below root, kind (file, dir, symlink, special), size of files, time and warning of every entry below root; contents are not read.
 
     Each level of folders is one job that lists its folders in tasks; ignored entries
     are left out and ignored folders are not descended into, nor are links. Order rows
-    by mapping.parents_first() for parents before children. A folder that is gone by
-    the time it is listed has no entries.
+    by mapping.parents_first() for parents before children. A folder that cannot be listed, or an entry that cannot be looked at, is a
+    row with a warning and no kind; the rest is listed all the same. A deletion must not follow from such a scan: prune.gated closes on its warnings.
+    A root that cannot be listed is an error.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(root)
         for f in frames:
             for folder in f["path"]:
-                try:
-                    rows = list(_entries(store, base, folder))
-                except FileNotFoundError:
-                    rows = []
-                yield pd.DataFrame(rows, columns=["path", "kind", "size", "mtime_s", "mtime_ns"]).astype({"size": "Int64", "mtime_s": "Int64", "mtime_ns": "Int32"})
+                rows = list(_entries(store, base, folder))
+                if not folder and any(r[0] == "" for r in rows):
+                    raise OSError(f"{root}: {rows[0][-1]}")
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCANNED.split(", ")]).astype({"size": "Int64", "mtime_s": "Int64", "mtime_ns": "Int32"})
 
     out, folders = None, spark.createDataFrame([("",)], "path string")
     while True:
-        level = folders.repartition(F.xxhash64("path")).mapInPandas(run, _ENTRIES)
-        level = settle(level.filter(~ignored(F.col("path"), F.col("kind") == "dir", ignore)) if ignore else level, "entries")
+        level = folders.repartition(F.xxhash64("path")).mapInPandas(run, SCANNED)
+        kept = F.col("warning").isNotNull() | ~ignored(F.col("path"), F.coalesce(F.col("kind") == "dir", F.lit(False)), ignore)
+        level = settle(level.filter(kept) if ignore else level, "entries")
         out = level if out is None else out.unionByName(level)
         folders = level.filter("kind = 'dir'").select("path")
         if folders.isEmpty():
             return out
 
 
+def scan_files(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> DataFrame:
+    """The entries of scan_with_warnings. Folders that cannot be listed have none here: what deletes by a scan has to look at the warnings too."""
+    return scan_with_warnings(spark, root, ignore).filter("warning is null").drop("warning")
+
+
 def _refused(path: str) -> str | None:
     """Why a path may not be touched below a root."""
     parts = path.split("/") if path else [""]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+
 # The exit code of each terminal status.
 EXIT_CODES = {"success": 0, "failed": 1, "aborted": 1, "partial": 23, "refused": 25}
 
@@ -75,15 +77,17 @@ def run_status(results: DataFrame) -> DataFrame:
 
 
 def sequence_check(results: DataFrame) -> DataFrame:
-    """Whether a run's records are numbered from 0 without gaps and end with its only terminal record."""
-    last = F.lag("seq").over(Window.partitionBy("run").orderBy("seq"))
-    stepped = results.withColumn("gap", F.col("seq") != F.coalesce(last + 1, F.lit(0)))
+    """Whether a run's records are numbered from 0 without gaps or repeats and end with its only terminal record. A run of any length is combined before it is shuffled."""
     end = F.col("type") == "result"
-    of = stepped.groupBy("run").agg(F.count_if("gap").alias("gaps"), F.count_if(end).alias("terminals"), F.max("seq").alias("last"), F.max(F.when(end, F.col("seq"))).alias("terminal"))
-    verdict = F.when(F.col("gaps") > 0, "gap").when(F.col("terminals") == 0, "no_terminal").when(F.col("terminals") > 1, "two_terminals").when(F.col("terminal") != F.col("last"), "not_last").otherwise("ok")
+    each = results.groupBy("run", "seq").agg(F.count("*").alias("n"), F.count_if(end).alias("ends"))
+    of = each.groupBy("run").agg(
+        F.count("*").alias("numbers"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.max("n").alias("most"), F.count_if(F.col("seq").isNull()).alias("without"), F.sum("ends").alias("terminals"), F.max(F.when(F.col("ends") > 0, F.col("seq"))).alias("terminal"),
+    )
+    gap = (F.col("without") > 0) | (F.col("first") != 0) | (F.col("numbers") != F.col("last") + 1) | (F.col("most") > 1)
+    verdict = F.when(gap, "gap").when(F.col("terminals") == 0, "no_terminal").when(F.col("terminals") > 1, "two_terminals").when(F.col("terminal") != F.col("last"), "not_last").otherwise("ok")
     return of.select("run", verdict.alias("verdict"))
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """seq of records(run, phase, path): rising from 0 in each run, the run record first, the result last."""
-    return records.withColumn("seq", F.row_number().over(Window.partitionBy("run").orderBy("phase", "path")) - 1)
+    """seq of records(run, phase, path): rising from 0 in each run, the run record first, the result last. A long run is many ranges."""
+    return ordering.numbered(records, ["phase", "path"], "seq", ["run"]).withColumn("seq", F.col("seq") - 1)

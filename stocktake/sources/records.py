@@ -144,8 +144,8 @@ def result_lines(results: DataFrame) -> DataFrame:
 
 
 def write_results(records: DataFrame, path: str) -> None:
-    """Result lines of records(run, seq, ...), numbered as outcomes.numbered does; each run stands together in order, in one file."""
-    records.repartition("run").sortWithinPartitions("run", "seq").transform(result_lines).write.text(path)
+    """Result lines of records(run, seq, ...), numbered as outcomes.numbered does; each run stands together in order, in one file or, if it is long, in files that follow each other."""
+    records.repartitionByRange("run", "seq").sortWithinPartitions("run", "seq").transform(result_lines).write.text(path)
 
 
 def write_history(measurements: DataFrame, path: str) -> None:

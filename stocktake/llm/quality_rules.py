@@ -67,80 +67,120 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
 
 def rules(of: Callable[[str], Column] = F.col) -> dict[str, Column]:
-    """Each rule votes 1 (good), -1 (bad) or 0 (abstains); of gives the statistics of _BASE and _MORE by name."""
-    vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
+    """Each rule votes 1 (good), -1 (odd), -2 (bad) or 0 (abstains); of gives the statistics of _BASE and _MORE by name."""
     ratio = lambda a, b: of(a) / F.greatest(of(b), F.lit(1))
-    never = F.lit(False)
+    grade = lambda good, odd: F.when(good, 1).when(odd, -1).otherwise(-2)
+    where = lambda known, vote: F.when(known, vote).otherwise(0)
+    upto = lambda x, good, odd: grade(x <= good, x <= odd)
+    long, word, closed = of("n_words") >= 16, ratio("word_chars", "n_words"), ratio("n_closed_lines", "n_lines")
     return {
-        "length": vote((of("n_words") >= 50), of("n_words") < 20),
-        "word_length": vote(ratio("word_chars", "n_words").between(3, 10), ~ratio("word_chars", "n_words").between(2, 20)),
-        "symbols": vote(never, ratio("n_symbols", "n_words") > 0.2),
-        "capitals": vote(never, (of("n_letters") > 20) & (ratio("n_capitals", "n_letters") > 0.5)),
-        "repeated_lines": vote(never, (of("n_lines") >= 4) & (ratio("n_dup_lines", "n_lines") > 0.4)),
-        "repeated_words": vote(never, ratio("n_repeat_words", "n_words") > 0.25),
-        "stutter": vote(never, ratio("n_stutters", "n_words") > 0.3),
-        "line_ends": vote(ratio("n_closed_lines", "n_lines") > 0.5, (of("n_lines") >= 4) & (ratio("n_closed_lines", "n_lines") < 0.05)),
+        "word_length": where(of("n_words") >= 5, grade(word.between(3.5, 8), word.between(2.5, 12))),
+        "symbols": upto(ratio("n_symbols", "n_words"), 0.02, 0.2),
+        "capitals": where(of("n_letters") > 20, upto(ratio("n_capitals", "n_letters"), 0.15, 0.4)),
+        "repeated_lines": where(of("n_lines") >= 4, upto(ratio("n_dup_lines", "n_lines"), 0.25, 0.5)),
+        "repeated_words": where(long, upto(ratio("n_repeat_words", "n_words"), 0.12, 0.3)),
+        "stutter": where(long, upto(ratio("n_stutters", "n_words"), 0.05, 0.3)),
+        "line_ends": where(of("n_lines") >= 3, grade(closed >= 0.6, closed >= 0.2)),
+        "line_length": where(of("n_words") >= 50, F.when(ratio("n_words", "n_lines") <= 250, 1).otherwise(-1)),
     }
 
 
+_VOTES = (-2, -1, 1)
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """P(good), and for each rule P(vote | class) of the votes -1, 0, 1; each row sums to 1."""
+    """One class of good documents, the first, and some kinds of bad ones: the share of each, and for each rule and class P(vote | class, the rule votes) of the votes -2, -1, 1.
+
+    A rule that abstains says nothing, in the estimates as in the posterior. loss: the negative log-likelihood of a document by round.
+    """
 
-    prior: float
-    given_good: np.ndarray
-    given_bad: np.ndarray
+    shares: np.ndarray
+    rates: np.ndarray  # rule, class, vote
+    loss: tuple[float, ...] = ()
+
+    @property
+    def prior(self) -> float:
+        """The share of good documents."""
+        return float(self.shares[0])
+
+    @property
+    def given_good(self) -> np.ndarray:
+        """For each rule P(bad or odd), 0 and P(good vote) for a good document, all a little above 0."""
+        return _plain(self.rates[:, 0])
+
+    @property
+    def given_bad(self) -> np.ndarray:
+        """The same for a bad document of any kind."""
+        of = self.shares[1:] / self.shares[1:].sum()
+        return _plain(np.einsum("k,rkv->rv", of, self.rates[:, 1:]))
+
+    def logs(self, votes: np.ndarray) -> np.ndarray:
+        """log P(class, votes) for each row of votes."""
+        out = np.tile(np.log(self.shares), (len(votes), 1))
+        for r in range(votes.shape[1]):
+            for i, v in enumerate(_VOTES):
+                out[votes[:, r] == v] += np.log(self.rates[r, :, i])
+        return out
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.full(len(votes), np.log(self.prior) - np.log1p(-self.prior))
-        for r in range(votes.shape[1]):
-            weight = np.log(self.given_good[r]) - np.log(self.given_bad[r])
-            weight[1] = 0.0  # a rule that abstains says nothing
-            odds += weight[votes[:, r] + 1]
-        return 1 / (1 + np.exp(-odds))
-
-
-def _rates(good: np.ndarray, bad: np.ndarray, better: float) -> tuple[np.ndarray, np.ndarray]:
-    """The likeliest P(vote | class) of one rule for its weighted counts of the votes -1, 0, 1, if a bad vote is at least
-    `better` times likelier for a bad document and a good vote no likelier for it."""
-    x, y = good / good.sum(), bad / bad.sum()
-    if y[0] < better * x[0]:
-        # the maximum along P(-1 | bad) = better * P(-1 | good) = better * t
-        both, other, rest = good[0] + bad[0], good[1:].sum(), bad[1:].sum()
-        a2, a1 = better * (both + other + rest), both * (1 + better) + other + better * rest
-        t = (a1 - np.sqrt(a1 * a1 - 4 * a2 * both)) / (2 * a2)
-        x, y = np.r_[t, x[1:] / x[1:].sum() * (1 - t)], np.r_[better * t, y[1:] / y[1:].sum() * (1 - better * t)]
-    if x[2] < y[2]:
-        t = (good[2] + bad[2]) / (good[1:].sum() + bad[1:].sum())
-        x, y = np.r_[x[0], (1 - x[0]) * (1 - t), (1 - x[0]) * t], np.r_[y[0], (1 - y[0]) * (1 - t), (1 - y[0]) * t]
-    return x, y
-
-
-def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.85, trust: float = 10.0, rounds: int = 50, smooth: float = 1.0, better: float = 10.0) -> LabelModel:
+        """P(good | votes) for each row of votes."""
+        return _normalised(self.logs(votes))[0][:, 0]
+
+
+def _plain(rates: np.ndarray) -> np.ndarray:
+    tiny = 1e-9
+    return np.stack([rates[:, 0] + rates[:, 1], np.full(len(rates), tiny), rates[:, 2]], axis=1) / (1 + tiny)
+
+
+def _normalised(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of exp(logs) that sum to 1, and the logs of their sums."""
+    top = logs.max(axis=1, keepdims=True)
+    e = np.exp(logs - top)
+    total = e.sum(axis=1, keepdims=True)
+    return e / total, (top + np.log(total))[:, 0]
+
+
+def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.85, rounds: int = 80, pseudo: float = 2.0) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and how many documents have each.
 
-    Each round estimates every P(vote | class) and the share of good documents from the
-    posteriors of the round before. Rules mostly agree, which leaves open what a class
-    is, so two things are held: the share has a prior worth `trust` times the documents, and each rule's bad
-    vote counts for something (_rates). Rows of probabilities sum to 1. A rule that abstains is left out of the posterior.
-    Counts begin at `smooth`, so no probability is 0.
+    Documents are bad in different ways, so there is a kind of bad ones for each rule that votes -2 at all (one kind
+    where none does): what fails one rule mostly passes the others, which a single class of bad ones can't express. A first guess
+    deals documents by their votes of -2, or by several of -1. Each round estimates all rates and
+    shares from the posteriors of the round before. Rates begin at `pseudo` votes, at each rule's own mix, and shares at `pseudo` documents at
+    the prior: a handful, however many documents there are, so the data decide. The good class is the one whose good votes are
+    the likeliest on most rules.
     """
     n_rules, total = votes.shape[1], counts.sum()
-    model = LabelModel(prior, np.tile([0.02, 0.3, 0.68], (n_rules, 1)), np.tile([0.3, 0.2, 0.5], (n_rules, 1)))
-    for _ in range(rounds if total else 0):
-        p = model.posterior(votes)
-        count = lambda w, r: np.array([smooth + w[votes[:, r] == v].sum() for v in (-1, 0, 1)])
-        rates = [_rates(count(p * counts, r), count((1 - p) * counts, r), better) for r in range(n_rules)]
-        share = ((p * counts).sum() + trust * total * prior) / (total * (1 + trust))
-        model = LabelModel(float(share), np.array([x for x, _ in rates]), np.array([y for _, y in rates]))
-    return model
+    strong = [r for r in range(n_rules) if (votes[:, r] == -2).any()]
+    k = 1 + max(len(strong), 1)
+    start = np.r_[prior, np.full(k - 1, (1 - prior) / (k - 1))]
+    mix = np.array([[1 + counts[votes[:, r] == v].sum() for v in _VOTES] for r in range(n_rules)])
+    mix = mix / mix.sum(axis=1, keepdims=True)
+    model = LabelModel(start, np.repeat(mix[:, None], k, axis=1))
+    if not total:
+        return model
+    bad, odd = (votes == -2).sum(axis=1), (votes == -1).sum(axis=1)
+    of = np.where(bad > 0, 0.9, np.where(odd >= 3, 0.5, 0.1)) if strong else np.where(odd >= 2, 0.9, np.where(odd == 1, 0.5, 0.1))
+    kinds = np.where(bad[:, None] > 0, (votes[:, strong] == -2) / np.maximum(bad, 1)[:, None], 1 / (k - 1)) if strong else np.ones((len(votes), 1))
+    p, losses = np.column_stack([1 - of, kinds * of[:, None]]), []
+    for _ in range(rounds):
+        w = p * counts[:, None]
+        shares = (w.sum(axis=0) + pseudo * start) / (total + pseudo)
+        rates = np.array([[w[votes[:, r] == v].sum(axis=0) for v in _VOTES] for r in range(n_rules)]).transpose(0, 2, 1) + pseudo * mix[:, None]
+        model = LabelModel(shares, rates / rates.sum(axis=2, keepdims=True))
+        p, logs = _normalised(model.logs(votes))
+        losses.append(-float((counts * logs).sum() / total))
+    best = int(np.bincount(model.rates[:, :, 2].argmax(axis=1), minlength=k).argmax()) if strong == [] else 0
+    order = [best, *(i for i in range(k) if i != best)]
+    return LabelModel(model.shares[order], model.rates[:, order], tuple(losses))
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the base statistics, base_failed, quality (posterior probability of good) and kept for each row of docs(doc_id, text).
 
     Rules vote, expectation-maximisation (fit) estimates how they err, and the posterior
-    decides. Only the counts of vote patterns (at most 3 to the number of rules) reach the
+    decides. Only the counts of vote patterns (at most 4 to the number of rules) reach the
     driver; they cover all documents. A null or empty text has no words and fails.
     A null doc_id and rows that repeat are documents of their own; an empty table
     gives no rows.
@@ -161,12 +201,13 @@ def fitted(stats: DataFrame) -> LabelModel:
 
 def _verdict(model: LabelModel, of: Callable[[str], Column]) -> tuple[Column, Column]:
     """base_failed and quality."""
-    odds = F.lit(float(np.log(model.prior) - np.log1p(-model.prior)))
-    for r, vote in enumerate(rules(of).values()):
-        weight = np.log(model.given_good[r]) - np.log(model.given_bad[r])
-        odds = odds + F.when(vote == 1, float(weight[2])).when(vote == -1, float(weight[0])).otherwise(0.0)
+    votes = list(rules(of).values())
+    logs = []
+    for k, share in enumerate(model.shares):
+        said = [F.when(vote == -2, low).when(vote == -1, odd).when(vote == 1, good).otherwise(0.0) for vote, (low, odd, good) in zip(votes, np.log(model.rates[:, k]).tolist())]
+        logs.append(sum(said, F.lit(float(np.log(share)))))
     failed = (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
-    return failed, 1 / (1 + F.exp(-odds))
+    return failed, 1 / (1 + sum((F.exp(x - logs[0]) for x in logs[1:]), F.lit(0.0)))
 
 
 def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -14,6 +14,7 @@ from .common import settle, width
 
 EXACT_FLOAT = 2**53
 PIVOTS = 64  # directions by which rows are dealt to shards, at most
+SHARD_LEAST = 1024  # rows of a shard, about, below which neither directions nor parallel work split the table further
 _QUERY_CHUNK = 256  # queries that are scored by one matrix product
 
 
@@ -38,6 +39,8 @@ class SortedLists:
         self.order = np.argsort(self.rows, axis=0, kind="stable")
         self.values = np.take_along_axis(self.rows, self.order, axis=0)
         self.scored = 0  # rows that were scored in full, over all queries
+        self.read: list[int] = []  # queries that have read lists, by place
+        self.stopped: list[int] = []  # those of them that a bound has stopped before all rows were scored
 
     def bounds(self, queries: np.ndarray, depth: int) -> np.ndarray:
         """What a row that no list shows in its first `depth` places can score at most: component times list value, summed up."""
@@ -67,25 +70,29 @@ class SortedLists:
         in full, and a query is done once the bound of what it has not seen is below its
         kth score or its floor (at an equal score a smaller id may still come). The
         floor is a score that k rows are known to reach; a query whose bound lies below it
-        from the start reads nothing. Where even lists read so deep that they show a quarter of the rows
-        cannot stop a query, all its rows are scored by one matrix product for many queries.
+        from the start reads nothing. Every other query reads at least one round. If after that not even lists so deep that
+        they show a quarter of the rows could stop it, with the kth score it has by then, all rows are scored by one matrix product for many such queries.
         """
         n, dims = self.rows.shape
         reach = np.full(len(queries), -np.inf) if floors is None else np.asarray(floors, float)
         out: list[list[tuple[int, int]]] = [[] for _ in queries]
         open_ = np.flatnonzero(self.bounds(queries, 0) >= reach) if n else np.zeros(0, int)
-        depth, deep, full = max(1, n // (64 * max(1, dims))), n // (4 * max(1, dims)), []
+        depth, deep, full = max(1, n // (64 * max(1, dims))), min(n - 1, max(1, n // (4 * max(1, dims)))), []
+        if depth <= deep:
+            self.read = open_.tolist()
         while len(open_) and depth <= deep:
-            stops = np.isneginf(reach[open_]) | (self.bounds(queries[open_], deep) < reach[open_])
-            full.append(open_[~stops])
-            open_ = open_[stops]
             for i in open_:
                 seen = self._seen(queries[i], depth)
                 self.scored += len(seen)
                 out[i] = self._best(int(own[i]), seen, self.rows[seen] @ queries[i], k, reach[i])
                 if len(out[i]) == k:
                     reach[i] = max(reach[i], np.nextafter(float(out[i][-1][0]), -np.inf) if abs(out[i][-1][0]) >= EXACT_FLOAT else out[i][-1][0])
-            open_ = open_[self.bounds(queries[open_], depth) >= reach[open_]]
+            below = self.bounds(queries[open_], depth) < reach[open_]
+            self.stopped += open_[below].tolist()
+            open_ = open_[~below]
+            hopeless = self.bounds(queries[open_], deep) >= reach[open_]
+            full.append(open_[hopeless])
+            open_ = open_[~hopeless]
             depth *= 2
         open_ = np.concatenate([*full, open_])
         for a in range(0, len(open_), _QUERY_CHUNK):
@@ -124,7 +131,7 @@ def _dealt(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.select("id", "vector", "dims").mapInArrow(deal, "id long, vector array<bigint>, dims long, pivot long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16384, query_rows: int = 4096, least: int = SHARD_LEAST) -> DataFrame:
     """The k best rows of vectors(id, vector) for each row of queries(id, vector), by inner product of integer vectors.
 
     A row is no candidate for a query of its own id; only vectors of as many
@@ -132,27 +139,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     if there are no more. Null ids and vectors that are null or hold nulls take no part; empty tables give
     no rows. Rows that repeat are candidates of their own.
 
-    Rows are dealt by direction (the likest of at most PIVOTS rows, those of smallest
-    hashed id) to shards of bounded size; a direction that holds many rows is split by hash. First each query searches one
+    Rows are dealt by direction (the likest of some rows, those of smallest
+    hashed id: one for each `least` rows, PIVOTS at most) to shards of bounded size; a direction that holds many rows is split by hash. First each query searches one
     shard of its own direction: the kth score there is its floor. Then the extremes of
     a shard's lists say which queries can find anything in it at all, and those run the
     threshold algorithm there from their floor. Queries go in blocks of bounded size;
     the k best of each shard meet by query.
     """
+    hits = _hits(vectors, queries, k, shard_rows, query_rows, least).filter("vec_id is not null")
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def search_report(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16384, query_rows: int = 4096, least: int = SHARD_LEAST) -> DataFrame:
+    """What top_k does for these tables: one row with searches (of a query in a shard that it can be served by), how many of them read lists,
+    how many a bound stopped before all rows of the shard were scored, rows scored in full, and the rows that a scan would score."""
+    told = _hits(vectors, queries, k, shard_rows, query_rows, least).filter("vec_id is null")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return told.agg(F.count("*").alias("searches"), total("read"), total("stopped"), total("scored"), total("held"))
+
+
+_HIT = "query_id long, vec_id long, score long, read long, stopped long, scored long, held long"
+
+
+def _hits(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int, query_rows: int, least: int) -> DataFrame:
+    """query_id, vec_id and score of the k best of each shard, and for each query and shard a row without vec_id that says what was read."""
     spark = vectors.sparkSession
     kind = F.col("vector").cast("array<bigint>")
     take = lambda df: df.select(F.col("id").cast("long").alias("id"), kind.alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", F.isnull)).withColumn("dims", F.size("vector").cast("long"))
     vectors, queries = take(vectors), take(queries)
     main = vectors.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     if main is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chosen = vectors.filter(F.col("dims") == main["dims"]).orderBy(F.xxhash64("id"), "id", "vector").limit(PIVOTS).select("vector").collect()
+        return spark.createDataFrame([], _HIT)
+    n_pivots = min(PIVOTS, max(1, main["n"] // least))
+    chosen = vectors.filter(F.col("dims") == main["dims"]).orderBy(F.xxhash64("id"), "id", "vector").limit(n_pivots).select("vector").collect()
     pivots = np.array([r.vector for r in chosen], float).reshape(len(chosen), main["dims"])
     pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
 
     dealt, asked = settle(_dealt(vectors, pivots), "vectors"), settle(_dealt(queries, pivots), "vectors")
     sizes = {r.pivot: r.n for r in dealt.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # PIVOTS + 1 rows
-    most = min(shard_rows, max(1, math.ceil(sum(sizes.values()) / width(spark))))
+    most = min(shard_rows, max(least, math.ceil(sum(sizes.values()) / width(spark))))
     parts = {p: max(1, math.ceil(sizes.get(p, 0) / most)) for p in range(-1, len(chosen))}
     shards, blocks = sum(parts.values()), max(1, math.ceil(asked.count() / query_rows))
     of = F.element_at(F.array(*(F.lit(parts[p]) for p in range(-1, len(chosen)))), (F.col("pivot") + 2).cast("int"))
@@ -163,18 +190,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     keys = ["dims", "shard", "block"]
 
     def search(own: pa.Table, ask: pa.Table) -> pa.Table:
-        hits: list[tuple[int, int, int]] = []
+        hits: list[tuple[int | None, ...]] = []
         if len(own) and len(ask):
             dims = own.column("dims")[0].as_py()
             of, asks = _exact(_matrix(own.column("vector"), dims), _matrix(ask.column("vector"), dims))
             ids = ask.column("id").to_numpy()
             floors = ask.column("floor").to_numpy() if "floor" in ask.column_names else None
-            found = SortedLists(own.column("id").to_numpy(), of).search(ids, asks, k, None if floors is None else np.where(np.isnan(floors), -np.inf, floors))
-            hits = [(q, i, s) for q, best in zip(ids.tolist(), found) for s, i in best]
-        return pa.table({n: pa.array([h[j] for h in hits], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
+            lists = SortedLists(own.column("id").to_numpy(), of)
+            found = lists.search(ids, asks, k, None if floors is None else np.where(np.isnan(floors), -np.inf, floors))
+            hits = [(q, i, s, None, None, None, None) for q, best in zip(ids.tolist(), found) for s, i in best]
+            # scored rows are told once for all queries of the group
+            read, stopped = set(lists.read), set(lists.stopped)
+            hits += [(q, None, None, int(j in read), int(j in stopped), lists.scored if j == 0 else 0, len(of)) for j, q in enumerate(ids.tolist())]
+        return pa.table({x.split()[0]: pa.array([h[j] for h in hits], pa.int64()) for j, x in enumerate(_HIT.split(", "))})
 
     spread = rows.select("*", every)
-    first = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+    first = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, _HIT).filter("vec_id is not null")
     # k rows are known to reach the smallest of k scores; below 2**53 a double holds it, and a smaller floor is no error
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
     low = F.when(F.abs("least") < EXACT_FLOAT, F.col("least").cast("double"))
@@ -205,10 +236,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     asked = asked.drop("shard").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     reached = edges.groupBy(*meet).cogroup(asked.groupBy(*meet)).applyInArrow(reachable, "id long, vector array<bigint>, dims long, block int, floor double, shards array<bigint>")
     reached = reached.withColumn("shard", F.explode("shards")).drop("shards")
-    hits = spread.groupBy(*keys).cogroup(reached.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return spread.groupBy(*keys).cogroup(reached.groupBy(*keys)).applyInArrow(search, _HIT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -186,33 +186,37 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     gives no rows.
     """
     stats = settle(with_stats(docs), "quality")
-    failed, quality = _verdict(fitted(stats), F.col)
+    votes, counts = _patterns(stats)
+    failed, quality = _verdict(fit(votes, counts), votes, F.col)
     base = [x.split()[0] for x in _BASE.split(", ")]
     return stats.select("doc_id", *base, failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= threshold)).alias("kept"))
 
 
-def fitted(stats: DataFrame) -> LabelModel:
-    """The label model of the vote patterns of all rows of with_stats."""
+def _patterns(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct vote patterns of all rows of with_stats, and how many rows have each."""
     named = rules()
     patterns = stats.select(*(v.alias(k) for k, v in named.items())).groupBy(*named).agg(F.count("*").alias("n")).collect()
-    votes = np.array([[r[c] for c in named] for r in patterns], np.int64).reshape(-1, len(named))
-    return fit(votes, np.array([r.n for r in patterns], float))
+    return np.array([[r[c] for c in named] for r in patterns], np.int64).reshape(-1, len(named)), np.array([r.n for r in patterns], float)
+
+
+def fitted(stats: DataFrame) -> LabelModel:
+    """The label model of the vote patterns of all rows of with_stats."""
+    return fit(*_patterns(stats))
 
 
-def _verdict(model: LabelModel, of: Callable[[str], Column]) -> tuple[Column, Column]:
-    """base_failed and quality."""
-    votes = list(rules(of).values())
-    logs = []
-    for k, share in enumerate(model.shares):
-        said = [F.when(vote == -2, low).when(vote == -1, odd).when(vote == 1, good).otherwise(0.0) for vote, (low, odd, good) in zip(votes, np.log(model.rates[:, k]).tolist())]
-        logs.append(sum(said, F.lit(float(np.log(share)))))
+def _verdict(model: LabelModel, votes: np.ndarray, of: Callable[[str], Column]) -> tuple[Column, Column]:
+    """base_failed and quality, which is looked up by the row's vote pattern, one of `votes`: each rule is evaluated once for a row."""
+    digits = 4 ** np.arange(votes.shape[1])
+    code = sum(((vote + 2) * int(d) for vote, d in zip(rules(of).values(), digits)), F.lit(0))
+    known = zip(((votes + 2) @ digits).tolist(), model.posterior(votes).tolist())
+    quality = F.try_element_at(F.create_map(*(F.lit(x) for pair in known for x in pair)), code.cast("long")) if len(votes) else F.lit(None).cast("double")
     failed = (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
-    return failed, 1 / (1 + sum((F.exp(x - logs[0]) for x in logs[1:]), F.lit(0.0)))
+    return failed, quality
 
 
 def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge keeps, all columns; the verdict is found beside each row, so texts are not shuffled."""
-    model = fitted(settle(with_stats(docs), "quality"))
+    votes, counts = _patterns(settle(with_stats(docs), "quality"))
     names = [x.split()[0] for x in f"{_BASE}, {_MORE}".split(", ")]
     at, columns, beside_ = docs.columns.index("text"), docs.columns, "stats"
     while beside_ in columns:
@@ -225,7 +229,7 @@ def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*columns, beside_])
 
     schema = T.StructType([*docs.schema, T.StructField(beside_, T.StructType([T.StructField(n, T.LongType()) for n in names]))])
-    failed, quality = _verdict(model, lambda n: F.col(f"{beside_}.{n}"))
+    failed, quality = _verdict(fit(votes, counts), votes, lambda n: F.col(f"{beside_}.{n}"))
     return docs.mapInArrow(beside, schema).filter(~failed & (quality >= threshold)).drop(beside_)
 
 

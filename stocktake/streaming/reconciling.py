@@ -1,4 +1,4 @@
-"""Listings that arrive again and again, each met by what the one before it led to: the destination's entries are state, by path."""
+"""Listings that arrive again and again, each met by what the one before it led to: the destination's entries are state, by buckets of paths."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_ENTRY = "kind string, size long, mtime_s long, mtime_ns int"
+_HELD = pa.schema([("path", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("mtime_s", pa.int64()), ("mtime_ns", pa.int32()), ("met", pa.int64())])
 _PLAN = "path string, snapshot long, action string, reason string, bytes long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,56 +40,86 @@ def decide(source: tuple | None, held: tuple | None) -> tuple[str, str]:
     return ("none", "unchanged") if source[1] == held[1] and _same_time(source, held) else ("transfer", "content_differs")
 
 
+def _plain(x):
+    return None if pd.isna(x) else x if isinstance(x, str) else int(x)
+
+
 class _Reconciler(StatefulProcessor):
+    """The state of a bucket is one value, the entries of its paths in Arrow's format: a bucket's rows cost one read and one write of it."""
+
     def __init__(self, ttl_ms: int | None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", _ENTRY, self.ttl_ms)
+        self.held = handle.getValueState("held", "entries binary", self.ttl_ms)
+
+    def _entries(self, now: int) -> dict[str, tuple]:
+        """What is held by path, and when a listing met it last; entries that have expired are left out."""
+        if not self.held.exists():
+            return {}
+        with pa.ipc.open_stream(bytes(self.held.get()[0])) as stream:
+            columns = [x.to_pylist() for x in stream.read_all().itercolumns()]
+        held = {path: (tuple(entry), met) for path, *entry, met in zip(*columns)}
+        return held if self.ttl_ms is None else {k: v for k, v in held.items() if v[1] + self.ttl_ms > now}
+
+    def _keep(self, held: dict[str, tuple]) -> None:
+        if not held:
+            self.held.clear()
+            return
+        rows = [(path, *entry, met) for path, (entry, met) in held.items()]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD) as stream:
+            stream.write_table(pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _HELD)], schema=_HELD))
+        self.held.update((sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        plain = lambda x: None if pd.isna(x) else x if isinstance(x, str) else int(x)
-        held = tuple(self.held.get()) if self.held.exists() else None
-        out = []
-        listed = [r for f in rows for r in f.itertuples(index=False)]
-        for r in sorted(listed, key=lambda r: (r.snapshot, str(r.kind), str(r.size), str(r.mtime_s))):
-            source = None if pd.isna(r.kind) else (r.kind, plain(r.size), plain(r.mtime_s), plain(r.mtime_ns))
-            action, reason = decide(source, held)
-            out.append((key[0], r.snapshot, action, reason, source[1] if source and action == "transfer" else None))
-            held = source if action != "none" else held
-        if held is None:
-            self.held.clear()
-        else:
-            self.held.update(held)  # also where nothing changed: what is still listed does not expire
+        now = 0 if self.ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        held, out = self._entries(now), []
+        listed = [(r.path, int(r.snapshot), tuple(map(_plain, (r.kind, r.size, r.mtime_s, r.mtime_ns)))) for f in rows for r in f.itertuples(index=False)]
+        for path, snapshot, entry in sorted(listed, key=lambda r: (r[1], *map(str, r[2][:3]))):
+            source = None if entry[0] is None else entry
+            before = held[path][0] if path in held else None
+            action, reason = decide(source, before)
+            out.append((path, snapshot, action, reason, source[1] if source and action == "transfer" else None))
+            after = source if action != "none" else before
+            if after is None:
+                held.pop(path, None)
+            else:
+                held[path] = after, now  # also where nothing changed: what is still listed does not expire
+        self._keep(held)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in _PLAN.split(", ")]).astype({"bytes": "Int64"})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
-        for r in initialState.itertuples(index=False):
-            self.held.update(tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in (r.kind, r.size, r.mtime_s, r.mtime_ns)))
+        now = 0 if self.ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        held = self._entries(now)  # a bucket may come in several pieces
+        held |= {r.path: (tuple(map(_plain, (r.kind, r.size, r.mtime_s, r.mtime_ns))), now) for r in initialState.itertuples(index=False)}
+        self._keep(held)
 
     def close(self) -> None:
         pass
 
 
-def incremental_reconcile(listings: DataFrame, destination: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+def incremental_reconcile(listings: DataFrame, destination: DataFrame | None = None, ttl_ms: int | None = None, buckets: int = 1024) -> DataFrame:
     """path, snapshot, action (transfer, remove, none), reason and bytes for each row of the stream listings(path, snapshot, kind, size, mtime_s, mtime_ns).
 
     The first listing of a path meets destination(path, kind, size, mtime_s, mtime_ns), which has one
-    row for each path; each later one meets the result of the one before, which is kept as state by path. So a
+    row for each path; each later one meets the result of the one before, which is kept as state by path. Paths are dealt to hash buckets, and a bucket's entries are read and written
+together, so that a row costs no call of the state store; a checkpoint goes on with the `buckets` that it began with. So a
     repeated listing plans nothing, and no batch reads the destination again. A null kind says that the path is gone from the
     source. Rows of one path in one batch go in the order of `snapshot`. State that no listing
     has met for ttl_ms is dropped, after which the path counts as missing. Sessions have to keep state in RocksDB (rocksdb_state); restarted
     from its checkpoint the stream goes on with the state it had.
     """
-    shape = lambda df, *more: df.select("path", *more, "kind", F.col("size").cast("long").alias("size"), F.col("mtime_s").cast("long").alias("mtime_s"), F.col("mtime_ns").cast("int").alias("mtime_ns"))
-    rows = shape(listings, F.col("snapshot").cast("long").alias("snapshot")).groupBy("path")
-    first = None if destination is None else shape(destination).groupBy("path")
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
+    shape = lambda df, *more: df.select(bucket, "path", *more, "kind", F.col("size").cast("long").alias("size"), F.col("mtime_s").cast("long").alias("mtime_s"), F.col("mtime_ns").cast("int").alias("mtime_ns"))
+    rows = shape(listings, F.col("snapshot").cast("long").alias("snapshot")).groupBy("bucket")
+    first = None if destination is None else shape(destination).groupBy("bucket")
     return rows.transformWithStateInPandas(_Reconciler(ttl_ms), _PLAN, "Append", "None" if ttl_ms is None else "ProcessingTime", first)
 
 
-def planned(listings: DataFrame, out: str, log: str, destination: DataFrame | None = None, ttl_ms: int | None = None) -> None:
+def planned(listings: DataFrame, out: str, log: str, destination: DataFrame | None = None, ttl_ms: int | None = None, buckets: int = 1024) -> None:
     """Runs incremental_reconcile over what is there; plans are written below out, one folder for each batch, and log is the checkpoint to go on from."""
-    plan = incremental_reconcile(listings, destination, ttl_ms)
+    plan = incremental_reconcile(listings, destination, ttl_ms, buckets)
     # a batch that runs again replaces its own folder
     writer = plan.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
     with rocksdb_state(plan.sparkSession):

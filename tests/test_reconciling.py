@@ -47,3 +47,55 @@ def test_state_that_no_listing_meets_expires(spark, tmp_path):
     drain(spark, tmp_path, None, ttl=1)
     put([("a", 2, "file", 1, 1, 0)], 2)
     assert drain(spark, tmp_path, None, ttl=1)["a", 2][1] == "destination_missing"
+
+
+def test_a_bucket_of_paths_is_one_read_and_one_write_of_state():
+    import pandas as pd
+
+    class State:
+        value, calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.value = None
+
+    of = reconciling._Reconciler(None)
+    of.held = State()
+    names = ["path", "snapshot", "kind", "size", "mtime_s", "mtime_ns"]
+    held = pd.DataFrame([(f"p{i}", "file", i, 1, 0) for i in range(500)], columns=["path", *names[2:]])
+    for piece in (held[:200], held[200:]):
+        of.handleInitialState((0,), piece, None)
+    of.held.calls = 0
+    rows = pd.DataFrame([(f"p{i}", 1, "file" if i % 2 else None, i, 1, 0) for i in range(1000)], columns=names)
+    out = pd.concat(of.handleInputRows((0,), iter([rows[:300], rows[300:]]), None)).set_index("path")
+    assert of.held.calls == 2 and len(out) == 1000
+    assert out.reason.map(lambda x: x).to_dict() == {f"p{i}": ("unchanged" if i < 500 else "destination_missing") if i % 2 else "source_gone" if i < 500 else "absent" for i in range(1000)}
+
+
+def test_buckets_in_several_batches_of_rows(spark, tmp_path):
+    held = [(f"p{i}", "file", i, 1, 0) for i in range(0, 60, 2)]
+    rows = [(f"p{i}", 1, "file" if i % 5 else None, i + (i % 3 == 0), 1, 0) for i in range(60)] + [(f"p{i}", 2, "file", 7, 7, 7) for i in range(0, 60, 7)]
+    spark.createDataFrame(rows, LISTING).repartition(3).write.parquet(f"{tmp_path}/rows")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = spark.readStream.schema(LISTING).parquet(f"{tmp_path}/rows")
+        reconciling.planned(stream, f"{tmp_path}/plan", f"{tmp_path}/log", spark.createDataFrame(held, "path string, kind string, size long, mtime_s long, mtime_ns int"), buckets=3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    state, want = {p: tuple(e) for p, *e in held}, {}
+    for path, snapshot, *entry in rows:
+        source = tuple(entry) if entry[0] else None
+        want[path, snapshot] = reconciling.decide(source, state.get(path))
+        if want[path, snapshot][0] != "none":
+            state[path] = source
+    assert {(r.path, r.snapshot): (r.action, r.reason) for r in reconciling.plans(spark, f"{tmp_path}/plan").collect()} == want

@@ -15,9 +15,12 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose results look random."""
     x = x.astype(np.uint64, copy=False)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a new array, which the rest changes in place
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
@@ -36,7 +39,9 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums of byte hashes times powers: the bytes from a to b hash to (sums[b] - sums[a]) * inverse power of a."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=out[1:])
+    out[1:] = _BYTE[data]
+    out[1:] *= up[: len(data)]
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ ANCHOR = 24
 SPAN = WINDOW - ANCHOR + 1  # anchors of a window, and windows of a run at most
 REACH = WINDOW + SPAN - 1  # bytes of a run at most
 BATCH = 1 << 16  # suffixes of a batch, about
-WINDOWS = 1 << 20  # windows that are sorted against each other at once, about
+WINDOWS = 1 << 18  # windows that are sorted against each other at once, about
 WHOLE = np.uint32(0xFFFFFFFF)  # mark of a run that stands in an earlier chunk as it is
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -87,7 +88,9 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Runs:
     if n <= 0 or not lengths.sum():
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), sums)
-    value = mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(sums) - ANCHOR])
+    value = sums[ANCHOR:] - sums[:-ANCHOR]
+    value *= down[: len(sums) - ANCHOR]
+    value = mixed(value)
     place = _leftmost_smallest(value >> np.uint64(_PLACE_BITS))
     inside = np.zeros(len(place) + 1, np.int8)  # whether a window stands in one document
     long = lengths > 0
@@ -106,9 +109,10 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Runs:
 def strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int, size: int) -> np.ndarray:
     """Substrings of at most `size` bytes, as byte strings of fixed width that sort in byte order; the last byte is the length."""
     places = np.arange(size)
-    at = np.minimum(starts[:, None] + places, max(len(data) - 1, 0))
+    padded = np.concatenate([data, np.zeros(size, np.uint8)])
     out = np.empty((len(starts), size + 1), np.uint8)
-    out[:, :size] = data[at]
+    for i in range(0, len(starts), BATCH):  # rows of a view: no place of a byte is stored
+        out[i : i + BATCH, :size] = sliding_window_view(padded, size)[starts[i : i + BATCH]]
     if not np.isscalar(lengths):
         out[:, :size][places >= np.asarray(lengths)[:, None]] = 0
     out[:, size] = lengths
@@ -232,7 +236,8 @@ def _grouped(keys: list[np.ndarray], text: Callable[[np.ndarray], np.ndarray]) -
         differs[0] = True
     head = order[np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))]
     rest = np.flatnonzero(~differs)
-    odd = rest[text(order[rest]) != text(head[rest])] if len(rest) else rest
+    parts = (rest[i : i + BATCH] for i in range(0, len(rest), BATCH))  # texts take many times the room of keys
+    odd = np.concatenate([rest[:0], *(x[text(order[x]) != text(head[x])] for x in parts)])
     if len(odd):  # keys that collide: their items are grouped by text alone
         number = np.cumsum(differs) - 1
         bad = np.flatnonzero(np.isin(number, number[odd]))
@@ -290,6 +295,13 @@ class Chunk:
         """Entries whose anchor stands in several chunks."""
         return np.flatnonzero(shared[self.anchor_of[self.heads]])
 
+    def _dealt(self, of: np.ndarray) -> Iterator[np.ndarray]:
+        """The runs `of` in parts of about WINDOWS windows; runs of one anchor, whose windows may be equal, are in one."""
+        r = self.runs
+        parts = math.ceil(int((r.last[of] - r.first[of] + 1).sum()) / WINDOWS)
+        dealt = mixed(r.anchor[of]) % np.uint64(max(1, parts))
+        return (of[dealt == np.uint64(i)] for i in range(parts))
+
     def removed(self, marks: np.ndarray) -> np.ndarray:
         """Bytes covered by windows that start in an earlier document, of this chunk or one before. marks: of entries."""
         r, ids, mark = self.runs, self.ids, marks[self.entry]
@@ -302,8 +314,8 @@ class Chunk:
         # windows of runs whose anchor has several entries here, or of which a bucket knows some
         entries = np.bincount(self.anchor_of[self.heads], minlength=len(self.anchors))
         open_ = (mark != WHOLE) & ((entries[self.anchor_of] > 1) | (mark != 0))
-        at, hashes, run = r.windows(np.flatnonzero(open_))
-        if len(at):
+        for own in self._dealt(np.flatnonzero(open_)):
+            at, hashes, run = r.windows(own)
             hit = (mark[run] >> (at - r.first[run]).astype(np.uint32) & np.uint32(1)).astype(bool)
             group, heads = _grouped([hashes & self.mask], lambda i: strings(self.data, at[i], WINDOW, WINDOW))
             least = np.full(len(heads), np.iinfo(np.int64).max)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from stocktake.functions.paths import path_depth
 from .scratch import settle
 
 SCANNED = "path string, kind string, size long, mtime_s long, mtime_ns int, warning string"
+#: Entries of a listing that a task holds at once, however many a folder has.
+_ROWS = 10_000
 
 
 def _store(root: str):
@@ -23,6 +26,12 @@ def _store(root: str):
     return fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to several tasks for each core. The work on a file is the same whatever its row holds, so neither the row groups that the
+    rows came in nor their few bytes, by which adaptive execution joins partitions, say how many tasks there should be."""
+    return rows.repartition(4 * max(rows.sparkSession.sparkContext.defaultParallelism, 1), F.xxhash64(*keys))
+
+
 def _entries(store, base: str, folder: str) -> Iterator[tuple]:
     """What stands directly in a folder below base: path, kind, size, time and a warning. Links are not followed where the store has any.
 
@@ -68,6 +77,12 @@ def _entries(store, base: str, folder: str) -> Iterator[tuple]:
         yield under(x.base_name), kind, x.size if kind == "file" else None, seconds, nanos, None
 
 
+def _frames(found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Entries as frames of at most _ROWS rows; the next are looked at when one is done with."""
+    while rows := list(islice(found, _ROWS)):
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCANNED.split(", ")]).astype({"size": "Int64", "mtime_s": "Int64", "mtime_ns": "Int32"})
+
+
 def scan_with_warnings(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> DataFrame:
     """path below root, kind (file, dir, symlink, special), size of files, time and warning of every entry below root; contents are not read.
 
@@ -78,18 +93,20 @@ def scan_with_warnings(spark: SparkSession, root: str, ignore: Sequence[str] = (
     A root that cannot be listed is an error.
     """
 
+    def listed(store, base: str, folder: str) -> Iterator[tuple]:
+        for row in _entries(store, base, folder):
+            if row[0] == "":
+                raise OSError(f"{root}: {row[-1]}")
+            yield row
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(root)
         for f in frames:
-            for folder in f["path"]:
-                rows = list(_entries(store, base, folder))
-                if not folder and any(r[0] == "" for r in rows):
-                    raise OSError(f"{root}: {rows[0][-1]}")
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCANNED.split(", ")]).astype({"size": "Int64", "mtime_s": "Int64", "mtime_ns": "Int32"})
+            yield from _frames(row for folder in f["path"] for row in listed(store, base, folder))
 
     out, folders = None, spark.createDataFrame([("",)], "path string")
     while True:
-        level = folders.repartition(F.xxhash64("path")).mapInPandas(run, SCANNED)
+        level = spread(folders, "path").mapInPandas(run, SCANNED)
         kept = F.col("warning").isNotNull() | ~ignored(F.col("path"), F.coalesce(F.col("kind") == "dir", F.lit(False)), ignore)
         level = settle(level.filter(kept) if ignore else level, "entries")
         out = level if out is None else out.unionByName(level)
@@ -153,7 +170,8 @@ def copy_files(contents: DataFrame, root: str, produce: Callable[[bytes], bytes]
                     rows.append((dst, 0, "failed", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["dst", "bytes", "disposition", "message"])
 
-    return contents.select("dst", F.col("content").cast("binary").alias("content"), promised.alias("size")).mapInPandas(run, "dst string, bytes long, disposition string, message string")
+    rows = contents.select("dst", F.col("content").cast("binary").alias("content"), promised.alias("size"))
+    return spread(rows, "dst").mapInPandas(run, "dst string, bytes long, disposition string, message string")
 
 
 def _remove_folder(store, path: str) -> bool:
@@ -212,8 +230,8 @@ def remove_files(plan: DataFrame, root: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "disposition", "message"])
 
     shape = "path string, disposition string, message string"
-    out = settle(plan.filter("kind != 'dir'").select("path", "kind").mapInPandas(run, shape), "removed")
+    out = settle(spread(plan.filter("kind != 'dir'").select("path", "kind"), "path").mapInPandas(run, shape), "removed")
     dirs = plan.filter("kind = 'dir'").select("path", "kind", path_depth(F.col("path")).alias("depth"))
     for (depth,) in sorted(dirs.select("depth").distinct().collect(), reverse=True):
-        out = out.unionByName(settle(dirs.filter(F.col("depth") == depth).select("path", "kind").mapInPandas(run, shape), "removed"))
+        out = out.unionByName(settle(spread(dirs.filter(F.col("depth") == depth).select("path", "kind"), "path").mapInPandas(run, shape), "removed"))
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stocktake.functions.checksums import CRC32, shifted
 from stocktake.operators.balance import balanced, in_partitions
 
-from .files import _refused, _store
+from .files import _refused, _store, spread
 from .scratch import settle
 
 #: Bytes of one part of a copy, and of one read.
@@ -84,7 +84,7 @@ def read_blocks(files: DataFrame, root: str, size: int, digest: str = "sha256")
             yield pd.DataFrame(rows, columns=["path", "block", "offset", "length", "hash", "message"])
 
     found = ranges(files.select("path", F.col("length").cast("long").alias("length")).filter("length is null or length > 0"), size)
-    dealt = found.repartition(F.xxhash64("path", "block")).sortWithinPartitions("path", "block")
+    dealt = spread(found, "path", "block").sortWithinPartitions("path", "block")
     return dealt.select("path", "block", "offset", "length").mapInPandas(run, "path string, block long, offset long, length long, hash string, message string")
 
 

@@ -2,13 +2,16 @@
 
 A tokenizer that parts texts before a space that a visible character follows, and between
 a letter and a mark, encodes such pieces once for each worker and looks them up after that. Any other tokenizer encodes whole texts.
+Pieces are cut and looked up as Arrow strings over a batch's bytes; only those that the cache lacks become Python strings.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,21 @@ _ODD = rf"\x00| {_WHITE}| $|\n{_WHITE}|{_WHITE}\n"
 _BEFORE_VISIBLE = re.compile(r" (?=\S)")
 #: A mark after a letter always begins a token.
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,:;!?])"
+#: Words of letters up to U+00FF, which are encoded many to a text.
+_WORD = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]+"
+_TOGETHER = 128
+#: Longer pieces (bytes) hardly come again, so no cache keeps them.
+_LONGEST = 64
+
+
+def _bytes_in(values: Iterable[int]) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+_MARKS, _LETTERS = _bytes_in(b".,:;!?"), _bytes_in(c for c in range(128) if chr(c).isalpha())
+_WIDE, _WIDE_LEAD = _bytes_in({*range(0x80, 0xC0)} - {0x97, 0xB7}), 0xC3  # UTF-8 of À to ÿ without × and ÷
 
 
 def path_of(name: str) -> str:
@@ -34,14 +52,12 @@ class Encoder:
 
     spaced: the tokenizer keeps spaces (byte-level, a word holds the space before
     it); else it drops white space, marks word ends and lower-cases.
-    kept: pieces that each of the cache's two generations holds at most.
+    kept: pieces that the cache holds at most from one batch to the next, those of up to 64 bytes that were used last.
     """
 
     path: str
     spaced: bool
     kept: int = 400_000
-    young: dict = field(default_factory=dict)
-    old: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,6 +72,10 @@ class Encoder:
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("Ġ") if self.spaced else token.endswith("</w>")
         self.parted = self._parts()
+        # the cache: pieces, where their ids lie in flat, how many they are, and in which batch each was used last
+        self.known = pa.array([], pa.string())
+        self.starts, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.batch = np.zeros(0, self.kind), 0
 
     def _parts(self) -> bool:
         """Whether the tokenizer itself parts texts before a space that something visible follows, and between a letter and a mark."""
@@ -72,43 +92,86 @@ class Encoder:
         visible = [chr(i) for i in range(0x21, 0x100) if not chr(i).isspace() and chr(i).isprintable()]
         return all(edge(x, mark) for x in letters for mark in ".,:;!?") and all(edge(x, " " + y) for x in "aZ9.é" for y in visible)
 
-    def _plain(self, piece: str) -> bool:
-        word = piece[1:] if self.spaced else piece
-        return word.isalpha() and (piece.isascii() or max(word) < "Ā") and (not self.spaced or piece[0] == " ")
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The library's ids of each piece. Plain words are encoded many to a text and parted at word edges."""
-        plain = [p for p in pieces if self._plain(p)]
-        found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 128):
-            part = plain[at : at + 128]
-            ids = np.array(self.tokenizer.encode(("" if self.spaced else " ").join(part), add_special_tokens=False).ids, self.kind)
+    def _encode(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The library's ids of all pieces, where each piece's begin and how many they are. Plain words are encoded many to a text and parted at word edges."""
+        plain = np.asarray(pc.match_substring_regex(pieces, f"^{' ' if self.spaced else ''}{_WORD}$"))
+        places, words = np.flatnonzero(plain), pieces.filter(pa.array(plain)).to_pylist()
+        joined = [("" if self.spaced else " ").join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        order, sizes, flat, alone = [], [], [], [np.flatnonzero(~plain)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            part, ids = places[i * _TOGETHER : (i + 1) * _TOGETHER], np.array(e.ids, self.kind)
             edges = np.flatnonzero(self.edge[ids])
-            if len(edges) == len(part):
-                cuts = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
-                found.update((p, ids[a:b].tobytes()) for p, a, b in zip(part, cuts, cuts[1:]))
-        rest = [p for p in pieces if p not in found]
-        found.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-        return [found[p] for p in pieces]
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as bytes."""
-        young, old = self.young, self.old
-        missing = []
-        for p in pieces:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    missing.append(p)
-        if missing:
-            missing = list(dict.fromkeys(missing))
-            young.update(zip(missing, self._encode(missing)))
-        out = [young[p] for p in pieces]
-        if len(young) > self.kept:
-            self.old, self.young = young, {}
+            own = np.diff(edges, append=len(ids)) if self.spaced else np.diff(edges, prepend=-1)
+            if len(own) == len(part) and own.sum() == len(ids):
+                order.append(part)
+                sizes.append(own)
+                flat.append(ids)
+            else:
+                alone.append(part)
+        order.append(np.concatenate(alone))
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(order[-1])).to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        flat.append(np.fromiter(chain.from_iterable(rest), self.kind))
+        lengths = np.concatenate(sizes)
+        back = np.argsort(np.concatenate(order))
+        return np.concatenate(flat), (np.cumsum(lengths) - lengths)[back], lengths[back]
+
+    def _runs(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the cache's pieces numbered in own, one after the other, and where each piece's begin; last, where all end."""
+        sizes = self.sizes[own]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.starts[own] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+    def _lookup(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after the other, and where each piece's begin; last, where all end. Pieces that are not known are encoded."""
+        n = len(self.known)
+        # what is known stands first, each once, so it keeps its numbers and new pieces get the next ones
+        coded = pa.concat_arrays([self.known, pieces]).dictionary_encode()
+        codes = np.asarray(coded.indices)[n:]
+        self.known = coded.dictionary
+        if len(self.known) > n:
+            flat, starts, sizes = self._encode(self.known.slice(n))
+            self.starts = np.concatenate([self.starts, len(self.flat) + starts])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+            self.used = np.concatenate([self.used, np.zeros(len(sizes), np.int64)])
+        self.batch += 1
+        self.used[codes] = self.batch
+        out = self._runs(codes)
+        last = np.flatnonzero(np.asarray(pc.binary_length(self.known)) <= _LONGEST)
+        if len(last) > self.kept:
+            last = np.sort(last[np.argpartition(self.used[last], -self.kept)[-self.kept :]])
+        if len(last) < len(self.known):
+            self.flat, ends = self._runs(last)
+            self.known, self.starts, self.sizes, self.used = self.known.take(pa.array(last)), ends[:-1], self.sizes[last], self.used[last]
         return out
 
+    def _cut(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The pieces of all texts, and the number of each text's first; last, how many there are.
+
+        A piece begins at a text's start and at a mark after a letter; spaced: also at a space, a line break
+        and after one; else after a space or a line break, which are dropped, and A-Z are lower-cased.
+        """
+        texts = texts if self.spaced else pc.ascii_lower(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        line = data == 10
+        white = line | (data == 32)
+        begins = np.zeros(len(data), bool)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins[1:] |= (line if self.spaced else white)[:-1] | (_MARKS[data[1:]] & _LETTERS[data[:-1]])
+        begins[2:] |= _MARKS[data[2:]] & _WIDE[data[1:-1]] & (data[:-2] == _WIDE_LEAD)
+        if self.spaced:
+            begins |= white
+        starts = np.flatnonzero(begins)
+        first = np.searchsorted(starts, offsets)
+        starts = np.append(starts, len(data))
+        if not self.spaced:
+            dropped = np.flatnonzero(white)
+            starts -= np.searchsorted(dropped, starts)
+            data = data[np.flatnonzero(~white)]
+        return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)), first
+
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -116,34 +179,23 @@ class Encoder:
             whole = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
             return [np.array(e.ids, self.kind) for e in whole]
         out: list = [None] * len(texts)
+        if not len(texts):
+            return out
         odd = np.asarray(pc.match_substring_regex(texts, _ODD if self.spaced else r"\x00"))
         for special in self.specials:
             odd = odd | np.asarray(pc.match_substring(texts, special, ignore_case=True))
-        for i in np.flatnonzero(odd):
-            whole = texts[int(i)].as_py()
-            first, *rest = _BEFORE_VISIBLE.split(whole) if self.spaced else [whole]
-            out[i] = np.frombuffer(b"".join(self.pieces([first, *(" " + x for x in rest)])), self.kind)
-        even = np.flatnonzero(~odd)
-        if not len(even):
-            return out
-        plain = texts.take(pa.array(even)) if len(even) < len(texts) else texts
-        if self.spaced:
-            plain = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
-        else:
-            plain = pc.replace_substring(pc.replace_substring(pc.ascii_lower(plain), " ", "\0"), "\n", "\0")
-        lists = pc.split_pattern(pc.replace_substring_regex(plain, _MARK, "\\1\0\\2"), "\0")
-        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices)
-        ids = self.pieces(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        own = sizes[codes]
-        ends = np.cumsum(own)
-        starts = (np.cumsum(sizes) - sizes)[codes] - (ends - own)
-        run = flat[np.repeat(starts, own) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[offsets]
-        for j, i in enumerate(even):
+        order = np.argsort(odd, kind="stable")  # odd texts come last
+        even = len(texts) - int(np.count_nonzero(odd))
+        pieces, first = self._cut(texts.take(pa.array(order[:even])) if even < len(texts) else texts)
+        more: list[str] = []
+        ends: list[int] = []
+        for whole in texts.take(pa.array(order[even:])).to_pylist():
+            head, *rest = _BEFORE_VISIBLE.split(whole) if self.spaced else [whole]
+            more += [head, *(" " + x for x in rest)]
+            ends.append(len(pieces) + len(more))
+        run, at = self._lookup(pa.concat_arrays([pieces, pa.array(more, pa.string())]) if more else pieces)
+        cuts = at[np.concatenate([first, np.array(ends, np.int64)])]
+        for j, i in enumerate(order.tolist()):
             out[i] = run[cuts[j] : cuts[j + 1]]
         return out
 
